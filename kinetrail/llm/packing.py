@@ -29,9 +29,9 @@ from tokenizers import Tokenizer
 from .bpe import byte_symbols
 from .common import id_text, slices, texts_of
 
-SENTENCE_PENALTY, HARD_PENALTY = 6, 64
+SENTENCE_PENALTY, HARD_PENALTY = 2, 16
 #: Hard cuts are offered only inside runs without a boundary longer than this, as far apart.
-HARD_GAP = 192
+HARD_GAP = 32
 BLOCK_TOKENS = 1 << 21
 CACHE_ENTRIES = 300_000
 #: White space that could join two neighbouring runs into one piece.
