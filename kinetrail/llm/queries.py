@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, langid, packing, secrets, token_counts
 from .common import documents
 
 #: Where the public vocabulary files are; a parameter, they are never copied here.
@@ -24,9 +23,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), str(BYTE_BPE))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), str(BYTE_BPE))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op5_packing": op5_packing,
+    "op6_secrets": op6_secrets,
+    "op7_token_counts": op7_token_counts,
+    "op8_langid": op8_langid,
 }
 
 ORACLES: dict[str, str] = {}
