@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, packing, secrets, token_counts
+from . import bpe, fingerprints, langid, packing, secrets, token_counts
 from .common import documents
 
 #: Where the public vocabulary files are; a parameter, they are never copied here.
@@ -35,12 +35,17 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_neighbours(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
     "op7_token_counts": op7_token_counts,
     "op8_langid": op8_langid,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
