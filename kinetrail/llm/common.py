@@ -1,9 +1,9 @@
-"""Shared plumbing of the text operators: Arrow batches in bounded slices, checkpoint folders."""
+"""Shared plumbing of the text operators: Arrow batches in bounded slices, mergeable tables of fixed size."""
 
 from __future__ import annotations
 
 import hashlib
-import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +12,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.durable import forget, settle  # noqa: F401
+
 #: Text bytes that a kernel sees at once; bounds a Python worker's memory whatever the batch size.
 SLICE_BYTES = 2 << 20
 
@@ -73,35 +75,6 @@ def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set, as in tests."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        where = spark.sparkContext.getCheckpointDir() or "file:///tmp/kinetrail-checkpoints"
-    return where.rstrip("/")
-
-
-def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends in files that outlive an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kinetrail/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files behind a settled frame that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/kinetrail/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of uint64 values (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -109,3 +82,74 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2^64, grown as needed."""
+
+    def __init__(self, base: int):
+        self.base = base
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
+                steps = np.full(n, b, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+        return self.up[:n], self.down[:n]
+
+
+BLOCKS = 64
+
+
+def blocks_of(table: np.ndarray) -> pa.RecordBatch:
+    """A partition's table of fixed size, in blocks that merge one by one."""
+    parts = np.array_split(table, BLOCKS)
+    return pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["block", "data"])
+
+
+def merge_blocks(df: DataFrame, kind: str, merge: np.ufunc) -> np.ndarray:
+    """Merge what blocks_of made in every partition; the driver gets one table of that fixed size."""
+    dtype = np.dtype(kind)
+
+    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column("data").to_pylist():
+                part = np.frombuffer(zlib.decompress(x), dtype)
+                total = part.copy() if total is None else merge(total, part)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["block", "data"])
+
+    rows = sorted(df.groupBy("block").applyInArrow(join, "block int, data binary").collect())
+    return np.concatenate([np.frombuffer(zlib.decompress(bytes(r[1])), dtype) for r in rows]) if rows else np.zeros(0, dtype)
+
+
+def table_bits(df: DataFrame, bytes_per_entry: int, least: int, most: int) -> int:
+    """Bits of a table with about an entry for so many bytes of input (by the planner's estimate), within bounds."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(most, max(least, int(np.ceil(np.log2(max(size, 1) / bytes_per_entry)))))
+
+
+def bloom(df: DataFrame, key: str, bits: int) -> np.ndarray:
+    """A Bloom filter (two probes a key) over a long column: 2^bits bits, merged across partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits, bool)
+        for batch in batches:
+            for at in bloom_probes(np.asarray(batch.column(0)).view(np.uint64), bits):
+                table[at] = True
+        yield blocks_of(np.packbits(table))
+
+    found = merge_blocks(df.select(F.col(key).cast("long")).mapInArrow(run, "block int, data binary"), "u1", np.bitwise_or)
+    return np.unpackbits(found).view(bool) if len(found) else np.zeros(1 << bits, bool)
+
+
+def bloom_probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    shift = np.uint64(64 - bits)
+    return mix(keys) >> shift, mix(keys ^ np.uint64(0xD6E8FEB86659FD93)) >> shift
+
+
+def in_bloom(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    a, b = bloom_probes(keys, len(table).bit_length() - 1)
+    return table[a] & table[b]

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_slices, mix, settle, sha, slices, texts_of
+from .common import Powers, id_text, map_slices, mix, settle, sha, slices, texts_of
 
 LEVELS, SIZE = 3, 64
 _U = np.uint64
@@ -44,17 +44,7 @@ def _pair_label(bits: int) -> np.ndarray:
 
 _BYTE, _SEVEN, _FOUR, _THREE = _pair_label(8), _pair_label(7), _pair_label(4), _pair_label(3)
 _BYTE_NAMES = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Base^i and base^-i modulo 2^64 for i < n."""
-    if len(_powers["up"]) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, _U)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=_U)
-    return _powers["up"][:n], _powers["down"][:n]
+powers = Powers(_BASE)
 
 
 def _before(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
