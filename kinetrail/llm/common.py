@@ -153,3 +153,14 @@ def bloom_probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def in_bloom(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     a, b = bloom_probes(keys, len(table).bit_length() - 1)
     return table[a] & table[b]
+
+
+def sift(df: DataFrame, table, hit: bool, at: int) -> DataFrame:
+    """Rows whose long column number `at` is (hit) or is not in the broadcast Bloom filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = in_bloom(table.value, np.asarray(pa.compute.fill_null(batch.column(at), 0)).view(np.uint64))
+            yield batch.filter(pa.array(found if hit else ~found))
+
+    return df.mapInArrow(run, df.schema)

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,3 +161,23 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
     return map_slices(plain, kernel, SCHEMA)
+
+
+def keep_identified(df: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """df without the rows whose language stays undetermined or uncertain; a null label takes the prediction."""
+    model = fit(df, id_col, text_col, lang_col)
+    sent, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    at, lang_at = df.columns.index(text_col), df.columns.index(lang_col)
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if name not in _predictors:
+            _predictors.clear()
+            _predictors[name] = Predictor(sent.value)
+        p = _predictors[name]
+        got = [p.predict(t) for t in texts_of(batch.column(at))]
+        columns = list(batch.columns)
+        columns[lang_at] = pa.compute.coalesce(columns[lang_at], pa.array([g[0] for g in got], pa.string()).cast(columns[lang_at].type))
+        out = pa.RecordBatch.from_arrays(columns, batch.schema.names)
+        return out.filter(pa.array([g[0] != UNDETERMINED and g[1] >= least for g in got], pa.bool_()))
+
+    return map_slices(df, kernel, df.schema, text_at=at)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Powers, blocks_of, bloom, id_text, in_bloom, map_slices, merge_blocks, mix, settle, sha, slices, table_bits, utf8_of  # noqa: F401
+from .common import Powers, blocks_of, bloom, id_text, in_bloom, map_slices, merge_blocks, mix, settle, sha, sift, slices, table_bits, utf8_of
 
 _U = np.uint64
 _POWERS = Powers(0xA24BAED4963EE407)
@@ -64,7 +64,6 @@ def ngram_hashes(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndar
     rolled = np.zeros(m, _U)
     for k in range(n):
         rolled += words[k : k + m] * _U((2 * k + 1) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)
-    full = np.flatnonzero(sizes >= n)
     counts = np.where(sizes >= n, sizes - n + 1, (sizes > 0).astype(np.int64))
     stops = np.cumsum(counts)
     out = np.empty(int(stops[-1]) if len(stops) else 0, _U)
@@ -81,7 +80,6 @@ def ngram_hashes(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndar
         for w in words[bounds[i] : bounds[i + 1]]:
             h = mix(np.array([h * _U(0x9E3779B97F4A7C15) + w], _U))[0]
         out[stops[i] - 1] = h
-    del full
     return out, np.concatenate([[0], stops]).astype(np.int64)
 
 
@@ -119,11 +117,6 @@ def frequencies(df: DataFrame, n: int) -> np.ndarray:
     return np.minimum(255, np.rint(8 * np.log2(total.astype(np.float64) + 1))).astype(np.uint8)
 
 
-def least_overlap(a: F.Column, b: F.Column, num: int, den: int) -> F.Column:
-    """The least intersection with which sets of these sizes reach num/den: ceil(num (a+b) / (num+den))."""
-    return F.expr("cast(0 as long)") + F.ceil((a + b) * F.lit(num) / F.lit(float(num + den)) - F.lit(1e-9))
-
-
 def histogram(s: np.ndarray) -> bytes:
     """N-grams by range of hash values; as many ranges as a quarter of the set, a power of two."""
     bits = min(10, max(4, int(len(s) // 4).bit_length()))
@@ -176,7 +169,7 @@ def candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
     fits = (
         ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
         & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        & (1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= least)
+        & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)
     )
     met = left.join(right, ["t", "i", "j"]).filter(fits)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
@@ -237,3 +230,21 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     members = settle(rows.select("doc_id", "n", "key").join(labelled, "key", "left"), "members")
     smallest = members.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return members.join(smallest, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("key").alias("set_key"))
+
+
+def one_of_each(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one document of each component, the one with the smallest id; of rows with an equal id and text, one.
+
+    Only rows whose id may be affected are shuffled; rows with a null id stay."""
+    found = settle(near_duplicates(df, n, num, den, id_col, text_col).select("doc_id", "component_id"), "components-found")
+    losers = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    repeated = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    touched = settle(losers.withColumn("lost", F.lit(True)).unionByName(repeated.withColumn("lost", F.lit(False))).groupBy("doc_id").agg(F.max("lost").alias("lost")), "touched")
+    columns = df.columns
+    keyed = df.withColumn("__id", F.col(id_col).cast("long"))
+    table = df.sparkSession.sparkContext.broadcast(bloom(touched, "doc_id", table_bits(df, 64, *BLOOM_BITS)))
+    free = sift(keyed, table, False, len(columns)).select(*columns)
+    held = sift(keyed, table, True, len(columns)).join(touched.withColumnRenamed("doc_id", "__id"), "__id", "left")
+    single = held.filter("lost is null").select(*columns)
+    doubled = held.filter("not lost").dropDuplicates(["__id", text_col]).select(*columns)
+    return free.unionByName(single).unionByName(doubled)

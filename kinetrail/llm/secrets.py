@@ -138,14 +138,15 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
 
 def redact_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with secrets in its text replaced; all columns, rows and null texts stay, n_chars follows where it exists."""
-    at = df.columns.index(text_col)
+    names = df.columns
+    at = names.index(text_col)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [None if t is None else redact(t) for t in batch.column(at).to_pylist()]
         columns = list(batch.columns)
         columns[at] = pa.array(texts, pa.string())
-        if "n_chars" in df.columns:
-            k = df.columns.index("n_chars")
+        if "n_chars" in names:
+            k = names.index("n_chars")
             columns[k] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.field(k).type)
         return pa.RecordBatch.from_arrays(columns, batch.schema.names)
 

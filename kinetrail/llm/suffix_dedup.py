@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, blocks_of, bloom, id_text, in_bloom, map_slices, merge_blocks, mix, settle, sha, table_bits, utf8_of
+from .common import Powers, blocks_of, bloom, id_text, map_slices, merge_blocks, mix, settle, sha, sift, table_bits, utf8_of
 
 LENGTH, CORE = 400, 48
 GROUP = 64
@@ -335,17 +335,6 @@ def fetched(wanted: DataFrame, plain: DataFrame, length: int) -> DataFrame:
     return map_slices(joined, kernel, f"{WORK}, different long", text_at=0)
 
 
-def sift(df: DataFrame, table, hit: bool, at: int) -> DataFrame:
-    """Rows whose long column number `at` is (hit) or is not in the broadcast Bloom filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = in_bloom(table.value, np.asarray(batch.column(at)).view(np.uint64))
-            yield batch.filter(pa.array(found if hit else ~found))
-
-    return df.mapInArrow(run, df.schema)
-
-
 def repeated_spans(plain: DataFrame, length: int = LENGTH) -> DataFrame:
     """Byte ranges covered by repeated strings, by the text's name: n1, n2, lo, hi. plain: text, n1, n2."""
     table = settle(met_twice(settle(anchor_table(plain, length), "anchors")), "anchors-met")
