@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, media, ngram_join, packing, secrets, suffix_dedup, token_counts
+from . import bpe, fingerprints, langid, media, ngram_join, packing, pii, secrets, suffix_dedup, token_counts
 from .common import documents
 
 #: Where the public vocabulary files are; a parameter, they are never copied here.
@@ -23,6 +23,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), str(WORD_BPE), digests=True)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(documents(spark, sf_dir))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
+    "op3_pii": op3_pii,
     "op4_media": op4_media,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
