@@ -511,3 +511,25 @@ def running_mean_var(v: Views) -> DataFrame:
 def block_average(v: Views) -> DataFrame:
     out = stats.block_summary(stats.blocks(v.samples, "value", ["i"], 50))
     return out.select("n_blocks", *(F.round(c, 6).alias(c) for c in ("mean", "variance", "sem")))
+
+
+# --- streams, run to the end of what is there -----------------------------------------------------------------------
+
+
+@query(_multitau_sql(4, 3))
+def stream_msd_multitau(v: Views) -> DataFrame:
+    from ..streaming import follow
+
+    spot = follow.scratch(v.spark, "stream")
+    correlate.without_drift(v.positions).select("frame", "timestep", "id", "x", "y", "z").repartitionByRange(4, "frame").write.parquet(f"{spot}/in")
+    s = spec(kind="multitau", channels=4, levels=3)
+    return series(follow.stream_multi_tau(follow.follow_folder(v.spark, f"{spot}/in"), s, f"{spot}/pairs", f"{spot}/state"))
+
+
+@query(with_views("traj") + "select frame, count(*) filter (where x > 20) as n_selected from traj group by frame")
+def stream_selection_size(v: Views) -> DataFrame:
+    from ..streaming import follow
+
+    spot = follow.scratch(v.spark, "stream")
+    v.positions.select("frame", "timestep", "id", "x", "y", "z").repartitionByRange(3, "frame").write.parquet(f"{spot}/in")
+    return follow.stream_sizes(follow.follow_folder(v.spark, f"{spot}/in"), F.col("x") > 20, f"{spot}/sizes", f"{spot}/state")
