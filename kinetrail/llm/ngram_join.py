@@ -7,8 +7,9 @@ joined. Candidates pass a length filter and a positional filter in the join, are
 (per range of hash values, no more n-grams can be shared than the smaller count) and are verified once each, against the
 whole sets. Documents with equal sets form one class first and only class representatives join.
 
-Prefix n-grams that only one class has are dropped before the join. Buckets of more than `BLOCK` classes are split into
-block pairs, so no task holds a whole hot bucket. N-grams are 64-bit hashes of their words.
+Prefix n-grams that only one class has are dropped before the join. Each bucket's classes meet its leader first; then
+only pairs that those links have not connected meet, so a large group of near copies doesn't make all its pairs. Buckets
+of more than `BLOCK` classes are split into block pairs, so no task holds a whole hot bucket. N-grams are 64-bit hashes of their words.
 
 Defined results: null texts and texts without words have an empty set, linked with nothing, and are their own
 component. Fewer words than n count as one n-gram. Repeated rows link with each other. Components take the smallest
@@ -154,32 +155,50 @@ def prefixes(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return map_slices(df, kernel, "doc_id long, key string, n long, tokens array<long>, sums binary")
 
 
-def candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a < b) of representatives that share a prefix n-gram and pass the length and positional filters."""
+def prefix_entries(reps: DataFrame) -> DataFrame:
+    """Prefix n-grams (t) that more than one class has: t, node, n, pos, and the bucket's size c."""
     entries = reps.select("node", "n", F.posexplode("tokens").alias("pos", "t"))
     shared = entries.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
-    entries = settle(entries.join(shared, "t"), "prefix-entries")
-    # A bucket of c classes has ceil(c / BLOCK) blocks; block i meets every block j >= i.
+    return settle(entries.join(shared, "t"), "prefix-entries")
+
+
+def may_reach(num: int, den: int) -> F.Column:
+    """Length and positional filters on columns na, pa and nb, pb: sizes, and the shared n-gram's place in each prefix.
+
+    Up to the shared n-gram nothing need be shared, so the intersection is at most the shorter rest."""
+    least = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
+    lengths = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    return lengths & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)
+
+
+def leader_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Each bucket's classes with its leader, the one that comes to the shared n-gram first: a row for each entry."""
+    leaders = entries.groupBy("t").agg(F.min_by("node", "pos").alias("b"), F.min_by("n", "pos").alias("nb"), F.min("pos").alias("pb"))
+    met = entries.select("t", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")).join(leaders, "t")
+    met = met.filter(F.col("a") != F.col("b")).filter(may_reach(num, den))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def remaining_pairs(entries: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of a bucket that the leaders' links have not connected yet, by the same filters.
+
+    Buckets whose classes are connected already go as a whole. A bucket of c classes has ceil(c / BLOCK) blocks, and
+    block i meets every block j >= i, so a hot bucket spreads over many tasks."""
+    entries = entries.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    apart = entries.groupBy("t").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("t")
+    entries = entries.join(apart, "t")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", "t"), blocks).cast("int")
-    entries = entries.select("t", "node", "n", "pos", own.alias("own"), blocks.alias("blocks"))
-    left = entries.select("t", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = entries.select("t", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    least = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
-    fits = (
-        ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
-        & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)
-    )
+    entries = entries.select("t", "node", "n", "pos", "label", own.alias("own"), blocks.alias("blocks"))
+    left = entries.select("t", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
+    right = entries.select("t", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
+    fits = ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & (F.col("la") != F.col("lb")) & may_reach(num, den)
     met = left.join(right, ["t", "i", "j"]).filter(fits)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(rows: DataFrame, plain: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(classes: key, node) and the verified pairs (a, b) of class representatives."""
-    classes = settle(rows.filter("n > 0").groupBy("key").agg(F.min("node").alias("node")), "classes")
-    reps = rows.join(classes.select("node"), "node", "left_semi")
-    pairs = candidates(reps, num, den)
+def verified(pairs: DataFrame, reps: DataFrame, plain: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach num/den: a suffix filter first, then each pair once."""
     sides = reps.select("node", "key", "n", "sums")
     one = sides.select(F.col("node").alias("a"), F.col("key").alias("key_a"), F.col("n").alias("na"), F.col("sums").alias("sums_a"))
     two = sides.select(F.col("node").alias("b"), F.col("key").alias("key_b"), F.col("n").alias("nb"), F.col("sums").alias("sums_b"))
@@ -195,7 +214,7 @@ def links(rows: DataFrame, plain: DataFrame, n: int, num: int, den: int) -> tupl
     # Whole sets, of the documents in such pairs alone: a Bloom filter of fixed bounds lets the rest pass by.
     needed = passed.select(F.col("key_a").alias("key")).union(passed.select("key_b")).distinct()
     number = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
-    table = plain.sparkSession.sparkContext.broadcast(bloom(needed.select(number.alias("k")), "k", table_bits(plain, 16, *BLOOM_BITS)))
+    table = plain.sparkSession.sparkContext.broadcast(bloom(needed.select(number.alias("k")), "k", table_bits(plain, 128, *BLOOM_BITS)))
 
     def wanted(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         sets = [s for s in sets_of(batch.column(1), n) if len(s)]
@@ -217,15 +236,20 @@ def links(rows: DataFrame, plain: DataFrame, n: int, num: int, den: int) -> tupl
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = passed.join(whole.select(F.col("key").alias("key_a"), F.col("grams").alias("grams_a")), "key_a").join(whole.select(F.col("key").alias("key_b"), F.col("grams").alias("grams_b")), "key_b")
-    return classes, settle(both.select("a", "b", "grams_a", "grams_b").mapInArrow(verify, "a long, b long"), "links")
+    return settle(both.select("a", "b", "grams_a", "grams_b").mapInArrow(verify, "a long, b long"), "links")
 
 
 def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and set_key (of equal sets)."""
     plain = id_text(df, id_col, text_col)
     rows = settle(prefixes(plain, n, num, den).withColumn("node", F.monotonically_increasing_id()), "prefixes")
-    classes, pairs = links(rows, plain, n, num, den)
-    found = connected_components(pairs, "a", "b")
+    classes = settle(rows.filter("n > 0").groupBy("key").agg(F.min("node").alias("node")), "classes")
+    reps = rows.join(classes.select("node"), "node", "left_semi")
+    entries = prefix_entries(reps)
+    first = verified(leader_pairs(entries, num, den), reps, plain, n, num, den)
+    labels = settle(connected_components(first, "a", "b"), "labels")
+    second = verified(remaining_pairs(entries, labels, num, den), reps, plain, n, num, den)
+    found = connected_components(first.union(second), "a", "b")
     labelled = classes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     members = settle(rows.select("doc_id", "n", "key").join(labelled, "key", "left"), "members")
     smallest = members.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -239,12 +263,12 @@ def one_of_each(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col
     found = settle(near_duplicates(df, n, num, den, id_col, text_col).select("doc_id", "component_id"), "components-found")
     losers = found.filter("doc_id <> component_id").select("doc_id").distinct()
     repeated = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    touched = settle(losers.withColumn("lost", F.lit(True)).unionByName(repeated.withColumn("lost", F.lit(False))).groupBy("doc_id").agg(F.max("lost").alias("lost")), "touched")
+    touched = settle(losers.withColumn("__lost", F.lit(True)).unionByName(repeated.withColumn("__lost", F.lit(False))).groupBy("doc_id").agg(F.max("__lost").alias("__lost")), "touched")
     columns = df.columns
     keyed = df.withColumn("__id", F.col(id_col).cast("long"))
-    table = df.sparkSession.sparkContext.broadcast(bloom(touched, "doc_id", table_bits(df, 64, *BLOOM_BITS)))
+    table = df.sparkSession.sparkContext.broadcast(bloom(touched, "doc_id", table_bits(df, 128, *BLOOM_BITS)))
     free = sift(keyed, table, False, len(columns)).select(*columns)
     held = sift(keyed, table, True, len(columns)).join(touched.withColumnRenamed("doc_id", "__id"), "__id", "left")
-    single = held.filter("lost is null").select(*columns)
-    doubled = held.filter("not lost").dropDuplicates(["__id", text_col]).select(*columns)
+    single = held.filter("__lost is null").select(*columns)
+    doubled = held.filter("not __lost").dropDuplicates(["__id", text_col]).select(*columns)
     return free.unionByName(single).unionByName(doubled)
