@@ -16,7 +16,8 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(documents(spark, sf_dir), n=3, num=90, den=100)
+    found = ngram_join.near_duplicates(documents(spark, sf_dir), n=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+#: Only the n-gram join is within SQL; tests hold the others to brute-force versions.
+ORACLES: dict[str, str] = {
+    "op1_ngram_join": r"""
+with recursive words as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) end) as gram from words),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as k from sets a join sets b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * k >= 90 * (p.n + q.n - k)),
+sym as (select x, y from links union select y, x from links),
+reach as (select x as node, x as other from sym union select r.node, s.y from reach r join sym s on s.x = r.other),
+low as (select node, min(other) as c from reach group by node)
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(c, d.doc_id) as component_id from documents d left join sizes using (doc_id) left join low on node = d.doc_id""",
+}
