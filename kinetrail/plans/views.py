@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box
+from ..functions.stats import numbered_globally
 
 FRAMES = 28
 ORTHORHOMBIC = Box((0.0, 0.0, 0.0), (20.0, 4.0, 3.0))
@@ -40,8 +41,7 @@ class Views:
     def atoms(self) -> DataFrame:
         """idx, id, type, mol: the particles in canonical order."""
         ids = self.positions.filter("frame = 0").select("id")
-        # One row for each supplier; the dimension is small beside the positions.
-        return ids.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("idx"), "id", (F.col("id") % 3 + 1).cast("int").alias("type"), (F.floor(F.col("id") / 10) + 1).cast("long").alias("mol"))
+        return numbered_globally(ids, ["id"], "idx").select(F.col("idx").cast("long").alias("idx"), "id", (F.col("id") % 3 + 1).cast("int").alias("type"), (F.floor(F.col("id") / 10) + 1).cast("long").alias("mol"))
 
     @cached_property
     def masses(self) -> DataFrame:
