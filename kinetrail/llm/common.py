@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 from ..plans.durable import forget, settle  # noqa: F401
 
 #: Text bytes that a kernel sees at once; bounds a Python worker's memory whatever the batch size.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Most bytes of an Arrow batch between the JVM and a worker; whole texts make large rows.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on Arrow batches to BATCH_BYTES: several workers share an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +31,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads; anything else in the table, whatever its name, is pruned."""
+    bound_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -39,16 +47,17 @@ def slices(batch: pa.RecordBatch, text_at: int = 1, most: int = SLICE_BYTES) ->
         yield batch.slice(a, b - a)
 
 
-def map_slices(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text_at: int = 1, most: int = SLICE_BYTES) -> DataFrame:
-    """`kernel` over bounded slices of every Arrow batch, in the partitions df already has."""
+def map_slices(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text_at: int = 1, most: int = SLICE_BYTES, first: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """`kernel` over bounded slices of every Arrow batch (passed through `first`), in the partitions df already has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_at, most):
+            for part in slices(first(batch) if first else batch, text_at, most):
                 out = kernel(part)
                 if out is not None and out.num_rows:
                     yield out
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -142,7 +151,7 @@ def bloom(df: DataFrame, key: str, bits: int) -> np.ndarray:
         yield blocks_of(np.packbits(table))
 
     found = merge_blocks(df.select(F.col(key).cast("long")).mapInArrow(run, "block int, data binary"), "u1", np.bitwise_or)
-    return np.unpackbits(found).view(bool) if len(found) else np.zeros(1 << bits, bool)
+    return found if len(found) else np.zeros(1 << (bits - 3), np.uint8)
 
 
 def bloom_probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,16 +160,22 @@ def bloom_probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def in_bloom(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    a, b = bloom_probes(keys, len(table).bit_length() - 1)
-    return table[a] & table[b]
+    """table: packed bits, eight to a byte."""
+    bit = lambda at: (table[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1
+    a, b = bloom_probes(keys, len(table).bit_length() + 2)
+    return (bit(a) & bit(b)).astype(bool)
 
 
-def sift(df: DataFrame, table, hit: bool, at: int) -> DataFrame:
-    """Rows whose long column number `at` is (hit) or is not in the broadcast Bloom filter."""
+def sifter(table, hit: bool, at: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Rows of a batch whose long column number `at` is (hit) or is not in the broadcast Bloom filter."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = in_bloom(table.value, np.asarray(pa.compute.fill_null(batch.column(at), 0)).view(np.uint64))
-            yield batch.filter(pa.array(found if hit else ~found))
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = in_bloom(table.value, np.asarray(pa.compute.fill_null(batch.column(at), 0)).view(np.uint64))
+        return batch.filter(pa.array(found if hit else ~found))
+
+    return keep
 
-    return df.mapInArrow(run, df.schema)
+
+def sift(df: DataFrame, table, hit: bool, at: int) -> DataFrame:
+    keep = sifter(table, hit, at)
+    return df.mapInArrow(lambda batches: map(keep, batches), df.schema)

@@ -25,20 +25,24 @@ Defined results: null counts as the empty text; texts shorter than `length` keep
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, blocks_of, bloom, id_text, map_slices, merge_blocks, mix, settle, sha, sift, table_bits, utf8_of
+from .common import Powers, blocks_of, bloom, id_text, map_slices, merge_blocks, mix, settle, sha, sift, sifter, table_bits, utf8_of
 
 LENGTH, CORE = 400, 48
 GROUP = 64
 RUNS = (64, 8, 1)
 #: Contexts sorted together in one kernel call.
-CHUNK = 6000
+CHUNK = 2000
+#: Text bytes that an anchor kernel sees at once: it holds some dozen arrays of eight bytes for each.
+ANCHOR_BYTES = 1 << 19
+#: Bytes of input for a bit of a Bloom filter over texts.
+BYTES_PER_BIT = 128
 BLOOM_BITS = (16, 27)
 SEEN_BITS = (16, 27)
 _U = np.uint64
@@ -115,10 +119,10 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
 CONTEXT = "kh long, u1 long, u2 long, n1 long, n2 long, at long"
 
 
-def named(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with n1 and n2, 120 bits of its text's digest."""
+def named(df: DataFrame, text_col: str = "text", mark: str = "") -> DataFrame:
+    """df with n1 and n2 (behind the mark), 120 bits of its text's digest."""
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    return df.withColumn("n1", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).withColumn("n2", F.conv(F.substring(digest, 16, 15), 16, 10).cast("long"))
+    return df.withColumn(f"{mark}n1", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).withColumn(f"{mark}n2", F.conv(F.substring(digest, 16, 15), 16, 10).cast("long"))
 
 
 def anchor_table(plain: DataFrame, length: int) -> DataFrame:
@@ -131,7 +135,7 @@ def anchor_table(plain: DataFrame, length: int) -> DataFrame:
         names = [np.asarray(batch.column(k))[row] for k in (1, 2)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (kh.view(np.int64), u1.view(np.int64), u2.view(np.int64), *names, place(first, lead, more))], ["kh", "u1", "u2", "n1", "n2", "at"])
 
-    return map_slices(plain.select("text", "n1", "n2"), kernel, CONTEXT, text_at=0)
+    return map_slices(plain.select("text", "n1", "n2"), kernel, CONTEXT, text_at=0, most=ANCHOR_BYTES)
 
 
 def met_twice(table: DataFrame) -> DataFrame:
@@ -316,7 +320,7 @@ def cut_contexts(work: DataFrame, windows: int, length: int) -> DataFrame:
 def fetched(wanted: DataFrame, plain: DataFrame, length: int) -> DataFrame:
     """The contexts' bytes, from one copy of each text that has any."""
     spark = plain.sparkSession
-    table = spark.sparkContext.broadcast(bloom(wanted.select("n1").distinct(), "n1", table_bits(plain, 16, *BLOOM_BITS)))
+    table = spark.sparkContext.broadcast(bloom(wanted.select("n1").distinct(), "n1", table_bits(plain, BYTES_PER_BIT, *BLOOM_BITS)))
     texts = sift(plain.select("text", "n1", "n2"), table, True, 1).dropDuplicates(["n1", "n2"])
     lists = wanted.groupBy("n1", "n2").agg(F.collect_list(F.struct("kh", "at", "target", "different")).alias("list"))
 
@@ -384,26 +388,31 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def with_spans(df: DataFrame, text_col: str, length: int) -> DataFrame:
-    """df's rows and columns, and `spans`: their ranges (null if none). Rows without any are not shuffled."""
-    rows = named(df, text_col)
+def map_with_spans(df: DataFrame, text_col: str, length: int, kernel: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema) -> DataFrame:
+    """kernel(rows, spans) over df's rows; spans holds each row's ranges, None if it has none.
+
+    Rows without any are not shuffled, and pass the Bloom filter and the kernel in one worker."""
+    rows = named(df, text_col, "__")
     spans = repeated_spans(named(df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))), length)
-    lists = settle(spans.groupBy("n1", "n2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "span-lists")
-    table = df.sparkSession.sparkContext.broadcast(bloom(lists.select("n1"), "n1", table_bits(df, 16, *BLOOM_BITS)))
-    at = rows.columns.index("n1")
-    kind = "array<struct<lo:bigint,hi:bigint>>"
-    free = sift(rows, table, False, at).drop("n1", "n2").withColumn("spans", F.lit(None).cast(kind))
-    held = sift(rows, table, True, at).join(lists, ["n1", "n2"], "left").drop("n1", "n2")
-    return free.unionByName(held.select(*free.columns))
+    lists = settle(spans.groupBy(F.col("n1").alias("__n1"), F.col("n2").alias("__n2")).agg(F.collect_set(F.struct("lo", "hi")).alias("__spans")), "span-lists")
+    table = df.sparkSession.sparkContext.broadcast(bloom(lists.select("__n1"), "__n1", table_bits(df, BYTES_PER_BIT, *BLOOM_BITS)))
+    names, n, text_at = df.columns, len(df.columns), df.columns.index(text_col)
+
+    def with_lists(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = pa.RecordBatch.from_arrays(batch.columns[:n], names)
+        return kernel(own, batch.column(n).to_pylist() if batch.schema.names[n] == "__spans" else [None] * batch.num_rows)
+
+    free = map_slices(rows, with_lists, schema, text_at, first=sifter(table, False, n))
+    held = sift(rows, table, True, n).join(lists, ["__n1", "__n2"], "left").select(*names, "__spans")
+    return free.unionByName(map_slices(held, with_lists, schema, text_at))
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and the digest of the remaining bytes."""
-    rows = with_spans(id_text(df, id_col, text_col), "text", length)
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def kernel(batch: pa.RecordBatch, lists: list) -> pa.RecordBatch:
         sizes, removed, counts, kept = [], [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for text, spans in zip(batch.column(1).to_pylist(), lists):
             raw = (text or "").encode("utf-8")
             runs = union_of([(x["lo"], x["hi"]) for x in spans or ()])
             rest = without(raw, runs)
@@ -413,14 +422,13 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             kept.append(sha(rest))
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return map_slices(rows.select("doc_id", "text", "spans"), kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_with_spans(id_text(df, id_col, text_col), "text", length, kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def clean_documents(df: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
     """df with repeated passages cut from its text, whole code points only; a row whose text is used up is dropped.
 
     n_chars follows where it exists; rows that had no text or an empty one stay as they are."""
-    rows = with_spans(df, text_col, length)
     at, columns = df.columns.index(text_col), df.columns
 
     def whole_points(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -433,9 +441,9 @@ def clean_documents(df: DataFrame, length: int = LENGTH, text_col: str = "text")
             out.append((lo, hi))
         return out
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def kernel(batch: pa.RecordBatch, lists: list) -> pa.RecordBatch:
         texts, keep = [], []
-        for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()):
+        for text, spans in zip(batch.column(at).to_pylist(), lists):
             if spans:
                 raw = text.encode("utf-8")
                 rest = without(raw, whole_points(raw, union_of([(x["lo"], x["hi"]) for x in spans]))).decode("utf-8")
@@ -444,11 +452,11 @@ def clean_documents(df: DataFrame, length: int = LENGTH, text_col: str = "text")
             else:
                 keep.append(True)
                 texts.append(text)
-        out = list(batch.columns)[:-1]
+        out = list(batch.columns)
         out[at] = pa.array(texts, pa.string())
         if "n_chars" in columns:
             k = columns.index("n_chars")
             out[k] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.field(k).type)
         return pa.RecordBatch.from_arrays(out, columns).filter(pa.array(keep, pa.bool_()))
 
-    return map_slices(rows, kernel, df.schema, text_at=at)
+    return map_with_spans(df, text_col, length, kernel, df.schema)
