@@ -134,6 +134,12 @@ def merge_blocks(df: DataFrame, kind: str, merge: np.ufunc) -> np.ndarray:
     return np.concatenate([np.frombuffer(zlib.decompress(bytes(r[1])), dtype) for r in rows]) if rows else np.zeros(0, dtype)
 
 
+def partitions_for(df: DataFrame, bytes_each: int = 128 << 20) -> int:
+    """Shuffle partitions as the session says, and more where the planner's estimate of df's size asks for them."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, size // bytes_each))
+
+
 def table_bits(df: DataFrame, bytes_per_entry: int, least: int, most: int) -> int:
     """Bits of a table with about an entry for so many bytes of input (by the planner's estimate), within bounds."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, id_text, map_slices, mix, settle, sha, slices, texts_of
+from .common import Powers, id_text, map_slices, mix, partitions_for, settle, sha, slices, texts_of
 
 LEVELS, SIZE = 3, 64
 _U = np.uint64
@@ -170,8 +170,7 @@ def with_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: fingerprints of the text and of its edited text, and their likeness and that to the next document."""
     spark = df.sparkSession
     rows = id_text(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    rows = rows.repartitionByRange(partitions_for(df), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def boundary(kind: int, part: int, doc: int | None, text: str) -> pa.RecordBatch:
         blank = [pa.nulls(1, pa.string() if k in (2, 3, 4) else pa.int64() if k < 2 else pa.float64()) for k in range(7)]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, blocks_of, bloom, id_text, map_slices, merge_blocks, mix, settle, sha, sift, sifter, table_bits, utf8_of
+from .common import Powers, blocks_of, bloom, id_text, map_slices, merge_blocks, mix, partitions_for, settle, sha, sift, sifter, table_bits, utf8_of
 
 LENGTH, CORE = 400, 48
 GROUP = 64
@@ -286,8 +286,7 @@ def sort_groups(work: DataFrame, length: int) -> DataFrame:
         if rows:
             yield solve(pa.Table.from_batches(held))
 
-    n = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return work.repartition(n, "kh").sortWithinPartitions("kh").mapInArrow(run, SPANS)
+    return work.repartition(partitions_for(work), "kh").sortWithinPartitions("kh").mapInArrow(run, SPANS)
 
 
 def cut_contexts(work: DataFrame, windows: int, length: int) -> DataFrame:
