@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import map_slices, texts_of
 
 UNDETERMINED = "und"
-FIT_ROWS, MOST_ENTRIES = 20_000, 400_000
+FIT_ROWS, MOST_ENTRIES = 20_000, 100_000
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.1
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -70,8 +70,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         usable = usable.filter(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 40)) < int((1 << 40) * (fit_rows / n)))
     counted = usable.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_count, "lang string, n int, gram string, c long")
     summed = counted.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    rows = summed.filter("c > 1").orderBy(F.desc("c"), "n", "gram", "lang").limit(most_entries).toPandas()
-    return build(rows["lang"].tolist(), rows["n"].tolist(), rows["gram"].tolist(), rows["c"].tolist())
+    rows = summed.filter("c > 1").orderBy(F.desc("c"), "n", "gram", "lang").limit(most_entries).toArrow()
+    return build(*(rows.column(c).to_pylist() for c in ("lang", "n", "gram", "c")))
 
 
 def build(langs: list[str], orders: list[int], entries: list[str], counts: list[int]) -> dict:
