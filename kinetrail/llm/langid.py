@@ -5,8 +5,9 @@ n-grams (four down to one, with word edges marked) of which the model knows any,
 A document's scores are the sums over its words; the best language wins, and the score is its posterior probability.
 
 Fitting uses at most about `fit_rows` labelled rows (a documented bound; chosen by a hash of the id among rows whose
-crc32(id) mod 5 is not 0), and keeps at most `most_entries` word and n-gram entries, so the model that is sent to
-every task has a fixed bound. Prediction reads all rows and whole texts, and the text alone.
+crc32(id) mod 5 is not 0), and keeps every word and n-gram that a language has `LEAST_COUNT` times or more in them, so
+the bound on the sample is the only one on the model. It is fetched and sent in Arrow columns and a float32 table; the
+driver makes no Python object of an entry. Prediction reads all rows and whole texts, and the text alone.
 
 Defined results: null texts and texts without a letter are `und` with score 0. If nothing can be learned (an empty
 table or no labels) every row is `und`. Ties go to the alphabetically first language. Repeated rows repeat.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import map_slices, texts_of
 
 UNDETERMINED = "und"
-FIT_ROWS, MOST_ENTRIES = 20_000, 100_000
+FIT_ROWS, LEAST_COUNT = 20_000, 2
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.1
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -62,40 +63,43 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.string()), pa.array(list(rows.values()), pa.int64())], ["lang", "n", "gram", "c"])
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, most_entries: int = MOST_ENTRIES) -> dict:
-    """The model: languages, and per entry a log-frequency vector. Entries seen once are left out."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> dict:
+    """The model: languages, the entries, and per entry a log-frequency vector. Entries seen once are left out."""
     usable = df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col) & F.col(id_col).isNotNull())
     n = usable.count()
     if n > fit_rows:  # the fitting sample; its bound is fit_rows
         usable = usable.filter(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 40)) < int((1 << 40) * (fit_rows / n)))
     counted = usable.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_count, "lang string, n int, gram string, c long")
-    summed = counted.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    rows = summed.filter("c > 1").orderBy(F.desc("c"), "n", "gram", "lang").limit(most_entries).toArrow()
-    return build(*(rows.column(c).to_pylist() for c in ("lang", "n", "gram", "c")))
-
-
-def build(langs: list[str], orders: list[int], entries: list[str], counts: list[int]) -> dict:
-    names = sorted(set(langs))
-    place = {x: i for i, x in enumerate(names)}
-    totals = np.zeros((max(ORDERS) + 1, len(names)))
-    index: dict[tuple[int, str], int] = {}
-    for n, g in zip(orders, entries):
-        index.setdefault((n, g), len(index))
-    table = np.zeros((len(index), len(names)))
-    for x, n, g, c in zip(langs, orders, entries, counts):
-        table[index[n, g], place[x]] += c
-        totals[n, place[x]] += c
-    kinds = np.array([n for n, _ in index], np.int64)
-    sizes = np.bincount(kinds, minlength=len(totals)) if len(kinds) else np.zeros(len(totals))
-    logs = np.log((table + SMOOTHING) / (totals[kinds] + SMOOTHING * sizes[kinds, None])) if len(kinds) else table
-    return {"langs": names, "index": index, "logs": logs.astype(np.float32)}
+    summed = counted.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).filter(F.col("c") >= LEAST_COUNT)
+    return build(summed.select("lang", F.concat(F.col("n").cast("string"), "gram").alias("entry"), "c").toArrow())
+
+
+def build(rows: pa.Table) -> dict:
+    """From columns lang, entry (a digit for the order, then the gram) and c."""
+    coded = {c: rows.column(c).combine_chunks().dictionary_encode() for c in ("lang", "entry")}
+    names = coded["lang"].dictionary.to_pylist()
+    langs = sorted(names)
+    column = np.array([langs.index(x) for x in names], np.int64)[np.asarray(coded["lang"].indices)]
+    entries, at = coded["entry"].dictionary, np.asarray(coded["entry"].indices)
+    kinds = np.asarray(pa.compute.utf8_slice_codeunits(entries, 0, 1).cast(pa.int64()))
+    table = np.zeros((len(entries), len(langs)), np.float32)
+    counts = np.asarray(rows.column("c"))
+    totals = np.zeros((max(ORDERS) + 1, len(langs)))
+    np.add.at(totals, (kinds[at], column), counts)
+    sizes = np.bincount(kinds, minlength=len(totals))
+    table[at, column] = counts
+    for n in range(len(totals)):
+        rows_n = np.flatnonzero(kinds == n)
+        table[rows_n] = np.log((table[rows_n].astype(np.float64) + SMOOTHING) / (totals[n] + SMOOTHING * sizes[n]))
+    return {"langs": langs, "entries": entries, "logs": table}
 
 
 class Predictor:
     """Scores by white-space runs, remembered: each run has a row of summed word scores."""
 
     def __init__(self, model: dict):
-        self.langs, self.index, self.logs = model["langs"], model["index"], model["logs"]
+        self.langs, self.logs = model["langs"], model["logs"]
+        self.index = {x.as_py(): i for i, x in enumerate(model["entries"])}
         self.fresh()
 
     def fresh(self) -> None:
@@ -103,11 +107,11 @@ class Predictor:
         self.table = np.zeros((1 << 12, len(self.langs)), np.float32)
 
     def word(self, word: str) -> np.ndarray:
-        i = self.index.get((0, word))
+        i = self.index.get("0" + word)
         if i is not None:
             return self.logs[i]
         for n in ORDERS:
-            known = [i for g in grams(word, n) if (i := self.index.get((n, g))) is not None]
+            known = [i for g in grams(word, n) if (i := self.index.get(f"{n}{g}")) is not None]
             if known:
                 return self.logs[known].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)

@@ -263,6 +263,25 @@ def test_langid(spark, docs, empty):
     assert [x["lang_pred"] for x in langid.identify(nothing).collect()] == ["und"]
 
 
+def test_langid_keeps_every_repeated_entry(spark):
+    # Over 100,000 different words, each twice: the rarer language's must not fall to a quota of entries.
+    spell = lambda k, letters: "".join(letters[k // len(letters) ** j % len(letters)] for j in range(5))
+    many, few = [spell(k, "abcdefghij") for k in range(99_000)], [spell(k, "klmnop") for k in range(3_000)]
+    rows = [(2 * k + side, " ".join(words[k * 1000 : k * 1000 + 1000]), lang) for words, lang in ((many, "aa"), (few, "bb")) for k in range(len(words) // 1000) for side in (0, 1)]
+    free = [i for i in range(10**4) if zlib.crc32(str(i).encode()) % 5]
+    df = spark.createDataFrame([(free[k], t, x) for k, (_, t, x) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    entries = set(model["entries"].to_pylist())
+    assert model["logs"].dtype == np.float32 and model["logs"].shape == (len(entries), 2)
+    assert {"0" + w for w in many + few} <= entries
+    want = collections.Counter()
+    for _, t, x in rows:
+        for w in t.split():
+            want[x, 0, w] += 1
+            want.update((x, n, g) for n in langid.ORDERS for g in langid.grams(w, n))
+    assert entries == {f"{n}{g}" for (_, n, g), c in want.items() if c > 1}
+
+
 def jaccard_components(rows, n, num, den):
     sets = []
     for _, text, *_ in rows:
