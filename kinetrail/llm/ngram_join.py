@@ -7,9 +7,12 @@ joined. Candidates pass a length filter and a positional filter in the join, are
 (per range of hash values, no more n-grams can be shared than the smaller count) and are verified once each, against the
 whole sets. Documents with equal sets form one class first and only class representatives join.
 
-Prefix n-grams that only one class has are dropped before the join. Each bucket's classes meet its leader first; then
-only pairs that those links have not connected meet, so a large group of near copies doesn't make all its pairs. Buckets
-of more than `BLOCK` classes are split into block pairs, so no task holds a whole hot bucket. N-grams are 64-bit hashes of their words.
+Prefix n-grams that only one class has are dropped before the join. All pairs of a bucket meet, so every link between
+different classes is found, and each row's number of links follows from them and the classes' sizes. A pair meets only
+where a run of n-grams that both prefixes share begins: a bucket whose n-gram follows the same n-gram in both is left to
+that one's bucket. Where only components are asked for (`one_of_each`), each bucket's classes meet its leader first and
+then only pairs that those links have not connected; the components are the same. Buckets of more than `BLOCK` classes
+are split into block pairs, so no task holds a whole hot bucket. N-grams are 64-bit hashes of their words.
 
 Defined results: null texts and texts without words have an empty set, linked with nothing, and are their own
 component. Fewer words than n count as one n-gram. Repeated rows link with each other. Components take the smallest
@@ -156,8 +159,10 @@ def prefixes(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def prefix_entries(reps: DataFrame) -> DataFrame:
-    """Prefix n-grams (t) that more than one class has: t, node, n, pos, and the bucket's size c."""
-    entries = reps.select("node", "n", F.posexplode("tokens").alias("pos", "t"))
+    """Prefix n-grams (t) that more than one class has: t, the one before it in the prefix, node, n, pos, and the bucket's size c."""
+    before = F.concat(F.array(F.lit(None).cast("long")), F.slice("tokens", 1, F.size("tokens") - 1))
+    entries = reps.withColumn("before", before).select("node", "n", F.posexplode(F.arrays_zip("tokens", "before")).alias("pos", "x"))
+    entries = entries.select("node", "n", "pos", F.col("x.tokens").alias("t"), F.col("x.before").alias("before"))
     shared = entries.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
     return settle(entries.join(shared, "t"), "prefix-entries")
 
@@ -179,22 +184,35 @@ def leader_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def block_pairs(entries: DataFrame, carry: str, fits: F.Column) -> DataFrame:
+    """The distinct pairs (a < b) of a bucket's classes that pass `fits`, which sees na, pa, nb, pb and xa, xb (of `carry`).
+
+    A bucket of c classes has ceil(c / BLOCK) blocks, and block i meets every block j >= i, so a hot bucket spreads over
+    many tasks."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", "t"), blocks).cast("int")
+    entries = entries.select("t", "node", "n", "pos", carry, own.alias("own"), blocks.alias("blocks"))
+    left = entries.select("t", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col(carry).alias("xa"))
+    right = entries.select("t", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col(carry).alias("xb"))
+    met = left.join(right, ["t", "i", "j"]).filter(((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & fits)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def all_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of classes that share a prefix n-gram and pass the filters, met where a shared run begins.
+
+    If the n-grams before are the same, that bucket holds both classes too, at earlier places, where the filters pass."""
+    begins = ~F.coalesce(F.col("xa") == F.col("xb"), F.lit(False))
+    return block_pairs(entries, "before", begins & may_reach(num, den))
+
+
 def remaining_pairs(entries: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of a bucket that the leaders' links have not connected yet, by the same filters.
 
-    Buckets whose classes are connected already go as a whole. A bucket of c classes has ceil(c / BLOCK) blocks, and
-    block i meets every block j >= i, so a hot bucket spreads over many tasks."""
+    Buckets whose classes are connected already go as a whole."""
     entries = entries.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     apart = entries.groupBy("t").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("t")
-    entries = entries.join(apart, "t")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "t"), blocks).cast("int")
-    entries = entries.select("t", "node", "n", "pos", "label", own.alias("own"), blocks.alias("blocks"))
-    left = entries.select("t", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
-    right = entries.select("t", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
-    fits = ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & (F.col("la") != F.col("lb")) & may_reach(num, den)
-    met = left.join(right, ["t", "i", "j"]).filter(fits)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return block_pairs(entries.join(apart, "t"), "label", (F.col("xa") != F.col("xb")) & may_reach(num, den))
 
 
 def verified(pairs: DataFrame, reps: DataFrame, plain: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -239,28 +257,52 @@ def verified(pairs: DataFrame, reps: DataFrame, plain: DataFrame, n: int, num: i
     return settle(both.select("a", "b", "grams_a", "grams_b").mapInArrow(verify, "a long, b long"), "links")
 
 
-def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and set_key (of equal sets)."""
-    plain = id_text(df, id_col, text_col)
-    rows = settle(prefixes(plain, n, num, den).withColumn("node", F.monotonically_increasing_id()), "prefixes")
-    classes = settle(rows.filter("n > 0").groupBy("key").agg(F.min("node").alias("node")), "classes")
-    reps = rows.join(classes.select("node"), "node", "left_semi")
+def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), set_key (of equal sets) and n_links.
+
+    n_links is the number of other rows that the row is linked with; it's left out, and only as many links are found as
+    the components need, if count_links is false."""
+    plain, rows, classes, reps = _classes(df, n, num, den, id_col, text_col)
     entries = prefix_entries(reps)
-    first = verified(leader_pairs(entries, num, den), reps, plain, n, num, den)
-    labels = settle(connected_components(first, "a", "b"), "labels")
-    second = verified(remaining_pairs(entries, labels, num, den), reps, plain, n, num, den)
-    found = connected_components(first.union(second), "a", "b")
-    labelled = classes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    if count_links:
+        found = verified(all_pairs(entries, num, den), reps, plain, n, num, den)
+        weights = classes.select("node", "w")
+        ways = found.union(found.select("b", "a"))
+        others = ways.join(weights.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("w").alias("others"))
+        counted = classes.join(others.withColumnRenamed("a", "node"), "node", "left")
+        classes = counted.select("key", "node", (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    else:
+        first = verified(leader_pairs(entries, num, den), reps, plain, n, num, den)
+        labels = settle(connected_components(first, "a", "b"), "labels")
+        found = first.union(verified(remaining_pairs(entries, labels, num, den), reps, plain, n, num, den))
+    labelled = classes.join(connected_components(found, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
     members = settle(rows.select("doc_id", "n", "key").join(labelled, "key", "left"), "members")
     smallest = members.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return members.join(smallest, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("key").alias("set_key"))
+    out = [F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("key").alias("set_key")]
+    return members.join(smallest, "component", "left").select("doc_id", *out, *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []))
+
+
+def linked_sets(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every link between different sets, once: their set_keys key_a and key_b (as near_duplicates has them)."""
+    plain, _, classes, reps = _classes(df, n, num, den, id_col, text_col)
+    found = verified(all_pairs(prefix_entries(reps), num, den), reps, plain, n, num, den)
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("key").alias(f"key_{x}"))
+    return found.join(side("a"), "a").join(side("b"), "b").select("key_a", "key_b")
+
+
+def _classes(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(id and text; rows with their prefixes; classes of equal sets: key, node, rows w; rows of the representatives)."""
+    plain = id_text(df, id_col, text_col)
+    rows = settle(prefixes(plain, n, num, den).withColumn("node", F.monotonically_increasing_id()), "prefixes")
+    classes = settle(rows.filter("n > 0").groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("w")), "classes")
+    return plain, rows, classes, rows.join(classes.select("node"), "node", "left_semi")
 
 
 def one_of_each(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one document of each component, the one with the smallest id; of rows with an equal id and text, one.
 
     Only rows whose id may be affected are shuffled; rows with a null id stay."""
-    found = settle(near_duplicates(df, n, num, den, id_col, text_col).select("doc_id", "component_id"), "components-found")
+    found = settle(near_duplicates(df, n, num, den, id_col, text_col, count_links=False).select("doc_id", "component_id"), "components-found")
     losers = found.filter("doc_id <> component_id").select("doc_id").distinct()
     repeated = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
     touched = settle(losers.withColumn("__lost", F.lit(True)).unionByName(repeated.withColumn("__lost", F.lit(False))).groupBy("doc_id").agg(F.max("__lost").alias("__lost")), "touched")

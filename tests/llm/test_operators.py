@@ -322,6 +322,28 @@ def test_ngram_join_hot_buckets(spark, monkeypatch):
         assert sorted(map(tuple, got)) == sorted(jaccard_components(rows, 3, num, 100))
 
 
+def test_ngram_join_finds_every_link(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    near = [(i, " ".join(w if r.random() > 0.03 else f"e{r.randint(0, 9)}" for w in base)) for i in range(60)] + [(90, " ".join(base))] * 3
+    for data, df, num in ((near, spark.createDataFrame(near, "doc_id long, text string").repartition(4), 70), (rows, docs, 90)):
+        sets = []
+        for _, text, *_ in data:
+            w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+            sets.append(frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) >= 3 else frozenset({tuple(w)} if w else ()))
+        linked = lambda a, b: 100 * len(a & b) >= num * len(a | b) and bool(a and b)
+        want = [(row[0], sum(linked(sets[i], sets[j]) for j in range(len(data)) if j != i)) for i, row in enumerate(data)]
+        got = ngram_join.near_duplicates(df, 3, num, 100)
+        assert sorted((x["doc_id"], x["n_links"]) for x in got.collect()) == sorted(want)
+        different = list(set(sets))
+        pairs = sum(linked(different[i], different[j]) for i in range(len(different)) for j in range(i))
+        found = ngram_join.linked_sets(df, 3, num, 100).collect()
+        assert pairs > 1 and len(found) == len({frozenset(x) for x in found}) == pairs
+        fewer = ngram_join.near_duplicates(df, 3, num, 100, count_links=False)
+        assert sorted((x["doc_id"], x["component_id"]) for x in fewer.collect()) == sorted((x["doc_id"], x["component_id"]) for x in got.collect())
+
+
 def test_one_of_each(docs, empty, rows):
     out = ngram_join.one_of_each(docs)
     assert out.columns == docs.columns
