@@ -2,8 +2,8 @@
 
 Method: a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled spans (written-out
 examples of the kinds in many notations, and of what looks like them but isn't). A text is read around its triggers: a
-span must hold a digit, an at sign or a written-out one, so text further away can hold none. Each such region is cut
-into windows of `WINDOW` characters that overlap by half; emissions of overlapping windows are averaged, weighted by the
+span must hold a digit, an at sign or a written-out one, so text further away can hold none. A region reaches over the
+whole tokens beside its triggers, however long, and a margin more. Each region is cut into windows of `WINDOW` characters that overlap by half; emissions of overlapping windows are averaged, weighted by the
 distance to the window's edge, and one Viterbi pass over the region reconciles them globally. Spans the tagger adds must
 be well formed for their kind and not overlap a base span; base spans always stay.
 
@@ -35,7 +35,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 
 WINDOW, MARGIN = 64, 24
-TRIGGER = re.compile(r"[0-9@]|[(\[{](?:at|AT)[)\]}]|\b(?:dot|DOT)\b")
+TRIGGER = re.compile(r"[0-9@]|[(\[{]at[)\]}]|[(\[{]?\bdot\b[)\]}]?", re.I)
+#: Characters of an e-mail's local part or domain; a region doesn't end within a run of them.
+TOKEN = re.compile(r"[A-Za-z0-9._%+-]*+")
 EXAMPLES, EPOCHS, SEED = 1500, 8, 42
 
 
@@ -147,12 +149,22 @@ def trained(n: int = EXAMPLES, epochs: int = EPOCHS, seed: int = SEED) -> Tagger
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Merged neighbourhoods of the triggers."""
+    """Merged neighbourhoods of the triggers: the tokens beside each (past one space, as in ` (at) `) and the margin."""
     out: list[tuple[int, int]] = []
     for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        a, b = m.start(), m.end()
+        if not out or b + 1 > out[-1][1] - MARGIN:
+            b = TOKEN.match(text, b + 1 if b < len(text) and text[b].isspace() else b).end()
+            b = min(len(text), b + MARGIN)
+        else:
+            b = out[-1][1]  # the region so far reaches over its tokens
+        least = out[-1][1] if out else 0
+        a -= a > 0 and text[a - 1].isspace()
+        while a > least and text[a - 1] in LOCAL:
+            a -= 1
+        a = max(0, a - MARGIN)
         if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
+            out[-1] = (min(a, out[-1][0]), max(b, out[-1][1]))
         else:
             out.append((a, b))
     return out

@@ -209,6 +209,14 @@ def test_tagger_learns_held_out_examples():
     assert [x[1] for x in pii.find(["call (988) 555-2485 now"], tagger)[0][1]] == [3]
 
 
+@pytest.mark.parametrize("email", ["christopher.featherstonehaugh (at) example dot org", "christopher.featherstonehaugh" * 3 + "[at]example.org", "bob (at) averyveryverylongdomainlabelindeed dot org", "bob.smith (At) example Dot com"])
+def test_regions_reach_over_whole_tokens(email):
+    text = f"these are plain words write to {email} today and these are plain words again"
+    assert [text[s:e] for s, _, e in pii.find([text], pii.trained())[0][1]] == [email]
+    for m in re.finditer(r"[(\[]at[)\]]", text, re.I):
+        assert any(a <= text.index(email) and text.index(email) + len(email) <= b for a, b in pii.regions(text))
+
+
 def test_tagger_gradients():
     from kinetrail.llm.tagger import Tagger
 
