@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import settle
+
 
 def uniform_bin(x: Column, low: float, high: float, n: int) -> Column:
     """Bin 0..n-1 of [low, high); null outside and for NaN. Rounding at the upper edge stays in the last bin."""
@@ -71,21 +73,27 @@ def blocks(df: DataFrame, value: str, order: list[str], size: int, by: list[str]
     by = by or []
     if by:
         at = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-        numbered = df.withColumn("__at", at)
+        numbered = df.withColumn("__row", at)
     else:
-        numbered = numbered_globally(df, order, "__at")
-    block = F.floor(F.col("__at") / size).cast("long")
+        numbered = numbered_globally(df.select(*dict.fromkeys([value, *order])), order, "__row")
+    block = F.floor(F.col("__row") / size).cast("long")
     return numbered.groupBy(*by, block.alias("block")).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).filter(F.col("n") == size)
 
 
 def numbered_globally(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with a gapless number from 0 in the given order."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    local = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
-    counts = local.groupBy("__part").agg(F.count("*").alias("__c"))
+    """df with a gapless number from 0 in the given order.
+
+    The rows, range-partitioned and numbered within their partition, are settled before anything is counted: the counts
+    and the rows then come from one and the same partitioning. (Two range exchanges would each draw a sample of their
+    own, and their partitions need not agree.)"""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = settle(placed, "numbered")
+    part, local = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     # One row for each partition: bounded by their number.
-    before = counts.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(before.drop("__c")), "__part").withColumn(name, F.col("__n") + F.col("__b")).drop("__part", "__n", "__b")
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__c"))
+    before = counts.select("__part", F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    rows = placed.withColumn("__part", part).withColumn("__n", local)
+    return rows.join(F.broadcast(before), "__part").withColumn(name, F.col("__n") + F.col("__b")).select(*df.columns, name)
 
 
 def block_summary(means: DataFrame, mean: str = "mean") -> DataFrame:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and everything runs on this machine, as in tests.
 LOCAL_DEFAULT = "file:///tmp/kinetrail-checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    return (where or spark.sparkContext.getCheckpointDir() or LOCAL_DEFAULT).rstrip("/")
+    """The folder that driver and executors share. On a cluster it must be named: a machine's own disk would lose rows."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where is None:
+        if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = LOCAL_DEFAULT
+    return where.rstrip("/")
 
 
 def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

@@ -101,29 +101,11 @@ class Config:
             self.set(section, k, v)
         return self
 
-    def general(self, **v: object) -> Config:
-        return self.update("general", **v)
-
-    def model(self, **v: object) -> Config:
-        return self.update("model", **v)
-
-    def mapping(self, **v: object) -> Config:
-        return self.update("mapping", **v)
-
-    def mapping_file(self, path: str) -> Config:
-        return self.set("mapping.file", "path", path)
-
-    def topology(self, **v: object) -> Config:
-        return self.update("topology", **v)
-
-    def group(self, name: str, definition: str) -> Config:
-        return self.set("groups", name, definition)
-
-    def topo_group(self, name: str, definition: str) -> Config:
-        return self.set("topo_groups", name, definition)
-
-    def measure(self, name: str, **v: object) -> Config:
-        return self.update(f"measure.{name}", **v)
+    def define(self, **sections: dict[str, object]) -> Config:
+        """Settings by section; `__` in a name stands for its dot, as in measure__msd."""
+        for name, values in sections.items():
+            self.update(name.replace("__", "."), **values)
+        return self
 
     def to_ini(self) -> str:
         order = [s for s in LEADING if s in self.sections] + sorted(s for s in self.sections if s not in LEADING)

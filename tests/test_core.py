@@ -254,6 +254,23 @@ def test_statistics(spark):
     assert stats.log_edges(1, 100, 2)[1] == pytest.approx(10)
 
 
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_numbers_are_gapless_beyond_the_range_sample(spark, coalesce):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        n = 1_200_000
+        df = spark.range(0, n, 1, 6).select(F.xxhash64("id").alias("k"), F.col("id").cast("string").alias("payload"))
+        got = stats.numbered_globally(df, ["k"], "i")
+        assert got.columns == ["k", "payload", "i"]
+        seen = got.agg(F.count("*"), F.countDistinct("i"), F.min("i"), F.max("i"), F.countDistinct("k")).first()
+        assert tuple(seen) == (n, n, 0, n - 1, n)
+        # In order: a number's key is the smallest of those at and after it.
+        ends = got.groupBy((F.col("i") / 1000).cast("long").alias("b")).agg(F.min("k").alias("low"), F.max("k").alias("high")).orderBy("b").collect()
+        assert all(a["high"] < b["low"] for a, b in zip(ends, ends[1:]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_fingerprints_of_files():
     assert mapping.specification()[1] == "23cd01ddafd5c96c" and hex16(fnv1a(b"")) == "14650fb0739d0383"
 
@@ -278,14 +295,14 @@ def test_configuration():
     for bad in ("x = 1", "[a\n", "[a]\nnothing"):
         with pytest.raises(ConfigError):
             Config.parse(bad)
-    built = Config().general(dt=1.0, profile=True).group("a", "type:1").measure("msd", group="a")
+    built = Config().update("general", dt=1.0, profile=True).define(groups={"a": "type:1"}, measure__msd={"group": "a"})
     assert built.get("general", "profile") == "true" and built.copy().sections == built.sections
 
 
 def test_run_and_validate(spark, dump_file, tmp_path):
     (tmp_path / "bonds").write_text("1 2\n3 4\n")
-    cfg = Config().general(input=dump_file, dt=1.0, output_dir=str(tmp_path / "out")).topology(file=str(tmp_path / "bonds"), format="bond_table")
-    cfg.group("poly", "type:1").topo_group("ends", "atoms_is_end").measure("msd_all", type="msd", block_size=2, output="msd.dat").measure("size", type="selection_size", group="region:slab,x,1.5,9")
+    cfg = Config().update("general", input=dump_file, dt=1.0, output_dir=str(tmp_path / "out")).update("topology", file=str(tmp_path / "bonds"), format="bond_table")
+    cfg.define(groups={"poly": "type:1"}, topo_groups={"ends": "atoms_is_end"}, measure__msd_all={"type": "msd", "block_size": 2, "output": "msd.dat"}, measure__size={"type": "selection_size", "group": "region:slab,x,1.5,9"})
     assert [m["instance"] for m in run.validate(spark, cfg)["measures"]] == ["msd_all", "size"] and not (tmp_path / "out").exists()
     results = run.run(spark, cfg)
     assert results.load_table("msd_all") == [[1, 1, 0.4375, 2, 0, 1, 1], [2, 2, 1.375, 1, 0, 0, 2]]
@@ -293,11 +310,11 @@ def test_run_and_validate(spark, dump_file, tmp_path):
     assert results.load_frame(spark, "msd_all").count() == 2 and results.index["run"]["frames"] == 3
     assert sinks.Results(str(tmp_path / "out")).find_measure("msd")["n_selected"] == 4
     with pytest.raises(ConfigError):
-        run.validate(spark, cfg.copy().measure("other", type="unheard"))
+        run.validate(spark, cfg.copy().update("measure.other", type="unheard"))
     with pytest.raises(ConfigError):
-        run.validate(spark, cfg.copy().measure("m2", type="msd", group="region:slab,x,0,1"))
+        run.validate(spark, cfg.copy().update("measure.m2", type="msd", group="region:slab,x,0,1"))
     with pytest.raises(NotImplementedError):
-        run.validate(spark, cfg.copy().measure("m3", type="msd", correlator="fft"))
+        run.validate(spark, cfg.copy().update("measure.m3", type="msd", correlator="fft"))
     off = Config({k: v for k, v in cfg.sections.items() if not k.startswith("measure.")})
     assert run.run(spark, off) is None
 
