@@ -21,8 +21,13 @@ BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's limit on Arrow batches to BATCH_BYTES: several workers share an executor's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Lower the session's limit on Arrow batches to BATCH_BYTES: several workers share an executor's memory.
+
+    The limit exists only as a setting of the session; one that is lower already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,15 +72,15 @@ def texts_of(column: pa.Array) -> list[str]:
 
 
 def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All UTF-8 bytes of a column end to end and the rows+1 offsets into them; null counts as empty."""
-    column = column.cast(pa.large_string())
+    """All UTF-8 (or binary) bytes of a column end to end and the rows+1 offsets into them; null counts as empty."""
+    column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     if column.null_count:
         lengths = np.where(np.asarray(column.is_valid()), np.diff(offsets), 0)
         if int(lengths.sum()) != int(offsets[-1] - offsets[0]):  # a null row may still cover bytes
-            column = pa.compute.fill_null(column, "")
+            column = pa.compute.fill_null(column, b"")
             return utf8_of(pa.concat_arrays([column]))
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
@@ -109,29 +114,51 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-BLOCKS = 64
+#: Bytes of a partition's table that merge as one row: as many merging tasks as the table has such blocks.
+TABLE_BLOCK = 1 << 20
 
 
-def blocks_of(table: np.ndarray) -> pa.RecordBatch:
-    """A partition's table of fixed size, in blocks that merge one by one."""
-    parts = np.array_split(table, BLOCKS)
-    return pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["block", "data"])
+def blocks_of(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A partition's table of fixed size (a power of two of rows), in blocks that merge one by one; empty blocks are left out."""
+    n = max(1, table.nbytes // TABLE_BLOCK)
+    for k, part in enumerate(np.split(table, n)):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "data"])
 
 
-def merge_blocks(df: DataFrame, kind: str, merge: np.ufunc) -> np.ndarray:
-    """Merge what blocks_of made in every partition; the driver gets one table of that fixed size."""
-    dtype = np.dtype(kind)
+def merge_blocks(df: DataFrame, empty: np.ndarray, merge: Callable[[np.ndarray, np.ndarray], np.ndarray], finish: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> np.ndarray:
+    """Merge what blocks_of made in every partition; each block is finished where it is merged, and the driver gets bytes
+    of the finished table alone. `empty` is a partition's table with nothing in it."""
+    n = max(1, empty.nbytes // TABLE_BLOCK)
+    dtype, shape = empty.dtype, (len(empty) // n, *empty.shape[1:])
 
     def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for x in batch.column("data").to_pylist():
-                part = np.frombuffer(zlib.decompress(x), dtype)
+            for x in batch.column("data"):
+                part = np.frombuffer(zlib.decompress(x.as_buffer()), dtype).reshape(shape)
                 total = part.copy() if total is None else merge(total, part)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["block", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(np.ascontiguousarray(finish(total)).tobytes(), 1)], pa.binary())], ["block", "data"])
+
+    blank = finish(np.zeros(shape, dtype))
+    out = np.tile(blank, (n, *[1] * (blank.ndim - 1)))
+    for r in df.groupBy("block").applyInArrow(join, "block int, data binary").collect():
+        out[r[0] * len(blank) : (r[0] + 1) * len(blank)] = np.frombuffer(zlib.decompress(bytes(r[1])), blank.dtype).reshape(blank.shape)
+    return out
+
+
+def set_bits(table: np.ndarray, cells: np.ndarray) -> None:
+    """Set the bits at ascending distinct cells of a packed table."""
+    if len(cells):
+        byte = (cells >> np.uint64(3)).astype(np.int64)
+        bit = np.uint8(128) >> (cells & np.uint64(7)).astype(np.uint8)
+        first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+        table[byte[first]] |= np.bitwise_or.reduceat(bit, first)
+
 
-    rows = sorted(df.groupBy("block").applyInArrow(join, "block int, data binary").collect())
-    return np.concatenate([np.frombuffer(zlib.decompress(bytes(r[1])), dtype) for r in rows]) if rows else np.zeros(0, dtype)
+def get_bits(table: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Whether each cell of a packed table, eight to a byte, is set."""
+    return ((table[cells >> np.uint64(3)] >> (np.uint64(7) - (cells & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 128 << 20) -> int:
@@ -147,17 +174,15 @@ def table_bits(df: DataFrame, bytes_per_entry: int, least: int, most: int) -> in
 
 
 def bloom(df: DataFrame, key: str, bits: int) -> np.ndarray:
-    """A Bloom filter (two probes a key) over a long column: 2^bits bits, merged across partitions."""
+    """A Bloom filter (two probes a key) over a long column: 2^bits bits, packed, merged across partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, bool)
+        table = np.zeros(1 << (bits - 3), np.uint8)
         for batch in batches:
-            for at in bloom_probes(np.asarray(batch.column(0)).view(np.uint64), bits):
-                table[at] = True
-        yield blocks_of(np.packbits(table))
+            set_bits(table, np.unique(np.concatenate(bloom_probes(np.asarray(batch.column(0)).view(np.uint64), bits))))
+        yield from blocks_of(table)
 
-    found = merge_blocks(df.select(F.col(key).cast("long")).mapInArrow(run, "block int, data binary"), "u1", np.bitwise_or)
-    return found if len(found) else np.zeros(1 << (bits - 3), np.uint8)
+    return merge_blocks(df.select(F.col(key).cast("long")).mapInArrow(run, "block int, data binary"), np.zeros(1 << (bits - 3), np.uint8), np.bitwise_or)
 
 
 def bloom_probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,10 +191,8 @@ def bloom_probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def in_bloom(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """table: packed bits, eight to a byte."""
-    bit = lambda at: (table[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1
     a, b = bloom_probes(keys, len(table).bit_length() + 2)
-    return (bit(a) & bit(b)).astype(bool)
+    return get_bits(table, a) & get_bits(table, b)
 
 
 def sifter(table, hit: bool, at: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:

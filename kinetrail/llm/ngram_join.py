@@ -7,12 +7,16 @@ joined. Candidates pass a length filter and a positional filter in the join, are
 (per range of hash values, no more n-grams can be shared than the smaller count) and are verified once each, against the
 whole sets. Documents with equal sets form one class first and only class representatives join.
 
-Prefix n-grams that only one class has are dropped before the join. All pairs of a bucket meet, so every link between
-different classes is found, and each row's number of links follows from them and the classes' sizes. A pair meets only
-where a run of n-grams that both prefixes share begins: a bucket whose n-gram follows the same n-gram in both is left to
-that one's bucket. Where only components are asked for (`one_of_each`), each bucket's classes meet its leader first and
-then only pairs that those links have not connected; the components are the same. Buckets of more than `BLOCK` classes
-are split into block pairs, so no task holds a whole hot bucket. N-grams are 64-bit hashes of their words.
+Prefix n-grams that only one class has are dropped before the join. A pair meets only where a run of n-grams that both
+prefixes share begins. Each bucket's classes first meet its leader, and then only pairs that those links have not
+connected: that gives the components exactly, with few pairs of a group of copies.
+
+All links lie within components, so the numbers of links are found there. Where a component's prefix buckets promise fewer
+pairs than its classes could make, the prefix join makes them as rows. In a dense component (a group of near copies) they
+would be all pairs of a group; there the classes are dealt into blocks, each pair of blocks is one kernel call that joins
+the two blocks' prefixes, filters and verifies each candidate once, and only each class's number of links leaves it.
+Buckets of more than `BLOCK` classes are split into block pairs too, so no task holds a whole hot bucket. N-grams are
+64-bit hashes of their words.
 
 Defined results: null texts and texts without words have an empty set, linked with nothing, and are their own
 component. Fewer words than n count as one n-gram. Repeated rows link with each other. Components take the smallest
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Powers, blocks_of, bloom, id_text, in_bloom, map_slices, merge_blocks, mix, settle, sha, sift, slices, table_bits, utf8_of
+from .common import Powers, blocks_of, bloom, forget, id_text, in_bloom, map_slices, merge_blocks, mix, settle, sha, sift, slices, table_bits, utf8_of
 
 _U = np.uint64
 _POWERS = Powers(0xA24BAED4963EE407)
@@ -40,7 +44,11 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 #: Classes of a bucket that join within one block pair.
 BLOCK = 256
-SKETCH_BITS = (14, 26)
+#: Whole sets of a block of classes hold about so many n-grams at most (a larger set is a block of its own).
+BLOCK_GRAMS = 1 << 18
+#: A component whose buckets hold at least this many pairs, for the square of its classes, is dense.
+DENSE_SHARE = 1 / 16
+SKETCH_BITS = (14, 25)
 BLOOM_BITS = (16, 27)
 
 
@@ -113,12 +121,12 @@ def frequencies(df: DataFrame, n: int) -> np.ndarray:
                     grams, _ = ngram_hashes(*word_hashes(*utf8_of(part.column(1))), n)
                 at, c = np.unique(grams >> _U(64 - bits), return_counts=True)
                 counts[at] += c.astype(np.uint32)
-        yield blocks_of(counts)
+        yield from blocks_of(counts)
+
+    def scaled(total: np.ndarray) -> np.ndarray:
+        return np.minimum(255, np.rint(8 * np.log2(total.astype(np.float32) + 1))).astype(np.uint8)
 
-    total = merge_blocks(df.mapInArrow(run, "block int, data binary"), "u4", np.add)
-    if not len(total):
-        return np.zeros(1 << bits, np.uint8)
-    return np.minimum(255, np.rint(8 * np.log2(total.astype(np.float64) + 1))).astype(np.uint8)
+    return merge_blocks(df.mapInArrow(run, "block int, data binary"), np.zeros(1 << bits, np.uint32), np.add, scaled)
 
 
 def histogram(s: np.ndarray) -> bytes:
@@ -215,6 +223,21 @@ def remaining_pairs(entries: DataFrame, labels: DataFrame, num: int, den: int) -
     return block_pairs(entries.join(apart, "t"), "label", (F.col("xa") != F.col("xb")) & may_reach(num, den))
 
 
+def whole_sets(needed: DataFrame, plain: DataFrame, n: int) -> DataFrame:
+    """key and grams (the whole set) of the needed keys; a Bloom filter of fixed bounds lets other documents pass by. Settled."""
+    number = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
+    table = plain.sparkSession.sparkContext.broadcast(bloom(needed.select(number.alias("k")), "k", table_bits(plain, 128, *BLOOM_BITS)))
+
+    def wanted(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        sets = [s for s in sets_of(batch.column(1), n) if len(s)]
+        keys = [sha(s.tobytes())[:32] for s in sets]
+        hit = in_bloom(table.value, np.array([int(k[:15], 16) for k in keys], np.uint64)) if keys else []
+        got = [(k, s.tobytes()) for k, s, h in zip(keys, sets, hit) if h]
+        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary())], ["key", "grams"]) if got else None
+
+    return settle(map_slices(plain, wanted, "key string, grams binary").join(needed, "key", "left_semi").dropDuplicates(["key"]), "whole-sets")
+
+
 def verified(pairs: DataFrame, reps: DataFrame, plain: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach num/den: a suffix filter first, then each pair once."""
     sides = reps.select("node", "key", "n", "sums")
@@ -229,20 +252,8 @@ def verified(pairs: DataFrame, reps: DataFrame, plain: DataFrame, n: int, num: i
 
     passed = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "key_a", "key_b", "sums_a", "sums_b").mapInArrow(suffix, "a long, b long, key_a string, key_b string")
     passed = settle(passed, "near-pairs")
-    # Whole sets, of the documents in such pairs alone: a Bloom filter of fixed bounds lets the rest pass by.
     needed = passed.select(F.col("key_a").alias("key")).union(passed.select("key_b")).distinct()
-    number = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
-    table = plain.sparkSession.sparkContext.broadcast(bloom(needed.select(number.alias("k")), "k", table_bits(plain, 128, *BLOOM_BITS)))
-
-    def wanted(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        sets = [s for s in sets_of(batch.column(1), n) if len(s)]
-        keys = [sha(s.tobytes())[:32] for s in sets]
-        hit = in_bloom(table.value, np.array([int(k[:15], 16) for k in keys], np.uint64)) if keys else []
-        got = [(k, s.tobytes()) for k, s, h in zip(keys, sets, hit) if h]
-        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary())], ["key", "grams"]) if got else None
-
-    whole = map_slices(plain, wanted, "key string, grams binary").join(needed, "key", "left_semi").dropDuplicates(["key"])
-    whole = settle(whole, "whole-sets")
+    whole = whole_sets(needed, plain, n)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +265,122 @@ def verified(pairs: DataFrame, reps: DataFrame, plain: DataFrame, n: int, num: i
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = passed.join(whole.select(F.col("key").alias("key_a"), F.col("grams").alias("grams_a")), "key_a").join(whole.select(F.col("key").alias("key_b"), F.col("grams").alias("grams_b")), "key_b")
-    return settle(both.select("a", "b", "grams_a", "grams_b").mapInArrow(verify, "a long, b long"), "links")
+    out = settle(both.select("a", "b", "grams_a", "grams_b").mapInArrow(verify, "a long, b long"), "links")
+    forget(passed, whole)
+    return out
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All integers of the ranges, one range after the other."""
+    sizes = ends - starts
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+class _Index:
+    """Which rows of a block hold a value, and at which place of theirs."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        sizes = np.array([len(x) for x in lists], np.int64)
+        values = np.concatenate(lists)
+        order = np.argsort(values, kind="stable")
+        self.values, self.rows = values[order], np.repeat(np.arange(len(lists)), sizes)[order]
+        self.places = ranges(np.zeros(len(sizes), np.int64), sizes)[order]
+
+    def __call__(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries that hold a wanted value, in the order of `wanted`, and which one each of them holds."""
+        a, b = np.searchsorted(self.values, wanted), np.searchsorted(self.values, wanted, side="right")
+        return ranges(a, b), np.repeat(np.arange(len(wanted)), b - a)
+
+
+def _histograms(sums: list[bytes]) -> np.ndarray:
+    """The rows' counts by range of hash values, on the coarsest scale of them all; a row whose counts were cut bounds nothing."""
+    each = [np.frombuffer(x, np.uint16).astype(np.int64) for x in sums]
+    least = min(map(len, each))
+    return np.stack([np.full(least, 1 << 40) if x.max() == 65535 else x.reshape(least, -1).sum(axis=1) for x in each])
+
+
+def links_between(left: dict[str, list], right: dict[str, list] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows each left and each right class is linked with by links between the two blocks (within the left one
+    if there is no right one). Columns: n, w, tokens, sums, grams."""
+    same, other = right is None, right or left
+    n, m = np.array(left["n"], np.int64), np.array(other["n"], np.int64)
+    w, v = np.array(left["w"], np.int64), np.array(other["w"], np.int64)
+    prefix = _Index([np.array(x, np.int64) for x in other["tokens"]])
+    whole = _Index([np.frombuffer(x, _U) for x in other["grams"]])
+    joint = _histograms([*left["sums"], *other["sums"]])
+    mine, theirs = joint[: len(n)], joint[len(n) :]
+    got, back = np.zeros(len(n), np.int64), np.zeros(len(m), np.int64)
+    for i in range(len(n)):
+        at, token = prefix(np.array(left["tokens"][i], np.int64))
+        # Entries come in the order of this prefix, so a class's first one is the first n-gram that both prefixes share.
+        rows, first = np.unique(prefix.rows[at], return_index=True)
+        pa_, pb = token[first], prefix.places[at[first]]
+        least = -(-(n[i] + m[rows]) * num // (num + den))
+        fits = (np.minimum(n[i], m[rows]) * den >= np.maximum(n[i], m[rows]) * num) & (np.minimum(n[i] - pa_, m[rows] - pb) >= least)
+        if same:
+            fits &= rows > i
+        rows, least = rows[fits], least[fits]
+        if len(rows):
+            keep = np.minimum(mine[i], theirs[rows]).sum(axis=1) >= least
+            rows, least = rows[keep], least[keep]
+        if len(rows):
+            shared = np.bincount(whole.rows[whole(np.frombuffer(left["grams"][i], _U))[0]], minlength=len(m))
+            rows = rows[shared[rows] >= least]
+            got[i] += v[rows].sum()
+            back[rows] += w[i]
+    if same:
+        return got + back, np.zeros(0, np.int64)
+    return got, back
+
+
+def links_of_dense(members: DataFrame, num: int, den: int) -> DataFrame:
+    """node and others (rows it is linked with), by pairs of blocks. members: component, node, n, w, tokens, sums, grams, blocks."""
+    own = F.pmod(F.xxhash64("node", "component"), "blocks").cast("int")
+    dealt = members.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    dealt = dealt.select("component", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), (F.col("k") < F.col("own")).alias("second"), "node", "n", "w", "tokens", "sums", "grams")
+
+    def solve(key: tuple, rows: pa.Table) -> pa.Table:
+        fields = ["node", "n", "w", "tokens", "sums", "grams"]
+        sides = [rows.filter(pa.compute.equal(rows["second"], x)).select(fields).to_pydict() for x in (False, True)]
+        if not sides[0]["node"]:
+            sides = sides[::-1]
+        within = key[1].as_py() == key[2].as_py()
+        if within or sides[1]["node"]:
+            one, two = links_between(sides[0], None if within else sides[1], num, den)
+        else:
+            one, two = np.zeros(len(sides[0]["node"]), np.int64), np.zeros(0, np.int64)
+        nodes = sides[0]["node"] + ([] if within else sides[1]["node"])
+        return pa.table({"node": pa.array(nodes, pa.int64()), "others": pa.array(np.concatenate([one, two]), pa.int64())})
+
+    return dealt.groupBy("component", "i", "j").applyInArrow(solve, "node long, others long").groupBy("node").agg(F.sum("others").alias("others"))
+
+
+def link_counts(entries: DataFrame, components: DataFrame, classes: DataFrame, reps: DataFrame, plain: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """node and others: the rows of other classes that a class is linked with. Settled."""
+    ours = settle(entries.select("t", "before", "node", "n", "pos").join(components, "node").withColumn("t", F.xxhash64("t", "component")), "entries-within")
+    size = settle(reps.select("node", "n").join(components, "node").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("grams")), "component-sizes")
+    buckets = ours.groupBy("component", "t").agg(F.count("*").alias("c"))
+    made = buckets.groupBy("component").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"))
+    m = F.col("m")
+    dense = (m <= BLOCK) | (F.col("pairs") >= m * m * DENSE_SHARE)
+    blocks = F.greatest(F.ceil(m / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS), F.lit(1))
+    kinds = settle(size.join(made, "component", "left").fillna(0, ["pairs"]).select("component", dense.alias("dense"), F.least(blocks, m).alias("blocks")), "component-kinds")
+    weights = classes.select("node", "w")
+    dense_nodes = components.join(kinds.filter("dense").select("component", "blocks"), "component")
+    members = settle(reps.select("node", "key", "n", "tokens", "sums").join(dense_nodes, "node").join(weights, "node"), "dense-members")
+    whole = whole_sets(members.select("key"), plain, n)
+    within = links_of_dense(members.join(whole, "key").drop("key"), num, den)
+    sparse = ours.join(kinds.filter("not dense").select("component"), "component", "left_semi").select("t", "before", "node", "n", "pos")
+    held = [ours, size, kinds, members, whole]
+    if not kinds.filter("not dense").isEmpty():
+        sparse = settle(sparse.join(sparse.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1"), "t"), "sparse-entries")
+        found = verified(all_pairs(sparse, num, den), reps, plain, n, num, den)
+        ways = found.union(found.select("b", "a"))
+        within = within.union(ways.join(weights.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("others")))
+        held += [sparse, found]
+    out = settle(within, "link-counts")
+    forget(*held)
+    return out
 
 
 def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
@@ -264,20 +390,20 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     the components need, if count_links is false."""
     plain, rows, classes, reps = _classes(df, n, num, den, id_col, text_col)
     entries = prefix_entries(reps)
+    first = verified(leader_pairs(entries, num, den), reps, plain, n, num, den)
+    labels = settle(connected_components(first, "a", "b"), "labels")
+    rest = verified(remaining_pairs(entries, labels, num, den), reps, plain, n, num, den)
+    found = settle(connected_components(first.union(rest), "a", "b"), "node-components")
+    forget(first, rest, labels)
+    labelled = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if count_links:
-        found = verified(all_pairs(entries, num, den), reps, plain, n, num, den)
-        weights = classes.select("node", "w")
-        ways = found.union(found.select("b", "a"))
-        others = ways.join(weights.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("w").alias("others"))
-        counted = classes.join(others.withColumnRenamed("a", "node"), "node", "left")
-        classes = counted.select("key", "node", (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    else:
-        first = verified(leader_pairs(entries, num, den), reps, plain, n, num, den)
-        labels = settle(connected_components(first, "a", "b"), "labels")
-        found = first.union(verified(remaining_pairs(entries, labels, num, den), reps, plain, n, num, den))
-    labelled = classes.join(connected_components(found, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+        counted = link_counts(entries, found, classes, reps, plain, n, num, den)
+        labelled = labelled.join(counted, "node", "left").withColumn("n_links", F.col("w") - 1 + F.coalesce("others", F.lit(0)))
+    # Both sides of each join below are tables, so that a group of copies, one key, can be split among tasks.
+    labelled = settle(labelled.select("key", "component", *(["n_links"] if count_links else [])), "labelled")
     members = settle(rows.select("doc_id", "n", "key").join(labelled, "key", "left"), "members")
-    smallest = members.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    smallest = settle(members.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
+    forget(entries, rows, classes, labelled, found)
     out = [F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("key").alias("set_key")]
     return members.join(smallest, "component", "left").select("doc_id", *out, *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []))
 
@@ -305,12 +431,15 @@ def one_of_each(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col
     found = settle(near_duplicates(df, n, num, den, id_col, text_col, count_links=False).select("doc_id", "component_id"), "components-found")
     losers = found.filter("doc_id <> component_id").select("doc_id").distinct()
     repeated = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    touched = settle(losers.withColumn("__lost", F.lit(True)).unionByName(repeated.withColumn("__lost", F.lit(False))).groupBy("doc_id").agg(F.max("__lost").alias("__lost")), "touched")
-    columns = df.columns
-    keyed = df.withColumn("__id", F.col(id_col).cast("long"))
+    touched = settle(losers.withColumn("lost", F.lit(True)).unionByName(repeated.withColumn("lost", F.lit(False))).groupBy("doc_id").agg(F.max("lost").alias("lost")), "touched")
+    forget(found)
+    # The columns of df travel under names of their own, so none can clash with ours.
+    columns, k = df.columns, len(df.columns)
+    own = [f"c{i}" for i in range(k)]
+    keyed = df.toDF(*own).withColumn("doc_id", F.col(own[columns.index(id_col)]).cast("long"))
     table = df.sparkSession.sparkContext.broadcast(bloom(touched, "doc_id", table_bits(df, 128, *BLOOM_BITS)))
-    free = sift(keyed, table, False, len(columns)).select(*columns)
-    held = sift(keyed, table, True, len(columns)).join(touched.withColumnRenamed("doc_id", "__id"), "__id", "left")
-    single = held.filter("__lost is null").select(*columns)
-    doubled = held.filter("not __lost").dropDuplicates(["__id", text_col]).select(*columns)
-    return free.unionByName(single).unionByName(doubled)
+    free = sift(keyed, table, False, k).select(*own)
+    held = sift(keyed, table, True, k).join(touched, "doc_id", "left")
+    single = held.filter("lost is null").select(*own)
+    doubled = held.filter("not lost").dropDuplicates(["doc_id", own[columns.index(text_col)]]).select(*own)
+    return free.unionByName(single).unionByName(doubled).toDF(*columns)

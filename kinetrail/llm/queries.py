@@ -17,7 +17,7 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(documents(spark, sf_dir), n=3, num=90, den=100)
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,7 @@ shared as (select a.doc_id as x, b.doc_id as y, count(*) as k from sets a join s
 links as (select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * k >= 90 * (p.n + q.n - k)),
 sym as (select x, y from links union select y, x from links),
 reach as (select x as node, x as other from sym union select r.node, s.y from reach r join sym s on s.x = r.other),
-low as (select node, min(other) as c from reach group by node)
-select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(c, d.doc_id) as component_id from documents d left join sizes using (doc_id) left join low on node = d.doc_id""",
+low as (select node, min(other) as c from reach group by node),
+many as (select x as node, count(*) as k from sym group by x)
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(c, d.doc_id) as component_id, coalesce(k, 0) as n_links from documents d left join sizes using (doc_id) left join low on low.node = d.doc_id left join many on many.node = d.doc_id""",
 }

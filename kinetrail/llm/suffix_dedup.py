@@ -5,26 +5,32 @@ all is decided first: in each window of `length` bytes the leftmost smallest has
 window's anchor, so equal windows have equal anchors at equal offsets. An anchor owns a run of windows; together they
 span its context, and anchors are grouped by their core's hash.
 
-1. Contexts that occur more than once (two independent polynomial hashes of 64 bits) repeat as wholes.
+1. Contexts that occur more than once (by a 128-bit digest of their bytes and shape) repeat as wholes.
 2. Contexts that share their core with others but occur once go to suffix sorting: the contexts of a core's group are
    sorted by the suffix that starts at the anchor, in a bottom-up mergesort whose comparisons find the common extension
    by binary search on prefix polynomial hashes, so each costs O(log length). Neighbouring extensions give those of all
    pairs to the right, binary search those to the left; a pair whose two extensions together reach `length` repeats, after
    its bytes have been compared (collision verification).
 3. Groups of more than `GROUP` different contexts are not sorted in one task: their contexts are cut into runs of 64, 8 and
-   at last 1 windows, keyed by the hash of the bytes all windows of the run share, and take steps 1 and 2 again. At one
+   at last 1 windows, keyed by the digest of the bytes all windows of the run share, and take steps 1 and 2 again. At one
    window a context is its key, so this ends, whatever the skew.
 
-All counting is by hashed keys with map-side partial aggregates. Documents are named by a 128-bit digest of their
-text, so copies share their spans and a lost task recomputes the same names.
+Anchors whose core occurs once in the corpus are left out first, by a table of bits that is merged over all partitions
+(a false hit only costs time). All counting is by keys with map-side partial aggregates. Documents are named by a
+120-bit digest of their text, so copies share their spans and a lost task recomputes the same names.
+
+Two lengths at once: whatever repeats at the longer one lies within a maximal run at the shorter one, so the longer one
+is looked for within those runs alone.
 
 Defined results: null counts as the empty text; texts shorter than `length` keep all bytes; exact copies of at least
-`length` bytes lose all bytes, in every copy. Only the id and text columns are read.
+`length` bytes lose all bytes, in every copy. A long text is read in segments, so memory does not follow its length
+beyond its own bytes. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,9 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, blocks_of, bloom, id_text, map_slices, merge_blocks, mix, partitions_for, settle, sha, sift, sifter, table_bits, utf8_of
+from .common import Powers, blocks_of, bloom, forget, get_bits, id_text, map_slices, merge_blocks, mix, partitions_for, set_bits, settle, sha, sift, sifter, slices, table_bits, utf8_of
 
 LENGTH, CORE = 400, 48
+#: A passage is a repeated string of over PASSAGE_WORDS words; words are taken to fill five bytes each, space included,
+#: which gives the length in bytes from which strings are compared for it.
+PASSAGE_WORDS = 50
+PASSAGE = 5 * PASSAGE_WORDS
 GROUP = 64
 RUNS = (64, 8, 1)
 #: Contexts sorted together in one kernel call.
@@ -44,22 +54,21 @@ ANCHOR_BYTES = 1 << 19
 #: Bytes of input for a bit of a Bloom filter over texts.
 BYTES_PER_BIT = 128
 BLOOM_BITS = (16, 27)
-SEEN_BITS = (16, 27)
+#: Cells of the table that tells which cores occur again: about eight for an anchor.
+SEEN_BITS = (16, 29)
 _U = np.uint64
 _POWERS = Powers(0xD1342543DE82EF95)
-_POWERS_2 = Powers(0xF1357AEA2E62A9C5)
 _BYTES = mix(np.arange(1001, 1257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_BYTES_2 = mix(np.arange(5001, 5257, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
 _POSITION_BITS = 28
 _LOW = _U((1 << _POSITION_BITS) - 1)
 
 
-def prefix_hashes(data: np.ndarray, values: np.ndarray = _BYTES, powers: Powers = _POWERS) -> tuple[np.ndarray, np.ndarray]:
+def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of a polynomial over the bytes, and the powers that move a difference of two to position 0."""
-    up, down = powers(len(data) + 1)
+    up, down = _POWERS(len(data) + 1)
     out = np.empty(len(data) + 1, _U)
     out[0] = 0
-    np.cumsum(values[data] * up[:-1], out=out[1:])
+    np.cumsum(_BYTES[data] * up[:-1], out=out[1:])
     return out, down
 
 
@@ -83,37 +92,36 @@ FIRST, LEAD, MORE = "shiftright(at, 20)", "(shiftright(at, 10) & 1023)", "(at &
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Row, first window (within its text), lead, windows less one, core hash and two context hashes of every anchor."""
+    """Row, first window (in data), lead, windows less one and core hash of every anchor, in order.
+
+    The data is read in segments of ANCHOR_BYTES; an anchor's windows may end with a segment and go on in the next."""
+    m = len(data) - length + 1
+    parts = [_anchors(data[a : a + ANCHOR_BYTES + length - 1], np.clip(offsets - a, 0, None), a, length) for a in range(0, max(m, 0), ANCHOR_BYTES)]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, np.int64) for _ in range(5))
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, at: int, length: int) -> tuple[np.ndarray, ...]:
     core = min(CORE, length)
-    if len(data) < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(7))
     p, down = prefix_hashes(data)
     m = len(data) - core + 1
     hashes = mix((p[core:] - p[:m]) * down[:m])
     keys = (hashes & ~_LOW) | np.arange(m, dtype=_U)
     chosen = (sliding_min(keys, length - core + 1) & _LOW).astype(np.int64)
-    sizes = np.diff(offsets)
+    # Windows lie within a text: those that start in the last bytes of one are left out.
+    ends = np.minimum(offsets, len(data))
     valid = np.zeros(len(chosen) + 1, np.int64)
-    long = np.flatnonzero(sizes >= length)
-    np.add.at(valid, offsets[long], 1)
-    np.add.at(valid, offsets[long + 1] - length + 1, -1)
+    long = np.flatnonzero(np.diff(ends) >= length)
+    np.add.at(valid, ends[long], 1)
+    np.add.at(valid, ends[long + 1] - length + 1, -1)
     starts = np.flatnonzero(np.cumsum(valid[:-1]))
     if not len(starts):
-        return tuple(np.zeros(0, np.int64) for _ in range(7))
-    at = chosen[starts]
-    row = np.searchsorted(offsets, starts, side="right") - 1
-    # A run ends where the anchor or the text changes, and at 512 windows, the most that fit a place.
-    fresh = np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])])
-    begin = np.flatnonzero(fresh)
-    end = np.append(begin[1:], len(starts))
-    s1, s2, a, row = starts[begin], starts[end - 1], at[begin], row[begin]
-    lead, more = a - s1, s2 - s1
-    shape = (lead * 1024 + more).astype(_U)
-    stop = s2 + length
-    q, down_2 = prefix_hashes(data, _BYTES_2, _POWERS_2)
-    one = mix((p[stop] - p[s1]) * down[s1] + shape * _U(0x9E3779B97F4A7C15))
-    two = mix((q[stop] - q[s1]) * down_2[s1] + shape)
-    return row, s1 - offsets[row], lead, more, hashes[a], one, two
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    a = chosen[starts]
+    row = np.searchsorted(ends, starts, side="right") - 1
+    # A run ends where the anchor or the text changes.
+    begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (row[1:] != row[:-1])]))
+    s1, s2 = starts[begin], starts[np.append(begin[1:], len(starts)) - 1]
+    return row[begin], s1 + at, a[begin] - s1, s2 - s1, hashes[a[begin]].view(np.int64)
 
 
 CONTEXT = "kh long, u1 long, u2 long, n1 long, n2 long, at long"
@@ -121,48 +129,52 @@ CONTEXT = "kh long, u1 long, u2 long, n1 long, n2 long, at long"
 
 def named(df: DataFrame, text_col: str = "text", mark: str = "") -> DataFrame:
     """df with n1 and n2 (behind the mark), 120 bits of its text's digest."""
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.expr("X''")), 256)
     return df.withColumn(f"{mark}n1", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).withColumn(f"{mark}n2", F.conv(F.substring(digest, 16, 15), 16, 10).cast("long"))
 
 
-def anchor_table(plain: DataFrame, length: int) -> DataFrame:
+def anchors_met(plain: DataFrame, length: int) -> DataFrame:
+    """Anchors whose core may occur again, with a digest of their context. Two passes: the first fills a table of bits."""
+    bits = table_bits(plain, 4, *SEEN_BITS)
+    shift = _U(64 - bits)
+    cell = lambda kh: mix(kh.view(_U)) >> shift
+    size = 1 << (bits - 3)  # bytes of a bit for each cell; one table tells what was seen, another what was seen again
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+        for batch in batches:
+            for part in slices(batch, 0, ANCHOR_BYTES):
+                with np.errstate(over="ignore"):
+                    cells, c = np.unique(cell(anchors_of(*utf8_of(part.column(0)), length)[4]), return_counts=True)
+                set_bits(twice, cells[(c > 1) | get_bits(once, cells)])
+                set_bits(once, cells)
+        yield from blocks_of(np.stack([once, twice], axis=1))
+
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.stack([a[:, 0] | b[:, 0], a[:, 1] | b[:, 1] | (a[:, 0] & b[:, 0])], axis=1)
+
+    met = merge_blocks(plain.select("text").mapInArrow(run, "block int, data binary"), np.zeros((size, 2), np.uint8), merge, lambda x: x[:, 1])
+    sent = plain.sparkSession.sparkContext.broadcast(met)
+
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         data, offsets = utf8_of(batch.column(0))
         with np.errstate(over="ignore"):
-            row, first, lead, more, kh, u1, u2 = anchors_of(data, offsets, length)
+            found = anchors_of(data, offsets, length)
+            hit = get_bits(sent.value, cell(found[4])) if len(found[4]) else np.zeros(0, bool)
+        row, first, lead, more, kh = (x[hit] for x in found)
         if not len(row):
             return None
+        view, digests = memoryview(data), bytearray()
+        for a, shape, b in zip(first.tolist(), (lead * 1024 + more).tolist(), (first + more + length).tolist()):
+            digests += hashlib.blake2b(view[a:b], digest_size=16, salt=shape.to_bytes(4, "little")).digest()
+        u = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
         names = [np.asarray(batch.column(k))[row] for k in (1, 2)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (kh.view(np.int64), u1.view(np.int64), u2.view(np.int64), *names, place(first, lead, more))], ["kh", "u1", "u2", "n1", "n2", "at"])
+        columns = (kh, u[:, 0], u[:, 1], *names, place(first - offsets[row], lead, more))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["kh", "u1", "u2", "n1", "n2", "at"])
 
     return map_slices(plain.select("text", "n1", "n2"), kernel, CONTEXT, text_at=0, most=ANCHOR_BYTES)
 
 
-def met_twice(table: DataFrame) -> DataFrame:
-    """Rows whose core may occur again: a table of counts up to two, of bounded size, leaves most others out."""
-    bits = table_bits(table, 4, *SEEN_BITS)
-    shift = _U(64 - bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, np.uint8)
-        for batch in batches:
-            at, c = np.unique(mix(np.asarray(batch.column(0)).view(np.uint64)) >> shift, return_counts=True)
-            seen[at] = np.minimum(seen[at] + np.minimum(c, 2), 2)
-        yield blocks_of(seen)
-
-    merged = merge_blocks(table.select("kh").mapInArrow(run, "block int, data binary"), "u1", lambda a, b: np.minimum(a + b, 2))
-    twice = table.sparkSession.sparkContext.broadcast(np.packbits(merged > 1))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(twice.value):
-                at = mix(np.asarray(batch.column(0)).view(np.uint64)) >> shift
-                hit = (twice.value[at >> _U(3)] >> (_U(7) - (at & _U(7))).astype(np.uint8)) & 1
-                yield batch.filter(pa.array(hit.astype(bool)))
-
-    return table.mapInArrow(keep, CONTEXT)
-
-
 def lce(p: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, back: bool = False) -> np.ndarray:
     """Common extension, at most `most`, of the byte strings that start (back: end) at a and b, by binary search."""
     low, high = np.zeros(len(a), np.int64), most.astype(np.int64).copy()
@@ -316,17 +328,19 @@ def cut_contexts(work: DataFrame, windows: int, length: int) -> DataFrame:
     return map_slices(work, kernel, "kh long, u1 long, u2 long, n1 long, n2 long, first long, lead int, target boolean, data binary", text_at=6)
 
 
+def one_of_each_text(wanted: DataFrame, plain: DataFrame) -> DataFrame:
+    """text, n1, n2 and copies (how often it occurs) of the texts named in wanted, and perhaps of a few others."""
+    table = plain.sparkSession.sparkContext.broadcast(bloom(wanted.select("n1").distinct(), "n1", table_bits(plain, BYTES_PER_BIT, *BLOOM_BITS)))
+    return sift(plain.select("text", "n1", "n2"), table, True, 1).groupBy("n1", "n2").agg(F.first("text").alias("text"), F.count("*").alias("copies")).select("text", "n1", "n2", "copies")
+
+
 def fetched(wanted: DataFrame, plain: DataFrame, length: int) -> DataFrame:
     """The contexts' bytes, from one copy of each text that has any."""
-    spark = plain.sparkSession
-    table = spark.sparkContext.broadcast(bloom(wanted.select("n1").distinct(), "n1", table_bits(plain, BYTES_PER_BIT, *BLOOM_BITS)))
-    texts = sift(plain.select("text", "n1", "n2"), table, True, 1).dropDuplicates(["n1", "n2"])
     lists = wanted.groupBy("n1", "n2").agg(F.collect_list(F.struct("kh", "at", "target", "different")).alias("list"))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, ...] = tuple([] for _ in range(8))
-        for text, n1, n2, found in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            raw = text.encode("utf-8")
+        for raw, n1, n2, found in zip(*(batch.column(k).to_pylist() for k in range(4))):
             for x in found:
                 first, lead, more = x["at"] >> 20, (x["at"] >> 10) & 1023, x["at"] & 1023
                 for o, v in zip(out, (x["kh"], n1, n2, first, lead, x["target"], raw[first : first + more + length], x["different"])):
@@ -334,21 +348,28 @@ def fetched(wanted: DataFrame, plain: DataFrame, length: int) -> DataFrame:
         kinds = [*[pa.int64()] * 4, pa.int32(), pa.bool_(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["kh", "n1", "n2", "first", "lead", "target", "data", "different"])
 
-    joined = texts.join(lists, ["n1", "n2"]).select("text", "n1", "n2", "list")
+    joined = one_of_each_text(wanted, plain).join(lists, ["n1", "n2"]).select("text", "n1", "n2", "list")
     return map_slices(joined, kernel, f"{WORK}, different long", text_at=0)
 
 
+def open_groups(each: DataFrame, unsolved: F.Column) -> DataFrame:
+    """Cores with several contexts of which one is unsolved: kh and their number; settled, so that joins can split them."""
+    return settle(each.groupBy("kh").agg(F.count("*").alias("different"), F.max(unsolved).alias("open")).filter("different > 1 and open").select("kh", "different"), "groups")
+
+
 def repeated_spans(plain: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Byte ranges covered by repeated strings, by the text's name: n1, n2, lo, hi. plain: text, n1, n2."""
-    table = settle(met_twice(settle(anchor_table(plain, length), "anchors")), "anchors-met")
+    """Byte ranges covered by repeated strings, by the text's name: n1, n2, lo, hi. plain: text (binary), n1, n2."""
+    table = settle(anchors_met(plain, length), "anchors-met")
     each = settle(table.groupBy("u1", "u2").agg(F.count("*").alias("c"), *(F.min(x).alias(x) for x in ("kh", "n1", "n2", "at"))), "contexts")
-    groups = each.groupBy("kh").agg(F.count("*").alias("different"), F.max(F.col("c") == 1).alias("open")).filter("different > 1 and open")
+    groups = open_groups(each, F.col("c") == 1)
     whole = settle(table.join(each.filter("c > 1").select("u1", "u2"), ["u1", "u2"], "left_semi"), "contexts-met")
     spans = whole.select("n1", "n2", F.expr(FIRST).alias("lo"), F.expr(f"{FIRST} + {MORE} + {length}").alias("hi")).distinct()
     one = whole.dropDuplicates(["u1", "u2"]).select("kh", "n1", "n2", "at", F.lit(False).alias("target"))
     own = each.filter("c = 1").select("kh", "n1", "n2", "at", F.lit(True).alias("target"))
-    wanted = settle(own.unionByName(one).join(groups.select("kh", "different"), "kh"), "wanted")
+    wanted = settle(own.unionByName(one).join(groups, "kh"), "wanted")
     work = settle(fetched(wanted, plain, length), "work")
+    forget(table, each, groups, wanted)
+    held = [whole, work]
     for windows in RUNS:
         few = F.col("different") <= GROUP
         spans = spans.unionByName(sort_groups(work.filter(few).drop("different"), length))
@@ -356,16 +377,65 @@ def repeated_spans(plain: DataFrame, length: int = LENGTH) -> DataFrame:
         if many.isEmpty():
             break
         cut = settle(cut_contexts(many, windows, length), "cut")
-        each = cut.groupBy("u1", "u2").agg(F.count("*").alias("c"), F.min("kh").alias("kh"), F.max("target").alias("target"))
-        each = settle(each, "cut-contexts")
+        each = settle(cut.groupBy("u1", "u2").agg(F.count("*").alias("c"), F.min("kh").alias("kh"), F.max("target").alias("target")), "cut-contexts")
         again = each.filter("c > 1").select("u1", "u2")
         met = cut.filter("target").join(again, ["u1", "u2"], "left_semi")
         spans = spans.unionByName(met.select("n1", "n2", F.col("first").alias("lo"), (F.col("first") + F.length("data")).alias("hi")))
-        groups = each.groupBy("kh").agg(F.count("*").alias("different"), F.max((F.col("c") == 1) & F.col("target")).alias("open")).filter("different > 1 and open")
-        state = each.select("u1", "u2", F.col("c"))
-        work = cut.dropDuplicates(["u1", "u2"]).join(state, ["u1", "u2"]).withColumn("target", F.col("target") & (F.col("c") == 1)).drop("u1", "u2", "c").join(groups.select("kh", "different"), "kh")
+        groups = open_groups(each, (F.col("c") == 1) & F.col("target"))
+        state = each.join(groups, "kh").select("u1", "u2", "c", "different")
+        work = cut.dropDuplicates(["u1", "u2"]).join(state, ["u1", "u2"]).withColumn("target", F.col("target") & (F.col("c") == 1))
         work = settle(work.select("kh", "n1", "n2", "first", "lead", "target", "data", "different"), "work")
-    return settle(spans, "spans")
+        held += [cut, each, groups, work]
+    out = settle(spans, "spans")
+    forget(*held)
+    return out
+
+
+def repeated_runs(rows: DataFrame, length: int, longer: int | None = None) -> DataFrame:
+    """By the text's name: n1, n2, runs (maximal ranges that repeated strings of `length` bytes cover) and, with a longer
+    length, removed (the same for that length; null where there are none). rows: text (binary), n1, n2. Settled."""
+    spans = repeated_spans(rows, length)
+    runs = spans.groupBy("n1", "n2").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    kind = "array<struct<lo:long,hi:long>>"
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = [union_of([(x["lo"], x["hi"]) for x in found]) for found in batch.column("runs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("n1"), batch.column("n2"), pa.array([[{"lo": a, "hi": b} for a, b in m] for m in merged], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["n1", "n2", "runs"])
+
+    runs = settle(runs.mapInArrow(joined, f"n1 long, n2 long, runs {kind}"), "runs")
+    forget(spans)
+    if longer is None:
+        return runs
+    enough = runs.select("n1", "n2", F.filter("runs", lambda x: x["hi"] - x["lo"] >= longer).alias("runs")).filter(F.size("runs") > 0)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: tuple[list, ...] = tuple([] for _ in range(5))
+        for raw, n1, n2, copies, found in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for x in found:
+                for o, v in zip(out, (raw[x["lo"] : x["hi"]], n1, n2, copies, x["lo"])):
+                    o.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), *[pa.int64()] * 4))], ["text", "t1", "t2", "copies", "base"])
+
+    pieces = one_of_each_text(enough, rows).join(enough, ["n1", "n2"]).select("text", "n1", "n2", "copies", "runs")
+    pieces = settle(named(map_slices(pieces, cut, "text binary, t1 long, t2 long, copies long, base long", text_at=0)), "long-runs")
+    within = repeated_spans(pieces.select("text", "n1", "n2"), longer)
+    # A text that occurs more than once repeats wherever it is long enough.
+    spread = within.join(pieces.select("n1", "n2", "t1", "t2", "base"), ["n1", "n2"]).select(F.col("t1").alias("n1"), F.col("t2").alias("n2"), (F.col("base") + F.col("lo")).alias("lo"), (F.col("base") + F.col("hi")).alias("hi"))
+    whole = pieces.filter("copies > 1").select(F.col("t1").alias("n1"), F.col("t2").alias("n2"), F.col("base").alias("lo"), (F.col("base") + F.length("text")).alias("hi"))
+    removed = settle(spread.union(whole).groupBy("n1", "n2").agg(F.collect_set(F.struct("lo", "hi")).alias("removed")), "removed")
+    out = settle(runs.join(removed, ["n1", "n2"], "left"), "runs-both")
+    forget(runs, within, pieces, removed)
+    return out
+
+
+def words_in(raw: bytes) -> int:
+    return len(re.findall(rb"[^\x20\x09-\x0D]+", raw))
+
+
+def passages(raw: bytes, runs: list[tuple[int, int]], words: int = PASSAGE_WORDS, length: int = LENGTH) -> list[tuple[int, int]]:
+    """The runs that hold over so many words, or `length` bytes whatever they hold (text without spaces)."""
+    return [(a, b) for a, b in runs if b - a >= length or words_in(raw[a:b]) > words]
 
 
 def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -387,47 +457,58 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def map_with_spans(df: DataFrame, text_col: str, length: int, kernel: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema) -> DataFrame:
-    """kernel(rows, spans) over df's rows; spans holds each row's ranges, None if it has none.
+def map_with_runs(df: DataFrame, text_col: str, length: int, longer: int | None, kernel: Callable[[pa.RecordBatch, list[dict]], pa.RecordBatch], schema) -> DataFrame:
+    """kernel(rows, found) over df's rows; found holds each row's runs and removed (see repeated_runs), {} if it has none.
 
-    Rows without any are not shuffled, and pass the Bloom filter and the kernel in one worker."""
-    rows = named(df, text_col, "__")
-    spans = repeated_spans(named(df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))), length)
-    lists = settle(spans.groupBy(F.col("n1").alias("__n1"), F.col("n2").alias("__n2")).agg(F.collect_set(F.struct("lo", "hi")).alias("__spans")), "span-lists")
-    table = df.sparkSession.sparkContext.broadcast(bloom(lists.select("__n1"), "__n1", table_bits(df, BYTES_PER_BIT, *BLOOM_BITS)))
-    names, n, text_at = df.columns, len(df.columns), df.columns.index(text_col)
+    Rows without any are not shuffled, and pass the Bloom filter and the kernel in one worker. The columns of df are
+    carried under names of their own, so none can clash."""
+    columns, n, text_at = df.columns, len(df.columns), df.columns.index(text_col)
+    plain = df.toDF(*(f"c{k}" for k in range(n)))
+    rows = named(plain, f"c{text_at}")
+    texts = named(plain.select(F.coalesce(F.col(f"c{text_at}").cast("string"), F.lit("")).alias("text"))).select(F.col("text").cast("binary").alias("text"), "n1", "n2")
+    lists = repeated_runs(texts, length, longer)
+    table = df.sparkSession.sparkContext.broadcast(bloom(lists.select("n1"), "n1", table_bits(df, BYTES_PER_BIT, *BLOOM_BITS)))
+    kept = [f"c{k}" for k in range(n)]
+    extra = [c for c in lists.columns if c not in ("n1", "n2")]
 
     def with_lists(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = pa.RecordBatch.from_arrays(batch.columns[:n], names)
-        return kernel(own, batch.column(n).to_pylist() if batch.schema.names[n] == "__spans" else [None] * batch.num_rows)
+        own = pa.RecordBatch.from_arrays(batch.columns[:n], columns)
+        if batch.schema.names[n] == "n1":
+            return kernel(own, [{}] * batch.num_rows)
+        return kernel(own, [dict(zip(extra, x)) for x in zip(*(batch.column(c).to_pylist() for c in extra))])
 
     free = map_slices(rows, with_lists, schema, text_at, first=sifter(table, False, n))
-    held = sift(rows, table, True, n).join(lists, ["__n1", "__n2"], "left").select(*names, "__spans")
+    held = sift(rows, table, True, n).join(lists, ["n1", "n2"], "left").select(*kept, *extra)
     return free.unionByName(map_slices(held, with_lists, schema, text_at))
 
 
-def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans and the digest of the remaining bytes."""
+def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, words: int = PASSAGE_WORDS) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans and the digest of the remaining bytes, for strings of `length` bytes;
+    n_passages and passage_bytes count the repeated passages of over `words` words, which shorter strings make."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"]
+    short = min(length, passage)
+    cut_by = "removed" if length > short else "runs"
 
-    def kernel(batch: pa.RecordBatch, lists: list) -> pa.RecordBatch:
-        sizes, removed, counts, kept = [], [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), lists):
+    def kernel(batch: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
+        out: tuple[list, ...] = tuple([] for _ in range(6))
+        for text, x in zip(batch.column(1).to_pylist(), found):
             raw = (text or "").encode("utf-8")
-            runs = union_of([(x["lo"], x["hi"]) for x in spans or ()])
-            rest = without(raw, runs)
-            sizes.append(len(raw))
-            removed.append(len(raw) - len(rest))
-            counts.append(len(runs))
-            kept.append(sha(rest))
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            cut = union_of([(s["lo"], s["hi"]) for s in x.get(cut_by) or ()])
+            rest = without(raw, cut)
+            held = passages(raw, [(s["lo"], s["hi"]) for s in x.get("runs") or ()], words, length)
+            for o, v in zip(out, (len(raw), len(raw) - len(rest), len(cut), sha(rest), len(held), sum(b - a for a, b in held))):
+                o.append(v)
+        kinds = [pa.string() if n == "kept_sha256" else pa.int64() for n in names[1:]]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, t) for o, t in zip(out, kinds))], names)
 
-    return map_with_spans(id_text(df, id_col, text_col), "text", length, kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_with_runs(id_text(df, id_col, text_col), "text", short, length if length > short else None, kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long")
 
 
-def clean_documents(df: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
+def clean_documents(df: DataFrame, length: int = PASSAGE, words: int = PASSAGE_WORDS, text_col: str = "text") -> DataFrame:
     """df with repeated passages cut from its text, whole code points only; a row whose text is used up is dropped.
 
-    n_chars follows where it exists; rows that had no text or an empty one stay as they are."""
+    A passage is a maximal run of repeated strings of `length` bytes that holds over `words` words, or LENGTH bytes. n_chars
+    follows where it exists; rows that had no text or an empty one stay as they are."""
     at, columns = df.columns.index(text_col), df.columns
 
     def whole_points(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -440,17 +521,17 @@ def clean_documents(df: DataFrame, length: int = LENGTH, text_col: str = "text")
             out.append((lo, hi))
         return out
 
-    def kernel(batch: pa.RecordBatch, lists: list) -> pa.RecordBatch:
+    def kernel(batch: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
         texts, keep = [], []
-        for text, spans in zip(batch.column(at).to_pylist(), lists):
-            if spans:
-                raw = text.encode("utf-8")
-                rest = without(raw, whole_points(raw, union_of([(x["lo"], x["hi"]) for x in spans]))).decode("utf-8")
-                keep.append(bool(rest.strip()))
-                texts.append(rest)
+        for text, x in zip(batch.column(at).to_pylist(), found):
+            raw = text.encode("utf-8") if x.get("runs") else b""
+            cut = passages(raw, [(s["lo"], s["hi"]) for s in x.get("runs") or ()], words)
+            if cut:
+                text = without(raw, whole_points(raw, cut)).decode("utf-8")
+                keep.append(bool(text.strip()))
             else:
                 keep.append(True)
-                texts.append(text)
+            texts.append(text)
         out = list(batch.columns)
         out[at] = pa.array(texts, pa.string())
         if "n_chars" in columns:
@@ -458,4 +539,4 @@ def clean_documents(df: DataFrame, length: int = LENGTH, text_col: str = "text")
             out[k] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.field(k).type)
         return pa.RecordBatch.from_arrays(out, columns).filter(pa.array(keep, pa.bool_()))
 
-    return map_with_spans(df, text_col, length, kernel, df.schema)
+    return map_with_runs(df, text_col, length, None, kernel, df.schema)

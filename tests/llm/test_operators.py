@@ -330,8 +330,11 @@ def test_ngram_join_hot_buckets(spark, monkeypatch):
         assert sorted(map(tuple, got)) == sorted(jaccard_components(rows, 3, num, 100))
 
 
-def test_ngram_join_finds_every_link(spark, docs, rows, monkeypatch):
+@pytest.mark.parametrize("share", [1 / 16, 1e9])
+def test_ngram_join_finds_every_link(spark, docs, rows, monkeypatch, share):
+    # Blocks of four classes; dense components by blocks in a kernel (the default share) or by the join of prefixes.
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "DENSE_SHARE", share)
     r = random.Random(8)
     base = [f"w{i}" for i in range(60)]
     near = [(i, " ".join(w if r.random() > 0.03 else f"e{r.randint(0, 9)}" for w in base)) for i in range(60)] + [(90, " ".join(base))] * 3
@@ -346,10 +349,25 @@ def test_ngram_join_finds_every_link(spark, docs, rows, monkeypatch):
         assert sorted((x["doc_id"], x["n_links"]) for x in got.collect()) == sorted(want)
         different = list(set(sets))
         pairs = sum(linked(different[i], different[j]) for i in range(len(different)) for j in range(i))
-        found = ngram_join.linked_sets(df, 3, num, 100).collect()
-        assert pairs > 1 and len(found) == len({frozenset(x) for x in found}) == pairs
-        fewer = ngram_join.near_duplicates(df, 3, num, 100, count_links=False)
-        assert sorted((x["doc_id"], x["component_id"]) for x in fewer.collect()) == sorted((x["doc_id"], x["component_id"]) for x in got.collect())
+        if share == 1e9 and data is near:
+            found = ngram_join.linked_sets(df, 3, num, 100).collect()
+            assert pairs > 1 and len(found) == len({frozenset(x) for x in found}) == pairs
+            fewer = ngram_join.near_duplicates(df, 3, num, 100, count_links=False)
+            assert sorted((x["doc_id"], x["component_id"]) for x in fewer.collect()) == sorted((x["doc_id"], x["component_id"]) for x in got.collect())
+
+
+def test_links_between_blocks():
+    r = random.Random(15)
+    base = list(range(1000, 1200))
+    sets = [np.array(sorted({x if r.random() > 0.05 else r.randint(0, 900) for x in base[: r.choice((150, 200))]}), np.uint64) for _ in range(40)]
+    order = lambda s: s[: len(s) - -(-len(s) * 8 // 10) + 1].view(np.int64).tolist()
+    columns = lambda part: {"n": [len(s) for s in part], "w": [1 + len(s) % 3 for s in part], "tokens": [order(s) for s in part], "sums": [ngram_join.histogram(s << np.uint64(40)) for s in part], "grams": [s.tobytes() for s in part]}
+    linked = lambda a, b: 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b))
+    one, two = ngram_join.links_between(columns(sets[:25]), columns(sets[25:]), 8, 10)
+    assert one.tolist() == [sum((1 + len(b) % 3) * linked(a, b) for b in sets[25:]) for a in sets[:25]] and sum(one) > 0
+    assert two.tolist() == [sum((1 + len(b) % 3) * linked(a, b) for b in sets[:25]) for a in sets[25:]]
+    one, _ = ngram_join.links_between(columns(sets), None, 8, 10)
+    assert one.tolist() == [sum((1 + len(b) % 3) * linked(a, b) for k, b in enumerate(sets) if k != i) for i, a in enumerate(sets)]
 
 
 def test_one_of_each(docs, empty, rows):
@@ -360,26 +378,48 @@ def test_one_of_each(docs, empty, rows):
     assert ngram_join.one_of_each(empty).count() == 0
 
 
-def brute_repeats(rows, length):
-    seen = collections.Counter()
-    raws = [(i, (t or "").encode()) for i, t, *_ in rows]
-    for _, b in raws:
-        for j in range(len(b) - length + 1):
-            seen[b[j : j + length]] += 1
-    out = []
-    for i, b in raws:
+def brute_runs(raws, length):
+    """The maximal ranges of each byte string that strings of so many bytes which also start elsewhere cover."""
+    seen = collections.Counter(b[j : j + length] for b in raws for j in range(len(b) - length + 1))
+    for b in raws:
         mark = np.zeros(len(b) + 1, np.int64)
         for j in range(len(b) - length + 1):
             if seen[b[j : j + length]] > 1:
                 mark[j] += 1
                 mark[j + length] -= 1
-        covered = np.cumsum(mark)[: len(b)] > 0
-        kept = np.frombuffer(b, np.uint8)[~covered].tobytes()
-        spans = int((np.diff(np.concatenate([[0], covered.astype(int)])) == 1).sum())
-        out.append((i, len(b), int(covered.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        edges = np.diff(np.concatenate([[0], (np.cumsum(mark)[: len(b)] > 0).astype(int), [0]]))
+        yield list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()))
+
+
+def cut_out(b, runs):
+    return b"".join(b[x:y] for x, y in zip([0, *(y for _, y in runs)], [*(x for x, _ in runs), len(b)]))
+
+
+def long_passages(b, runs, words=50, length=400):
+    return [(x, y) for x, y in runs if y - x >= length or len(re.findall(rb"[^\x20\x09-\x0D]+", b[x:y])) > words]
+
+
+def brute_repeats(rows, length, passage=250):
+    raws = [(t or "").encode() for _, t, *_ in rows]
+    out = []
+    for (i, *_), b, runs, shorter in zip(rows, raws, brute_runs(raws, length), brute_runs(raws, min(length, passage))):
+        held = long_passages(b, shorter, length=length)
+        out.append((i, len(b), sum(y - x for x, y in runs), len(runs), hashlib.sha256(cut_out(b, runs)).hexdigest(), len(held), sum(y - x for x, y in held)))
     return sorted(out)
 
 
+def brute_clean(rows):
+    """(id, text) of what clean_documents leaves, for texts of one byte a character."""
+    raws = [(t or "").encode() for _, t, *_ in rows]
+    out = []
+    for (i, t, *_), b, runs in zip(rows, raws, brute_runs(raws, 250)):
+        held = long_passages(b, runs)
+        left = cut_out(b, held).decode() if held else t
+        if not held or left.strip():
+            out.append((i, left))
+    return out
+
+
 @pytest.mark.parametrize("length,group", [(400, 64), (100, 64), (100, 1)])
 def test_suffix_dedup(docs, rows, monkeypatch, length, group):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
@@ -388,11 +428,43 @@ def test_suffix_dedup(docs, rows, monkeypatch, length, group):
 
 def test_suffix_dedup_edges(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
+    assert suffix_dedup.clean_documents(empty).count() == 0
     out = suffix_dedup.clean_documents(docs)
     assert out.columns == docs.columns
     assert {r["doc_id"] for r in docs.filter("text is null or length(text) < 100").collect()} <= {r["doc_id"] for r in out.collect()}
 
 
+def test_passages_of_over_fifty_words_are_cut(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    long, short, wide = prose(52), prose(49), "".join(r.choice("abcdefgh") for _ in range(450))
+    assert 250 < len(long) < 400 and len(short) > 250
+    texts_ = [prose(40) + " " + p + " " + prose(30) for p in (long, long, short, short, wide, wide)] + [prose(90) for _ in range(5)] + [long, long, None, "", short + " " + long]
+    rows_ = list(enumerate(texts_))
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(2)
+    want = brute_clean(rows_)
+    got = sorted(map(tuple, suffix_dedup.clean_documents(df).collect()))
+    assert got == want and not any(long in (t or "") or wide in (t or "") for _, t in got) and sum(short in (t or "") for _, t in got) == 2  # the last one's touches a passage that goes
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(df).collect())) == brute_repeats(rows_, 400)
+
+
+def test_long_texts_are_read_in_segments(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ANCHOR_BYTES", 700)
+    r = random.Random(22)
+    passage = "".join(r.choice("abcd ") for _ in range(900))
+    noise = lambda n: "".join(r.choice("efgh ") for _ in range(n))
+    rows_ = list(enumerate([noise(r.randint(10, 3000)) + passage[r.randint(0, 300) :] + noise(r.randint(0, 2000)) for _ in range(12)]))
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    # The segments are set where the kernels are made, and hold for one text alone as well.
+    data = np.frombuffer(passage.encode() * 3, np.uint8)
+    with np.errstate(over="ignore"):
+        row, first, lead, more, _ = suffix_dedup.anchors_of(data, np.array([0, 900, 2700]), 400)
+    covered = sorted(x for a, m in zip(first.tolist(), more.tolist()) for x in range(a, a + m + 1))
+    assert covered == [*range(501), *range(900, 2301)] and set(row.tolist()) == {0, 1}
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(df).collect())) == brute_repeats(rows_, 400)
+
+
 def test_sorted_suffixes():
     r = np.random.default_rng(2)
     texts_ = [r.integers(97, 100, r.integers(1, 30), dtype=np.uint8).tobytes() for _ in range(200)]

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from kinetrail.llm import ngram_join, secrets
-from tests.llm.test_operators import brute_repeats, jaccard_components, sentence
+from tests.llm.test_operators import brute_clean, jaccard_components, sentence
 
 
 def make(spark, path):
@@ -34,12 +34,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     kept = [(i, t) for i, t in kept if low[i] == i]
     step = corpus_pipeline.STAGES[1][1](spark, step, str(tmp_path))
     assert sorted(r["doc_id"] for r in step.collect()) == [i for i, _ in kept]
-    removed = {i: n for i, _, n, _, _ in brute_repeats(kept, 400)}
     step = corpus_pipeline.STAGES[2][1](spark, step, str(tmp_path))
     after = {r["doc_id"]: r["text"] for r in step.collect()}
-    assert sum(n > 0 for n in removed.values()) == 3
-    for i, t in kept:
-        assert len(after[i].encode()) >= len(t.encode()) - removed[i] and (removed[i] or after[i] == t)
+    assert after == dict(brute_clean(kept)) and sum(after[i] != t for i, t in kept) == 3
     step = corpus_pipeline.STAGES[3][1](spark, step, str(tmp_path))
     clean = {r["doc_id"]: r["text"] for r in step.collect()}
     assert clean == {i: secrets.redact(t) for i, t in after.items()}
