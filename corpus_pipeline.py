@@ -23,7 +23,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix-array dedup: passages of 400 bytes and more that occur elsewhere are cut."""
+    """Suffix-array dedup: passages of over 50 words, or of 400 bytes, that occur elsewhere are cut."""
     return suffix_dedup.clean_documents(docs)
 
 

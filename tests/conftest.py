@@ -5,8 +5,8 @@ from pyspark.sql import SparkSession
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master("local[2]").appName("tests")
-        .config("spark.sql.shuffle.partitions", "3").config("spark.default.parallelism", "2").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[4]").appName("tests")
+        .config("spark.sql.shuffle.partitions", "3").config("spark.default.parallelism", "4").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "3g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
