@@ -5,9 +5,10 @@ n-grams (four down to one, with word edges marked) of which the model knows any,
 A document's scores are the sums over its words; the best language wins, and the score is its posterior probability.
 
 Fitting uses at most about `fit_rows` labelled rows (a documented bound; chosen by a hash of the id among rows whose
-crc32(id) mod 5 is not 0), and keeps every word and n-gram that a language has `LEAST_COUNT` times or more in them, so
-the bound on the sample is the only one on the model. It is fetched and sent in Arrow columns and a float32 table; the
-driver makes no Python object of an entry. Prediction reads all rows and whole texts, and the text alone.
+crc32(id) mod 5 is not 0), and keeps every word and n-gram that they hold `LEAST_COUNT` times or more, in whatever
+languages, with its counts in all of them: the bound on the sample is the only one on the model. It is fetched and sent in Arrow columns and a float32 table; the
+driver makes no Python object of an entry. Prediction reads all rows and whole texts, and the text alone: the white-space runs of a slice of texts are made
+distinct in Arrow, each distinct one is scored once, and a gather and a sum give the documents' scores.
 
 Defined results: null texts and texts without a letter are `und` with score 0. If nothing can be learned (an empty
 table or no labels) every row is `und`. Ties go to the alphabetically first language. Repeated rows repeat.
@@ -70,8 +71,11 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     if n > fit_rows:  # the fitting sample; its bound is fit_rows
         usable = usable.filter(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 40)) < int((1 << 40) * (fit_rows / n)))
     counted = usable.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_count, "lang string, n int, gram string, c long")
-    summed = counted.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).filter(F.col("c") >= LEAST_COUNT)
-    return build(summed.select("lang", F.concat(F.col("n").cast("string"), "gram").alias("entry"), "c").toArrow())
+    summed = counted.groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
+    # A list of a gram's languages is as long as there are languages.
+    whole = summed.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.collect_list(F.struct("lang", "c")).alias("by")).filter(F.col("total") >= LEAST_COUNT)
+    rows = whole.select(F.concat(F.col("n").cast("string"), "gram").alias("entry"), F.explode("by").alias("x"))
+    return build(rows.select("x.lang", "entry", "x.c").toArrow())
 
 
 def build(rows: pa.Table) -> dict:
@@ -125,23 +129,32 @@ class Predictor:
         self.rows[run] = i
         return i
 
-    def predict(self, text: str) -> tuple[str, float]:
-        runs = text.lower().split()
-        if not self.langs or not LETTERS.search(text):
-            return UNDETERMINED, 0.0
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """The summed word scores of every text."""
         if len(self.rows) > CACHE_ENTRIES:
             self.fresh()
-        get = self.rows
-        try:
-            at = np.fromiter(map(get.__getitem__, runs), np.int64, len(runs))
-        except KeyError:
-            for r in runs:
-                if r not in get:
-                    self.row(r)
-            at = np.fromiter(map(get.__getitem__, runs), np.int64, len(runs))
-        total = self.table[at].sum(axis=0, dtype=np.float64)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        split = pa.compute.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        coded = split.values.dictionary_encode()
+        known, rows = self.rows.get, []
+        for run in coded.dictionary.to_pylist():
+            i = known(run)
+            rows.append(self.row(run) if i is None else i)
+        each = self.table[np.array(rows, np.int64)[np.asarray(coded.indices)]] if rows else self.table[:0]
+        sums = np.zeros((len(each) + 1, len(self.langs)))
+        np.cumsum(each, axis=0, dtype=np.float64, out=sums[1:])
+        offsets = np.asarray(split.offsets)
+        # Differences of running sums over a slice's texts: scores of some 1e6 keep nine digits behind the point.
+        return sums[offsets[1:]] - sums[offsets[:-1]]
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        """Language and posterior probability of each text; of equal scores the first language's wins."""
+        if not self.langs:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        total = np.round(self.scores(texts), 6)
+        best = total.argmax(axis=1)
+        sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        blank = [not LETTERS.search(t) for t in texts]
+        return [UNDETERMINED if b else self.langs[k] for b, k in zip(blank, best.tolist())], [0.0 if b else x for b, x in zip(blank, sure.tolist())]
 
 
 _predictors: dict[str, Predictor] = {}
@@ -159,9 +172,8 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         if name not in _predictors:
             _predictors.clear()
             _predictors[name] = Predictor(sent.value)
-        p = _predictors[name]
-        got = [p.predict(t) for t in texts_of(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        langs, scores = _predictors[name].predict(texts_of(batch.column(1)))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
     return map_slices(plain, kernel, SCHEMA)
@@ -177,11 +189,10 @@ def keep_identified(df: DataFrame, least: float = 0.5, id_col: str = "doc_id", t
         if name not in _predictors:
             _predictors.clear()
             _predictors[name] = Predictor(sent.value)
-        p = _predictors[name]
-        got = [p.predict(t) for t in texts_of(batch.column(at))]
+        langs, scores = _predictors[name].predict(texts_of(batch.column(at)))
         columns = list(batch.columns)
-        columns[lang_at] = pa.compute.coalesce(columns[lang_at], pa.array([g[0] for g in got], pa.string()).cast(columns[lang_at].type))
+        columns[lang_at] = pa.compute.coalesce(columns[lang_at], pa.array(langs, pa.string()).cast(columns[lang_at].type))
         out = pa.RecordBatch.from_arrays(columns, batch.schema.names)
-        return out.filter(pa.array([g[0] != UNDETERMINED and g[1] >= least for g in got], pa.bool_()))
+        return out.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(langs, scores)], pa.bool_()))
 
     return map_slices(df, kernel, df.schema, text_at=at)
