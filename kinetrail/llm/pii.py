@@ -3,12 +3,13 @@
 Method: a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled spans (written-out
 examples of the kinds in many notations, and of what looks like them but isn't). A text is read around its triggers: a
 span must hold a digit, an at sign or a written-out one, so text further away can hold none. A region reaches over the
-whole tokens beside its triggers, however long, and a margin more. Each region is cut into windows of `WINDOW` characters that overlap by half; emissions of overlapping windows are averaged, weighted by the
-distance to the window's edge, and one Viterbi pass over the region reconciles them globally. Spans the tagger adds must
+whole tokens beside its triggers, however long, and a margin more. Each region is cut into windows of `WINDOW` characters
+that overlap by half; emissions of overlapping windows are averaged, weighted by the distance to the window's edge, and
+one Viterbi pass over the region reconciles them globally. Spans the tagger adds must
 be well formed for their kind and not overlap a base span; base spans always stay.
 
 Defined results: null counts as the empty text, which has no spans. Spans are code points, end exclusive, ordered by
-start and then kind (email, ip, card, phone). The counts are of base spans; n_model counts added ones. Equal texts
+start and then kind (email, ip, card, phone). The counts are of base spans; n_model counts added ones, n_spans all. Equal texts
 have equal results; repeated rows repeat. Only the id and text columns are read.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ WINDOW, MARGIN = 64, 24
 TRIGGER = re.compile(r"[0-9@]|[(\[{]at[)\]}]|[(\[{]?\bdot\b[)\]}]?", re.I)
 #: Characters of an e-mail's local part or domain; a region doesn't end within a run of them.
 TOKEN = re.compile(r"[A-Za-z0-9._%+-]*+")
-EXAMPLES, EPOCHS, SEED = 1500, 8, 42
+EXAMPLES, EPOCHS, SEED = 2500, 8, 42
 
 
 def luhn(digits: str) -> bool:
@@ -96,8 +98,8 @@ def examples(n: int = EXAMPLES, seed: int = SEED, window: int = WINDOW) -> tuple
         return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
 
     def email() -> str:
-        user = word() + r.choice(("", ".", "_", "-")) + r.choice(("", word(), num(2)))
-        at, dot = r.choice((("@", "."), ("@", "."), (" (at) ", " dot "), ("[at]", "[dot]"), (" @ ", "."), (" (at) ", ".")))
+        user = word() + r.choice((".", ".", "_", "-", "")) + r.choice(("", word(), num(2)))
+        at, dot = r.choice((("@", "."), ("@", "."), (" (at) ", " dot "), ("[at]", "[dot]"), (" @ ", "."), (" (at) ", "."), (" (AT) ", " DOT "), (" [at] ", " [dot] "), ("{at}", "{dot}")))
         return user.strip("._-") + at + word() + r.choice(("", num(1))) + dot + r.choice(("com", "org", "net", "example.com", "co.uk"))
 
     def phone() -> str:
@@ -223,10 +225,10 @@ def spans_of(path: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def find(texts: list[str], tagger: Tagger) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
-    """Base spans and added spans of each text."""
+def find(texts: list[str], tagger: Tagger, near: Callable[[str], list[tuple[int, int]]] = regions) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """Base spans and added spans of each text. `near` names the parts of a text that the tagger reads."""
     based = [base_spans(t) for t in texts]
-    where = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
+    where = [(i, a, b) for i, t in enumerate(texts) for a, b in near(t)]
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for (i, a, b), path in zip(where, tag_regions(tagger, [texts[i][a:b] for i, a, b in where])):
         for s, k, e in spans_of(path):
@@ -242,7 +244,7 @@ def spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join([f"{KINDS[k]}:{a}:{b}" for a, k, b in spans])
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_model long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_model long, n_spans long, base_sha256 string, spans string"
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,14 +252,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     sent = df.sparkSession.sparkContext.broadcast(trained())
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns: tuple[list[int], ...] = ([], [], [], [], [])
+        columns: tuple[list[int], ...] = ([], [], [], [], [], [])
         digests, spelled = [], []
         for base, added in find(texts_of(batch.column(1)), sent.value):
             for k, c in enumerate(columns[:4]):
                 c.append(sum(s[1] == k for s in base))
             columns[4].append(len(added))
+            columns[5].append(len(base) + len(added))
             digests.append(sha(spell(base).encode()))
             spelled.append(spell(sorted(base + added)))
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(digests, pa.string()), pa.array(spelled, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_model", "base_sha256", "spans"])
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(digests, pa.string()), pa.array(spelled, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_model", "n_spans", "base_sha256", "spans"])
 
     return map_slices(id_text(df, id_col, text_col), kernel, SCHEMA)

@@ -23,10 +23,16 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
 
 
+def _outer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The outer products of the last axes, summed over all others (in one thread: a matrix product of this shape would
+    wake as many as there are cores, whoever uses them)."""
+    return np.einsum("tbx,tby->xy", x, y)
+
+
 class Tagger:
     """labels: names; label 0 is outside, then a begin and an inside label for each kind."""
 
-    def __init__(self, kinds: int, hidden: int = 20, width: int = 12, seed: int = 7):
+    def __init__(self, kinds: int, hidden: int = 24, width: int = 12, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.hidden, self.labels = hidden, 1 + 2 * kinds
         scale = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
@@ -70,7 +76,7 @@ class Tagger:
             da[t] = np.concatenate([dc * z * i * (1 - i), dc * last * f * (1 - f), ds * q * g * (1 - g), dc * i * (1 - z * z)], axis=1)
             into[f"r{d}"] += before.T @ da[t]
             ds, dc = da[t] @ r.T, dc * f
-        into[f"w{d}"] += np.einsum("tbx,tby->xy", x, da)
+        into[f"w{d}"] += _outer(x, da)
         into[f"o{d}"] += da.sum(axis=(0, 1))
         return da @ w.T
 
@@ -109,7 +115,7 @@ class Tagger:
                 grads["t"] += pair
         dem /= rows
         grads["t"] /= rows
-        grads["u"] += np.einsum("tbx,tby->xy", both, dem)
+        grads["u"] += _outer(both, dem)
         grads["c"] += dem.sum(axis=(0, 1))
         dh = dem @ self.p["u"].T
         h = self.hidden
