@@ -3,8 +3,9 @@
 Method: candidate strings are maximal runs of token characters. For each character class (lower-case hex; upper case
 and digits; base 64) a window slides over the parts of a candidate made of that class. Character counts change by one
 in and one out, and with them the sum of c*log2(c), so the Shannon entropy of each window costs O(1). Windows at or above
-the class's threshold merge into `entropy` spans, unless an allow-list entry covers the candidate: UUIDs, dates and
-version numbers, runs without a digit or without a letter, and placeholders.
+the class's threshold merge into `entropy` spans. The allow-list suppresses the part of a candidate that it matches, and
+the rest is still scanned: UUIDs, dates, and path or assignment parts with a placeholder's name are taken out first;
+a span without a digit or without a letter (words, plain numbers) is no finding.
 
 Defined results: null counts as the empty text, which has no spans. Spans are code points, end exclusive, ordered by
 start and then kind (assign, access, hex, entropy). Equal texts have equal results; repeated rows repeat. Only the id
@@ -37,14 +38,15 @@ CLASSES = (
     (re.compile(r"[0-9A-Z]{20,}"), 3.3),
     (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.6),
 )
-ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r"\d{4}-\d\d-\d\d(?:[-_/].*)?"),  # dated names
-    re.compile(r"[^0-9]*"),  # words, paths and rules without a digit
-    re.compile(r"[^A-Za-z]*"),  # plain numbers
-    re.compile(r"(?i:.*(?:example|placeholder|changeme|xxxxxx|0000000000|abcdefghij).*)"),
+#: Parts of a candidate that are no secret; what stands beside them is scanned.
+ALLOWED = re.compile(
+    r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}(?![0-9A-Za-z])"  # UUID
+    r"|(?<![0-9])\d{4}-\d\d-\d\d(?![0-9])"  # date
+    r"|[^/=]*(?i:example|placeholder|changeme|xxxxxx|0000000000|abcdefghij)[^/=]*"  # placeholder
 )
-_CLOGC = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
+#: A finding that is one of these as a whole is none: words, paths and rules without a digit; plain numbers.
+HARMLESS = re.compile(r"[^0-9]*|[^A-Za-z]*")
+_CLOGC = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]  # a count is one too high before the oldest goes
 
 
 def entropy_runs(part: str, threshold: float) -> list[tuple[int, int]]:
@@ -74,11 +76,20 @@ def entropy_runs(part: str, threshold: float) -> list[tuple[int, int]]:
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if any(a.fullmatch(run) for a in ALLOWED):
-            continue
-        found = sorted((m.start() + p.start() + a, m.start() + p.start() + b) for pattern, threshold in CLASSES for p in pattern.finditer(run) for a, b in entropy_runs(p.group(), threshold) if not any(x.fullmatch(run[p.start() + a : p.start() + b]) for x in ALLOWED))
-        for a, b in found:
+        run, at, parts = m.group(), 0, []
+        if HARMLESS.fullmatch(run):
+            continue  # so is each part of it
+        for allowed in ALLOWED.finditer(run):
+            parts.append((at, allowed.start()))
+            at = allowed.end()
+        parts.append((at, len(run)))
+        found = []
+        for begin, end in parts:
+            if end - begin >= WINDOW:
+                for pattern, threshold in CLASSES:
+                    for p in pattern.finditer(run, begin, end):
+                        found += [(p.start() + a, p.start() + b) for a, b in entropy_runs(p.group(), threshold)]
+        for a, b in sorted((m.start() + a, m.start() + b) for a, b in found if not HARMLESS.fullmatch(run, a, b)):
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], max(b, out[-1][1]))
             else:
@@ -106,22 +117,23 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     return base, sorted(base + [(a, 3, b) for a, b in entropy_spans(text)])
 
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, n_spans long, base_sha256 string, spans string"
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: counts by kind, the digest of the base spans and all spans spelled kind:start:end. No shuffle."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts: tuple[list[int], ...] = ([], [], [], [])
+        counts: tuple[list[int], ...] = ([], [], [], [], [])
         digests, spelled = [], []
         for text in texts_of(batch.column(1)):
             base, both = all_spans(text)
-            for k, c in enumerate(counts):
+            for k, c in enumerate(counts[:4]):
                 c.append(sum(s[1] == k for s in both))
+            counts[4].append(len(both))
             digests.append(sha(spell(base).encode()))
             spelled.append(spell(both))
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spelled, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"])
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spelled, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "n_spans", "base_sha256", "spans"])
 
     return map_slices(id_text(df, id_col, text_col), kernel, SCHEMA)
 
