@@ -4,8 +4,10 @@ Method: deterministic coin tossing. Symbols (bytes at first) are compared with t
 lowest differing bit plus that bit's value, and is itself relabelled until the alphabet has six letters. Strict local
 maxima of the labels begin phrases, so where a cut falls depends on a few symbols around it alone; a phrase is named by a
 hash of its symbols, and the names are parsed again. Equal substrings therefore share their interior names whatever
-their offset. A fingerprint is the `size` smallest (scrambled) names of the third level: two fingerprints estimate the
-Jaccard likeness of the two name sets. In a run of equal symbols the labels are 0, so it lies within one phrase.
+their offset. A fingerprint is the `size` first names in an order that all texts share: third-level names first, then
+those of the second and the first level, each by their scrambled value. So a long text is told by names of its longest
+phrases, and a short one, which has few of them, by names of its shorter phrases too; two fingerprints estimate the
+Jaccard likeness of the two sets' first names. In a run of equal symbols the labels are 0, so it lies within one phrase.
 
 The next document is that of the next row by (id, hash of text, text), nulls first, and after the last the first. Rows
 are range-partitioned by that order; a partition's last row meets the next partition's first row in a second, tiny step
@@ -93,19 +95,25 @@ def parse(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(data: np.ndarray, offsets: np.ndarray, levels: int = LEVELS, size: int = SIZE) -> list[np.ndarray]:
-    """The smallest 32-bit names of every text, ascending."""
+    """The first `size` names of every text, as 32-bit numbers, ascending. At most four levels fit the order."""
     lengths = np.diff(offsets)
     full = np.flatnonzero(lengths)
     out = [np.zeros(0, np.uint32)] * len(lengths)
     if not len(full):
         return out
-    x, starts = data, offsets[full]
-    for _ in range(levels):
+    x, starts, parsed = data, offsets[full], []
+    for k in range(levels):
         x, starts = parse(x, starts)
-    small = (mix(x) >> _U(32)).astype(np.uint32)
-    ends = np.append(starts[1:], len(x))
-    for i, a, b in zip(full.tolist(), starts.tolist(), ends.tolist()):
-        out[i] = np.unique(small[a:b])[:size]
+        # Two bits of the order tell the level, the highest first; the others are the name's.
+        order = (mix(x) >> _U(34)).astype(np.uint32) | np.uint32((levels - 1 - k) << 30)
+        parsed.append((order, starts.tolist(), [*starts[1:].tolist(), len(x)]))
+    for n, i in enumerate(full.tolist()):
+        held = np.zeros(0, np.uint32)
+        for order, begins, ends in reversed(parsed):
+            held = np.concatenate([held, np.unique(order[begins[n] : ends[n]])])
+            if len(held) >= size:
+                break
+        out[i] = held[:size]
     return out
 
 
