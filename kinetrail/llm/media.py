@@ -8,8 +8,9 @@ its manifest; reading joins the listed digests to the chunk table, puts the chun
 the file's digest before any feature is computed.
 
 Which digests occur more often is first settled on digests alone; a Bloom filter of fixed bounds then tells the writing
-pass which chunks to keep in place (a false hit only moves a chunk to the table). Only rows with moved chunks are
-shuffled when reading.
+pass which chunks to keep in place (a false hit only moves a chunk to the table). Only files with moved chunks are
+shuffled when reading. Equal files are one file there: it's read back, verified and measured once, and its rows learn
+the result by its digest.
 
 Defined results: null counts as the empty text: 64 zero bytes. Equal texts have equal values; repeated rows repeat.
 Only the id and text columns are read. A file that doesn't verify stops the job.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,14 +142,11 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
 
 
 def assemble(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every file's bytes from its manifest: doc_id, n_bytes, media_sha256, manifest, parts (the chunks in order)."""
-    shared = files.filter("moved").select("media_sha256", "manifest", "kept").dropDuplicates(["media_sha256"])
+    """media_bytes, media_sha256, manifest, kept and found (moved chunks by digest) of every distinct file that has moved chunks."""
+    shared = settle(files.filter("moved").select("media_bytes", "media_sha256", "manifest", "kept").dropDuplicates(["media_sha256"]), "media-shared")
     listed = shared.select("media_sha256", F.explode(F.arrays_zip("manifest", "kept")).alias("x")).filter("x.kept is null").select("media_sha256", F.col("x.manifest").alias("digest")).distinct()
     found = listed.join(chunks, "digest").groupBy("media_sha256").agg(F.map_from_entries(F.collect_list(F.struct("digest", "data"))).alias("found"))
-    kind = "map<binary,binary>"
-    base = files.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "manifest", "kept", "moved")
-    alone = base.filter(~F.col("moved")).withColumn("found", F.lit(None).cast(kind))
-    return alone.unionByName(base.filter("moved").join(found, "media_sha256", "left").select(*base.columns, "found")).drop("moved")
+    return shared.join(found, "media_sha256", "left").select("media_bytes", "media_sha256", "manifest", "kept", "found")
 
 
 def feature(payload: bytes) -> str:
@@ -162,13 +161,17 @@ def feature(payload: bytes) -> str:
 OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+VALUES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
 def read_features(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """Features of the stored files, computed from the bytes read back after each digest has been verified."""
+    names = [f.split(" ")[0] for f in VALUES.split(", ")]
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def measured(batch: pa.RecordBatch, found: list) -> list[pa.Array]:
         columns: tuple[list, ...] = ([], [], [], [], [], [])
-        for name, manifest, kept, found in zip(*(batch.column(c).to_pylist() for c in ("media_sha256", "manifest", "kept", "found"))):
-            held = dict(found or ())
+        for name, manifest, kept, moved in zip(*(batch.column(c).to_pylist() for c in ("media_sha256", "manifest", "kept")), found):
+            held = dict(moved or ())
             parts = [held[d] if c is None else c for d, c in zip(manifest, kept)]
             media = b"".join(parts)
             if [digest(p) for p in parts] != manifest or sha(media) != name:
@@ -176,19 +179,28 @@ def read_features(files: DataFrame, chunks: DataFrame) -> DataFrame:
             payload = samples(media)
             for column, v in zip(columns, (len(payload), sha(payload), zlib.crc32(payload[-UNIT:]), len(media), name, feature(payload))):
                 column.append(v)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        return [pa.array(c, pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for n, c in zip(names, columns)]
 
-    def run(batches):
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             sizes = np.cumsum(np.asarray(batch.column("media_bytes")))
             while at < batch.num_rows:
                 stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (4 << 20), side="right")))
-                yield kernel(batch.slice(at, stop - at))
+                yield batch.slice(at, stop - at)
                 at = stop
 
-    return assemble(files, chunks).mapInArrow(run, OUT)
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *measured(b, [None] * b.num_rows)], ["doc_id", "n_bytes", *names])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays(measured(b, b.column("found").to_pylist()), names)
+
+    by_file = settle(assemble(files, chunks).mapInArrow(once, VALUES), "media-features")
+    single = files.filter(~F.col("moved")).select("doc_id", "n_bytes", "media_bytes", "media_sha256", "manifest", "kept").mapInArrow(alone, OUT)
+    return single.unionByName(files.filter("moved").select("doc_id", "n_bytes", "media_sha256").join(by_file, "media_sha256"))
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
