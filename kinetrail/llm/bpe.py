@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import unicodedata
 
@@ -56,6 +57,7 @@ class WordBPE:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[(a, b)] = rank
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.added_mark = os.path.commonprefix(list(self.added))  # no text without it holds an added token
         by_length = sorted(self.added, key=len, reverse=True)
         self.added_pattern = re.compile("(" + "|".join(map(re.escape, by_length)) + ")") if by_length else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -134,7 +136,7 @@ class WordBPE:
 
     def encode(self, text: str) -> str:
         """Decimal ids joined by one space."""
-        if self.added_pattern is not None and "<|" in text:
+        if self.added_pattern is not None and self.added_mark in text:
             out: list[str] = []
             for part in self.added_pattern.split(text):
                 out += [str(self.added[part])] if part in self.added else self.encode_plain(part)

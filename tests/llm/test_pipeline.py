@@ -48,3 +48,17 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         got[p["doc_id"]] += p["length"]
     assert got == {i: len(x) for i, x in ids.items()}
     assert ngram_join.BLOCK > 1
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """No rows; and repeated rows, null ids and columns that an operator might use itself."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows, more in (("empty", [], ""), ("odd", [(1, "some words here", "en", "s", 15)] * 2 + [(None, "other words there", "en", "s", 17), (3, None, None, None, None)], ", n1 long, __n1 long, __id long, __lost boolean, runs string, c0 string, lost boolean, component long")):
+        extra = len(more.split(",")) - 1
+        wide = [(*r, *([7, 8, 9, True, "r", "c", False, 5][:extra])) for r in rows]
+        docs = spark.createDataFrame(wide, schema + more)
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            docs = f(spark, docs, str(tmp_path))
+            assert docs.columns == [c.strip().split(" ")[0] for c in (schema + more).split(",")], stage
+        assert sorted(str(r["doc_id"]) for r in docs.collect()) == (["1", "None"] if rows else [])
+        assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()} == ({1, None} if rows else set())
