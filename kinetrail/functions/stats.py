@@ -96,6 +96,36 @@ def numbered_globally(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return rows.join(F.broadcast(before), "__part").withColumn(name, F.col("__n") + F.col("__b")).select(*df.columns, name)
 
 
+#: Values that one group of an ordered sum folds.
+FOLD = 1024
+
+
+def ordered_sum(df: DataFrame, value: str, order: list[str]) -> DataFrame:
+    """One row `sum`: the values added in an order that is always the same, so repeated runs agree to the last bit.
+
+    Runs of FOLD values in the given order are folded one by one, then the runs' sums in the same way, up to one; no
+    task holds more than its runs."""
+    rows = numbered_globally(df.select(*dict.fromkeys([*order, value])), order, "i").select(F.lit(0).alias("key"), "i", F.col(value).cast("double").alias("v"))
+    return _folded(rows, rows.count()).agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("sum"))
+
+
+def ordered_sums(df: DataFrame, value: str, key: str, order: str) -> DataFrame:
+    """key and its `sum`, the values of a key added in the order of an integer column that names them once."""
+    rows = df.select(F.col(key).alias("key"), F.col(order).cast("long").alias("i"), F.col(value).cast("double").alias("v"))
+    # Runs by the integer's leading digits: as many levels as its range asks for.
+    top = rows.agg(F.max("i")).first()[0]
+    return _folded(rows, (top or 0) + 1).select(F.col("key").alias(key), F.col("v").alias("sum"))
+
+
+def _folded(rows: DataFrame, left: int) -> DataFrame:
+    while True:
+        run = F.array_sort(F.collect_list(F.struct("i", "v")))
+        rows = rows.groupBy("key", F.expr(f"i div {FOLD}").alias("i")).agg(F.aggregate(run, F.lit(0.0), lambda a, x: a + F.coalesce(x["v"], F.lit(0.0))).alias("v"))
+        left = -(-left // FOLD)
+        if left <= 1:
+            return rows
+
+
 def block_summary(means: DataFrame, mean: str = "mean") -> DataFrame:
     """n_blocks, mean of block means, their sample variance and standard error; 0 where too few."""
     n = F.count(mean)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import forget, settle
 
 MOST_ROUNDS = 60
+#: Edges that one task may hold: some 16 MB. Rounds over files pay beyond that.
+TASK_EDGES = 1 << 19
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,13 +31,44 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def roots_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ends of the edges, and the smallest node each of them reaches: hooking and pointer jumping on arrays."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[root]
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
+    if held:
+        nodes, root = roots_of(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], ["node", "component"])
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component) for every node with an edge to another; component is the smallest node of its component.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): O(log^2 n) rounds of joins on shuffled keys.
-    Each round ends in shared files; the driver sees one row of counts a round, never edges or labels."""
+    Each round ends in shared files; the driver sees one row of counts a round, never edges or labels. As long as there
+    are no more edges than a task may hold, which is counted first, one task solves them in memory instead."""
     e = edges.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).filter("u <> v").distinct()
     e = settle(e, "components")
+    if e.count() <= TASK_EDGES:
+        out = settle(e.coalesce(1).mapInArrow(_solve, "node long, component long"), "components")
+        forget(e)
+        return out
     before = None
     for _ in range(MOST_ROUNDS):
         now = settle(_small_star(_large_star(e)), "components")

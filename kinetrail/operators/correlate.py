@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,9 +91,13 @@ def squared_displacement(components: str = "xxyyzz") -> PairValue:
     return value
 
 
-def frame_pairs(signal: DataFrame, value: PairValue, stride: int = 1) -> DataFrame:
-    """cur, org, dts and the mean over particles of value(cur, org); pairs that don't go forward in time are left out."""
+def frame_pairs(signal: DataFrame, value: PairValue, stride: int = 1, since: int | None = None) -> DataFrame:
+    """cur, org, dts and the mean over particles of value(cur, org); pairs that don't go forward in time are left out.
+
+    With `since`, only the pairs whose later frame is that one or one after it."""
     cur = signal.select("id", *(F.col(c).alias(f"cur_{c}") for c in ("frame", "timestep", "x", "y", "z")))
+    if since is not None:
+        cur = cur.filter(F.col("cur_frame") >= since)
     org = signal.select("id", *(F.col(c).alias(f"org_{c}") for c in ("frame", "timestep", "x", "y", "z")))
     lag = F.col("cur_frame") - F.col("org_frame")
     met = cur.join(org, "id").filter((lag > 0) & (lag % stride == 0) & (F.col("cur_timestep") > F.col("org_timestep")))
@@ -101,40 +106,58 @@ def frame_pairs(signal: DataFrame, value: PairValue, stride: int = 1) -> DataFra
     return met.groupBy("cur", "org", "dts").agg(F.avg("v").alias("v"))
 
 
-def frame_pairs_blocked(signal: DataFrame, axes: str = "xyz", stride: int = 1) -> DataFrame:
-    """frame_pairs of squared displacements for long trajectories: an Arrow kernel adds whole particles frame by frame.
-
-    Particles meet in partitions by id; a partition emits a sum and a count for each pair of frames, so the join's
-    rows, a pair of frames for each particle, never exist."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, sums, counts, steps = None, {}, {}, {}
-
-        def add(rows: pd.DataFrame) -> None:
-            for _, one in rows.groupby("id", sort=False):
-                one = one.sort_values("frame")
-                frame, ts, p = one["frame"].to_numpy(), one["timestep"].to_numpy(), one[list(axes)].to_numpy()
-                for k in range(1, len(frame)):
-                    lag = frame[k:] - frame[:-k]
-                    ok = (lag % stride == 0) & (ts[k:] > ts[:-k])
-                    d = ((p[k:] - p[:-k]) ** 2).sum(axis=1)
-                    for c, o, v, s in zip(frame[k:][ok].tolist(), frame[:-k][ok].tolist(), d[ok].tolist(), (ts[k:] - ts[:-k])[ok].tolist()):
-                        sums[c, o] = sums.get((c, o), 0.0) + v
-                        counts[c, o] = counts.get((c, o), 0) + 1
-                        steps[c, o] = s
+#: Rows that a call of the blocked kernel takes together (a particle's rows at least).
+KERNEL_ROWS = 1 << 18
+
 
+def frame_pairs_blocked(signal: DataFrame, axes: str = "xyz", stride: int = 1) -> DataFrame:
+    """frame_pairs of squared displacements by an Arrow kernel: the join's rows, a pair of frames for each particle, never exist.
+
+    Particles meet in partitions by id. A kernel call turns some of them into matrices of frames by particles and
+    takes the differences of all rows that lie so many frames apart at once; its sums and counts are held by pair of frames.
+    Where a particle lacks a frame it counts for nothing."""
+
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        frames, f = np.unique(np.asarray(rows["frame"]), return_inverse=True)
+        ids, i = np.unique(np.asarray(rows["id"]), return_inverse=True)
+        steps = np.zeros(len(frames), np.int64)
+        steps[f] = np.asarray(rows["timestep"])
+        held = np.zeros((len(frames), len(ids)))
+        held[f, i] = 1.0
+        values = []
+        for axis in axes:
+            x = np.zeros(held.shape)
+            x[f, i] = np.asarray(rows[axis])
+            values.append(x)
+        whole = len(f) == held.size
+        for k in range(1, len(frames)):
+            lag, dts = frames[k:] - frames[:-k], steps[k:] - steps[:-k]
+            fits = np.flatnonzero((lag % stride == 0) & (dts > 0))
+            if not len(fits):
+                continue
+            square = sum((x[fits + k] - x[fits]) ** 2 for x in values)
+            both = held[fits + k] * held[fits] if not whole else None
+            s = square.sum(axis=1) if whole else (square * both).sum(axis=1)
+            n = np.full(len(fits), len(ids)) if whole else both.sum(axis=1).astype(np.int64)
+            c, some = fits[n > 0], n > 0
+            if len(c):
+                yield pa.RecordBatch.from_arrays([pa.array(frames[c + k]), pa.array(frames[c]), pa.array(dts[c]), pa.array(s[some]), pa.array(n[some])], ["cur", "org", "dts", "s", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held = batch if held is None else pd.concat([held, batch])
-            last = held["id"].iloc[-1]
-            add(held[held["id"] != last])
-            held = held[held["id"] == last]
-        if held is not None:
-            add(held)
-        if sums:
-            keys = list(sums)
-            yield pd.DataFrame({"cur": [k[0] for k in keys], "org": [k[1] for k in keys], "dts": [steps[k] for k in keys], "s": list(sums.values()), "n": [counts[k] for k in keys]})
-
-    parts = signal.repartition("id").sortWithinPartitions("id").select("id", "frame", "timestep", *axes).mapInPandas(run, "cur long, org long, dts long, s double, n long")
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= KERNEL_ROWS:
+                table = pa.Table.from_batches(held)
+                at = np.asarray(table["id"])
+                cut = int(np.searchsorted(at, at[-1]))  # the last particle may go on
+                if cut:
+                    yield from solve(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    parts = signal.select("id", "frame", "timestep", *axes).repartition("id").sortWithinPartitions("id").mapInArrow(run, "cur long, org long, dts long, s double, n long")
     return parts.groupBy("cur", "org", "dts").agg((F.sum("s") / F.sum("n")).alias("v"))
 
 
@@ -198,6 +221,11 @@ def exact(signal: DataFrame, spec: CorrelatorSpec, value: PairValue | None = Non
         pairs = frame_pairs_blocked(signal, COMPONENTS[spec.components], spec.lag_stride)
     else:
         pairs = frame_pairs(signal, value or squared_displacement(spec.components), spec.lag_stride)
+    return exact_series(pairs, spec)
+
+
+def exact_series(pairs: DataFrame, spec: CorrelatorSpec) -> DataFrame:
+    """The series of the pairs that frame_pairs made, all at once or batch after batch."""
     if spec.axis == "frame":
         keyed = pairs.withColumn("key", F.col("cur") - F.col("org"))
     elif spec.axis == "timestep":
@@ -215,13 +243,18 @@ def exact(signal: DataFrame, spec: CorrelatorSpec, value: PairValue | None = Non
     return rows.withColumn("lag", lag).withColumn("time", time).select(*SERIES)
 
 
-def coarse_levels(signal: DataFrame, levels: int) -> DataFrame:
+Average = Callable[[Column, Column], Column]
+
+
+def coarse_levels(signal: DataFrame, levels: int, average: Average | None = None) -> DataFrame:
     """level, k and averaged samples: level l+1 averages neighbouring samples 2k and 2k+1 of level l, both present.
+    `average` makes the coarse value of two neighbours, their mean by default.
 
     The timestep of an average is the sum of the two halves, each truncated."""
     at = (F.dense_rank().over(Window.partitionBy("id").orderBy("frame")) - 1).cast("long")
     level = signal.select("id", at.alias("k"), "timestep", "x", "y", "z")
     out = level.withColumn("level", F.lit(0))
+    mean = average or (lambda a, b: (a + b) * 0.5)
     for n in range(1, levels):
         odd = F.col("k") % 2
         first = lambda c: F.max(F.when(odd == 0, F.col(c)))  # noqa: E731, B023
@@ -230,7 +263,7 @@ def coarse_levels(signal: DataFrame, levels: int) -> DataFrame:
         level = (
             level.withColumn("half", half("timestep"))
             .groupBy("id", F.expr("k div 2").alias("k"))
-            .agg(F.count("*").alias("n"), (first("half") + second("half")).alias("timestep"), *(((first(c) + second(c)) * 0.5).alias(c) for c in "xyz"))
+            .agg(F.count("*").alias("n"), (first("half") + second("half")).alias("timestep"), *(mean(first(c), second(c)).alias(c) for c in "xyz"))
             .filter("n = 2")
             .select("id", "k", "timestep", "x", "y", "z")
         )
@@ -238,12 +271,12 @@ def coarse_levels(signal: DataFrame, levels: int) -> DataFrame:
     return out
 
 
-def multi_tau(signal: DataFrame, spec: CorrelatorSpec, value: PairValue | None = None) -> DataFrame:
+def multi_tau(signal: DataFrame, spec: CorrelatorSpec, value: PairValue | None = None, average: Average | None = None) -> DataFrame:
     """Lags d * 2^level: d of 1..m at level 0 and of m/2+1..m above, on the coarse samples of each level.
 
     The offsets d are spelled out, so pairs meet by an exact key (level, id, k) and not by a range."""
     m = spec.channels
-    samples = coarse_levels(signal, spec.levels)
+    samples = coarse_levels(signal, spec.levels, average)
     d = F.explode(F.when(F.col("level") == 0, F.sequence(F.lit(1), F.lit(m))).otherwise(F.sequence(F.lit(m // 2 + 1), F.lit(m))))
     cur = samples.select("level", "id", F.col("k").alias("cur"), F.col("timestep").alias("cur_ts"), *(F.col(c).alias(f"cur_{c}") for c in "xyz"), d.alias("d")).withColumn("org", F.col("cur") - F.col("d"))
     org = samples.select("level", "id", F.col("k").alias("org"), F.col("timestep").alias("org_ts"), *(F.col(c).alias(f"org_{c}") for c in "xyz"))
@@ -256,19 +289,22 @@ def multi_tau(signal: DataFrame, spec: CorrelatorSpec, value: PairValue | None =
     return rows.withColumn("lag", F.col("key").cast("double")).withColumn("time", F.col("mean_dtimestep") * spec.dt).select(*SERIES)
 
 
-def correlate(signal: DataFrame, spec: CorrelatorSpec, value: PairValue | None = None) -> DataFrame:
-    return exact(signal, spec, value) if spec.kind == "exact" else multi_tau(signal, spec, value)
+def correlate(signal: DataFrame, spec: CorrelatorSpec, value: PairValue | None = None, average: Average | None = None) -> DataFrame:
+    return exact(signal, spec, value) if spec.kind == "exact" else multi_tau(signal, spec, value, average)
 
 
-def msd(positions: DataFrame, spec: CorrelatorSpec, members: DataFrame | None = None, drift: DataFrame | None = None, remove_drift: bool = True, frames: tuple[int, int] = (0, -1)) -> DataFrame:
-    """Mean squared displacement of the members (ids; all by default), less the drift of the `drift` ids."""
+def prepared(positions: DataFrame, members: DataFrame | None = None, drift: DataFrame | None = None, remove_drift: bool = True, frames: tuple[int, int] = (0, -1)) -> DataFrame:
+    """The frames in range of the members (ids; all by default), less the drift of the `drift` ids."""
     first, last = frames
     rows = positions.filter((F.col("frame") >= first) & ((F.col("frame") <= last) if last >= 0 else F.lit(True)))
     if remove_drift:
         rows = without_drift(rows, None if drift is None else rows.join(drift, "id", "left_semi"))
-    if members is not None:
-        rows = rows.join(members, "id", "left_semi")
-    return correlate(rows, spec)
+    return rows if members is None else rows.join(members, "id", "left_semi")
+
+
+def msd(positions: DataFrame, spec: CorrelatorSpec, members: DataFrame | None = None, drift: DataFrame | None = None, remove_drift: bool = True, frames: tuple[int, int] = (0, -1)) -> DataFrame:
+    """Mean squared displacement of the members, less the drift (see `prepared`)."""
+    return correlate(prepared(positions, members, drift, remove_drift, frames), spec)
 
 
 def single_origin_msd(positions: DataFrame, origin: int = 0, remove_drift: bool = True) -> DataFrame:

@@ -5,12 +5,17 @@ where it says adjacency."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, distance_squared, to_fractional, wrap
-from ..plans.durable import settle
-from .components import connected_components
+from ..plans.durable import forget, settle
+from .components import TASK_EDGES, connected_components
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -71,10 +76,39 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.join(c, F.lit(True)).select("vertices", F.expr("twice div 2").alias("edges"), "components", "ends", "branches", (F.expr("twice div 2") - F.col("vertices") + F.col("components")).alias("cycle_rank"))
 
 
+def _hops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Breadth first over rows (u, v) of an adjacency; a row without v is a source."""
+    held = [(np.asarray(b.column(0)), np.asarray(pc.fill_null(b.column(1), 0)), np.asarray(pc.is_null(b.column(1)))) for b in batches]
+    if not held:
+        return
+    u, v, start = (np.concatenate(x) for x in zip(*held))
+    nodes, at = np.unique(np.concatenate([u, v[~start]]), return_inverse=True)
+    tail, head = at[: len(u)][~start], at[len(u) :]
+    hops = np.full(len(nodes), -1, np.int64)
+    hops[at[: len(u)][start]] = 0
+    reached = 0
+    while True:
+        new = head[(hops[tail] == reached) & (hops[head] < 0)]
+        if not len(new):
+            break
+        reached += 1
+        hops[new] = reached
+    seen = hops >= 0
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[seen]), pa.array(hops[seen])], ["node", "hops"])
+
+
 def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """node and hops from the nearest source, -1 where none reaches. A round of the loop joins the last frontier only."""
+    """node and hops from the nearest source, -1 where none reaches.
+
+    A round of the loop joins the last frontier only. An adjacency that a task may hold, counted first, is walked there."""
     adj = settle(adjacency(edges), "adjacency")
-    seen = settle(sources.select("node").distinct().withColumn("hops", F.lit(0).cast("long")), "seen")
+    first = settle(sources.select("node").distinct(), "sources")
+    if adj.count() + first.count() <= 2 * TASK_EDGES:
+        rows = adj.select(F.col("u").cast("long"), F.col("v").cast("long")).union(first.select(F.col("node").cast("long"), F.lit(None).cast("long")))
+        seen = settle(rows.coalesce(1).mapInArrow(_hops, "node long, hops long"), "seen")
+        forget(adj, first)
+        return nodes.select("node").join(seen, "node", "left").select("node", F.coalesce("hops", F.lit(-1)).alias("hops"))
+    seen = settle(first.withColumn("hops", F.lit(0).cast("long")), "seen")
     frontier, hops = seen, 0
     while True:
         hops += 1

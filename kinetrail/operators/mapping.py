@@ -78,6 +78,12 @@ def bead_positions(positions: DataFrame, mapping: DataFrame, how: str = "com_geo
     return rows.groupBy("frame", "bead_id").agg(*(F.when(total > 0, F.sum(w * F.col(c)) / F.when(total > 0, total)).otherwise(0.0).alias(c) for c in "xyz"))
 
 
+def atom_bonds(edges: DataFrame, atoms: DataFrame) -> DataFrame:
+    """ai, aj (ids) of edges between canonical indices u and v."""
+    name = lambda end, c: atoms.select(F.col("idx").alias(end), F.col("id").alias(c))
+    return edges.join(name("u", "ai"), "u").join(name("v", "aj"), "v").select("ai", "aj")
+
+
 def bead_edges(bonds: DataFrame, mapping: DataFrame) -> DataFrame:
     """u < v: beads joined by a bond of their atoms; unmapped ends and bonds within a bead drop out."""
     a = mapping.select(F.col("id").alias("ai"), F.col("bead_id").alias("p"))

@@ -523,7 +523,7 @@ def stream_msd_multitau(v: Views) -> DataFrame:
     spot = follow.scratch(v.spark, "stream")
     correlate.without_drift(v.positions).select("frame", "timestep", "id", "x", "y", "z").repartitionByRange(4, "frame").write.parquet(f"{spot}/in")
     s = spec(kind="multitau", channels=4, levels=3)
-    return series(follow.stream_multi_tau(follow.follow_folder(v.spark, f"{spot}/in"), s, f"{spot}/pairs", f"{spot}/state"))
+    return series(follow.stream_correlation(follow.follow_folder(v.spark, f"{spot}/in"), s, f"{spot}/pairs", f"{spot}/state"))
 
 
 @query(with_views("traj") + "select frame, count(*) filter (where x > 20) as n_selected from traj group by frame")
@@ -533,3 +533,8 @@ def stream_selection_size(v: Views) -> DataFrame:
     spot = follow.scratch(v.spark, "stream")
     v.positions.select("frame", "timestep", "id", "x", "y", "z").repartitionByRange(3, "frame").write.parquet(f"{spot}/in")
     return follow.stream_sizes(follow.follow_folder(v.spark, f"{spot}/in"), F.col("x") > 20, f"{spot}/sizes", f"{spot}/state")
+
+
+# --- files, runs and the extension surface: registered where they are defined ---------------------------------------
+
+from . import file_queries  # noqa: E402, F401

@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..operators import correlate
 from ..operators.correlate import SERIES, CorrelatorSpec
 from ..sources.ini import Config, ConfigError
@@ -41,6 +42,8 @@ class Context:
     topo_groups: dict[str, str] = field(default_factory=dict)
     mapping: DataFrame | None = None
     dry: bool = False
+    bond_edges: DataFrame | None = None
+    bead_edges: DataFrame | None = None
     _selections: dict[str, DataFrame] = field(default_factory=dict)
 
     def topo_ids(self, name: str) -> DataFrame:
@@ -54,6 +57,35 @@ class Context:
         held = topo_group(self.topo_groups[name], nodes, self.edges, lambda g: self.groups.ids(g).join(self.atoms, "id").select(F.col("idx").alias("node")))
         return self.atoms.join(held.withColumnRenamed("node", "idx"), "idx", "left_semi").select("id")
 
+    def graph_source(self, wanted: str = "auto") -> str:
+        """Which graph there is: beads with bonds before filtered bonds before none. An explicit one must be there."""
+        there = {"bead_graph": self.bead_edges, "bond_graph": self.bond_edges, "topology_graph": self.edges}
+        if wanted == "auto":
+            return next((k for k, e in there.items() if e is not None), "none")
+        if wanted == "none":
+            return wanted
+        if there.get(wanted) is None:
+            raise ConfigError(f"there is no graph {wanted!r}")
+        return wanted
+
+    def graph(self, source: str = "auto") -> tuple[DataFrame, DataFrame]:
+        """nodes (node) and edges (u, v) of a graph: atoms by canonical index, or beads by number."""
+        source = self.graph_source(source)
+        if source == "none":
+            raise ConfigError("there is no graph")
+        if source == "bead_graph":
+            number = lambda c: self.mapping.select(F.col("bead_id").alias(c), F.col("bead").alias(f"{c}_")).distinct()
+            edges = self.bead_edges.join(number("u"), "u").join(number("v"), "v").select(F.col("u_").alias("u"), F.col("v_").alias("v"))
+            return self.mapping.select(F.col("bead").alias("node")).distinct(), edges
+        return self.atoms.select(F.col("idx").alias("node")), (self.bond_edges if source == "bond_graph" else self.edges).select("u", "v")
+
+    def total(self, ids: DataFrame, value: str, fixed_order: bool = False) -> DataFrame:
+        """frame and the sum of a column over a selection; in a fixed order, the same to the last bit in every run."""
+        rows = self.positions.join(ids, "id", "left_semi")
+        if not fixed_order:
+            return rows.groupBy("frame").agg(F.sum(value).alias("sum"))
+        return stats.ordered_sums(rows, value, "frame", "id")
+
     def is_dynamic(self, group: str) -> bool:
         return selection.inline_is_dynamic(group) if ":" in group else self.groups.is_dynamic(group)
 
@@ -76,6 +108,16 @@ class Context:
         return self._selections[key]
 
 
+@dataclass
+class Incremental:
+    """How a measure keeps up with a stream: the rows that the frames from `since` on add, given all frames so far, and the
+    dataset of all rows together. A measure without it is planned anew over the frames so far at each flush."""
+
+    partial: Callable[[Context, int], DataFrame]
+    finish: Callable[[DataFrame], DataFrame]
+    schema: str
+
+
 @dataclass
 class Measure:
     kind: str
@@ -126,8 +168,13 @@ def build_msd(ctx: Context, cfg: Config, section: str) -> dict[str, Any]:
     members = ctx.static_ids(group, topo, combine)
     drift = ctx.static_ids(drift_group) if remove and drift_group != "all" else (ctx.groups.ids("all") if remove else None)
     key = selection.selection_key(group, topo, combine)
+    incremental = None
+    if spec.kind == "exact":
+        value = correlate.squared_displacement(spec.components)
+        incremental = Incremental(lambda now, since: correlate.frame_pairs(correlate.prepared(now.positions, members, drift, remove, frames), value, spec.lag_stride, since), lambda pairs: correlate.exact_series(pairs, spec), "cur long, org long, dts long, v double")
     return {
         "frame": correlate.msd(ctx.positions, spec, members, drift, remove, frames),
+        "incremental": incremental,
         "path": cfg.get(section, "output", "msd.dat"),
         "columns": [{"name": c, "unit": UNITS[spec.axis] if c == "lag" else ""} for c in SERIES],
         "notes": [f"correlator {spec.kind} axis {spec.axis} dt {spec.dt}", f"selection {key}", f"drift {drift_group if remove else 'kept'} frames {frames[0]}..{frames[1]} components {spec.components} block {spec.block_size}"],
@@ -139,6 +186,10 @@ def build_msd(ctx: Context, cfg: Config, section: str) -> dict[str, Any]:
 @register_measure("selection_size")
 def build_selection_size(ctx: Context, cfg: Config, section: str) -> dict[str, Any]:
     group = cfg.get(section, "group", "all")
-    counted = ctx.atom_members(group).groupBy("frame").agg(F.count("*").alias("n"))
-    series = ctx.positions.select("frame").distinct().join(counted, "frame", "left").select(F.col("frame").alias("frame_index"), F.coalesce("n", F.lit(0)).alias("n_selected"))
-    return {"frame": series, "path": cfg.get(section, "output", f"{section.removeprefix('measure.')}.dat"), "columns": [{"name": c, "unit": ""} for c in series.columns], "notes": [f"group {group}"], "selection": group, "members": None}
+
+    def sizes(now: Context, since: int) -> DataFrame:
+        counted = now.atom_members(group).filter(F.col("frame") >= since).groupBy("frame").agg(F.count("*").alias("n"))
+        return now.positions.filter(F.col("frame") >= since).select("frame").distinct().join(counted, "frame", "left").select(F.col("frame").alias("frame_index"), F.coalesce("n", F.lit(0)).alias("n_selected"))
+
+    series = sizes(ctx, 0)
+    return {"frame": series, "incremental": Incremental(sizes, lambda rows: rows, "frame_index long, n_selected long"), "path": cfg.get(section, "output", f"{section.removeprefix('measure.')}.dat"), "columns": [{"name": c, "unit": ""} for c in series.columns], "notes": [f"group {group}"], "selection": group, "members": None}

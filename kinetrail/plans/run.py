@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import json
 import os
+import signal
+import threading
 import time
+from dataclasses import replace
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import SparkSession
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box
@@ -16,9 +22,11 @@ from ..functions.hashing import file_fingerprint, fnv1a, hex16
 from ..functions.stats import size_statistics
 from ..operators import graph, mapping
 from ..sources import sinks, topology
-from ..sources.dump import read_dump
+from ..sources.dump import Trajectory, read_dump
 from ..sources.ini import Config, ConfigError
+from ..streaming import follow
 from . import selection
+from .durable import settle
 from .measures import Context, find_measure
 
 VERSION = "0.1.0"
@@ -32,8 +40,8 @@ def _resolve(base: str, path: str) -> str:
     return path if os.path.isabs(path) or "://" in path else os.path.join(base, path)
 
 
-def plan(spark: SparkSession, cfg: Config, base: str, dry: bool = False) -> dict[str, Any]:
-    """Everything a run needs, as DataFrames that nothing has executed but the first frame's checks."""
+def plan(spark: SparkSession, cfg: Config, base: str, dry: bool = False, traj: Trajectory | None = None) -> dict[str, Any]:
+    """Everything a run needs, as DataFrames. The trajectory is parsed here, once, unless one is given or the run is dry."""
     t0 = time.time()
     source, dt = _resolve(base, cfg.get("general", "input")), cfg.get_float("general", "dt")
     if dt is None or not dt > 0:
@@ -42,7 +50,8 @@ def plan(spark: SparkSession, cfg: Config, base: str, dry: bool = False) -> dict
     if scale not in SCALES:
         raise ConfigError(f"unknown model scale {scale!r}")
     warnings = [f"section [{s}] is not read" for s in cfg.sections if s not in KNOWN and not s.startswith("measure.")]
-    traj = read_dump(spark, source, cfg.get_bool("general", "allow_header_change"))
+    if traj is None:
+        traj = read_dump(spark, source, cfg.get_bool("general", "allow_header_change"), settled=not dry)
     read_s = time.time() - t0
     b = traj.frames.orderBy("frame").select("box").first()["box"]
     box = Box((b["xlo"], b["ylo"], b["zlo"]), (b["xhi"], b["yhi"], b["zhi"]), b["xy"], b["xz"], b["yz"])
@@ -71,7 +80,7 @@ def plan(spark: SparkSession, cfg: Config, base: str, dry: bool = False) -> dict
         name = cfg.get("topology", "bond_graph.atom_group", "")
         members = groups.ids(name).join(atoms, "id").select(F.col("idx").alias("node")) if name else None
         bond_edges = graph.filter_bonds(edges, types, members)
-    mode, beads, spec_hash = cfg.get("mapping", "mode", "none"), None, ""
+    mode, beads, spec_hash, bead_edges = cfg.get("mapping", "mode", "none"), None, "", None
     if mode != "none":
         file_hash = ""
         if mode in ("identity",):
@@ -87,7 +96,9 @@ def plan(spark: SparkSession, cfg: Config, base: str, dry: bool = False) -> dict
         if group:
             beads = mapping.restrict(beads, groups.ids(group))
         spec_hash = mapping.specification(SCALES[scale], mode, cfg.get("mapping", "position", "com_geom"), group, file_hash)[1]
-    ctx = Context(traj.positions, atoms, dt, groups, edges, cfg.section("topo_groups"), beads, dry)
+        if edges is not None:
+            bead_edges = mapping.bead_edges(mapping.atom_bonds(edges, atoms), beads)
+    ctx = Context(traj.positions, atoms, dt, groups, edges, cfg.section("topo_groups"), beads, dry, bond_edges, bead_edges)
     measures = []
     for section in sorted(s for s in cfg.sections if s.startswith("measure.")):
         if not cfg.get_bool(section, "enabled", True):
@@ -105,8 +116,11 @@ def plan(spark: SparkSession, cfg: Config, base: str, dry: bool = False) -> dict
             g = cfg.get(section, key, "all")
             if not m.capabilities.dynamic_selection and ctx.is_dynamic(g):
                 raise ConfigError(f"{name} needs a static selection; {g!r} follows the frames")
-        measures.append({"instance": name, "type": m.kind, "params": cfg.section(section), **m.build(ctx, cfg, section)})
-    return {"traj": traj, "ctx": ctx, "measures": measures, "edges": bond_edges, "tables": tables, "scale": SCALES[scale], "mapping": {"mode": mode, "spec_hash": spec_hash}, "input": source, "warnings": warnings, "read_s": read_s}
+        measures.append({"instance": name, "section": section, "type": m.kind, "params": cfg.section(section), "build": m.build, **m.build(ctx, cfg, section)})
+    classify = cfg.get_bool("polymer_classifier", "enabled", True)
+    graph_source = ctx.graph_source(cfg.get("polymer_classifier", "graph_source", "auto")) if classify else "none"
+    described = {"mode": mode, "position": cfg.get("mapping", "position", "com_geom") if mode != "none" else "", "source_group": cfg.get("mapping", "source_group", ""), "spec_hash": spec_hash}
+    return {"traj": traj, "ctx": ctx, "measures": measures, "graph_source": graph_source, "tables": tables, "scale": SCALES[scale], "mapping": described, "input": source, "warnings": warnings, "read_s": read_s}
 
 
 def validate(spark: SparkSession, config: Config | str, base: str | None = None) -> dict[str, Any]:
@@ -134,43 +148,208 @@ def _group_audit(ctx: Context) -> list[dict]:
     return out
 
 
-def run(spark: SparkSession, config: Config | str, base: str | None = None) -> sinks.Results | None:
-    """Runs every enabled measure, writes its dataset and the audit index. None if no measure is enabled."""
+def _write(p: dict[str, Any], cfg: Config, out: str, entry: dict[str, Any], frame: DataFrame) -> dict[str, Any]:
+    """One measure's dataset, and what the index says of it."""
+    path = os.path.join(out, entry["path"])
+    rows = sinks.write_dataset(path, frame, entry["columns"], entry["notes"], append=cfg.get(entry["section"], "writer_mode", "") == "append")
+    return {"instance": entry["instance"], "type": entry["type"], "params": entry["params"], "selection": entry["selection"], "n_selected": entry["members"].count() if entry["members"] is not None else None, "outputs": [{"path": entry["path"], "rows": rows, "columns": entry["columns"]}]}
+
+
+def _index(p: dict[str, Any], cfg: Config, entries: list[dict], timing: dict[str, float], began: float, n_frames: int, hash_input: bool) -> dict[str, Any]:
+    ctx: Context = p["ctx"]
+    index: dict[str, Any] = {"version": VERSION, "run": {"input": {"path": p["input"]}, "dt": ctx.dt, "scale": p["scale"], "frames": n_frames, "mapping": dict(p["mapping"]), "config_hash": hex16(fnv1a(cfg.to_ini().encode()))}}
+    if cfg.get_bool("general", "hash_input", hash_input) and os.path.isfile(p["input"]):
+        info = os.stat(p["input"])
+        index["run"]["input"] |= {"size": info.st_size, "mtime": int(info.st_mtime), "fnv1a64": file_fingerprint(p["input"])}
+    if p["tables"]:
+        index["run"]["topology"] = {k: t.count() for k, t in p["tables"].items()}
+    if ctx.bond_edges is not None:
+        index["run"]["bond_graph"] = {"vertices": ctx.atoms.count(), "edges": ctx.bond_edges.count()}
+    if ctx.mapping is not None:
+        index["run"]["mapping"] |= {"atoms": ctx.mapping.count(), "beads": ctx.mapping.select("bead").distinct().count()}
+        if ctx.bead_edges is not None:
+            index["run"]["mapping"]["bead_bonds"] = ctx.bead_edges.count()
+    if p["graph_source"] != "none":
+        tags = graph.polymer_tag(graph.polymer_components(*ctx.graph(p["graph_source"]))).first()
+        index["polymer_classifier"] = {"graph_source": p["graph_source"], "tag": tags["tag"], "tags": [t for t in tags["tags"].split(",") if t]}
+    combined = [{"key": k, "size": df.count()} for k, df in sorted(ctx._selections.items())]
+    topo = [{"name": n, "definition": d, "size": ctx.topo_ids(n).count()} for n, d in sorted(ctx.topo_groups.items())]
+    index |= {"groups": {"atom_groups": _group_audit(ctx), "topo_groups": topo, "combined_selections": combined}, "measures": entries, "warnings": p["warnings"]}
+    index["profiling"] = {"wall_seconds": time.time() - began, "reader_seconds": p["read_s"], "measures": timing}
+    return json.loads(json.dumps(index))
+
+
+def run(spark: SparkSession, config: Config | str, base: str | None = None, stop: threading.Event | None = None) -> sinks.Results | None:
+    """Runs every enabled measure, writes its dataset and the audit index. None if no measure is enabled.
+
+    A run that follows its input, flushes on the way, or keeps or takes up a checkpoint is a stream (see follow_run)."""
     cfg, base = _config(config, base)
+    keys = ("checkpoint_out", "resume_from")
+    if cfg.get_bool("general", "follow") or any(cfg.get("general", k, "") for k in keys) or cfg.get_int("general", "flush_every_frames", 0) or cfg.get_float("general", "flush_every_seconds", 0.0):
+        return follow_run(spark, cfg, base, stop)
     began = time.time()
     p = plan(spark, cfg, base)
     if not p["measures"]:
         print("no measure is enabled")
         return None
     out = _resolve(base, cfg.get("general", "output_dir", "./out"))
-    ctx: Context = p["ctx"]
     entries, timing = [], {}
     for m in p["measures"]:
         t = time.time()
-        path = os.path.join(out, m["path"])
-        if m["type"] == "msd":
-            rows = sinks.write_series(path, m["frame"], m["notes"])
-        else:
-            table = [tuple(r) for r in m["frame"].orderBy(m["frame"].columns[0]).collect()]
-            append = cfg.get(f"measure.{m['instance']}", "writer_mode", "") == "append"
-            sinks.TextTable(path, [*m["notes"], " ".join(m["frame"].columns)], append).write(table)
-            rows = len(table)
+        entries.append(_write(p, cfg, out, m, m["frame"]))
         timing[m["instance"]] = time.time() - t
-        entries.append({"instance": m["instance"], "type": m["type"], "params": m["params"], "selection": m["selection"], "n_selected": m["members"].count() if m["members"] is not None else None, "outputs": [{"path": m["path"], "rows": rows, "columns": m["columns"]}]})
-    index: dict[str, Any] = {"version": VERSION, "run": {"input": {"path": p["input"]}, "dt": ctx.dt, "scale": p["scale"], "frames": p["traj"].frames.count(), "mapping": p["mapping"], "config_hash": hex16(fnv1a(cfg.to_ini().encode()))}}
-    if cfg.get_bool("general", "hash_input", True) and os.path.isfile(p["input"]):
-        info = os.stat(p["input"])
-        index["run"]["input"] |= {"size": info.st_size, "mtime": int(info.st_mtime), "fnv1a64": file_fingerprint(p["input"])}
-    if p["edges"] is not None and cfg.get_bool("polymer_classifier", "enabled", True):
-        nodes = ctx.atoms.select(F.col("idx").alias("node"))
-        tags = graph.polymer_tag(graph.polymer_components(nodes, p["edges"])).first()
-        index["polymer_classifier"] = {"tag": tags["tag"], "tags": [t for t in tags["tags"].split(",") if t]}
-        index["run"]["topology"] = {k: t.count() for k, t in p["tables"].items()}
-    combined = [{"key": k, "size": df.count()} for k, df in sorted(ctx._selections.items())]
-    topo = [{"name": n, "definition": d, "size": ctx.topo_ids(n).count()} for n, d in sorted(ctx.topo_groups.items())]
-    index |= {"groups": {"atom_groups": _group_audit(ctx), "topo_groups": topo, "combined_selections": combined}, "measures": entries, "warnings": p["warnings"]}
-    index["profiling"] = {"wall_seconds": time.time() - began, "reader_seconds": p["read_s"], "measures": timing}
     name = cfg.get("general", "results_json", "results.json")
-    sinks.write_index(os.path.join(out, name), json.loads(json.dumps(index)))
+    sinks.write_index(os.path.join(out, name), _index(p, cfg, entries, timing, began, p["traj"].frames.count(), True))
     return sinks.Results(out, name)
 
+
+# --- runs as streams ----------------------------------------------------------------------------------------------
+
+#: Settings that may differ between a run and the one that takes it up.
+NOT_COMPARED = ("checkpoint_out", "resume_from", "follow", "follow_poll_ms", "flush_every_frames", "flush_every_seconds", "output_dir", "profile", "results_json", "hash_input")
+
+
+class _State:
+    """A checkpoint folder: the stream's offsets, the parsed frames and each measure's partial results, by batch.
+
+    A batch's folders are overwritten when it is repeated; its mark comes last, and only marked batches count."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.system, self.path = follow.file_system(folder)
+
+    def exists(self) -> bool:
+        return self.system.get_file_info(f"{self.path}/run_meta.json").type != fs.FileType.NotFound
+
+    def clear(self) -> None:
+        if self.system.get_file_info(self.path).type != fs.FileType.NotFound:
+            self.system.delete_dir(self.path)
+
+    def mark(self, batch: int, frames: int) -> None:
+        self.system.create_dir(f"{self.path}/marks", recursive=True)
+        with self.system.open_output_stream(f"{self.path}/marks/{batch:010d}") as f:
+            f.write(str(frames).encode())
+
+    def marks(self) -> dict[int, int]:
+        found = self.system.get_file_info(fs.FileSelector(f"{self.path}/marks", allow_not_found=True))
+        out = {}
+        for x in found:
+            with self.system.open_input_file(x.path) as f:
+                out[int(x.base_name)] = int(f.read())
+        return out
+
+    def place(self, kind: str, batch: int) -> str:
+        return f"{self.folder}/{kind}/{batch:010d}"
+
+    def read(self, spark: SparkSession, kind: str, batches: list[int], schema) -> DataFrame:
+        if not batches:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(*[self.place(kind, b) for b in batches])
+
+
+def _started(spark: SparkSession, source: str) -> tuple[Trajectory, Any]:
+    """The particles of a dump that may still grow, from its first frame, and its layout; positions hold that frame alone."""
+    layout, first = follow.first_frame(source)
+    low, high, xy, xz, yz = first["box"]
+    n = layout.natoms
+    columns = {"idx": pa.array(np.arange(n)), "frame": pa.array(np.zeros(n, np.int64)), "timestep": pa.array(np.full(n, first["timestep"])), "id": pa.array(first["id"]), "type": pa.array(first["type"], pa.int32()) if first["type"] is not None else pa.nulls(n, pa.int32()), "mol": pa.array(first["mol"], pa.int64()) if first["mol"] is not None else pa.nulls(n, pa.int64()), **{c: pa.array(first[c]) for c in "xyz"}}
+    rows = settle(spark.createDataFrame(pa.table(columns)), "first-frame")
+    box = spark.createDataFrame([(0, first["timestep"], n, (low[0], high[0], low[1], high[1], low[2], high[2], xy, xz, yz, bool(xy or xz or yz)))], "frame long, timestep long, natoms long, box struct<xlo:double,xhi:double,ylo:double,yhi:double,zlo:double,zhi:double,xy:double,xz:double,yz:double,triclinic:boolean>")
+    return Trajectory(box, rows.select("idx", "id", "type", "mol"), rows.select("frame", "timestep", "id", "x", "y", "z"), []), layout
+
+
+def follow_run(spark: SparkSession, cfg: Config, base: str, stop: threading.Event | None = None) -> sinks.Results | None:
+    """A run as a stream over a dump that may grow.
+
+    Each micro-batch of complete frames is parsed once, kept, and given to every measure: one with partial results (see
+    measures.Incremental) adds those of the new frames, the others are planned over the frames kept so far. A flush rewrites
+    all datasets and the index: after flush_every_frames frames, flush_every_seconds seconds, and at the end. The run
+    ends when nothing is left to read or, if it follows, when it's told to stop (SIGINT, SIGTERM or `stop`); what was
+    read by then is flushed. checkpoint_out keeps the state, resume_from takes it up if it exists and belongs to this run."""
+    began = time.time()
+    general = lambda k: _resolve(out, v) if (v := cfg.get("general", k, "")) else ""
+    out = _resolve(base, cfg.get("general", "output_dir", "./out"))
+    source = _resolve(base, cfg.get("general", "input"))
+    following, every, seconds = cfg.get_bool("general", "follow"), cfg.get_int("general", "flush_every_frames", 0), cfg.get_float("general", "flush_every_seconds", 0.0)
+    keep, resume = general("checkpoint_out"), general("resume_from")
+    traj, _ = _started(spark, source)
+    p = plan(spark, cfg, base, traj=traj)
+    if not p["measures"]:
+        print("no measure is enabled")
+        return None
+    state = _State(keep or resume or follow.scratch(spark, "run"))
+    old = _State(resume) if resume else None
+    if old is None or not old.exists():
+        state.clear()
+    elif resume != state.folder:
+        state.clear()
+        fs.copy_files(old.path, state.path, source_filesystem=old.system, destination_filesystem=state.system)
+    settings = Config({s: {k: v for k, v in values.items() if s != "general" or k not in NOT_COMPARED} for s, values in cfg.sections.items()})
+    topology_file = _resolve(base, cfg.get("topology", "file")) if cfg.has("topology", "file") else ""
+    follow.guard(state.folder, {"config": hex16(fnv1a(settings.to_ini().encode())), "input": source, "mapping": p["mapping"]["spec_hash"], "topology": file_fingerprint(topology_file) if os.path.isfile(topology_file) else "", "sections": sorted(p["tables"]), "measures": [[m["instance"], m["type"], m["params"]] for m in p["measures"]]})
+    marks, timing, entries = state.marks(), {m["instance"]: 0.0 for m in p["measures"]}, []
+    held = {"frames": 0, "time": time.time()}
+    groups = p["ctx"].groups
+
+    def now() -> Context:
+        rows = state.read(spark, "frames", sorted(marks), follow.FIELDS)
+        return replace(p["ctx"], positions=rows, groups=selection.Groups(groups.definitions, p["ctx"].atoms, rows, groups.box))
+
+    def flush() -> None:
+        ctx, entries[:] = now(), []
+        for m in p["measures"]:
+            t = time.time()
+            if m.get("incremental"):
+                frame = m["incremental"].finish(state.read(spark, m["instance"], sorted(marks), m["incremental"].schema))
+            else:
+                frame = m["build"](ctx, cfg, m["section"])["frame"]
+            entries.append(_write(p, cfg, out, m, frame))
+            timing[m["instance"]] += time.time() - t
+        index = _index(p | {"ctx": replace(ctx, _selections=p["ctx"]._selections)}, cfg, entries, timing, began, sum(marks.values()), not following)
+        sinks.write_index(os.path.join(out, cfg.get("general", "results_json", "results.json")), index)
+        held.update(frames=0, time=time.time())
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(state.place("frames", number))
+        kept = spark.read.schema(follow.FIELDS).parquet(state.place("frames", number))
+        since, n = kept.agg(F.min("frame"), F.countDistinct("frame")).first()
+        if not n:
+            return
+        marks[number] = n
+        ctx = now()
+        for m in p["measures"]:
+            if m.get("incremental"):
+                t = time.time()
+                m["incremental"].partial(ctx, since).write.mode("overwrite").parquet(state.place(m["instance"], number))
+                timing[m["instance"]] += time.time() - t
+        state.mark(number, n)
+        held["frames"] += n
+        if (every and held["frames"] >= every) or (seconds and time.time() - held["time"] >= seconds):
+            flush()
+
+    stop = stop or threading.Event()
+    before = {}
+    if threading.current_thread() is threading.main_thread():
+        before = {s: signal.signal(s, lambda *_: stop.set()) for s in (signal.SIGINT, signal.SIGTERM)}
+    try:
+        flush()
+        poll = f"{max(1, cfg.get_int('general', 'follow_poll_ms', 200))} milliseconds"
+        stream = follow.follow_dump(spark, source, cfg.get_bool("general", "allow_header_change"), most=every)
+        query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{state.folder}/offsets").trigger(processingTime=poll).start()
+        try:
+            if following:
+                while query.isActive and not stop.is_set():
+                    query.awaitTermination(0.2)
+            else:
+                query.processAllAvailable()
+            if query.exception() is not None:
+                raise query.exception()
+        finally:
+            query.stop()
+        marks.clear()
+        marks.update(state.marks())
+        flush()
+    finally:
+        for s, handler in before.items():
+            signal.signal(s, handler)
+    return sinks.Results(out, cfg.get("general", "results_json", "results.json"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import numbered_globally
+from ..plans.durable import settle
 
 SEPARATOR = "ITEM: TIMESTEP\n"
 CORE = ("id", "type", "mol", "molecule", "x", "y", "z", "xu", "yu", "zu", "ix", "iy", "iz")
@@ -64,7 +65,9 @@ def box_struct(lines: Column) -> Column:
     )
 
 
-def read_dump(spark: SparkSession, path: str, allow_header_change: bool = False, check: bool = True) -> Trajectory:
+def read_dump(spark: SparkSession, path: str, allow_header_change: bool = False, check: bool = True, settled: bool = True) -> Trajectory:
+    """The text is parsed once into a settled table of rows (unless `settled` is false, for plans that only look at the
+    first frame); the checks and all later plans read that."""
     raw = spark.read.option("lineSep", SEPARATOR).text(path).filter(F.length(F.trim("value")) > 0)
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.split(F.regexp_replace("value", r"\s+$", ""), "\n").alias("lines"))
     # Frames are numbered by their keys alone; their texts stay where they were read.
@@ -78,22 +81,14 @@ def read_dump(spark: SparkSession, path: str, allow_header_change: bool = False,
     timestep = _number(F.trim(F.get("lines", F.lit(0))), "long", "timestep")
     whole = F.when((F.get("lines", F.lit(1)) != "ITEM: NUMBER OF ATOMS") | (F.size("lines") != natoms + 8), F.raise_error(F.lit("an incomplete or malformed frame")))
     records = records.withColumn("natoms", F.coalesce(whole.cast("long"), natoms)).withColumn("timestep", timestep)
-    frames = records.select("frame", "timestep", "natoms", box_struct(F.col("lines")).alias("box"), F.get("lines", F.lit(7)).alias("header"))
     header = F.split(F.trim(F.regexp_replace(F.get("lines", F.lit(7)), "^ITEM: ATOMS", "")), r"\s+")
-    if check:
-        seen = frames.agg(F.countDistinct("header").alias("h"), F.countDistinct("natoms").alias("n")).first()
-        if seen["n"] > 1:
-            raise DumpError("the number of atoms changes")
-        if seen["h"] > 1 and not allow_header_change:
-            raise DumpError("the atoms header changes")
-    rows = records.select("frame", "timestep", box_struct(F.col("lines")).alias("box"), header.alias("names"), F.posexplode(F.slice("lines", 9, F.greatest(F.col("natoms"), F.lit(0)).cast("int"))).alias("pos", "line"))
+    rows = records.select("frame", "timestep", "natoms", box_struct(F.col("lines")).alias("box"), header.alias("names"), F.posexplode_outer(F.slice("lines", 9, F.greatest(F.col("natoms"), F.lit(0)).cast("int"))).alias("pos", "line"))
     tokens = F.split(F.trim("line"), r"\s+")
-    rows = rows.withColumn("tokens", F.when(F.size(tokens) != F.size("names"), F.raise_error(F.lit("a row's columns don't match the header"))).otherwise(tokens))
+    rows = rows.withColumn("tokens", F.when(F.col("line").isNotNull() & (F.size(tokens) != F.size("names")), F.raise_error(F.lit("a row's columns don't match the header"))).otherwise(tokens))
 
     def token(name: str, kind: str) -> Column:
-        if allow_header_change:
-            return _number(F.get("tokens", (F.array_position("names", name) - 1).cast("int")), kind, name)
-        return _number(F.get("tokens", F.lit(names.index(name))), kind, name)
+        at = (F.array_position("names", name) - 1).cast("int") if allow_header_change else F.lit(names.index(name))
+        return F.when(F.col("line").isNotNull(), _number(F.get("tokens", at), kind, name))
 
     if all(n in names for n in ("xu", "yu", "zu")):
         xyz = [token(n, "double") for n in ("xu", "yu", "zu")]
@@ -103,13 +98,22 @@ def read_dump(spark: SparkSession, path: str, allow_header_change: bool = False,
         b = lambda n: F.col(f"box.{n}")
         xyz = [x + ix * (b("xhi") - b("xlo")) + iy * b("xy") + iz * b("xz"), y + iy * (b("yhi") - b("ylo")) + iz * b("yz"), z + iz * (b("zhi") - b("zlo"))]
     extras = [n for n in names if n not in CORE]
-    ids = token("id", "long")
-    positions = rows.select("frame", "timestep", ids.alias("id"), *(c.alias(n) for n, c in zip("xyz", xyz)), *(token(n, "double").alias(n) for n in extras))
     kind = token("type", "int") if "type" in names else F.lit(None).cast("int")
     mol_name = next((n for n in ("mol", "molecule") if n in names), None)
     mol = token(mol_name, "long") if mol_name else F.lit(None).cast("long")
-    atoms = rows.filter("frame = 0").select(F.col("pos").cast("long").alias("idx"), ids.alias("id"), kind.alias("type"), mol.alias("mol"))
+    parsed = rows.select("frame", "timestep", "natoms", "box", F.array_join("names", " ").alias("header"), F.col("pos").cast("long").alias("pos"), token("id", "long").alias("id"), kind.alias("kind"), mol.alias("molecule"), *(c.alias(n) for n, c in zip("xyz", xyz)), *(token(n, "double").alias(f"extra {n}") for n in extras))
+    if settled:
+        parsed = settle(parsed, "dump")
+    frames = parsed.filter("pos is null or pos = 0").select("frame", "timestep", "natoms", "box", "header")
+    parsed = parsed.filter("pos is not null")
+    positions = parsed.select("frame", "timestep", "id", "x", "y", "z", *(F.col(f"extra {n}").alias(n) for n in extras))
+    atoms = parsed.filter("frame = 0").select(F.col("pos").alias("idx"), "id", F.col("kind").alias("type"), F.col("molecule").alias("mol"))
     if check:
+        seen = frames.agg(F.countDistinct("header").alias("h"), F.countDistinct("natoms").alias("n")).first()
+        if seen["n"] > 1:
+            raise DumpError("the number of atoms changes")
+        if seen["h"] > 1 and not allow_header_change:
+            raise DumpError("the atoms header changes")
         per = positions.groupBy("frame").agg(F.count("*").alias("n"), F.countDistinct("id").alias("d"), F.min("id").alias("low"))
         if not per.filter("n <> d or low < 0").isEmpty():
             raise DumpError("an id is negative or repeats within a frame")

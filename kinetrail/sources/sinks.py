@@ -40,11 +40,39 @@ class TextTable:
             f.write((head if f.tell() == 0 else "") + body)
 
 
+class Dataset:
+    """What a result table holds, column by column: a name, a unit and a description each, in writing order. The rows are
+    ordered by the first column unless `order` names others."""
+
+    def __init__(self, order: list[str] | None = None):
+        self.columns: list[dict[str, str]] = []
+        self.order = order
+
+    def column(self, name: str, unit: str = "", description: str = "") -> Dataset:
+        if not name or any(c["name"] == name for c in self.columns):
+            raise ValueError(f"a dataset's columns have names, each once: {name!r}")
+        self.columns.append({"name": name, "unit": unit, "description": description})
+        return self
+
+    def header(self) -> str:
+        return "\t".join(c["name"] + (f"({c['unit']})" if c["unit"] else "") for c in self.columns)
+
+
+def write_dataset(path: str, frame: DataFrame, columns: list[dict[str, str]] | Dataset, notes: list[str], dry: bool = False, append: bool = False) -> int:
+    """A small result table as text, in order of its first column (or as its Dataset says). Returns the number of rows."""
+    spec = columns if isinstance(columns, Dataset) else None
+    names = [c["name"] for c in (spec.columns if spec else columns)]
+    missing = [n for n in names if n not in frame.columns]
+    if missing:
+        raise ValueError(f"the dataset lacks the columns {', '.join(missing)}")
+    rows = [] if dry else [tuple(r) for r in frame.select(*names).orderBy(*((spec.order if spec else None) or names[:1])).collect()]
+    TextTable(path, [*notes, spec.header() if spec else " ".join(names)], append, dry).write(rows)
+    return len(rows)
+
+
 def write_series(path: str, series: DataFrame, notes: list[str], dry: bool = False) -> int:
     """A correlation series, in order of lag; one row a lag, so it is small. Returns the number of rows."""
-    rows = [] if dry else [tuple(r) for r in series.orderBy("lag").select(*SERIES).collect()]
-    TextTable(path, [*notes, " ".join(SERIES)], dry=dry).write(rows)
-    return len(rows)
+    return write_dataset(path, series, [{"name": c} for c in SERIES], notes, dry)
 
 
 def write_index(path: str, index: dict) -> None:

@@ -15,6 +15,9 @@ SECTIONS = {
 }
 
 
+MOST_HEADS = 10_000
+
+
 class TopologyError(ValueError):
     pass
 
@@ -43,7 +46,10 @@ def read_data_file(spark: SparkSession, path: str, sections: list[str]) -> dict[
     A line that starts with a letter opens a section. Only those few lines reach the driver; every other line learns
     its section by comparing its place with theirs."""
     lines = _tokens(spark, path)
-    heads = sorted((r["at"], r["line"]) for r in lines.filter(F.col("line").rlike("^[A-Za-z]")).select("at", "line").collect())
+    # A data file has a handful of sections; a file with more heads than MOST_HEADS is none, and isn't collected.
+    heads = sorted((r["at"], r["line"]) for r in lines.filter(F.col("line").rlike("^[A-Za-z]")).select("at", F.substring("line", 1, 40).alias("line")).limit(MOST_HEADS + 1).collect())
+    if len(heads) > MOST_HEADS:
+        raise TopologyError("too many lines begin with a letter for a data file")
     out = {}
     for name in sections:
         least, atoms, names = SECTIONS[name]

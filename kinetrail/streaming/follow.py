@@ -1,98 +1,213 @@
 """Streams of trajectories: a growing dump as a source, and measures that keep up with it.
 
-`DumpFollow` reads one growing file; its offset is the byte after the last complete frame, so a part of a frame is
-never emitted and a resumed query goes on where it stopped. Measures run in micro-batches; each flush rewrites the
-result as a whole, and the checkpoint folder holds offsets and state."""
+`DumpFollow` finds the complete frames of one growing file; its offset is the byte after the last of them, so a part of
+a frame is never emitted and a resumed query goes on where it stopped. The source itself hands out byte ranges, one row
+a frame; executors read and parse them, by the rules of the batch reader: coordinates are unwrapped by image flags and
+the box's tilts, numbers must be whole tokens, and every frame has the first frame's columns and ids. A path may name
+any file system that Arrow reads."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.correlate import SERIES, CorrelatorSpec, lag_table
+from ..operators.correlate import COMPONENTS, SERIES, CorrelatorSpec, exact_series, lag_table
 from ..plans.durable import shared_dir
-from ..sources.dump import header_columns
+from ..sources.dump import DumpError, header_columns
 
 MARK = b"ITEM: TIMESTEP\n"
 FIELDS = "frame long, timestep long, id long, x double, y double, z double"
-
-
-def complete_frames(data: bytes, first: bool) -> tuple[list[list[str]], int]:
-    """The lines of every complete frame and the bytes they take. data begins at a frame."""
-    frames, at = [], 0
-    while True:
-        if data[at : at + len(MARK)] != MARK:
-            break
-        end = data.find(MARK, at + 1)
-        body = data[at : end if end >= 0 else len(data)]
-        lines = body.decode("utf-8").split("\n")
-        if len(lines) < 5 or not body.endswith(b"\n"):
-            break
-        n = int(lines[3])
-        if len(lines) - 1 < 9 + n:
-            break
-        frames.append(lines[1 : 9 + n])
-        at += sum(len(x.encode("utf-8")) + 1 for x in lines[: 9 + n])
-    return frames, at
+RANGES = "frame long, begin long, size long"
+#: Bytes that the search for frames reads at a time.
+WINDOW = 16 << 20
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path within it."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def frame_size(data: bytes, at: int, last: bool) -> int:
+    """Bytes of the frame at `at`, 0 if it isn't complete. `last`: nothing follows the data."""
+    if not data.startswith(MARK, at):
+        if len(data) - at >= len(MARK) or not MARK.startswith(data[at:]):
+            raise DumpError("a frame does not begin where one should")
+        return 0
+    spot = at
+    for _ in range(4):
+        spot = data.find(b"\n", spot) + 1
+        if not spot:
+            return 0
+    begin = data.rfind(b"\n", at, spot - 1) + 1
+    try:
+        lines = 9 + int(data[begin : spot - 1])
+    except ValueError:
+        raise DumpError("not a number of atoms") from None
+    for _ in range(lines - 4):
+        spot = data.find(b"\n", spot) + 1
+        if not spot:
+            return 0
+    return spot - at
+
+
+def complete_frames(data: bytes, last: bool = True) -> tuple[list[tuple[int, int]], int]:
+    """(begin, size) of every complete frame and the bytes they take. data begins at a frame."""
+    found, at = [], 0
+    while at < len(data) and (size := frame_size(data, at, last)):
+        found.append((at, size))
+        at += size
+    return found, at
 
 
 class _Reader(SimpleDataSourceStreamReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, most: int):
+        self.path, self.most = path, most
 
     def initialOffset(self) -> dict:
         return {"byte": 0, "frame": 0}
 
-    def _rows(self, frames: list[list[str]], frame: int) -> Iterator[tuple]:
-        for lines in frames:
-            names = header_columns(lines[7])
-            at = [names.index(c) for c in ("id", *(("xu", "yu", "zu") if "xu" in names else ("x", "y", "z")))]
-            for line in lines[8:]:
-                t = line.split()
-                yield (frame, int(lines[0]), int(t[at[0]]), *(float(t[k]) for k in at[1:]))
-            frame += 1
+    def _ranges(self, start: dict, end: int | None) -> tuple[list[tuple[int, int, int]], dict]:
+        system, path = file_system(self.path)
+        out, at, frame, held = [], start["byte"], start["frame"], b""
+        if system.get_file_info(path).type == fs.FileType.NotFound:
+            return [], dict(start)
+        with system.open_input_file(path) as f:
+            stop = min(f.size(), end) if end is not None else f.size()
+            while at + len(held) < stop and not (self.most and len(out) >= self.most):
+                held += f.read_at(min(WINDOW, stop - at - len(held)), at + len(held))
+                found, size = complete_frames(held)
+                if self.most:
+                    found = found[: self.most - len(out)]
+                    size = sum(n for _, n in found)
+                out += [(frame + k, at + a, n) for k, (a, n) in enumerate(found)]
+                frame, at, held = frame + len(found), at + size, held[size:]
+        return out, {"byte": at, "frame": frame}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        with open(self.path, "rb") as f:
-            f.seek(start["byte"])
-            frames, size = complete_frames(f.read(), start["byte"] == 0)
-        end = {"byte": start["byte"] + size, "frame": start["frame"] + len(frames)}
-        return iter(list(self._rows(frames, start["frame"]))), end
+        rows, end = self._ranges(start, None)
+        return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
-            f.seek(start["byte"])
-            frames, _ = complete_frames(f.read(end["byte"] - start["byte"]), start["byte"] == 0)
-        return self._rows(frames, start["frame"])
+        return iter(self._ranges(start, end["byte"])[0])
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class DumpFollow(DataSource):
-    """spark.readStream.format("dump_follow").option("path", ...)"""
+    """spark.readStream.format("dump_follow").option("path", ...): the byte ranges of complete frames. `most` bounds the
+    frames of a batch (0: all that are there)."""
 
     @classmethod
     def name(cls) -> str:
         return "dump_follow"
 
     def schema(self) -> str:
-        return FIELDS
+        return RANGES
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("most", 0)))
+
+
+@dataclass(frozen=True)
+class Layout:
+    """What every frame shares: columns, number of atoms and an order-free digest of the ids."""
+
+    names: tuple[str, ...]
+    natoms: int
+    ids: str
+
+
+def _digest(ids: np.ndarray) -> str:
+    return hashlib.sha256(np.sort(ids).astype("<i8").tobytes()).hexdigest()
+
+
+def parse_frame(text: str, layout: Layout | None, allow_header_change: bool = False) -> tuple[Layout, dict]:
+    """A frame's layout, and timestep, box, id, x, y, z, type and mol; checked against the first frame's layout."""
+    lines = text.split("\n")
+    names = tuple(header_columns(lines[8]))
+    natoms = int(lines[3])
+    rows = [line.split() for line in lines[9 : 9 + natoms]]
+    if any(len(r) != len(names) for r in rows):
+        raise DumpError("a row's columns don't match the header")
+    columns = dict(zip(names, zip(*rows))) if rows else {n: () for n in names}
+
+    def numbers(name: str, kind) -> np.ndarray:
+        try:
+            return np.asarray(pa.array(columns[name], pa.string()).cast(pa.float64() if kind is float else pa.int64()))
+        except pa.ArrowInvalid:
+            raise DumpError(f"not a number in {name}") from None
+
+    ids = numbers("id", int)
+    if len(np.unique(ids)) != len(ids) or (ids < 0).any():
+        raise DumpError("an id is negative or repeats within a frame")
+    own = Layout(names, natoms, _digest(ids))
+    if layout is not None:
+        if own.natoms != layout.natoms:
+            raise DumpError("the number of atoms changes")
+        if own.names != layout.names and not allow_header_change:
+            raise DumpError("the atoms header changes")
+        if own.ids != layout.ids:
+            raise DumpError("a later frame has other ids")
+    bounds = [[float(v) for v in lines[k].split()] for k in (5, 6, 7)]
+    xy, xz, yz = (b[2] for b in bounds) if "xy xz yz" in lines[4] else (0.0, 0.0, 0.0)
+    low = [bounds[0][0] - min(0.0, xy, xz, xy + xz), bounds[1][0] - min(0.0, yz), bounds[2][0]]
+    high = [bounds[0][1] - max(0.0, xy, xz, xy + xz), bounds[1][1] - max(0.0, yz), bounds[2][1]]
+    if all(n in names for n in ("xu", "yu", "zu")):
+        x, y, z = (numbers(n, float) for n in ("xu", "yu", "zu"))
+    else:
+        x, y, z = (numbers(n, float) for n in "xyz")
+        ix, iy, iz = (numbers(n, int) for n in ("ix", "iy", "iz"))
+        x, y, z = x + ix * (high[0] - low[0]) + iy * xy + iz * xz, y + iy * (high[1] - low[1]) + iz * yz, z + iz * (high[2] - low[2])
+    mol = next((n for n in ("mol", "molecule") if n in names), None)
+    frame = {"timestep": int(lines[1]), "box": (low, high, xy, xz, yz), "id": ids, "x": x, "y": y, "z": z}
+    return own, frame | {"type": numbers("type", int) if "type" in names else None, "mol": numbers(mol, int) if mol else None}
+
+
+def first_frame(path: str) -> tuple[Layout, dict]:
+    """The first complete frame of a dump that may still grow; an error if there is none yet."""
+    system, spot = file_system(path)
+    with system.open_input_file(spot) as f:
+        held = b""
+        while len(held) < f.size():
+            held += f.read_at(WINDOW, len(held))
+            if size := frame_size(held, 0, True):
+                return parse_frame(held[:size].decode("utf-8"), None)
+    raise DumpError("the dump has no complete first frame")
+
+
+def follow_dump(spark: SparkSession, path: str, allow_header_change: bool = False, most: int = 0, partitions: int | None = None) -> DataFrame:
+    """The stream of FIELDS of a growing dump. A frame is parsed by one task; the frames of a batch are dealt to all."""
+    layout = first_frame(path)[0]
+    spark.dataSource.register(DumpFollow)
+    ranges = spark.readStream.format("dump_follow").option("path", path).option("most", most).load()
 
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, spot = file_system(path)
+        with system.open_input_file(spot) as f:
+            for batch in batches:
+                for frame, begin, size in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    _, got = parse_frame(f.read_at(size, begin).decode("utf-8"), layout, allow_header_change)
+                    n = len(got["id"])
+                    if n:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, frame)), pa.array(np.full(n, got["timestep"])), *(pa.array(got[c]) for c in ("id", "x", "y", "z"))], ["frame", "timestep", "id", "x", "y", "z"])
 
-def follow_dump(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(DumpFollow)
-    return spark.readStream.format("dump_follow").option("path", path).load()
+    return ranges.repartition(partitions or spark.sparkContext.defaultParallelism).mapInArrow(parse, FIELDS)
 
 
 def follow_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,7 +215,7 @@ def follow_folder(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(FIELDS).parquet(folder)
 
 
-# --- multi-tau state ----------------------------------------------------------------------------------------------
+# --- correlator state ---------------------------------------------------------------------------------------------
 
 PAIRS = "level int, d int, cur long, org long, dts long, v double, id long"
 
@@ -108,8 +223,9 @@ PAIRS = "level int, d int, cur long, org long, dts long, v double, id long"
 class _Particle:
     """One particle's levels: the last m samples of each and the sample that waits for its neighbour."""
 
-    def __init__(self, m: int, levels: int, data: dict | None = None):
+    def __init__(self, m: int, levels: int, axes: str = "xyz", data: dict | None = None):
         self.m, self.levels = m, levels
+        self.at = ["xyz".index(a) + 1 for a in axes]
         self.rings = data["rings"] if data else [[] for _ in range(levels)]
         self.waiting = data["waiting"] if data else [None] * levels
         self.next = data["next"] if data else [0] * levels
@@ -123,7 +239,7 @@ class _Particle:
             if d <= len(ring):
                 org = ring[-d]
                 if sample[0] > org[0]:
-                    out.append((level, d, k, k - d, sample[0] - org[0], sum((a - b) ** 2 for a, b in zip(sample[1:], org[1:]))))
+                    out.append((level, d, k, k - d, sample[0] - org[0], sum((sample[a] - org[a]) ** 2 for a in self.at)))
         ring.append(sample)
         del ring[: -self.m]
         if level + 1 < self.levels:
@@ -140,10 +256,10 @@ class _Particle:
 
 def multi_tau_pairs(stream: DataFrame, spec: CorrelatorSpec) -> DataFrame:
     """The pairs of every particle as they complete; the state is levels * channels samples a particle."""
-    m, levels = spec.channels, spec.levels
+    m, levels, axes = spec.channels, spec.levels, COMPONENTS[spec.components]
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        particle = _Particle(m, levels, json.loads(state.get[0]) if state.exists else None)
+        particle = _Particle(m, levels, axes, json.loads(state.get[0]) if state.exists else None)
         rows = pd.concat(list(parts)).sort_values("frame")
         out: list[tuple] = []
         for r in rows[["timestep", "x", "y", "z"]].itertuples(index=False):
@@ -155,34 +271,67 @@ def multi_tau_pairs(stream: DataFrame, spec: CorrelatorSpec) -> DataFrame:
     return stream.groupBy("id").applyInPandasWithState(update, PAIRS, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def exact_pairs(stream: DataFrame, spec: CorrelatorSpec) -> DataFrame:
+    """The pairs of every particle with all its earlier samples; the state is the particle's whole window, as packed arrays."""
+    at, stride = ["xyz".index(a) + 2 for a in COMPONENTS[spec.components]], spec.lag_stride
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = np.frombuffer(bytes(state.get[0]), np.float64).reshape(-1, 5) if state.exists else np.zeros((0, 5))
+        rows = pd.concat(list(parts)).sort_values("frame")
+        # Frames and timesteps stay exact in a double up to 2^53.
+        new = rows[["frame", "timestep", "x", "y", "z"]].to_numpy(np.float64)
+        every = np.concatenate([before, new])
+        state.update((every.tobytes(),))
+        out = []
+        for k in range(len(before), len(every)):
+            lag, dts = every[k, 0] - every[:k, 0], every[k, 1] - every[:k, 1]
+            fits = (lag > 0) & (lag % stride == 0) & (dts > 0)
+            if fits.any():
+                org = every[:k][fits]
+                square = ((every[k, at] - org[:, at]) ** 2).sum(axis=1)
+                out.append(pd.DataFrame({"level": np.int32(0), "d": lag[fits].astype(np.int32), "cur": np.int64(every[k, 0]), "org": org[:, 0].astype(np.int64), "dts": dts[fits].astype(np.int64), "v": square, "id": key[0]}))
+        yield from out
+
+    return stream.groupBy("id").applyInPandasWithState(update, PAIRS, "state binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def summarise_pairs(pairs: DataFrame, spec: CorrelatorSpec) -> DataFrame:
+    if spec.kind == "exact":
+        return exact_series(pairs.groupBy("cur", "org", "dts").agg(F.avg("v").alias("v")), spec)
     key = F.col("d") * F.expr("cast(shiftleft(1L, level) as long)")
     frames = pairs.groupBy(key.cast("long").alias("key"), "cur", "org", "dts").agg(F.avg("v").alias("v"))
     rows = lag_table(frames, spec.block_size)
     return rows.withColumn("lag", F.col("key").cast("double")).withColumn("time", F.col("mean_dtimestep") * spec.dt).select(*SERIES)
 
 
-def _guard(checkpoint: str, meta: dict) -> None:
-    """Resume only what was begun with the same settings."""
-    path = os.path.join(checkpoint.removeprefix("file://"), "run_meta.json")
-    if "://" in checkpoint and not checkpoint.startswith("file://"):
-        return
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            if json.load(f) != meta:
-                raise ValueError("the checkpoint belongs to a run with other settings")
+# --- checkpoints --------------------------------------------------------------------------------------------------
+
+# What a state file begins with (fixed values of this format).
+MAGIC, STATE_VERSION = "kinetrail-state", 1
+
+
+def guard(checkpoint: str, meta: dict) -> None:
+    """Resume only what was begun with the same settings: the header beside the state names the format and all of them."""
+    meta = json.loads(json.dumps({"magic": MAGIC, "version": STATE_VERSION, **meta}))
+    system, folder = file_system(checkpoint)
+    path = f"{folder}/run_meta.json"
+    if system.get_file_info(path).type != fs.FileType.NotFound:
+        with system.open_input_file(path) as f:
+            held = json.loads(f.read())
+        differs = sorted(k for k in {*held, *meta} if held.get(k) != meta.get(k))
+        if differs:
+            raise ValueError(f"the checkpoint belongs to a run with other settings: {', '.join(differs)}")
     else:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump(meta, f)
+        system.create_dir(folder, recursive=True)
+        with system.open_output_stream(path) as f:
+            f.write(json.dumps(meta).encode())
 
 
-def stream_multi_tau(stream: DataFrame, spec: CorrelatorSpec, folder: str, checkpoint: str, source: str = "") -> DataFrame:
+def stream_correlation(stream: DataFrame, spec: CorrelatorSpec, folder: str, checkpoint: str, source: str = "") -> DataFrame:
     """Runs over what is there and returns the series so far; a later call with the same checkpoint goes on."""
-    if spec.kind != "multitau":
-        raise ValueError("the exact correlator needs the whole trajectory; a stream takes multitau")
-    _guard(checkpoint, {"source": source, "channels": spec.channels, "levels": spec.levels, "components": spec.components})
-    query = multi_tau_pairs(stream, spec).writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
+    guard(checkpoint, {"source": source, "kind": spec.kind, "channels": spec.channels, "levels": spec.levels, "components": spec.components, "lag_stride": spec.lag_stride})
+    pairs = multi_tau_pairs(stream, spec) if spec.kind == "multitau" else exact_pairs(stream, spec)
+    query = pairs.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
     query.awaitTermination()
     spark = stream.sparkSession
     return summarise_pairs(spark.read.schema(PAIRS).parquet(folder), spec)
@@ -193,7 +342,7 @@ def stream_sizes(stream: DataFrame, predicate, folder: str, checkpoint: str) ->
 
     def flush(batch: DataFrame, number: int) -> None:
         counted = batch.groupBy("frame").agg(F.sum(F.when(predicate, 1).otherwise(0)).cast("long").alias("n"))
-        counted.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        counted.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     query = stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -203,7 +352,4 @@ def stream_sizes(stream: DataFrame, predicate, folder: str, checkpoint: str) ->
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared place, for streams that a query runs to their end."""
-    import uuid
-
     return f"{shared_dir(spark)}/kinetrail/{name}-{uuid.uuid4().hex}"
-

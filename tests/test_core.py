@@ -306,7 +306,7 @@ def test_run_and_validate(spark, dump_file, tmp_path):
     assert [m["instance"] for m in run.validate(spark, cfg)["measures"]] == ["msd_all", "size"] and not (tmp_path / "out").exists()
     results = run.run(spark, cfg)
     assert results.load_table("msd_all") == [[1, 1, 0.4375, 2, 0, 1, 1], [2, 2, 1.375, 1, 0, 0, 2]]
-    assert results.load_table("selection_size") == [[0, 0], [1, 1], [2, 3]] and results.index["polymer_classifier"] == {"tag": "linear", "tags": ["linear"]}
+    assert results.load_table("selection_size") == [[0, 0], [1, 1], [2, 3]] and results.index["polymer_classifier"] == {"graph_source": "bond_graph", "tag": "linear", "tags": ["linear"]}
     assert results.load_frame(spark, "msd_all").count() == 2 and results.index["run"]["frames"] == 3
     assert sinks.Results(str(tmp_path / "out")).find_measure("msd")["n_selected"] == 4
     with pytest.raises(ConfigError):
@@ -329,18 +329,140 @@ def test_registering_measures():
     del measures.REGISTRY["just_a_test"]
 
 
-def test_follow_a_growing_dump(spark, tmp_path):
+def test_complete_frames_of_a_growing_dump():
+    whole = [frame_text(i, f).encode() for i, f in enumerate(FRAMES)]
+    for cut in range(len(whole[2])):
+        found, size = follow.complete_frames(whole[0] + whole[1] + whole[2][:cut])
+        assert len(found) == 2 and size == len(whole[0] + whole[1])
+    with pytest.raises(dump.DumpError):
+        follow.complete_frames(whole[0] + b"1 2 3 4 5 6\n" + whole[1])
+    assert follow.complete_frames(b"") == ([], 0)
+
+
+def test_follow_a_growing_dump(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(follow, "WINDOW", 100)
     path, out, state = tmp_path / "g.dump", str(tmp_path / "pairs"), str(tmp_path / "state")
     whole = [frame_text(i, f) for i, f in enumerate(FRAMES)]
     path.write_text(whole[0] + whole[1] + whole[2][:40])
-    frames, size = follow.complete_frames(path.read_bytes(), True)
-    assert len(frames) == 2 and size == len(whole[0] + whole[1])
-    spec = CorrelatorSpec(kind="multitau", channels=2, levels=1, block_size=0)
-    first = follow.stream_multi_tau(follow.follow_dump(spark, str(path)), spec, out, state, str(path)).collect()
-    assert [(r["lag"], r["count_pairs"]) for r in first] == [(1.0, 1)]
+    for spec in (CorrelatorSpec(kind="multitau", channels=2, levels=1, block_size=0), CorrelatorSpec(block_size=2)):
+        path.write_text(whole[0] + whole[1] + whole[2][:40])
+        at = [f"{x}-{spec.kind}" for x in (out, state)]
+        first = follow.stream_correlation(follow.follow_dump(spark, str(path)), spec, *at, str(path)).collect()
+        assert [(r["lag"], r["count_pairs"]) for r in first] == [(1.0, 1)]
+        path.write_text("".join(whole))
+        again = follow.stream_correlation(follow.follow_dump(spark, str(path)), spec, *at, str(path)).orderBy("lag").collect()
+        want = correlate.correlate(dump.read_dump(spark, str(path)).positions, spec).orderBy("lag").collect()
+        assert [tuple(r) for r in again] == [tuple(r) for r in want]
+        with pytest.raises(ValueError):
+            follow.stream_correlation(follow.follow_dump(spark, str(path)), CorrelatorSpec(kind=spec.kind, channels=4, levels=1), *at, str(path) + "x")
+
+
+def test_stream_reads_what_the_batch_reads(spark, tmp_path):
+    head = "ITEM: TIMESTEP\n{}\nITEM: NUMBER OF ATOMS\n2\nITEM: BOX BOUNDS {}\nITEM: ATOMS id type x y z ix iy iz\n{}"
+    straight, tilted = "pp pp pp\n0 10\n0 10\n0 10", "xy xz yz pp pp pp\n0 13 2\n0 5 1\n0 3 1"
+    for name, box in (("straight", straight), ("tilted", tilted)):
+        path = tmp_path / name
+        path.write_text(head.format(5, box, "7 1 1 2 3 2 0 -1\n4 1 0.5 0.25 0.125 0 0 0\n") + head.format(9, box, "4 1 1 1 1 1 1 1\n7 1 1 2 3 0 0 0\n"))
+        want = dump.read_dump(spark, str(path))
+        follow.follow_dump(spark, str(path)).writeStream.format("parquet").option("path", f"{path}-out").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.parquet(f"{path}-out")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.positions.collect()))
+        if name == "straight":
+            assert (0, 5, 7, 21.0, 2.0, -7.0) in set(map(tuple, got.collect()))
+    layout, first = follow.parse_frame(frame_text(0, FRAMES[0]), None)
+    assert first["id"].tolist() == [1, 2, 3, 4] and first["type"].tolist() == [1, 1, 2, 2]
+    for bad in (frame_text(1, FRAMES[1][:3]), frame_text(1, [(1, 0, 0, 0)] * 4), frame_text(1, FRAMES[1], "id mol type xu yu zu"), frame_text(1, [(9, 0, 0, 0), *FRAMES[1][1:]], row=lambda r: f"{r[0]} 1 1 {r[1]} {r[2]} {r[3]}"), frame_text(1, FRAMES[1]).replace("1 1 1 1 0 0", "1 1 1 1x 0 0")):
+        with pytest.raises(dump.DumpError):
+            follow.parse_frame(bad, layout)
+
+
+def run_config(path, out, **general) -> Config:
+    cfg = Config().update("general", input=str(path), dt=1.0, output_dir=str(out), **general)
+    return cfg.define(measure__m={"type": "msd", "block_size": 2, "output": "m.dat"}, measure__t={"type": "msd", "correlator": "multitau", "mt_channels": 2, "mt_levels": 1, "output": "t.dat"}, measure__s={"type": "selection_size", "group": "region:slab,x,1.5,9"})
+
+
+def test_run_as_a_stream_resumes(spark, tmp_path):
+    path, whole = tmp_path / "g.dump", [frame_text(i, f) for i, f in enumerate(FRAMES)]
+    path.write_text("".join(whole))
+    want = run.run(spark, run_config(path, tmp_path / "batch"))
+    path.write_text(whole[0] + whole[1][:60])
+    one = run.run(spark, run_config(path, tmp_path / "one", checkpoint_out=str(tmp_path / "state")))
+    assert one.load_table("s") == [[0, 0]] and one.index["run"]["frames"] == 1
     path.write_text("".join(whole))
-    again = follow.stream_multi_tau(follow.follow_dump(spark, str(path)), spec, out, state, str(path)).orderBy("lag").collect()
-    want = correlate.multi_tau(dump.read_dump(spark, str(path)).positions, spec).orderBy("lag").collect()
-    assert [tuple(r) for r in again] == [tuple(r) for r in want]
+    two = run.run(spark, run_config(path, tmp_path / "two", resume_from=str(tmp_path / "state"), checkpoint_out=str(tmp_path / "state2"), flush_every_frames=1))
+    for name in ("m", "t", "s"):
+        assert two.load_table(name) == want.load_table(name)
+    assert two.index["run"]["frames"] == 3 and "fnv1a64" in two.index["run"]["input"]
+    with pytest.raises(ValueError):  # another measure's settings
+        run.run(spark, run_config(path, tmp_path / "two", resume_from=str(tmp_path / "state2")).update("measure.m", block_size=3))
+
+
+def test_follow_until_told_to_stop(spark, tmp_path):
+    import threading
+
+    path, stop = tmp_path / "g.dump", threading.Event()
+    path.write_text(frame_text(0, FRAMES[0]))
+
+    def grow():
+        for i in (1, 2):
+            with open(path, "a") as f:
+                f.write(frame_text(i, FRAMES[i]))
+        for _ in range(240):
+            seen = (tmp_path / "out" / "results.json").exists() and sinks.Results(str(tmp_path / "out")).index["run"]["frames"]
+            if seen == 3 or stop.wait(0.5):
+                break
+        stop.set()
+
+    writer = threading.Thread(target=grow)
+    writer.start()
+    got = run.run(spark, run_config(path, tmp_path / "out", follow=True, flush_every_seconds=0.01), stop=stop)
+    writer.join()
+    assert got.index["run"]["frames"] == 3 and got.load_table("m") == [[1, 1, 0.4375, 2, 0, 1, 1], [2, 2, 1.375, 1, 0, 0, 2]] and "fnv1a64" not in got.index["run"]["input"]
+
+
+def test_datasets_and_fixed_order_sums(spark, tmp_path):
+    spec = sinks.Dataset(["v"]).column("i", "frames", "number").column("v", "A")
     with pytest.raises(ValueError):
-        follow.stream_multi_tau(follow.follow_dump(spark, str(path)), CorrelatorSpec(kind="multitau", channels=4, levels=1), out, state, str(path))
+        spec.column("v")
+    df = table(spark, [(1, 2.0), (2, 1.0)], "i long, v double")
+    assert sinks.write_dataset(str(tmp_path / "d"), df, spec, ["note"]) == 2
+    assert (tmp_path / "d").read_text() == "# note\n# i(frames)\tv(A)\n2 1\n1 2\n"
+    with pytest.raises(ValueError):
+        sinks.write_dataset(str(tmp_path / "d"), df.select("i"), spec, [])
+    values = [(i, 0.1 * (i % 7) + 1e9 * (i % 3)) for i in range(3000)]
+    many = table(spark, values, "i long, v double")
+    parts = [math.fsum(()) for _ in range(3)]
+    for i, v in values:
+        parts[i // stats.FOLD] += v
+    want = 0.0
+    for x in parts:
+        want += x
+    assert all(stats.ordered_sum(many.repartition(k), "v", ["i"]).first()[0] == want for k in (1, 5))
+    assert [tuple(r) for r in stats.ordered_sums(many.withColumn("k", F.lit(4)), "v", "k", "i").collect()] == [(4, want)]
+    assert stats.ordered_sum(many.limit(0), "v", ["i"]).first()[0] == 0.0
+
+
+def test_components_and_hops_in_rounds_and_in_a_task(spark, shapes, monkeypatch):
+    from kinetrail.operators import components
+
+    nodes, edges = shapes
+    small = [sorted(map(tuple, f.collect())) for f in (components.connected_components(edges), graph.distances(nodes, edges, nodes.filter("node in (0, 3)")))]
+    monkeypatch.setattr(components, "TASK_EDGES", 0)
+    monkeypatch.setattr(graph, "TASK_EDGES", 0)
+    assert [sorted(map(tuple, f.collect())) for f in (components.connected_components(edges), graph.distances(nodes, edges, nodes.filter("node in (0, 3)")))] == small
+
+
+def test_gaps_in_the_blocked_kernel(spark, monkeypatch):
+    monkeypatch.setattr(correlate, "KERNEL_ROWS", 40)
+    rows = [(i, f, 10 * f, float(i * f), float((f * 7 + i) % 5), 1.0) for i in range(9) for f in range(11) if (i * 3 + f) % 4]
+    s = table(spark, rows, "id long, frame long, timestep long, x double, y double, z double").repartition(3)
+    near = lambda rows: [(r["lag"], r["count_pairs"], round(r["msd"], 9)) for r in rows]
+    for stride in (1, 2):
+        spec = CorrelatorSpec(block_size=0, lag_stride=stride, components="xy")
+        assert near(correlate.exact(s, spec, blocked=True).orderBy("lag").collect()) == near(correlate.exact(s, spec).orderBy("lag").collect())
+
+
+def test_coarse_averages_may_be_given(spark):
+    s = signal(spark, range(0, 80, 10))
+    first = correlate.coarse_levels(s, 2, lambda a, b: a).filter("level = 1").orderBy("k").collect()
+    assert [r["x"] for r in first] == [float(f * f) for f in (0, 2, 4, 6)]
