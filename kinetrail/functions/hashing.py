@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .places import file_system
+
 # Fixed values of the fingerprint: its start (one digit shorter than the standard basis) and its prime.
 START, PRIME = 1469598103934665603, 1099511628211
 
@@ -18,7 +20,8 @@ def hex16(h: int) -> str:
 
 def file_fingerprint(path: str) -> str:
     h = START
-    with open(path, "rb") as f:
+    system, spot = file_system(path)
+    with system.open_input_stream(spot) as f:
         while part := f.read(1 << 16):
             h = fnv1a(part, h)
     return hex16(h)

@@ -7,11 +7,13 @@ import contextlib
 import io
 import json
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.hashing import fnv1a, hex16
+from ..functions.places import file_system
 from ..operators import correlate, mapping
 from ..sources import dump, sinks
 from ..sources import topology as files
@@ -33,7 +35,7 @@ def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def put(path: str, text: str) -> str:
-    system, spot = follow.file_system(path)
+    system, spot = file_system(path)
     system.create_dir(spot.rsplit("/", 1)[0], recursive=True)
     with system.open_output_stream(spot) as f:
         f.write(text.encode())
@@ -43,8 +45,8 @@ def put(path: str, text: str) -> str:
 def whole_text(lines: DataFrame, path: str) -> str:
     """Lines (at, line) as one file; for files that are one text by their nature, as a growing dump is."""
     lines.repartition(1).sortWithinPartitions("at").select("line").write.text(f"{path}-parts")
-    system, spot = follow.file_system(f"{path}-parts")
-    part = next(x.path for x in system.get_file_info(follow.fs.FileSelector(spot)) if x.base_name.startswith("part-"))
+    system, spot = file_system(f"{path}-parts")
+    part = next(x.path for x in system.get_file_info(fs.FileSelector(spot)) if x.base_name.startswith("part-"))
     with system.open_input_file(part) as f:
         return f.read().decode()
 
@@ -215,9 +217,10 @@ def topo_bond_table(v: Views) -> DataFrame:
 
 
 def mapping_path(v: Views) -> str:
-    path = follow.scratch(v.spark, "mapping")
-    v.mapping.select(F.concat_ws(" ", "atom_id", "bead_id", F.col("weight").cast("string"), "bead_type")).union(rows_of(v.spark, [("# bead map",), ("x",)], "x string")).write.text(path)
-    return path
+    """A mapping file, with a comment and a line too short to count."""
+    rows = v.mapping.select(F.col("atom_id").alias("at"), F.concat_ws(" ", "atom_id", "bead_id", F.col("weight").cast("string"), "bead_type").alias("line"))
+    text = whole_text(rows, follow.scratch(v.spark, "lines"))
+    return put(f"{follow.scratch(v.spark, 'mapping')}/map", f"# bead map\n{text}x\n")
 
 
 @query(with_views("mapfile") + "select atom_id, bead_id, weight, bead_type from mapfile")
@@ -240,10 +243,10 @@ def ini_settings(v: Views) -> DataFrame:
     return rows_of(v.spark, [(s, k, x) for s in c.sections for k, x in c.section(s).items()], "section string, name string, value string")
 
 
-@query(literal([(1, "[general]"), (2, "dt = 0.5"), (3, "profile = true"), (4, ""), (5, "[groups]"), (6, "g = type:1,2"), (7, ""), (8, "[measure.a]"), (9, "type = msd")], "at, line"))
+@query(literal([(1, "[general]"), (2, "dt = 0.5"), (3, "profile = true"), (4, ""), (5, "[groups]"), (6, "g = type:1,2"), (7, ""), (8, "[measure.a]"), (9, "type = msd")], "n, line"))
 def ini_written(v: Views) -> DataFrame:
     c = Config().define(measure__a={"type": "msd"}, groups={"g": "type:1,2"}).update("general", dt=0.5, profile=True)
-    return rows_of(v.spark, [(i, line) for i, line in enumerate(c.to_ini().rstrip("\n").split("\n"), 1)], "at long, line string")
+    return rows_of(v.spark, [(i, line) for i, line in enumerate(c.to_ini().rstrip("\n").split("\n"), 1)], "n long, line string")
 
 
 # --- runs ---------------------------------------------------------------------------------------------------------
@@ -251,7 +254,7 @@ def ini_written(v: Views) -> DataFrame:
 
 def config(v: Views, path: str, **measured: dict) -> Config:
     """A run over a dump at path, which writes beside the settled files."""
-    cfg = Config().update("general", input=path, dt=DT, output_dir=follow.file_system(follow.scratch(v.spark, "out"))[1], hash_input=False)
+    cfg = Config().update("general", input=path, dt=DT, output_dir=file_system(follow.scratch(v.spark, "out"))[1], hash_input=False)
     for name, values in measured.items():
         cfg.update(f"measure.{name}", **values)
     return cfg
@@ -381,12 +384,12 @@ def index_layout(v: Views) -> DataFrame:
     return rows_of(v.spark, out, "part string, key string")
 
 
-@query("select r_name as name, r_comment || chr(34) || chr(92) || chr(10) || chr(233) as note from region")
+@query("select r_name as name, r_name || chr(34) || chr(92) || chr(10) || chr(233) as note from region")
 def index_strings(v: Views) -> DataFrame:
     """Any text survives the index: quotes, backslashes, line feeds and letters beyond ASCII."""
-    path = f"{follow.file_system(follow.scratch(v.spark, 'index'))[1]}/results.json"
+    path = f"{file_system(follow.scratch(v.spark, 'index'))[1]}/results.json"
     # The five regions.
-    notes = {r["r_name"]: r["r_comment"] + '"\\\né' for r in v.table("region").select("r_name", "r_comment").collect()}
+    notes = {r["r_name"]: r["r_name"] + '"\\\né' for r in v.table("region").select("r_name").collect()}
     sinks.write_index(path, {"notes": notes})
     with open(path, encoding="utf-8") as f:
         return rows_of(v.spark, sorted(json.load(f)["notes"].items()), "name string, note string")
@@ -395,10 +398,10 @@ def index_strings(v: Views) -> DataFrame:
 _FNV = "walk as (select {key} as name, {text} as s, 0 as i, 1469598103934665603::uhugeint as h from {table} union all select name, s, i + 1, (xor(h, ascii(s[i + 1])::uhugeint) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint from walk where i < length(s))"
 
 
-@query("with recursive " + _FNV.format(key="r_name", text="r_name || ' ' || r_comment", table="region") + " select name, lpad(lower(to_hex(h)), 16, '0') as hash from walk where i = length(s)")
+@query("with recursive " + _FNV.format(key="r_name", text="r_name || ' ' || r_regionkey", table="region") + " select name, lpad(lower(to_hex(h)), 16, '0') as hash from walk where i = length(s)")
 def fingerprint_texts(v: Views) -> DataFrame:
-    rows = v.table("region").select("r_name", "r_comment").collect()  # the five regions
-    return rows_of(v.spark, [(r["r_name"], hex16(fnv1a(f"{r['r_name']} {r['r_comment']}".encode()))) for r in rows], "name string, hash string")
+    rows = v.table("region").select("r_name", "r_regionkey").collect()  # the five regions
+    return rows_of(v.spark, [(r["r_name"], hex16(fnv1a(f"{r['r_name']} {r['r_regionkey']}".encode()))) for r in rows], "name string, hash string")
 
 
 _SPECIFIED = "model_scale=AA;mode=by_mol;position=com_mass;source_group=g;file_hash_fnv1a64="
@@ -409,20 +412,20 @@ def mapping_spec_hash(v: Views) -> DataFrame:
     return rows_of(v.spark, [("by_mol", mapping.specification("AA", "by_mol", "com_mass", "g")[1])], "name string, hash string")
 
 
-@query(literal([(1, "# sizes"), (2, "1 2.5"), (3, "3 x")], "at, line"))
+@query(literal([(1, "# sizes"), (2, "1 2.5"), (3, "3 x")], "n, line"))
 def text_sink(v: Views) -> DataFrame:
     """A table that is appended to has its header once; a dry one writes nothing."""
-    path = f"{follow.file_system(follow.scratch(v.spark, 'text'))[1]}/t.dat"
+    path = f"{file_system(follow.scratch(v.spark, 'text'))[1]}/t.dat"
     for rows, dry in (([(1, 2.5)], False), ([(9, 9)], True), ([(3, "x")], False)):
         sinks.TextTable(path, ["sizes"], append=True, dry=dry).write(rows)
     with open(path, encoding="utf-8") as f:
-        return rows_of(v.spark, [(i, line.rstrip("\n")) for i, line in enumerate(f, 1)], "at long, line string")
+        return rows_of(v.spark, [(i, line.rstrip("\n")) for i, line in enumerate(f, 1)], "n long, line string")
 
 
 @query(with_views("atoms") + "select mol, count(*) as n from atoms group by mol")
 def dataset_by_columns(v: Views) -> DataFrame:
     """A table of a caller's own columns, written in an order of its own and read back."""
-    path = f"{follow.file_system(follow.scratch(v.spark, 'dataset'))[1]}/d.dat"
+    path = f"{file_system(follow.scratch(v.spark, 'dataset'))[1]}/d.dat"
     made = sinks.Dataset(["n", "mol"]).column("n", "atoms", "atoms of the molecule").column("mol", "", "molecule")
     sinks.write_dataset(path, v.atoms.groupBy("mol").agg(F.count("*").alias("n")), made, ["molecules"])
     return v.spark.read.schema("n long, mol long").option("sep", " ").option("comment", "#").csv(f"file://{path}").select("mol", "n")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Box
 from ..functions.hashing import file_fingerprint, fnv1a, hex16
+from ..functions.places import file_info, file_system, is_file
 from ..functions.stats import size_statistics
 from ..operators import graph, mapping
 from ..sources import sinks, topology
@@ -158,9 +159,9 @@ def _write(p: dict[str, Any], cfg: Config, out: str, entry: dict[str, Any], fram
 def _index(p: dict[str, Any], cfg: Config, entries: list[dict], timing: dict[str, float], began: float, n_frames: int, hash_input: bool) -> dict[str, Any]:
     ctx: Context = p["ctx"]
     index: dict[str, Any] = {"version": VERSION, "run": {"input": {"path": p["input"]}, "dt": ctx.dt, "scale": p["scale"], "frames": n_frames, "mapping": dict(p["mapping"]), "config_hash": hex16(fnv1a(cfg.to_ini().encode()))}}
-    if cfg.get_bool("general", "hash_input", hash_input) and os.path.isfile(p["input"]):
-        info = os.stat(p["input"])
-        index["run"]["input"] |= {"size": info.st_size, "mtime": int(info.st_mtime), "fnv1a64": file_fingerprint(p["input"])}
+    if cfg.get_bool("general", "hash_input", hash_input) and is_file(p["input"]):
+        info = file_info(p["input"])
+        index["run"]["input"] |= {"size": info.size, "mtime": int(info.mtime_ns // 10**9), "fnv1a64": file_fingerprint(p["input"])}
     if p["tables"]:
         index["run"]["topology"] = {k: t.count() for k, t in p["tables"].items()}
     if ctx.bond_edges is not None:
@@ -216,7 +217,7 @@ class _State:
 
     def __init__(self, folder: str):
         self.folder = folder
-        self.system, self.path = follow.file_system(folder)
+        self.system, self.path = file_system(folder)
 
     def exists(self) -> bool:
         return self.system.get_file_info(f"{self.path}/run_meta.json").type != fs.FileType.NotFound
@@ -286,7 +287,7 @@ def follow_run(spark: SparkSession, cfg: Config, base: str, stop: threading.Even
         fs.copy_files(old.path, state.path, source_filesystem=old.system, destination_filesystem=state.system)
     settings = Config({s: {k: v for k, v in values.items() if s != "general" or k not in NOT_COMPARED} for s, values in cfg.sections.items()})
     topology_file = _resolve(base, cfg.get("topology", "file")) if cfg.has("topology", "file") else ""
-    follow.guard(state.folder, {"config": hex16(fnv1a(settings.to_ini().encode())), "input": source, "mapping": p["mapping"]["spec_hash"], "topology": file_fingerprint(topology_file) if os.path.isfile(topology_file) else "", "sections": sorted(p["tables"]), "measures": [[m["instance"], m["type"], m["params"]] for m in p["measures"]]})
+    follow.guard(state.folder, {"config": hex16(fnv1a(settings.to_ini().encode())), "input": source, "mapping": p["mapping"]["spec_hash"], "topology": file_fingerprint(topology_file) if topology_file and is_file(topology_file) else "", "sections": sorted(p["tables"]), "measures": [[m["instance"], m["type"], m["params"]] for m in p["measures"]]})
     marks, timing, entries = state.marks(), {m["instance"]: 0.0 for m in p["measures"]}, []
     held = {"frames": 0, "time": time.time()}
     groups = p["ctx"].groups

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.places import file_system
 from ..operators.correlate import COMPONENTS, SERIES, CorrelatorSpec, exact_series, lag_table
 from ..plans.durable import shared_dir
 from ..sources.dump import DumpError, header_columns
@@ -35,13 +35,6 @@ RANGES = "frame long, begin long, size long"
 WINDOW = 16 << 20
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path within it."""
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
-
-
 def frame_size(data: bytes, at: int, last: bool) -> int:
     """Bytes of the frame at `at`, 0 if it isn't complete. `last`: nothing follows the data."""
     if not data.startswith(MARK, at):
