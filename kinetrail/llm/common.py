@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
@@ -52,8 +53,35 @@ def slices(batch: pa.RecordBatch, text_at: int = 1, most: int = SLICE_BYTES) ->
         yield batch.slice(a, b - a)
 
 
-def map_slices(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text_at: int = 1, most: int = SLICE_BYTES, first: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
-    """`kernel` over bounded slices of every Arrow batch (passed through `first`), in the partitions df already has."""
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give back what a finished partition has freed: workers outlive their tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches], last: Callable[[], None] = lambda: None) -> Callable[[Batches], Batches]:
+    """run, then last and release, once a partition is done (or dropped)."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            last()
+            release()
+
+    return whole
+
+
+def map_slices(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text_at: int = 1, most: int = SLICE_BYTES, first: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, last: Callable[[], None] = lambda: None) -> DataFrame:
+    """`kernel` over bounded slices of every Arrow batch (passed through `first`), in the partitions df already has; `last`
+    is called when one is done."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +91,7 @@ def map_slices(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch
                     yield out
 
     bound_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, last), schema)
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -182,7 +210,7 @@ def bloom(df: DataFrame, key: str, bits: int) -> np.ndarray:
             set_bits(table, np.unique(np.concatenate(bloom_probes(np.asarray(batch.column(0)).view(np.uint64), bits))))
         yield from blocks_of(table)
 
-    return merge_blocks(df.select(F.col(key).cast("long")).mapInArrow(run, "block int, data binary"), np.zeros(1 << (bits - 3), np.uint8), np.bitwise_or)
+    return merge_blocks(df.select(F.col(key).cast("long")).mapInArrow(tidy(run), "block int, data binary"), np.zeros(1 << (bits - 3), np.uint8), np.bitwise_or)
 
 
 def bloom_probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,4 +235,4 @@ def sifter(table, hit: bool, at: int) -> Callable[[pa.RecordBatch], pa.RecordBat
 
 def sift(df: DataFrame, table, hit: bool, at: int) -> DataFrame:
     keep = sifter(table, hit, at)
-    return df.mapInArrow(lambda batches: map(keep, batches), df.schema)
+    return df.mapInArrow(tidy(lambda batches: map(keep, batches)), df.schema)

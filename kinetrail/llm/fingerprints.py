@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, id_text, map_slices, mix, partitions_for, settle, sha, slices, texts_of
+from .common import Powers, id_text, map_slices, mix, partitions_for, settle, sha, slices, texts_of, tidy
 
 LEVELS, SIZE = 3, 64
 _U = np.uint64
@@ -201,7 +201,7 @@ def with_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if carry is not None:
             yield boundary(OPEN, part, *carry)
 
-    done = settle(rows.mapInArrow(run, f"kind int, part int, text string, {FIELDS}"), "fingerprints")
+    done = settle(rows.mapInArrow(tidy(run), f"kind int, part int, text string, {FIELDS}"), "fingerprints")
     # One row for each partition that has rows: bounded by the number of partitions, not by the data.
     parts = sorted(r[0] for r in done.filter(F.col("kind") == HEAD).select("part").collect())
     follow = spark.createDataFrame([(p, parts[(i + 1) % len(parts)]) for i, p in enumerate(parts)], "part int, next_part int")

@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, texts_of
+from .common import map_slices, texts_of, tidy
 
 UNDETERMINED = "und"
 FIT_ROWS, LEAST_COUNT = 20_000, 2
@@ -70,7 +70,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     n = usable.count()
     if n > fit_rows:  # the fitting sample; its bound is fit_rows
         usable = usable.filter(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 40)) < int((1 << 40) * (fit_rows / n)))
-    counted = usable.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_count, "lang string, n int, gram string, c long")
+    counted = usable.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(tidy(_count), "lang string, n int, gram string, c long")
     summed = counted.groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
     # A list of a gram's languages is as long as there are languages.
     whole = summed.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.collect_list(F.struct("lang", "c")).alias("by")).filter(F.col("total") >= LEAST_COUNT)
@@ -159,6 +159,20 @@ class Predictor:
 
 _predictors: dict[str, Predictor] = {}
 
+
+def predictor(sent, name: str) -> Predictor:
+    """The partition's predictor, from the broadcast model."""
+    if name not in _predictors:
+        _predictors.clear()
+        _predictors[name] = Predictor(sent.value)
+    return _predictors[name]
+
+
+def forget_predictors() -> None:
+    """Workers outlive their tasks: what follows in them needs no model."""
+    _predictors.clear()
+
+
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -169,14 +183,11 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     sent, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if name not in _predictors:
-            _predictors.clear()
-            _predictors[name] = Predictor(sent.value)
-        langs, scores = _predictors[name].predict(texts_of(batch.column(1)))
+        langs, scores = predictor(sent, name).predict(texts_of(batch.column(1)))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
-    return map_slices(plain, kernel, SCHEMA)
+    return map_slices(plain, kernel, SCHEMA, last=forget_predictors)
 
 
 def keep_identified(df: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -186,13 +197,10 @@ def keep_identified(df: DataFrame, least: float = 0.5, id_col: str = "doc_id", t
     at, lang_at = df.columns.index(text_col), df.columns.index(lang_col)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if name not in _predictors:
-            _predictors.clear()
-            _predictors[name] = Predictor(sent.value)
-        langs, scores = _predictors[name].predict(texts_of(batch.column(at)))
+        langs, scores = predictor(sent, name).predict(texts_of(batch.column(at)))
         columns = list(batch.columns)
         columns[lang_at] = pa.compute.coalesce(columns[lang_at], pa.array(langs, pa.string()).cast(columns[lang_at].type))
         out = pa.RecordBatch.from_arrays(columns, batch.schema.names)
         return out.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(langs, scores)], pa.bool_()))
 
-    return map_slices(df, kernel, df.schema, text_at=at)
+    return map_slices(df, kernel, df.schema, text_at=at, last=forget_predictors)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, id_text, in_bloom, map_slices, mix, settle, sha, table_bits, texts_of
+from .common import bloom, id_text, in_bloom, map_slices, mix, settle, sha, table_bits, texts_of, tidy
 
 LEAST, MOST = 256, 8192
 #: Top bits of the gear hash that are zero at a cut: 2^10 bytes between cuts on average.
@@ -198,8 +198,8 @@ def read_features(files: DataFrame, chunks: DataFrame) -> DataFrame:
         for b in pieces(batches):
             yield pa.RecordBatch.from_arrays(measured(b, b.column("found").to_pylist()), names)
 
-    by_file = settle(assemble(files, chunks).mapInArrow(once, VALUES), "media-features")
-    single = files.filter(~F.col("moved")).select("doc_id", "n_bytes", "media_bytes", "media_sha256", "manifest", "kept").mapInArrow(alone, OUT)
+    by_file = settle(assemble(files, chunks).mapInArrow(tidy(once), VALUES), "media-features")
+    single = files.filter(~F.col("moved")).select("doc_id", "n_bytes", "media_bytes", "media_sha256", "manifest", "kept").mapInArrow(tidy(alone), OUT)
     return single.unionByName(files.filter("moved").select("doc_id", "n_bytes", "media_sha256").join(by_file, "media_sha256"))
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Powers, blocks_of, bloom, forget, id_text, in_bloom, map_slices, merge_blocks, mix, settle, sha, sift, slices, table_bits, utf8_of
+from .common import Powers, blocks_of, bloom, forget, id_text, in_bloom, map_slices, merge_blocks, mix, settle, sha, sift, slices, table_bits, tidy, utf8_of
 
 _U = np.uint64
 _POWERS = Powers(0xA24BAED4963EE407)
@@ -126,7 +126,7 @@ def frequencies(df: DataFrame, n: int) -> np.ndarray:
     def scaled(total: np.ndarray) -> np.ndarray:
         return np.minimum(255, np.rint(8 * np.log2(total.astype(np.float32) + 1))).astype(np.uint8)
 
-    return merge_blocks(df.mapInArrow(run, "block int, data binary"), np.zeros(1 << bits, np.uint32), np.add, scaled)
+    return merge_blocks(df.mapInArrow(tidy(run), "block int, data binary"), np.zeros(1 << bits, np.uint32), np.add, scaled)
 
 
 def histogram(s: np.ndarray) -> bytes:
@@ -228,14 +228,20 @@ def whole_sets(needed: DataFrame, plain: DataFrame, n: int) -> DataFrame:
     number = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
     table = plain.sparkSession.sparkContext.broadcast(bloom(needed.select(number.alias("k")), "k", table_bits(plain, 128, *BLOOM_BITS)))
 
-    def wanted(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        sets = [s for s in sets_of(batch.column(1), n) if len(s)]
-        keys = [sha(s.tobytes())[:32] for s in sets]
-        hit = in_bloom(table.value, np.array([int(k[:15], 16) for k in keys], np.uint64)) if keys else []
-        got = [(k, s.tobytes()) for k, s, h in zip(keys, sets, hit) if h]
-        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary())], ["key", "grams"]) if got else None
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()  # a partition sends each set once, however many copies of its text it has
+        for batch in batches:
+            for part in slices(batch):
+                sets = [s for s in sets_of(part.column(1), n) if len(s)]
+                keys = [sha(s.tobytes())[:32] for s in sets]
+                hit = in_bloom(table.value, np.array([int(k[:15], 16) for k in keys], np.uint64)) if keys else []
+                got = {k: s.tobytes() for k, s, h in zip(keys, sets, hit) if h and k not in seen}
+                seen.update(got)
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.binary())], ["key", "grams"])
 
-    return settle(map_slices(plain, wanted, "key string, grams binary").join(needed, "key", "left_semi").dropDuplicates(["key"]), "whole-sets")
+    found = plain.mapInArrow(tidy(wanted), "key string, grams binary").dropDuplicates(["key"])
+    return settle(found.join(needed.distinct(), "key", "left_semi"), "whole-sets")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, plain: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -250,7 +256,7 @@ def verified(pairs: DataFrame, reps: DataFrame, plain: DataFrame, n: int, num: i
             keep = [shared_at_most(p, q) * (num + den) >= num * (i + j) for i, j, p, q in zip(na, nb, x, y)]
             yield batch.select(["a", "b", "key_a", "key_b"]).filter(pa.array(keep, pa.bool_()))
 
-    passed = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "key_a", "key_b", "sums_a", "sums_b").mapInArrow(suffix, "a long, b long, key_a string, key_b string")
+    passed = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "key_a", "key_b", "sums_a", "sums_b").mapInArrow(tidy(suffix), "a long, b long, key_a string, key_b string")
     passed = settle(passed, "near-pairs")
     needed = passed.select(F.col("key_a").alias("key")).union(passed.select("key_b")).distinct()
     whole = whole_sets(needed, plain, n)
@@ -265,7 +271,7 @@ def verified(pairs: DataFrame, reps: DataFrame, plain: DataFrame, n: int, num: i
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = passed.join(whole.select(F.col("key").alias("key_a"), F.col("grams").alias("grams_a")), "key_a").join(whole.select(F.col("key").alias("key_b"), F.col("grams").alias("grams_b")), "key_b")
-    out = settle(both.select("a", "b", "grams_a", "grams_b").mapInArrow(verify, "a long, b long"), "links")
+    out = settle(both.select("a", "b", "grams_a", "grams_b").mapInArrow(tidy(verify), "a long, b long"), "links")
     forget(passed, whole)
     return out
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from .bpe import byte_symbols
-from .common import id_text, slices, texts_of
+from .common import id_text, slices, texts_of, tidy
 
 SENTENCE_PENALTY, HARD_PENALTY = 2, 16
 #: Hard cuts are offered only inside runs without a boundary longer than this, as far apart.
@@ -173,4 +173,4 @@ def pack(df: DataFrame, path: str, end_id: int = 1, length: int = 2048, id_col:
         if held:
             yield _pack_block(held, enc.ends_sentence, length, sequence)[0]
 
-    return id_text(df, id_col, text_col).mapInArrow(run, SCHEMA)
+    return id_text(df, id_col, text_col).mapInArrow(tidy(run), SCHEMA)
