@@ -364,21 +364,25 @@ def links_of_dense(members: DataFrame, num: int, den: int) -> DataFrame:
 def link_counts(entries: DataFrame, components: DataFrame, classes: DataFrame, reps: DataFrame, plain: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """node and others: the rows of other classes that a class is linked with. Settled."""
     ours = settle(entries.select("t", "before", "node", "n", "pos").join(components, "node").withColumn("t", F.xxhash64("t", "component")), "entries-within")
-    size = settle(reps.select("node", "n").join(components, "node").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("grams")), "component-sizes")
+    weights = classes.select("node", "w")
+    size = reps.select("node", "n").join(components, "node").join(weights, "node").groupBy("component")
+    size = settle(size.agg(F.count("*").alias("m"), F.sum("n").alias("grams"), F.sum("w").alias("rows")), "component-sizes")
     buckets = ours.groupBy("component", "t").agg(F.count("*").alias("c"))
     made = buckets.groupBy("component").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"))
     m = F.col("m")
     dense = (m <= BLOCK) | (F.col("pairs") >= m * m * DENSE_SHARE)
     blocks = F.greatest(F.ceil(m / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS), F.lit(1))
-    kinds = settle(size.join(made, "component", "left").fillna(0, ["pairs"]).select("component", dense.alias("dense"), F.least(blocks, m).alias("blocks")), "component-kinds")
-    weights = classes.select("node", "w")
-    dense_nodes = components.join(kinds.filter("dense").select("component", "blocks"), "component")
+    kind = F.when(m == 2, "pair").when(dense, "dense").otherwise("sparse")
+    kinds = settle(size.join(made, "component", "left").fillna(0, ["pairs"]).select("component", kind.alias("kind"), F.least(blocks, m).alias("blocks"), "rows"), "component-kinds")
+    # Two classes are one component by their link alone.
+    twos = components.join(kinds.filter("kind = 'pair'").select("component", "rows"), "component").join(weights, "node").select("node", (F.col("rows") - F.col("w")).alias("others"))
+    dense_nodes = components.join(kinds.filter("kind = 'dense'").select("component", "blocks"), "component")
     members = settle(reps.select("node", "key", "n", "tokens", "sums").join(dense_nodes, "node").join(weights, "node"), "dense-members")
     whole = whole_sets(members.select("key"), plain, n)
-    within = links_of_dense(members.join(whole, "key").drop("key"), num, den)
-    sparse = ours.join(kinds.filter("not dense").select("component"), "component", "left_semi").select("t", "before", "node", "n", "pos")
+    within = links_of_dense(members.join(whole, "key").drop("key"), num, den).union(twos)
+    sparse = ours.join(kinds.filter("kind = 'sparse'").select("component"), "component", "left_semi").select("t", "before", "node", "n", "pos")
     held = [ours, size, kinds, members, whole]
-    if not kinds.filter("not dense").isEmpty():
+    if not kinds.filter("kind = 'sparse'").isEmpty():
         sparse = settle(sparse.join(sparse.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1"), "t"), "sparse-entries")
         found = verified(all_pairs(sparse, num, den), reps, plain, n, num, den)
         ways = found.union(found.select("b", "a"))
