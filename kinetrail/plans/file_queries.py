@@ -522,10 +522,11 @@ _PLANNED = [("bad_combine", "refused"), ("bad_group", "refused"), ("dynamic_msd"
 def validate_plans(v: Views) -> DataFrame:
     """What a validation says of good and bad measures; nothing is written."""
     path, out = write_dump(v, atom_columns(**UNWRAPPED)), []
+    parsed = dump.read_dump(v.spark, path)
     cases = {"bad_combine": {"type": "msd", "combine": "A &"}, "bad_group": {"type": "msd", "group": "nobody"}, "dynamic_msd": {"type": "msd", "group": "region:slab,x,1,8"}, "fft": {"type": "msd", "correlator": "fft"}, "m": _EXACT, "s": {"type": "selection_size"}, "unheard": {"type": "unheard"}}
     for name, values in cases.items():
         try:
-            schema = run.plan(v.spark, config(v, path, **{name: values}), "/", dry=True)["measures"][0]["frame"].columns
+            schema = run.plan(v.spark, config(v, path, **{name: values}), "/", dry=True, traj=parsed)["measures"][0]["frame"].columns
             out.append((name, ",".join(schema)))
         except (ConfigError, ValueError, NotImplementedError):
             out.append((name, "refused"))

@@ -35,8 +35,8 @@ RANGES = "frame long, begin long, size long"
 WINDOW = 16 << 20
 
 
-def frame_size(data: bytes, at: int, last: bool) -> int:
-    """Bytes of the frame at `at`, 0 if it isn't complete. `last`: nothing follows the data."""
+def frame_size(data: bytes, at: int) -> int:
+    """Bytes of the frame at `at`, 0 if it isn't complete."""
     if not data.startswith(MARK, at):
         if len(data) - at >= len(MARK) or not MARK.startswith(data[at:]):
             raise DumpError("a frame does not begin where one should")
@@ -58,10 +58,10 @@ def frame_size(data: bytes, at: int, last: bool) -> int:
     return spot - at
 
 
-def complete_frames(data: bytes, last: bool = True) -> tuple[list[tuple[int, int]], int]:
+def complete_frames(data: bytes) -> tuple[list[tuple[int, int]], int]:
     """(begin, size) of every complete frame and the bytes they take. data begins at a frame."""
     found, at = [], 0
-    while at < len(data) and (size := frame_size(data, at, last)):
+    while at < len(data) and (size := frame_size(data, at)):
         found.append((at, size))
         at += size
     return found, at
@@ -77,15 +77,17 @@ class _Reader(SimpleDataSourceStreamReader):
     def _ranges(self, start: dict, end: int | None) -> tuple[list[tuple[int, int, int]], dict]:
         system, path = file_system(self.path)
         out, at, frame, held = [], start["byte"], start["frame"], b""
+        most = self.most if end is None else 0  # what was promised is read again whole
         if system.get_file_info(path).type == fs.FileType.NotFound:
             return [], dict(start)
         with system.open_input_file(path) as f:
             stop = min(f.size(), end) if end is not None else f.size()
-            while at + len(held) < stop and not (self.most and len(out) >= self.most):
-                held += f.read_at(min(WINDOW, stop - at - len(held)), at + len(held))
+            while at + len(held) < stop and not (most and len(out) >= most):
+                # A frame that goes beyond the window is looked at again with twice as much of it.
+                held += f.read_at(min(max(WINDOW, len(held)), stop - at - len(held)), at + len(held))
                 found, size = complete_frames(held)
-                if self.most:
-                    found = found[: self.most - len(out)]
+                if most:
+                    found = found[: most - len(out)]
                     size = sum(n for _, n in found)
                 out += [(frame + k, at + a, n) for k, (a, n) in enumerate(found)]
                 frame, at, held = frame + len(found), at + size, held[size:]
@@ -179,7 +181,7 @@ def first_frame(path: str) -> tuple[Layout, dict]:
         held = b""
         while len(held) < f.size():
             held += f.read_at(WINDOW, len(held))
-            if size := frame_size(held, 0, True):
+            if size := frame_size(held, 0):
                 return parse_frame(held[:size].decode("utf-8"), None)
     raise DumpError("the dump has no complete first frame")
 
