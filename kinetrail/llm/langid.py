@@ -7,8 +7,8 @@ A document's scores are the sums over its words; the best language wins, and the
 Fitting uses at most about `fit_rows` labelled rows (a documented bound; chosen by a hash of the id among rows whose
 crc32(id) mod 5 is not 0), and keeps every word and n-gram that they hold `LEAST_COUNT` times or more, in whatever
 languages, with its counts in all of them: the bound on the sample is the only one on the model. It is fetched and sent in Arrow columns and a float32 table; the
-driver makes no Python object of an entry. Prediction reads all rows and whole texts, and the text alone: the white-space runs of a slice of texts are made
-distinct in Arrow, each distinct one is scored once, and a gather and a sum give the documents' scores.
+driver makes no Python object of an entry. Prediction reads all rows and whole texts, and the text alone: the words of a slice of texts are made distinct in Arrow,
+each distinct one is scored once, and a gather and a sum give the documents' scores.
 
 Defined results: null texts and texts without a letter are `und` with score 0. If nothing can be learned (an empty
 table or no labels) every row is `und`. Ties go to the alphabetically first language. Repeated rows repeat.
@@ -34,7 +34,7 @@ FIT_ROWS, LEAST_COUNT = 20_000, 2
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.1
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 
 
 def held_out(id_col: str) -> F.Column:
@@ -99,7 +99,7 @@ def build(rows: pa.Table) -> dict:
 
 
 class Predictor:
-    """Scores by white-space runs, remembered: each run has a row of summed word scores."""
+    """Scores by words, remembered: each word has a row of scores."""
 
     def __init__(self, model: dict):
         self.langs, self.logs = model["langs"], model["logs"]
@@ -110,51 +110,65 @@ class Predictor:
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1 << 12, len(self.langs)), np.float32)
 
-    def word(self, word: str) -> np.ndarray:
+    def found(self, word: str) -> list[int]:
+        """The model's entries of a word: its own, or those of its longest n-grams of which the model knows any."""
         i = self.index.get("0" + word)
         if i is not None:
-            return self.logs[i]
+            return [i]
+        get = self.index.get
         for n in ORDERS:
-            known = [i for g in grams(word, n) if (i := self.index.get(f"{n}{g}")) is not None]
+            known = [i for g in grams(word, n) if (i := get(f"{n}{g}")) is not None]
             if known:
-                return self.logs[known].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
-
-    def row(self, run: str) -> int:
-        i = len(self.rows)
-        if i == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for w in LETTERS.findall(run):
-            self.table[i] += self.word(w)
-        self.rows[run] = i
-        return i
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """The summed word scores of every text."""
+                return known
+        return []
+
+    def learn(self, words: list[str]) -> None:
+        """A row for each of the words: the mean over its entries, all in one gather."""
+        entries, sizes = [], []
+        for w in words:
+            known = self.found(w)
+            entries += known
+            sizes.append(len(known))
+        at, need = len(self.rows), len(self.rows) + len(words)
+        if need > len(self.table):
+            wider = np.zeros((max(need, 2 * len(self.table)), len(self.langs)), np.float32)
+            wider[:at] = self.table[:at]
+            self.table = wider
+        counts = np.array(sizes, np.int64)
+        own = np.flatnonzero(counts)
+        if len(own):
+            starts = (np.cumsum(counts) - counts)[own]
+            self.table[at + own] = np.add.reduceat(self.logs[entries], starts, axis=0) / counts[own, None]
+        self.rows.update(zip(words, range(at, need)))
+
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The summed word scores of every text, and its number of words."""
         if len(self.rows) > CACHE_ENTRIES:
             self.fresh()
-        split = pa.compute.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
-        coded = split.values.dictionary_encode()
-        known, rows = self.rows.get, []
-        for run in coded.dictionary.to_pylist():
-            i = known(run)
-            rows.append(self.row(run) if i is None else i)
-        each = self.table[np.array(rows, np.int64)[np.asarray(coded.indices)]] if rows else self.table[:0]
+        words, counts = [], []
+        for t in texts:
+            found = LETTERS.findall(t.lower())
+            words += found
+            counts.append(len(found))
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.learn([x for x in distinct if x not in self.rows])
+        each = self.table[np.array(list(map(self.rows.__getitem__, distinct)), np.int64)[np.asarray(coded.indices)]] if words else self.table[:0]
         sums = np.zeros((len(each) + 1, len(self.langs)))
         np.cumsum(each, axis=0, dtype=np.float64, out=sums[1:])
-        offsets = np.asarray(split.offsets)
+        stops = np.cumsum(counts)
         # Differences of running sums over a slice's texts: scores of some 1e6 keep nine digits behind the point.
-        return sums[offsets[1:]] - sums[offsets[:-1]]
+        return sums[stops] - sums[stops - counts], np.array(counts)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and posterior probability of each text; of equal scores the first language's wins."""
         if not self.langs:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        total = np.round(self.scores(texts), 6)
+        total, counts = self.scores(texts)
+        total = np.round(total, 6)
         best = total.argmax(axis=1)
         sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        blank = [not LETTERS.search(t) for t in texts]
-        return [UNDETERMINED if b else self.langs[k] for b, k in zip(blank, best.tolist())], [0.0 if b else x for b, x in zip(blank, sure.tolist())]
+        return [self.langs[k] if c else UNDETERMINED for c, k in zip(counts.tolist(), best.tolist())], np.where(counts > 0, sure, 0.0).tolist()
 
 
 _predictors: dict[str, Predictor] = {}
