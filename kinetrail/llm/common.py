@@ -190,8 +190,11 @@ def get_bits(table: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 128 << 20) -> int:
-    """Shuffle partitions as the session says, and more where the planner's estimate of df's size asks for them."""
+    """Shuffle partitions as the session says, and more where the planner's estimate of df's size asks for them.
+
+    Rows that Spark did not read from files have no estimate (the planner's is 2^63 for each)."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = 0 if size >= 1 << 60 else size
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, size // bytes_each))
 
 
