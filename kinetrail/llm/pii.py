@@ -29,6 +29,7 @@ from .tagger import Tagger, encode
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns of the base kinds.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+LABEL = LOCAL - frozenset("._%+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match of digit groups always begins where a run of digits begins, so long runs are tried once.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -40,7 +41,7 @@ WINDOW, MARGIN = 64, 24
 TRIGGER = re.compile(r"[0-9@]|[(\[{]at[)\]}]|[(\[{]?\bdot\b[)\]}]?", re.I)
 #: Characters of an e-mail's local part or domain; a region doesn't end within a run of them.
 TOKEN = re.compile(r"[A-Za-z0-9._%+-]*+")
-EXAMPLES, EPOCHS, SEED = 2500, 8, 42
+EXAMPLES, EPOCHS, SEED = 3500, 8, 42
 
 
 def luhn(digits: str) -> bool:
@@ -84,8 +85,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def examples(n: int = EXAMPLES, seed: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Labelled windows: symbol codes and label paths."""
     r = random.Random(seed)
-    letters = "etaoinshrdlucmfwygpbvk"
-    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(2, 9)))
+    common, every = "etaoinshrdlucmfwygpbvk", "abcdefghijklmnopqrstuvwxyz"
+
+    def word(most: int = 10) -> str:
+        """Any letters, at times capitals or a name's case, at times very long."""
+        k = r.randint(1, most) if r.random() < 0.9 else r.randint(most, 34)
+        x = "".join(r.choice(common if r.random() < 0.5 else every) for _ in range(k))
+        return x.capitalize() if (p := r.random()) < 0.15 else x.upper() if p < 0.2 else x
+
+    def cased(x: str) -> str:
+        return "".join(c.upper() if r.random() < 0.5 else c for c in x) if (p := r.random()) < 0.15 else x.upper() if p < 0.25 else x.title() if p < 0.4 else x
+
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     octet = lambda: str(r.randint(0, 255))
 
@@ -98,9 +108,12 @@ def examples(n: int = EXAMPLES, seed: int = SEED, window: int = WINDOW) -> tuple
         return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
 
     def email() -> str:
-        user = word() + r.choice((".", ".", "_", "-", "")) + r.choice(("", word(), num(2)))
-        at, dot = r.choice((("@", "."), ("@", "."), (" (at) ", " dot "), ("[at]", "[dot]"), (" @ ", "."), (" (at) ", "."), (" (AT) ", " DOT "), (" [at] ", " [dot] "), ("{at}", "{dot}")))
-        return user.strip("._-") + at + word() + r.choice(("", num(1))) + dot + r.choice(("com", "org", "net", "example.com", "co.uk"))
+        parts = [word(8) if r.random() < 0.85 else word(8) + num(r.randint(1, 4)) for _ in range(r.choice((1, 2, 2, 2, 3)))]
+        user = r.choice((".", ".", "_", "-", "+", "")).join(parts)
+        at, dot = r.choice(((" (at) ", " dot "), (" (at) ", " dot "), ("[at]", "[dot]"), (" @ ", "."), (" @ ", "."), (" (at) ", "."), (" [at] ", " [dot] "), ("{at}", "{dot}"), ("(at)", "(dot)"), (" [at] ", "."), (" [at] ", " dot "), ("@", ".")))
+        host = r.choice(("", "", "", word(8) + "-")) + word() + r.choice(("", "", num(1), num(2)))
+        top = r.choice(("com", "org", "net", "io", "de", "info", word(4).lower(), f"co{dot}uk", f"{word(8)}{dot}com"))
+        return user + cased(at) + host + cased(dot) + cased(top)
 
     def phone() -> str:
         a, b, c = num(3), num(3), num(4)
@@ -111,7 +124,7 @@ def examples(n: int = EXAMPLES, seed: int = SEED, window: int = WINDOW) -> tuple
     noise = (
         lambda: num(r.randint(1, 12)), lambda: f"{r.randint(1900, 2100)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: f"v{r.randint(0, 9)}.{r.randint(0, 30)}.{r.randint(0, 9)}",
         lambda: "$" + num(3) + "." + num(2), lambda: "%x" % r.getrandbits(r.choice((64, 80, 160))), lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)),
-        lambda: "password=" + "%x" % r.getrandbits(72), lambda: 'token = "' + "%x" % r.getrandbits(160) + '"', lambda: "dot " + word(), lambda: "@ " + num(2), lambda: "@" + word(), lambda: f"{num(2)}:{num(2)}", lambda: f"{num(2)}%", lambda: "(c) " + num(4), lambda: word() + num(2),
+        lambda: "password=" + "%x" % r.getrandbits(72), lambda: 'token = "' + "%x" % r.getrandbits(160) + '"', lambda: cased("dot ") + word(), lambda: word() + cased(" at ") + word() + cased(" dot ") + word(), lambda: cased("(at)") + " " + num(2), lambda: "@ " + num(2), lambda: "@" + word(), lambda: f"{num(2)}:{num(2)}", lambda: f"{num(2)}%", lambda: "(c) " + num(4), lambda: word() + num(2),
     )
     ids, gold = np.zeros((n, window), np.int64), np.zeros((n, window), np.int64)
     for i in range(n):
@@ -225,6 +238,15 @@ def spans_of(path: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def whole_tokens(text: str, s: int, e: int) -> tuple[int, int]:
+    """An e-mail's edges moved outwards to the ends of the tokens that they lie in."""
+    while s > 0 and text[s] in LOCAL and text[s - 1] in LOCAL:
+        s -= 1
+    while e < len(text) and text[e - 1] in LABEL and text[e] in LABEL:
+        e += 1
+    return s, e
+
+
 def find(texts: list[str], tagger: Tagger, near: Callable[[str], list[tuple[int, int]]] = regions) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """Base spans and added spans of each text. `near` names the parts of a text that the tagger reads."""
     based = [base_spans(t) for t in texts]
@@ -233,6 +255,8 @@ def find(texts: list[str], tagger: Tagger, near: Callable[[str], list[tuple[int,
     for (i, a, b), path in zip(where, tag_regions(tagger, [texts[i][a:b] for i, a, b in where])):
         for s, k, e in spans_of(path):
             s, e = s + a, e + a
+            if k == 0:
+                s, e = whole_tokens(texts[i], s, e)
             # Edges are whole tokens: a span doesn't begin or end inside a run of digits or letters.
             inside = (s > 0 and texts[i][s - 1].isalnum() and texts[i][s].isalnum()) or (e < len(texts[i]) and texts[i][e].isalnum() and texts[i][e - 1].isalnum())
             if not inside and well_formed(k, texts[i][s:e]) and not any(x < e and s < y for x, _, y in based[i]):

@@ -282,6 +282,60 @@ def test_tagger_finds_planted_data_and_regions_lose_none():
     assert sum(len(x) for _, x in pii.find(clean, tagger)) == 0 == sum(len(x) for _, x in pii.find(clean, tagger, lambda t: [(0, len(t))]))
 
 
+FORMS = {
+    "a.b (at) c dot d": "{a}.{b} (at) {c} dot {d}", "a.b @ c.d": "{a}.{b} @ {c}.{d}", "a_b[at]c[dot]d": "{a}_{b}[at]{c}[dot]{d}", "a.b (at) c.d": "{a}.{b} (at) {c}.{d}",
+    "a.b [at] c [dot] d": "{a}.{b} [at] {c} [dot] {d}", "A.B (At) C Dot d": "{A}.{B} (At) {C} Dot {d}", "a (at) c dot d": "{a} (at) {c} dot {d}",
+}
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_tagger_finds_names_that_its_examples_lack(form):
+    """Ordinary names, hosts and words, none of them made by `examples`."""
+    r = random.Random(form)
+    first = "james mary robert patricia jennifer michael linda elizabeth william barbara richard susan joseph jessica christopher quentin xavier zoe".split()
+    last = "smith johnson williams brown garcia rodriguez martinez hernandez gonzalez wilson anderson jackson quinn zhang fitzgerald vazquez".split()
+    hosts, words = "example acme mailbox zenith jupiter university contoso northwind".split(), "the quick brown fox please contact our office for more details about this offer and send your documents before friday".split()
+    hits = 0
+    for _ in range(100):
+        a, b, c = r.choice(first), r.choice(last), r.choice(hosts)
+        piece = FORMS[form].format(a=a, b=b, c=c, A=a.title(), B=b.title(), C=c.title(), d=r.choice(("com", "org", "net", "io")))
+        before = " ".join(r.choice(words) for _ in range(r.randint(4, 30))) + " "
+        found = pii.find([before + piece + " " + " ".join(r.choice(words) for _ in range(r.randint(4, 30)))], pii.trained())[0][1]
+        hits += (len(before), 0, len(before) + len(piece)) in found
+    assert hits >= 90
+
+
+def plain_best_path(em, trans, start):
+    """The best label path by trying all of them."""
+    def score(path):
+        return start[path[0]] + sum(em[t, k] for t, k in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:]))
+
+    return max(itertools.product(range(em.shape[1]), repeat=len(em)), key=score)
+
+
+def test_viterbi_and_window_averages_equal_plain_ones():
+    from kinetrail.llm.tagger import Tagger, encode
+
+    r = np.random.default_rng(3)
+    t = Tagger(1, hidden=3, width=3)
+    t.p["t"] = r.standard_normal((3, 3))
+    for _ in range(20):
+        em = r.standard_normal((6, 3)) * 3
+        assert tuple(t.viterbi(em)) == plain_best_path(em, t.p["t"] + t.bar, t.start)
+    # A text of several windows: each position's scores are the windows' mean, weighted by the distance to their edges.
+    text = "mail bob.smith (at) example dot org now or call " * 4
+    tagger, half = pii.trained(), pii.WINDOW // 2
+    total, weight = np.zeros((len(text), tagger.labels)), np.zeros(len(text))
+    for a in range(0, len(text) - half, half):
+        padded = text[a : a + pii.WINDOW].ljust(pii.WINDOW)
+        em = tagger.emissions(encode(padded)[None])[0]
+        for j in range(min(pii.WINDOW, len(text) - a)):
+            w = min(j + 1, pii.WINDOW - j)
+            total[a + j] += w * em[j]
+            weight[a + j] += w
+    assert (pii.tag_regions(tagger, [text])[0] == tagger.viterbi(total / weight[:, None])).all()
+
+
 def test_tagger_gradients():
     from kinetrail.llm.tagger import Tagger
 
