@@ -1,4 +1,4 @@
-"""Time-origin-averaged correlation of particle signals: exact and multi-tau, with block errors.
+"""Time-origin-averaged correlation of particle signals: exact, spectral and multi-tau, with block errors.
 
 A signal has columns id, frame, timestep and value columns (x, y, z). Every correlator first reduces each pair of time
 origins (cur, org) to one number over all particles, then each lag to one row over its pairs. The first reduction is a
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spectral import lag_sums
+
 AXES = ("frame", "timestep", "timebin")
 # Names of the component masks (fixed values of the configuration language).
 COMPONENTS = {
@@ -34,16 +36,18 @@ class CorrelatorSpec:
     min_pairs_per_bin: int = 0
     bin_merge: bool | None = None
     lag_stride: int = 1
-    block_size: int = 200
+    block_size: int | None = None
     channels: int = 16
     levels: int = 10
     components: str = "xxyyzz"
 
     def __post_init__(self) -> None:
-        if self.kind == "fft":
-            raise NotImplementedError("the fft correlator is a name without an implementation")
-        if self.kind not in ("exact", "multitau"):
+        if self.kind not in ("exact", "multitau", "fft"):
             raise ValueError(f"unknown correlator {self.kind}")
+        if self.block_size is None:
+            object.__setattr__(self, "block_size", 0 if self.kind == "fft" else 200)
+        if self.kind == "fft" and self.block_size > 0:
+            raise ValueError("the fft correlator makes no pairs, so it has no block errors; block_size is 0")
         if self.axis not in AXES:
             raise ValueError(f"unknown lag axis {self.axis}")
         if self.kind == "multitau" and self.axis != "frame":
@@ -179,18 +183,25 @@ def lag_table(pairs: DataFrame, block_size: int) -> DataFrame:
     return base.join(errors, "key", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0))).withColumn("sem", F.coalesce("sem", F.lit(0.0)))
 
 
-def merge_bins(pairs: DataFrame, block_size: int, least: int) -> DataFrame:
-    """Bins with fewer than `least` pairs absorb the following ones; a last one too small joins the bin before.
+def bin_sums(pairs: DataFrame, block_size: int) -> DataFrame:
+    """Per key the sums that merge: of values, pairs and timestep differences, and of completed blocks' means."""
+    base = pairs.groupBy("key").agg(F.sum("v").alias("s"), F.count("*").alias("c"), F.sum("dts").alias("d"))
+    if block_size <= 0:
+        return without_blocks(base)
+    at = F.row_number().over(Window.partitionBy("key").orderBy("cur", F.desc("org"))) - 1
+    full = pairs.withColumn("block", F.floor(at / block_size)).groupBy("key", "block").agg(F.avg("v").alias("b"), F.count("*").alias("n")).filter(F.col("n") == block_size)
+    return base.join(full.groupBy("key").agg(F.sum("b").alias("bs"), F.sum(F.col("b") * F.col("b")).alias("bq"), F.count("*").alias("bn")), "key", "left").fillna(0)
+
+
+def without_blocks(base: DataFrame) -> DataFrame:
+    return base.withColumn("bs", F.lit(0.0)).withColumn("bq", F.lit(0.0)).withColumn("bn", F.lit(0).cast("long"))
+
+
+def merge_bins(base: DataFrame, least: int) -> DataFrame:
+    """Bins (of bin_sums) with fewer than `least` pairs absorb the following ones; a last one too small joins the bin before.
 
     Block means of merged bins are pooled, unfinished blocks are not. The fold is sequential over bins, of which there
     is at most one for each lag: a bounded group."""
-    base = pairs.groupBy("key").agg(F.sum("v").alias("s"), F.count("*").alias("c"), F.sum("dts").alias("d"))
-    if block_size > 0:
-        at = F.row_number().over(Window.partitionBy("key").orderBy("cur", F.desc("org"))) - 1
-        full = pairs.withColumn("block", F.floor(at / block_size)).groupBy("key", "block").agg(F.avg("v").alias("b"), F.count("*").alias("n")).filter(F.col("n") == block_size)
-        base = base.join(full.groupBy("key").agg(F.sum("b").alias("bs"), F.sum(F.col("b") * F.col("b")).alias("bq"), F.count("*").alias("bn")), "key", "left").fillna(0)
-    else:
-        base = base.withColumn("bs", F.lit(0.0)).withColumn("bq", F.lit(0.0)).withColumn("bn", F.lit(0).cast("long"))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         bins: list[list[float]] = []
@@ -232,7 +243,12 @@ def exact_series(pairs: DataFrame, spec: CorrelatorSpec) -> DataFrame:
         keyed = pairs.withColumn("key", F.col("dts"))
     else:
         keyed = pairs.withColumn("key", F.floor(F.col("dts") * spec.dt / spec.width).cast("long"))
-    rows = merge_bins(keyed, spec.block_size, spec.min_pairs_per_bin) if spec.axis == "timebin" and spec.merges else lag_table(keyed, spec.block_size)
+    merged = spec.axis == "timebin" and spec.merges
+    return on_axis(merge_bins(bin_sums(keyed, spec.block_size), spec.min_pairs_per_bin) if merged else lag_table(keyed, spec.block_size), spec)
+
+
+def on_axis(rows: DataFrame, spec: CorrelatorSpec) -> DataFrame:
+    """Rows by key as a series: lag and time in the axis' units."""
     mean_time = F.col("mean_dtimestep") * spec.dt
     if spec.axis == "frame":
         lag, time = F.col("key").cast("double"), mean_time
@@ -243,6 +259,22 @@ def exact_series(pairs: DataFrame, spec: CorrelatorSpec) -> DataFrame:
     return rows.withColumn("lag", lag).withColumn("time", time).select(*SERIES)
 
 
+def spectral(signal: DataFrame, spec: CorrelatorSpec) -> DataFrame:
+    """The exact correlator of squared displacements from Fourier transforms, without pairs and so without block errors."""
+    sums = lag_sums(signal, COMPONENTS[spec.components], spec.lag_stride, equal_steps=spec.axis != "frame")
+    if spec.axis == "frame":
+        key = F.col("lag")
+    elif spec.axis == "timestep":
+        key = F.expr("d div c")
+    else:
+        key = F.floor(F.col("d") / F.col("c") * spec.dt / spec.width).cast("long")
+    base = without_blocks(sums.groupBy(key.alias("key")).agg(*(F.sum(x).alias(x) for x in "scd")))
+    if spec.axis == "timebin" and spec.merges:
+        return on_axis(merge_bins(base, spec.min_pairs_per_bin), spec)
+    rows = base.select("key", (F.col("s") / F.col("c")).alias("msd"), F.col("c").alias("count_pairs"), (F.col("d") / F.col("c")).alias("mean_dtimestep"), F.col("bn").alias("n_blocks"), F.lit(0.0).alias("sem"))
+    return on_axis(rows, spec)
+
+
 Average = Callable[[Column, Column], Column]
 
 
@@ -290,6 +322,10 @@ def multi_tau(signal: DataFrame, spec: CorrelatorSpec, value: PairValue | None =
 
 
 def correlate(signal: DataFrame, spec: CorrelatorSpec, value: PairValue | None = None, average: Average | None = None) -> DataFrame:
+    if spec.kind == "fft":
+        if value is not None:
+            raise ValueError("the fft correlator knows squared displacements only")
+        return spectral(signal, spec)
     return exact(signal, spec, value) if spec.kind == "exact" else multi_tau(signal, spec, value, average)
 
 

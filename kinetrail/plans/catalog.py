@@ -79,6 +79,24 @@ def msd_exact_blocked_kernel(v: Views) -> DataFrame:
     return series(correlate.exact(correlate.without_drift(v.positions), spec(), blocked=True))
 
 
+@query(sql_msd(block=0))
+def msd_fft(v: Views) -> DataFrame:
+    return series(correlate.msd(v.positions, spec(kind="fft", block_size=0)))
+
+
+_EVEN = ", even as (select frame, 10*frame as timestep, id, x, y, z from traj)"
+
+
+def _even(v: Views) -> DataFrame:
+    """The positions at equal steps, which the axes of time ask for."""
+    return v.positions.withColumn("timestep", F.col("frame") * 10)
+
+
+@query(sql_msd(key="dts", time="cast(key as double) * 0.5", block=0, axes="xy", stride=2, extra=_EVEN).replace("select * from traj", "select * from even"))
+def msd_fft_timestep(v: Views) -> DataFrame:
+    return series(correlate.spectral(correlate.without_drift(_even(v)), CorrelatorSpec(kind="fft", axis="timestep", dt=DT, components="xy", lag_stride=1)).filter("lag % 20 = 0"))
+
+
 @query(sql_msd(stride=3))
 def msd_exact_stride(v: Views) -> DataFrame:
     return series(correlate.msd(v.positions, spec(lag_stride=3)))

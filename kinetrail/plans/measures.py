@@ -151,7 +151,7 @@ def correlator_spec(cfg: Config, section: str, dt: float) -> CorrelatorSpec:
     least = cfg.get_int(section, "min_pairs_per_bin", 0)
     return CorrelatorSpec(
         kind=cfg.get(section, "correlator", "exact"), axis=cfg.get(section, "lag_axis", "frame"), dt=dt, timebin_width=cfg.get_float(section, "timebin_width"), min_pairs_per_bin=least,
-        bin_merge=cfg.get_bool(section, "bin_merge", least > 0), lag_stride=cfg.get_int(section, "lag_stride", 1), block_size=cfg.get_int(section, "block_size", 200),
+        bin_merge=cfg.get_bool(section, "bin_merge", least > 0), lag_stride=cfg.get_int(section, "lag_stride", 1), block_size=cfg.get_int(section, "block_size", None),
         channels=cfg.get_int(section, "mt_channels", 16), levels=cfg.get_int(section, "mt_levels", 10), components=cfg.get(section, "components", "xxyyzz"),
     )
 

@@ -1,24 +1,17 @@
-"""Trajectory dumps: text frames of ITEM sections, read as one record a frame and split into columns by Spark.
+"""Trajectory dumps: text frames of ITEM sections, found and parsed by byte ranges (see `ranges`).
 
-The column list comes from the first frame's header and is checked against all others in one aggregate; numbers must
-be whole tokens. type and mol are taken from the first frame alone; ids must be the same set in every frame."""
+The column list comes from the first frame's header and is checked against all others; numbers must be whole tokens.
+type and mol are taken from the first frame alone; ids must be the same set in every frame."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import numbered_globally
 from ..plans.durable import settle
-
-SEPARATOR = "ITEM: TIMESTEP\n"
-CORE = ("id", "type", "mol", "molecule", "x", "y", "z", "xu", "yu", "zu", "ix", "iy", "iz")
-
-
-class DumpError(ValueError):
-    pass
+from .ranges import CORE, RANGE_BYTES, DumpError, Index, header_columns, index_dump, scan_dump  # noqa: F401
 
 
 @dataclass
@@ -29,94 +22,29 @@ class Trajectory:
     atoms: DataFrame
     positions: DataFrame
     extras: list[str]
-
-
-def header_columns(line: str) -> list[str]:
-    if not line.startswith("ITEM: ATOMS"):
-        raise DumpError(f"not an atoms header: {line!r}")
-    names = line[len("ITEM: ATOMS") :].split()
-    if "id" not in names:
-        raise DumpError("the atoms header has no id")
-    have = lambda *n: all(x in names for x in n)
-    if not (have("xu", "yu", "zu") or have("x", "y", "z", "ix", "iy", "iz")):
-        raise DumpError("positions need xu yu zu, or x y z with ix iy iz")
-    return names
-
-
-def _number(text: Column, kind: str, what: str) -> Column:
-    """The whole token as a number, or an error that names the column."""
-    value = text.try_cast(kind)
-    return F.when(value.isNull(), F.raise_error(F.concat(F.lit(f"not a number in {what}: "), F.coalesce(text, F.lit("nothing"))))).otherwise(value)
-
-
-def box_struct(lines: Column) -> Column:
-    """xlo..zhi, xy, xz, yz and triclinic, with the bounding box of a tilted cell corrected."""
-    head = F.get(lines, F.lit(3))
-    part = lambda i, k: F.get(F.split(F.trim(F.get(lines, F.lit(4 + i))), r"\s+"), F.lit(k))
-    tilted = head.contains("xy xz yz")
-    v = {(i, k): _number(part(i, k), "double", "box bounds") for i in range(3) for k in range(2)}
-    tilt = [F.when(tilted, part(i, 2).try_cast("double")).otherwise(0.0) for i in range(3)]
-    xy, xz, yz = tilt
-    zero = F.lit(0.0)
-    return F.struct(
-        (v[0, 0] - F.least(zero, xy, xz, xy + xz)).alias("xlo"), (v[0, 1] - F.greatest(zero, xy, xz, xy + xz)).alias("xhi"),
-        (v[1, 0] - F.least(zero, yz)).alias("ylo"), (v[1, 1] - F.greatest(zero, yz)).alias("yhi"), v[2, 0].alias("zlo"), v[2, 1].alias("zhi"),
-        xy.alias("xy"), xz.alias("xz"), yz.alias("yz"), tilted.alias("triclinic"),
-    )
-
-
-def read_dump(spark: SparkSession, path: str, allow_header_change: bool = False, check: bool = True, settled: bool = True) -> Trajectory:
-    """The text is parsed once into a settled table of rows (unless `settled` is false, for plans that only look at the
-    first frame); the checks and all later plans read that."""
-    raw = spark.read.option("lineSep", SEPARATOR).text(path).filter(F.length(F.trim("value")) > 0)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.split(F.regexp_replace("value", r"\s+$", ""), "\n").alias("lines"))
-    # Frames are numbered by their keys alone; their texts stay where they were read.
-    numbers = numbered_globally(raw.select("file", "at"), ["file", "at"], "frame")
-    records = raw.join(numbers, ["file", "at"]).select(F.col("frame").cast("long").alias("frame"), "lines")
-    first = records.filter("frame = 0").select(F.get("lines", F.lit(7))).first()
-    if first is None or first[0] is None:
-        raise DumpError("the dump has no complete first frame")
-    names = header_columns(first[0])
-    natoms = _number(F.trim(F.get("lines", F.lit(2))), "long", "number of atoms")
-    timestep = _number(F.trim(F.get("lines", F.lit(0))), "long", "timestep")
-    whole = F.when((F.get("lines", F.lit(1)) != "ITEM: NUMBER OF ATOMS") | (F.size("lines") != natoms + 8), F.raise_error(F.lit("an incomplete or malformed frame")))
-    records = records.withColumn("natoms", F.coalesce(whole.cast("long"), natoms)).withColumn("timestep", timestep)
-    header = F.split(F.trim(F.regexp_replace(F.get("lines", F.lit(7)), "^ITEM: ATOMS", "")), r"\s+")
-    rows = records.select("frame", "timestep", "natoms", box_struct(F.col("lines")).alias("box"), header.alias("names"), F.posexplode_outer(F.slice("lines", 9, F.greatest(F.col("natoms"), F.lit(0)).cast("int"))).alias("pos", "line"))
-    tokens = F.split(F.trim("line"), r"\s+")
-    rows = rows.withColumn("tokens", F.when(F.col("line").isNotNull() & (F.size(tokens) != F.size("names")), F.raise_error(F.lit("a row's columns don't match the header"))).otherwise(tokens))
-
-    def token(name: str, kind: str) -> Column:
-        at = (F.array_position("names", name) - 1).cast("int") if allow_header_change else F.lit(names.index(name))
-        return F.when(F.col("line").isNotNull(), _number(F.get("tokens", at), kind, name))
-
-    if all(n in names for n in ("xu", "yu", "zu")):
-        xyz = [token(n, "double") for n in ("xu", "yu", "zu")]
-    else:
-        x, y, z = (token(n, "double") for n in "xyz")
-        ix, iy, iz = (token(n, "long") for n in ("ix", "iy", "iz"))
-        b = lambda n: F.col(f"box.{n}")
-        xyz = [x + ix * (b("xhi") - b("xlo")) + iy * b("xy") + iz * b("xz"), y + iy * (b("yhi") - b("ylo")) + iz * b("yz"), z + iz * (b("zhi") - b("zlo"))]
-    extras = [n for n in names if n not in CORE]
-    kind = token("type", "int") if "type" in names else F.lit(None).cast("int")
-    mol_name = next((n for n in ("mol", "molecule") if n in names), None)
-    mol = token(mol_name, "long") if mol_name else F.lit(None).cast("long")
-    parsed = rows.select("frame", "timestep", "natoms", "box", F.array_join("names", " ").alias("header"), F.col("pos").cast("long").alias("pos"), token("id", "long").alias("id"), kind.alias("kind"), mol.alias("molecule"), *(c.alias(n) for n, c in zip("xyz", xyz)), *(token(n, "double").alias(f"extra {n}") for n in extras))
+    index: Index | None = None
+
+
+def read_dump(spark: SparkSession, path: str, allow_header_change: bool = False, check: bool = True, settled: bool = True, frames: tuple[int, int] = (0, -1), range_bytes: int = RANGE_BYTES) -> Trajectory:
+    """The dump's index is made at once; the rows of the wanted frames are parsed once into a settled table (unless
+    `settled` is false: then plans parse what they ask for, and filters on `frame` reach the source). The atoms are those of
+    the first frame, of which nothing else is read."""
+    index = index_dump(spark, path, range_bytes)
+    extras = [n for n in index.names if n not in CORE]
+    per_frame = index.frames.agg(F.countDistinct("header").alias("h"), F.countDistinct("natoms").alias("n")).first()
+    if check and per_frame["n"] > 1:
+        raise DumpError("the number of atoms changes")
+    if check and per_frame["h"] > 1 and not allow_header_change:
+        raise DumpError("the atoms header changes")
+    atoms = settle(scan_dump(spark, index, ["pos", "id", "type", "mol"], (0, 0), allow_header_change).withColumnRenamed("pos", "idx"), "dump-atoms")
+    positions = scan_dump(spark, index, ["frame", "timestep", "id", "x", "y", "z", *extras], frames, allow_header_change)
     if settled:
-        parsed = settle(parsed, "dump")
-    frames = parsed.filter("pos is null or pos = 0").select("frame", "timestep", "natoms", "box", "header")
-    parsed = parsed.filter("pos is not null")
-    positions = parsed.select("frame", "timestep", "id", "x", "y", "z", *(F.col(f"extra {n}").alias(n) for n in extras))
-    atoms = parsed.filter("frame = 0").select(F.col("pos").alias("idx"), "id", F.col("kind").alias("type"), F.col("molecule").alias("mol"))
+        positions = settle(positions, "dump")
     if check:
-        seen = frames.agg(F.countDistinct("header").alias("h"), F.countDistinct("natoms").alias("n")).first()
-        if seen["n"] > 1:
-            raise DumpError("the number of atoms changes")
-        if seen["h"] > 1 and not allow_header_change:
-            raise DumpError("the atoms header changes")
         per = positions.groupBy("frame").agg(F.count("*").alias("n"), F.countDistinct("id").alias("d"), F.min("id").alias("low"))
         if not per.filter("n <> d or low < 0").isEmpty():
             raise DumpError("an id is negative or repeats within a frame")
         if not positions.join(atoms, "id", "left_anti").isEmpty():
             raise DumpError("a later frame has an unknown id")
-    return Trajectory(frames.drop("header"), atoms, positions, extras)
+    wanted = index.frames.filter((F.col("frame") >= frames[0]) & ((F.col("frame") <= frames[1]) if frames[1] >= 0 else F.lit(True)))
+    return Trajectory(wanted.select("frame", "timestep", "natoms", "box"), atoms, positions, extras, index)
