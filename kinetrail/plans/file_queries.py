@@ -3,52 +3,44 @@ read back by the readers, runs and streams, and compared with what the tables ho
 
 from __future__ import annotations
 
-import contextlib
-import io
-import json
-
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..functions.hashing import fnv1a, hex16
 from ..functions.places import file_system
 from ..operators import correlate, mapping
-from ..sources import dump, sinks
+from ..sources import dump, ranges, sinks
 from ..sources import topology as files
-from ..sources.ini import Config, ConfigError
+from ..sources.ini import Config
 from ..streaming import follow
 from . import measures, run
 from .catalog import BLOCK, DT, _SEL, groups_of, query, r8, series, spec, sql_msd
 from .views import Views, with_views
 
 
-def literal(rows: list[tuple], names: str) -> str:
-    """A constant table in SQL."""
-    spell = lambda x: "true" if x is True else "false" if x is False else str(x) + "::bigint" if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return f"select * from (values {', '.join('(' + ', '.join(map(spell, r)) + ')' for r in rows)}) t({names})"
-
-
 def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def put(path: str, text: str) -> str:
-    system, spot = file_system(path)
-    system.create_dir(spot.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(spot) as f:
-        f.write(text.encode())
+def part_files(lines: DataFrame, name: str, parts: int = 3) -> str:
+    """Lines (at, line) as a folder of text files, in order of their names, written by the executors."""
+    path = follow.scratch(lines.sparkSession, name)
+    lines.repartitionByRange(parts, "at").sortWithinPartitions("at").select("line").write.text(path)
     return path
 
 
-def whole_text(lines: DataFrame, path: str) -> str:
-    """Lines (at, line) as one file; for files that are one text by their nature, as a growing dump is."""
-    lines.repartition(1).sortWithinPartitions("at").select("line").write.text(f"{path}-parts")
-    system, spot = file_system(f"{path}-parts")
-    part = next(x.path for x in system.get_file_info(fs.FileSelector(spot)) if x.base_name.startswith("part-"))
-    with system.open_input_file(part) as f:
-        return f.read().decode()
+def one_file(folder: str, path: str, stop: int | None = None) -> str:
+    """A folder's text files one after the other as one growing file, copied by small pieces, up to byte `stop`."""
+    system, spot = file_system(path)
+    system.create_dir(spot.rsplit("/", 1)[0], recursive=True)
+    left = stop
+    with system.open_output_stream(spot) as out:
+        for name, _ in ranges.files_of(folder):
+            with system.open_input_stream(name) as f:
+                while (left is None or left > 0) and (some := f.read(1 << 20 if left is None else min(left, 1 << 20))):
+                    out.write(some)
+                    left = None if left is None else left - len(some)
+    return path
 
 
 STRAIGHT, TILTED = "pp pp pp\n0 20\n0 4\n0 3", "xy xz yz pp pp pp\n0 23 2\n0 4.5 1\n0 3 0.5"
@@ -80,9 +72,7 @@ UNWRAPPED = {"xu": "x", "yu": "y", "zu": "z"}
 
 def write_dump(v: Views, columns: dict[str, str], box: str = STRAIGHT, swapped: dict[str, str] | None = None) -> str:
     """A dump of several part files, in order of frames."""
-    path = follow.scratch(v.spark, "dump")
-    dump_frames(v, columns, box, swapped).repartitionByRange(3, "at").sortWithinPartitions("at").select("line").write.text(path)
-    return path
+    return part_files(dump_frames(v, columns, box, swapped), "dump")
 
 
 _TRAJ = with_views("traj", "atoms")
@@ -132,36 +122,6 @@ def dump_header_change(v: Views) -> DataFrame:
     return r8(dump.read_dump(v.spark, path, allow_header_change=True).positions)
 
 
-def _frame(step: int, ids: list[int], header: str = "id type xu yu zu", row: str = "{} 1 0 0 0", n: int | None = None) -> str:
-    return f"ITEM: TIMESTEP\n{step}\nITEM: NUMBER OF ATOMS\n{len(ids) if n is None else n}\nITEM: BOX BOUNDS {STRAIGHT}\nITEM: ATOMS {header}\n" + "".join(row.format(i) + "\n" for i in ids)
-
-
-FAULTS = {
-    "atoms_change": (_frame(0, [1, 2]) + _frame(1, [1]), True),
-    "bad_number": (_frame(0, [1, 2], row="{} 1 0 0x 0"), True),
-    "good": (_frame(0, [1, 2]) + _frame(1, [2, 1]), False),
-    "header_changes": (_frame(0, [1, 2]) + _frame(1, [1, 2], "id type zu yu xu"), True),
-    "negative_id": (_frame(0, [1, -2]), True),
-    "no_positions": (_frame(0, [1, 2], "id type xs ys zs"), True),
-    "repeated_id": (_frame(0, [1, 1]), True),
-    "short_row": (_frame(0, [1, 2], row="{} 1 0 0"), True),
-    "truncated": (_frame(0, [1, 2], n=3), True),
-    "unknown_id": (_frame(0, [1, 2]) + _frame(1, [1, 3]), True),
-}
-
-
-@query(literal([(k, bad) for k, (_, bad) in FAULTS.items()], "fault, refused"))
-def dump_faults(v: Views) -> DataFrame:
-    spot, out = follow.scratch(v.spark, "faults"), []
-    for name, (text, _) in FAULTS.items():
-        try:
-            dump.read_dump(v.spark, put(f"{spot}/{name}", text)).positions.count()
-            out.append((name, False))
-        except Exception:  # noqa: BLE001  a reader's or an executor's error
-            out.append((name, True))
-    return rows_of(v.spark, out, "fault string, refused boolean")
-
-
 # --- topology, mapping, configuration files -----------------------------------------------------------------------
 
 _TRIPLES = "triples as (select a.id as ai, a.id + 1 as aj, a.id + 2 as ak, a.id + 3 as al, a.id % 10 as d, a.mol from atoms a)"
@@ -182,7 +142,7 @@ def data_file(v: Views) -> str:
     lines = rows_of(v.spark, [(0, 0, "a data file"), (0, 1, ""), (0, 2, "3 atom types")], "part int, k long, line string")
     for n, (name, df) in enumerate(parts, 1):
         lines = lines.union(rows_of(v.spark, [(n, -2, ""), (n, -1, name), (n, 0, "# rows")], "part int, k long, line string")).union(df.select(F.lit(n), F.col("k") + 1, "line"))
-    return put(f"{follow.scratch(v.spark, 'topology')}/data", whole_text(lines.select(F.struct("part", "k").alias("at"), "line"), follow.scratch(v.spark, "lines")))
+    return part_files(lines.select(F.struct("part", "k").alias("at"), "line"), "topology")
 
 
 _ATOMS = with_views("atoms")
@@ -219,8 +179,7 @@ def topo_bond_table(v: Views) -> DataFrame:
 def mapping_path(v: Views) -> str:
     """A mapping file, with a comment and a line too short to count."""
     rows = v.mapping.select(F.col("atom_id").alias("at"), F.concat_ws(" ", "atom_id", "bead_id", F.col("weight").cast("string"), "bead_type").alias("line"))
-    text = whole_text(rows, follow.scratch(v.spark, "lines"))
-    return put(f"{follow.scratch(v.spark, 'mapping')}/map", f"# bead map\n{text}x\n")
+    return part_files(rows.union(rows_of(v.spark, [(-1, "# bead map"), (-1, "x")], "at long, line string")), "mapping")
 
 
 @query(with_views("mapfile") + "select atom_id, bead_id, weight, bead_type from mapfile")
@@ -233,22 +192,6 @@ def map_source_group(v: Views) -> DataFrame:
     return mapping.restrict(mapping.molecule_map(v.atoms), groups_of(v, g="type:1,3").ids("g")).select("id", "bead_id")
 
 
-_INI = "; a comment\n[general]\ndt = 1\ninput = 'a;b'\ndt=2 \n# another\n[groups]\nends = \"mol:1, 2\"\n[measure.m]\nenabled = off\n"
-_SETTINGS = [("general", "dt", "2"), ("general", "input", "a;b"), ("groups", "ends", "mol:1, 2"), ("measure.m", "enabled", "off")]
-
-
-@query(literal(_SETTINGS, "section, name, value"))
-def ini_settings(v: Views) -> DataFrame:
-    c = Config.parse(_INI)
-    return rows_of(v.spark, [(s, k, x) for s in c.sections for k, x in c.section(s).items()], "section string, name string, value string")
-
-
-@query(literal([(1, "[general]"), (2, "dt = 0.5"), (3, "profile = true"), (4, ""), (5, "[groups]"), (6, "g = type:1,2"), (7, ""), (8, "[measure.a]"), (9, "type = msd")], "n, line"))
-def ini_written(v: Views) -> DataFrame:
-    c = Config().define(measure__a={"type": "msd"}, groups={"g": "type:1,2"}).update("general", dt=0.5, profile=True)
-    return rows_of(v.spark, [(i, line) for i, line in enumerate(c.to_ini().rstrip("\n").split("\n"), 1)], "n long, line string")
-
-
 # --- runs ---------------------------------------------------------------------------------------------------------
 
 
@@ -281,41 +224,53 @@ def run_msd_combined(v: Views) -> DataFrame:
 
 
 def grown(v: Views) -> tuple[str, str]:
-    """A dump that ends in the middle of its eleventh frame, and the text of the whole."""
-    text = whole_text(dump_frames(v, atom_columns(x="x", y="y", z="z", ix="0", iy="0", iz="0")), follow.scratch(v.spark, "lines"))
-    at = -1
-    for _ in range(11):
-        at = text.index("ITEM: TIMESTEP", at + 1)
-    return put(f"{follow.scratch(v.spark, 'growing')}/t.dump", text[: at + 120]), text
+    """A dump that ends in the middle of its eleventh frame, and the folder of the whole."""
+    whole = part_files(dump_frames(v, atom_columns(x="x", y="y", z="z", ix="0", iy="0", iz="0")), "growing")
+    frames = ranges.index_dump(v.spark, whole).frames.filter("frame = 10").select("file", "offset").first()
+    before = sum(size for _, size in ranges.files_of(whole)[: frames["file"]])
+    return one_file(whole, f"{follow.scratch(v.spark, 'grown')}/t.dump", before + frames["offset"] + 120), whole
 
 
 @query(sql_msd())
 def run_stream_msd(v: Views) -> DataFrame:
     """A run that keeps a checkpoint while the dump is short, and one that takes it up and flushes every eight frames."""
-    path, text = grown(v)
+    path, whole = grown(v)
     state = follow.scratch(v.spark, "state")
     run.run(v.spark, config(v, path, m=_EXACT).update("general", checkpoint_out=state))
-    put(path, text)
+    one_file(whole, path)
     return loaded(v, run.run(v.spark, config(v, path, m=_EXACT).update("general", checkpoint_out=state, resume_from=state, flush_every_frames=8)))
 
 
 @query(_SEL + ", s as (select f.frame, count(w.id) as n_selected from (select distinct frame from traj) f left join wrapped w on w.frame = f.frame and w.x between 1 and 8 and w.type = 2 group by f.frame) select frame as frame_index, n_selected from s")
 def run_stream_sizes(v: Views) -> DataFrame:
     """Two measures in one pass; an inline selector with a region follows the frames."""
-    path, text = grown(v)
-    cfg = config(v, put(path, text), m=_EXACT, s={"type": "selection_size", "group": "type:2;region:slab,x,1,8"}).update("general", flush_every_seconds=1e-3)
+    path, whole = grown(v)
+    cfg = config(v, one_file(whole, path), m=_EXACT, s={"type": "selection_size", "group": "type:2;region:slab,x,1,8"}).update("general", flush_every_seconds=1e-3)
     return run.run(v.spark, cfg).load_frame(v.spark, "s").select(F.col("frame_index").cast("long"), F.col("n_selected").cast("long"))
 
 
 @query(_TRAJ + _POSITIONS)
 def follow_positions(v: Views) -> DataFrame:
-    path, text = grown(v)
+    path, whole = grown(v)
     spot = follow.scratch(v.spark, "followed")
-    for part in (None, text):
-        if part is not None:
-            put(path, part)
-        follow.follow_dump(v.spark, path).writeStream.format("parquet").option("path", f"{spot}/out").option("checkpointLocation", f"{spot}/state").trigger(availableNow=True).start().awaitTermination()
-    return r8(v.spark.read.schema(follow.FIELDS).parquet(f"{spot}/out"))
+    for _ in range(2):
+        follow.land(v.spark, path, f"{spot}/out", f"{spot}/state", range_bytes=4096)
+        one_file(whole, path)
+    follow.land(v.spark, path, f"{spot}/out", f"{spot}/state", range_bytes=4096)
+    return r8(v.spark.read.schema(follow.FIELDS).parquet(f"{spot}/out/*"))
+
+
+@query(_TRAJ + _POSITIONS + " where frame between 5 and 20")
+def dump_frame_range(v: Views) -> DataFrame:
+    """A filter on the frame reaches the source, which reads the bytes of those frames."""
+    index = ranges.index_dump(v.spark, write_dump(v, atom_columns(**UNWRAPPED)), range_bytes=2048)
+    return r8(ranges.scan_dump(v.spark, index, ["frame", "timestep", "id", "x", "y", "z"]).filter("frame between 5 and 20"))
+
+
+@query(_TRAJ + _POSITIONS)
+def dump_small_ranges(v: Views) -> DataFrame:
+    """Ranges far smaller than a frame: each frame is parsed by many tasks."""
+    return r8(dump.read_dump(v.spark, write_dump(v, atom_columns(**UNWRAPPED)), range_bytes=2048).positions)
 
 
 @query(sql_msd())
@@ -325,23 +280,6 @@ def stream_msd_exact(v: Views) -> DataFrame:
     return series(follow.stream_correlation(follow.follow_folder(v.spark, f"{spot}/in"), spec(), f"{spot}/pairs", f"{spot}/state"))
 
 
-_GUARDED = [("other_input", True), ("other_settings", True), ("same", False)]
-
-
-@query(literal(_GUARDED, "resumed, refused"))
-def checkpoint_guard(v: Views) -> DataFrame:
-    state, meta = follow.scratch(v.spark, "state"), {"config": "a", "input": "x"}
-    follow.guard(state, meta)
-    out = []
-    for name, other in (("other_input", {"input": "y"}), ("other_settings", {"config": "b"}), ("same", {})):
-        try:
-            follow.guard(state, meta | other)
-            out.append((name, False))
-        except ValueError:
-            out.append((name, True))
-    return rows_of(v.spark, out, "resumed string, refused boolean")
-
-
 # --- results and audits -------------------------------------------------------------------------------------------
 
 _DEFINED = {"few": "mol:1-5", "near": "selection_mode:dynamic; type:2; region:slab,x,1,8", "ones": "type:1"}
@@ -355,14 +293,15 @@ def index_groups(v: Views) -> DataFrame:
     return rows_of(v.spark, [(a["name"], *size(a["size"])) for a in audits], "name string, low long, high long")
 
 
-@query(with_views("degree") + ", ends as (select id from atoms join degree on node = idx where degree = 1) select 'A=ones;T=ends;combine=A&!T' as key, count(*) as size from atoms where type = 1 and id not in (select id from ends) union all select 'A=all;T=all;combine=A&T', count(*) from atoms")
+@query(with_views("degree") + ", ends as (select id from atoms join degree on node = idx where degree = 1) select 'A=ones;T=ends;combine=A&!T' as key, count(*) as size from atoms where type = 1 and id not in (select id from ends) union all select 'A=all;T=all;combine=A', count(*) from atoms union all select 'A=twos;T=all;combine=A', count(*) from atoms where type = 2")
 def index_combined(v: Views) -> DataFrame:
+    """The selections of two measures and of their drifts, over all particles and over a group."""
     bonds = follow.scratch(v.spark, "bonds")
     v.bonds.select(F.concat_ws(" ", "type", "ai", "aj")).write.text(bonds)
-    cfg = config(v, write_dump(v, atom_columns(**UNWRAPPED)), m=_EXACT | {"group": "ones", "topo_group": "ends", "combine": "A & !T", "drift_group": "ones2"}).define(groups={"ones": "type:1", "ones2": "type:1,2,3"}, topo_groups={"ends": "atoms_is_end"}).update("topology", file=bonds, format="bond_table")
-    found = {x["key"]: x["size"] for x in run.run(v.spark, cfg).index["groups"]["combined_selections"]}
-    found["A=all;T=all;combine=A&T"] = found.pop("A=ones2;T=all;combine=A&T")
-    return rows_of(v.spark, sorted(found.items()), "key string, size long")
+    ends = {"group": "ones", "topo_group": "ends", "combine": "A & !T"}
+    cfg = config(v, write_dump(v, atom_columns(**UNWRAPPED)), m=_EXACT | ends, n=_EXACT | ends | {"drift_group": "twos", "output": "n.dat"}).define(groups={"ones": "type:1", "twos": "type:2"}, topo_groups={"ends": "atoms_is_end"}).update("topology", file=bonds, format="bond_table")
+    found = run.run(v.spark, cfg).index["groups"]["combined_selections"]
+    return rows_of(v.spark, [(x["key"], x["size"]) for x in found], "key string, size long")
 
 
 @query(with_views("edges", "mapfile") + ", beads as (select distinct least(a.bead_id, b.bead_id) as u, greatest(a.bead_id, b.bead_id) as v from bonds join mapfile a on a.atom_id = ai join mapfile b on b.atom_id = aj where a.bead_id <> b.bead_id) select 'Bonds' as item, count(*) as n from edges union all select 'bond_graph', count(*) from edges where type in (1, 2) union all select 'beads', count(distinct bead_id) from mapfile union all select 'mapped', count(*) from mapfile union all select 'bead_bonds', count(*) from beads")
@@ -373,55 +312,6 @@ def index_topology(v: Views) -> DataFrame:
     return rows_of(v.spark, [("Bonds", found["topology"]["Bonds"]), ("bond_graph", found["bond_graph"]["edges"]), ("beads", found["mapping"]["beads"]), ("mapped", found["mapping"]["atoms"]), ("bead_bonds", found["mapping"]["bead_bonds"])], "item string, n long")
 
 
-_LAYOUT = [*(("index", k) for k in ("groups", "measures", "profiling", "run", "schema_version", "version", "warnings")), *(("run", k) for k in ("config_hash", "dt", "frames", "input", "mapping", "scale")), ("schema", "1.0"), ("measure", "s selection_size frame_index,n_selected")]
-
-
-@query(literal(_LAYOUT, "part, key"))
-def index_layout(v: Views) -> DataFrame:
-    results = run.run(v.spark, config(v, write_dump(v, atom_columns(**UNWRAPPED)), s={"type": "selection_size"}))
-    out = [("index", k) for k in results.index] + [("run", k) for k in results.index["run"]] + [("schema", results.index["schema_version"])]
-    out += [("measure", f"{m['instance']} {m['type']} {','.join(results.dataset_columns(m['instance']))}") for m in results.measures()]
-    return rows_of(v.spark, out, "part string, key string")
-
-
-@query("select r_name as name, r_name || chr(34) || chr(92) || chr(10) || chr(233) as note from region")
-def index_strings(v: Views) -> DataFrame:
-    """Any text survives the index: quotes, backslashes, line feeds and letters beyond ASCII."""
-    path = f"{file_system(follow.scratch(v.spark, 'index'))[1]}/results.json"
-    # The five regions.
-    notes = {r["r_name"]: r["r_name"] + '"\\\né' for r in v.table("region").select("r_name").collect()}
-    sinks.write_index(path, {"notes": notes})
-    with open(path, encoding="utf-8") as f:
-        return rows_of(v.spark, sorted(json.load(f)["notes"].items()), "name string, note string")
-
-
-_FNV = "walk as (select {key} as name, {text} as s, 0 as i, 1469598103934665603::uhugeint as h from {table} union all select name, s, i + 1, (xor(h, ascii(s[i + 1])::uhugeint) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint from walk where i < length(s))"
-
-
-@query("with recursive " + _FNV.format(key="r_name", text="r_name || ' ' || r_regionkey", table="region") + " select name, lpad(lower(to_hex(h)), 16, '0') as hash from walk where i = length(s)")
-def fingerprint_texts(v: Views) -> DataFrame:
-    rows = v.table("region").select("r_name", "r_regionkey").collect()  # the five regions
-    return rows_of(v.spark, [(r["r_name"], hex16(fnv1a(f"{r['r_name']} {r['r_regionkey']}".encode()))) for r in rows], "name string, hash string")
-
-
-_SPECIFIED = "model_scale=AA;mode=by_mol;position=com_mass;source_group=g;file_hash_fnv1a64="
-
-
-@query("with recursive " + _FNV.format(key="'by_mol'", text=f"'{_SPECIFIED}'", table="(select 1)") + " select name, lpad(lower(to_hex(h)), 16, '0') as hash from walk where i = length(s)")
-def mapping_spec_hash(v: Views) -> DataFrame:
-    return rows_of(v.spark, [("by_mol", mapping.specification("AA", "by_mol", "com_mass", "g")[1])], "name string, hash string")
-
-
-@query(literal([(1, "# sizes"), (2, "1 2.5"), (3, "3 x")], "n, line"))
-def text_sink(v: Views) -> DataFrame:
-    """A table that is appended to has its header once; a dry one writes nothing."""
-    path = f"{file_system(follow.scratch(v.spark, 'text'))[1]}/t.dat"
-    for rows, dry in (([(1, 2.5)], False), ([(9, 9)], True), ([(3, "x")], False)):
-        sinks.TextTable(path, ["sizes"], append=True, dry=dry).write(rows)
-    with open(path, encoding="utf-8") as f:
-        return rows_of(v.spark, [(i, line.rstrip("\n")) for i, line in enumerate(f, 1)], "n long, line string")
-
-
 @query(with_views("atoms") + "select mol, count(*) as n from atoms group by mol")
 def dataset_by_columns(v: Views) -> DataFrame:
     """A table of a caller's own columns, written in an order of its own and read back."""
@@ -488,74 +378,6 @@ def correlate_own_average(v: Views) -> DataFrame:
     return r8(correlate.coarse_levels(v.positions, 2, lambda a, b: a).filter("level = 1").select("id", "k", "x"))
 
 
-_SPECS = {
-    "exact": {}, "exact_timebin": {"axis": "timebin", "timebin_width": 2.0}, "exact_timestep": {"axis": "timestep"}, "fft": {"kind": "fft"}, "multitau": {"kind": "multitau"},
-    "multitau_odd": {"kind": "multitau", "channels": 5}, "multitau_timestep": {"kind": "multitau", "axis": "timestep"}, "no_axis": {"axis": "x"}, "no_components": {"components": "q"}, "timestep_stride": {"axis": "timestep", "lag_stride": 2}, "zero_dt": {"dt": 0.0},
-}
-_REFUSED = {"fft": "no implementation", "multitau_odd": "refused", "multitau_timestep": "refused", "no_axis": "refused", "no_components": "refused", "timestep_stride": "refused", "zero_dt": "refused"}
-
-
-@query(literal([(k, _REFUSED.get(k, "accepted")) for k in _SPECS], "name, outcome"))
-def correlator_specs(v: Views) -> DataFrame:
-    out = []
-    for name, values in _SPECS.items():
-        try:
-            correlate.CorrelatorSpec(**values)
-            out.append((name, "accepted"))
-        except NotImplementedError:
-            out.append((name, "no implementation"))
-        except ValueError:
-            out.append((name, "refused"))
-    return rows_of(v.spark, out, "name string, outcome string")
-
-
-@query(literal([("msd", "group,drift_group", False), ("selection_size", "group", True)], "kind, group_keys, dynamic"))
-def measure_registry(v: Views) -> DataFrame:
-    shipped = [m for m in measures.REGISTRY.values() if m.kind in ("msd", "selection_size")]
-    return rows_of(v.spark, [(m.kind, ",".join(m.capabilities.group_keys), m.capabilities.dynamic_selection) for m in shipped], "kind string, group_keys string, dynamic boolean")
-
-
-_PLANNED = [("bad_combine", "refused"), ("bad_group", "refused"), ("dynamic_msd", "refused"), ("fft", "refused"), ("m", "lag,time,msd,count_pairs,sem,n_blocks,mean_dtimestep"), ("s", "frame_index,n_selected"), ("unheard", "refused")]
-
-
-@query(literal(_PLANNED, "measure, plan"))
-def validate_plans(v: Views) -> DataFrame:
-    """What a validation says of good and bad measures; nothing is written."""
-    path, out = write_dump(v, atom_columns(**UNWRAPPED)), []
-    parsed = dump.read_dump(v.spark, path)
-    cases = {"bad_combine": {"type": "msd", "combine": "A &"}, "bad_group": {"type": "msd", "group": "nobody"}, "dynamic_msd": {"type": "msd", "group": "region:slab,x,1,8"}, "fft": {"type": "msd", "correlator": "fft"}, "m": _EXACT, "s": {"type": "selection_size"}, "unheard": {"type": "unheard"}}
-    for name, values in cases.items():
-        try:
-            schema = run.plan(v.spark, config(v, path, **{name: values}), "/", dry=True, traj=parsed)["measures"][0]["frame"].columns
-            out.append((name, ",".join(schema)))
-        except (ConfigError, ValueError, NotImplementedError):
-            out.append((name, "refused"))
-    return rows_of(v.spark, out, "measure string, plan string")
-
-
-@query(literal([(0, "msd"), (0, "selection_size")], "status, line"))
-def command_line(v: Views) -> DataFrame:
-    from ..__main__ import main
-
-    said = io.StringIO()
-    with contextlib.redirect_stdout(said):
-        status = main(["--list-measures"])
-    return rows_of(v.spark, [(status, line) for line in said.getvalue().split() if line in ("msd", "selection_size")], "status long, line string")
-
-
-@query(literal([("auto", "all", "bead_graph"), ("auto", "bonds", "topology_graph"), ("auto", "filtered", "bond_graph"), ("auto", "nothing", "none"), ("bead_graph", "bonds", "refused"), ("bond_graph", "all", "bond_graph")], "wanted, held, source"))
-def graph_source_choice(v: Views) -> DataFrame:
-    edges = v.edges.select("u", "v")
-    held = {"nothing": {}, "bonds": {"edges": edges}, "filtered": {"edges": edges, "bond_edges": edges}, "all": {"edges": edges, "bond_edges": edges, "bead_edges": edges}}
-    out = []
-    for wanted, name in (("auto", "all"), ("auto", "bonds"), ("auto", "filtered"), ("auto", "nothing"), ("bead_graph", "bonds"), ("bond_graph", "all")):
-        try:
-            out.append((wanted, name, measures.Context(v.positions, v.atoms, DT, None, **held[name]).graph_source(wanted)))
-        except ConfigError:
-            out.append((wanted, name, "refused"))
-    return rows_of(v.spark, out, "wanted string, held string, source string")
-
-
 @query(with_views("bonds", "mapfile") + ", beads as (select bead_id, row_number() over (order by bead_id) - 1 as bead from (select distinct bead_id from mapfile)) select distinct least(p.bead, q.bead) as u, greatest(p.bead, q.bead) as v from bonds join mapfile a on a.atom_id = ai join mapfile b on b.atom_id = aj join beads p on p.bead_id = a.bead_id join beads q on q.bead_id = b.bead_id where p.bead <> q.bead")
 def graph_of_beads(v: Views) -> DataFrame:
     beads = mapping.file_map(v.mapping, v.atoms)

@@ -166,7 +166,9 @@ def build_msd(ctx: Context, cfg: Config, section: str) -> dict[str, Any]:
     remove, drift_group = cfg.get_bool(section, "remove_drift", True), cfg.get(section, "drift_group", "all")
     frames = (cfg.get_int(section, "frame_start", 0), cfg.get_int(section, "frame_end", -1))
     members = ctx.static_ids(group, topo, combine)
-    drift = ctx.static_ids(drift_group) if remove and drift_group != "all" else (ctx.groups.ids("all") if remove else None)
+    # The drift selection is always part of the run's audit; over all particles it needs no join.
+    over = ctx.static_ids(drift_group if remove else "all", "all", "A")
+    drift = over if remove and drift_group != "all" else None
     key = selection.selection_key(group, topo, combine)
     incremental = None
     if spec.kind == "exact":
@@ -179,6 +181,7 @@ def build_msd(ctx: Context, cfg: Config, section: str) -> dict[str, Any]:
         "columns": [{"name": c, "unit": UNITS[spec.axis] if c == "lag" else ""} for c in SERIES],
         "notes": [f"correlator {spec.kind} axis {spec.axis} dt {spec.dt}", f"selection {key}", f"drift {drift_group if remove else 'kept'} frames {frames[0]}..{frames[1]} components {spec.components} block {spec.block_size}"],
         "selection": key,
+        "drift_selection": selection.selection_key(drift_group if remove else "all", "all", "A"),
         "members": members,
     }
 

@@ -8,11 +8,10 @@ import signal
 import threading
 import time
 from dataclasses import replace
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
-import numpy as np
-import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +22,8 @@ from ..functions.places import file_info, file_system, is_file
 from ..functions.stats import size_statistics
 from ..operators import graph, mapping
 from ..sources import sinks, topology
-from ..sources.dump import Trajectory, read_dump
+from ..sources.dump import Trajectory, checked, first_particles, read_dump
+from ..sources.ranges import Index, scan_dump
 from ..sources.ini import Config, ConfigError
 from ..streaming import follow
 from . import selection
@@ -137,23 +137,46 @@ def _config(config: Config | str, base: str | None) -> tuple[Config, str]:
     return config, base or os.getcwd()
 
 
-def _group_audit(ctx: Context) -> list[dict]:
+def _counted(tables: dict[tuple, DataFrame]) -> dict[tuple, int]:
+    """The numbers of rows of many tables, by one job. The keys are a run's groups and selections: a few."""
+    if not tables:
+        return {}
+    keys = list(tables)
+    marked = [df.select(F.lit(k).alias("k")) for k, df in enumerate(tables.values())]
+    found = dict(map(tuple, reduce(DataFrame.unionAll, marked).groupBy("k").count().collect()))
+    return {key: found.get(k, 0) for k, key in enumerate(keys)}
+
+
+def _sizes(p: dict[str, Any]) -> dict[tuple, int]:
+    """Sizes of all static groups, topology groups and combined selections, of the topology's tables and the mapping."""
+    ctx: Context = p["ctx"]
+    out = {("group", n): ctx.groups.ids(n) for n in ctx.groups.definitions if not ctx.groups.is_dynamic(n)}
+    out |= {("topo", n): ctx.topo_ids(n) for n in ctx.topo_groups} | {("combined", k): df for k, df in ctx._selections.items()}
+    out |= {("table", k): t for k, t in p["tables"].items()}
+    if ctx.bond_edges is not None:
+        out |= {("bond_graph", "vertices"): ctx.atoms, ("bond_graph", "edges"): ctx.bond_edges}
+    if ctx.mapping is not None:
+        out |= {("mapping", "atoms"): ctx.mapping, ("mapping", "beads"): ctx.mapping.select("bead").distinct()}
+        if ctx.bead_edges is not None:
+            out[("mapping", "bead_bonds")] = ctx.bead_edges
+    return _counted(out)
+
+
+def _group_audit(ctx: Context, sizes: dict[tuple, int]) -> list[dict]:
     out = []
     for name in sorted(ctx.groups.definitions):
         row = {"name": name, "definition": ctx.groups.definitions[name], "dynamic": ctx.groups.is_dynamic(name)}
-        if row["dynamic"]:
-            row["size"] = size_statistics(ctx.groups.sizes(name), "n_selected").first().asDict()
-        else:
-            row["size"] = ctx.groups.ids(name).count()
+        row["size"] = size_statistics(ctx.groups.sizes(name), "n_selected").first().asDict() if row["dynamic"] else sizes["group", name]
         out.append(row)
     return out
 
 
 def _write(p: dict[str, Any], cfg: Config, out: str, entry: dict[str, Any], frame: DataFrame) -> dict[str, Any]:
-    """One measure's dataset, and what the index says of it."""
+    """One measure's dataset, and what the index says of it (the size of its selection is filled in by _index)."""
     path = os.path.join(out, entry["path"])
     rows = sinks.write_dataset(path, frame, entry["columns"], entry["notes"], append=cfg.get(entry["section"], "writer_mode", "") == "append")
-    return {"instance": entry["instance"], "type": entry["type"], "params": entry["params"], "selection": entry["selection"], "n_selected": entry["members"].count() if entry["members"] is not None else None, "outputs": [{"path": entry["path"], "rows": rows, "columns": entry["columns"]}]}
+    said = {"instance": entry["instance"], "type": entry["type"], "params": entry["params"], "selection": entry["selection"], "n_selected": None, "outputs": [{"path": entry["path"], "rows": rows, "columns": entry["columns"]}]}
+    return said | ({"drift_selection": entry["drift_selection"]} if "drift_selection" in entry else {})
 
 
 def _index(p: dict[str, Any], cfg: Config, entries: list[dict], timing: dict[str, float], began: float, n_frames: int, hash_input: bool) -> dict[str, Any]:
@@ -162,20 +185,20 @@ def _index(p: dict[str, Any], cfg: Config, entries: list[dict], timing: dict[str
     if cfg.get_bool("general", "hash_input", hash_input) and is_file(p["input"]):
         info = file_info(p["input"])
         index["run"]["input"] |= {"size": info.size, "mtime": int(info.mtime_ns // 10**9), "fnv1a64": file_fingerprint(p["input"])}
+    sizes = _sizes(p)
+    of = lambda kind: {name: n for (k, name), n in sizes.items() if k == kind}
     if p["tables"]:
-        index["run"]["topology"] = {k: t.count() for k, t in p["tables"].items()}
+        index["run"]["topology"] = of("table")
     if ctx.bond_edges is not None:
-        index["run"]["bond_graph"] = {"vertices": ctx.atoms.count(), "edges": ctx.bond_edges.count()}
-    if ctx.mapping is not None:
-        index["run"]["mapping"] |= {"atoms": ctx.mapping.count(), "beads": ctx.mapping.select("bead").distinct().count()}
-        if ctx.bead_edges is not None:
-            index["run"]["mapping"]["bead_bonds"] = ctx.bead_edges.count()
+        index["run"]["bond_graph"] = of("bond_graph")
+    index["run"]["mapping"] |= of("mapping")
+    entries = [e | {"n_selected": sizes.get(("combined", e["selection"]), e["n_selected"])} for e in entries]
     if p["graph_source"] != "none":
         tags = graph.polymer_tag(graph.polymer_components(*ctx.graph(p["graph_source"]))).first()
         index["polymer_classifier"] = {"graph_source": p["graph_source"], "tag": tags["tag"], "tags": [t for t in tags["tags"].split(",") if t]}
-    combined = [{"key": k, "size": df.count()} for k, df in sorted(ctx._selections.items())]
-    topo = [{"name": n, "definition": d, "size": ctx.topo_ids(n).count()} for n, d in sorted(ctx.topo_groups.items())]
-    index |= {"groups": {"atom_groups": _group_audit(ctx), "topo_groups": topo, "combined_selections": combined}, "measures": entries, "warnings": p["warnings"]}
+    combined = [{"key": k, "dynamic": False, "size": n} for k, n in sorted(of("combined").items())]
+    topo = [{"name": n, "definition": d, "size": sizes["topo", n]} for n, d in sorted(ctx.topo_groups.items())]
+    index |= {"groups": {"atom_groups": _group_audit(ctx, sizes), "topo_groups": topo, "combined_selections": combined}, "measures": entries, "warnings": p["warnings"]}
     index["profiling"] = {"wall_seconds": time.time() - began, "reader_seconds": p["read_s"], "measures": timing}
     return json.loads(json.dumps(index))
 
@@ -210,6 +233,10 @@ def run(spark: SparkSession, config: Config | str, base: str | None = None, stop
 NOT_COMPARED = ("checkpoint_out", "resume_from", "follow", "follow_poll_ms", "flush_every_frames", "flush_every_seconds", "output_dir", "profile", "results_json", "hash_input")
 
 
+#: Parts that a micro-batch may come in (frames between flushes).
+MOST_PARTS = 1_000_000
+
+
 class _State:
     """A checkpoint folder: the stream's offsets, the parsed frames and each measure's partial results, by batch.
 
@@ -228,7 +255,7 @@ class _State:
 
     def mark(self, batch: int, frames: int) -> None:
         self.system.create_dir(f"{self.path}/marks", recursive=True)
-        with self.system.open_output_stream(f"{self.path}/marks/{batch:010d}") as f:
+        with self.system.open_output_stream(f"{self.path}/marks/{batch:016d}") as f:
             f.write(str(frames).encode())
 
     def marks(self) -> dict[int, int]:
@@ -240,7 +267,7 @@ class _State:
         return out
 
     def place(self, kind: str, batch: int) -> str:
-        return f"{self.folder}/{kind}/{batch:010d}"
+        return f"{self.folder}/{kind}/{batch:016d}"
 
     def read(self, spark: SparkSession, kind: str, batches: list[int], schema) -> DataFrame:
         if not batches:
@@ -248,15 +275,12 @@ class _State:
         return spark.read.schema(schema).parquet(*[self.place(kind, b) for b in batches])
 
 
-def _started(spark: SparkSession, source: str) -> tuple[Trajectory, Any]:
-    """The particles of a dump that may still grow, from its first frame, and its layout; positions hold that frame alone."""
-    layout, first = follow.first_frame(source)
-    low, high, xy, xz, yz = first["box"]
-    n = layout.natoms
-    columns = {"idx": pa.array(np.arange(n)), "frame": pa.array(np.zeros(n, np.int64)), "timestep": pa.array(np.full(n, first["timestep"])), "id": pa.array(first["id"]), "type": pa.array(first["type"], pa.int32()) if first["type"] is not None else pa.nulls(n, pa.int32()), "mol": pa.array(first["mol"], pa.int64()) if first["mol"] is not None else pa.nulls(n, pa.int64()), **{c: pa.array(first[c]) for c in "xyz"}}
-    rows = settle(spark.createDataFrame(pa.table(columns)), "first-frame")
-    box = spark.createDataFrame([(0, first["timestep"], n, (low[0], high[0], low[1], high[1], low[2], high[2], xy, xz, yz, bool(xy or xz or yz)))], "frame long, timestep long, natoms long, box struct<xlo:double,xhi:double,ylo:double,yhi:double,zlo:double,zhi:double,xy:double,xz:double,yz:double,triclinic:boolean>")
-    return Trajectory(box, rows.select("idx", "id", "type", "mol"), rows.select("frame", "timestep", "id", "x", "y", "z"), []), layout
+def _started(spark: SparkSession, source: str, allow_header_change: bool) -> tuple[Trajectory, Index]:
+    """The particles of a dump that may still grow, from its first frame; positions hold that frame alone."""
+    index, atoms = first_particles(spark, source, allow_header_change)
+    rows = settle(scan_dump(spark, index, ["frame", "timestep", "id", "x", "y", "z"], (0, 0), allow_header_change), "first-frame")
+    frames = index.frames.filter("frame = 0").select("frame", "timestep", "natoms", "box")
+    return Trajectory(frames, atoms, checked(rows, atoms), [], index), index
 
 
 def follow_run(spark: SparkSession, cfg: Config, base: str, stop: threading.Event | None = None) -> sinks.Results | None:
@@ -273,7 +297,8 @@ def follow_run(spark: SparkSession, cfg: Config, base: str, stop: threading.Even
     source = _resolve(base, cfg.get("general", "input"))
     following, every, seconds = cfg.get_bool("general", "follow"), cfg.get_int("general", "flush_every_frames", 0), cfg.get_float("general", "flush_every_seconds", 0.0)
     keep, resume = general("checkpoint_out"), general("resume_from")
-    traj, _ = _started(spark, source)
+    header_may_change = cfg.get_bool("general", "allow_header_change")
+    traj, index = _started(spark, source, header_may_change)
     p = plan(spark, cfg, base, traj=traj)
     if not p["measures"]:
         print("no measure is enabled")
@@ -289,7 +314,7 @@ def follow_run(spark: SparkSession, cfg: Config, base: str, stop: threading.Even
     topology_file = _resolve(base, cfg.get("topology", "file")) if cfg.has("topology", "file") else ""
     follow.guard(state.folder, {"config": hex16(fnv1a(settings.to_ini().encode())), "input": source, "mapping": p["mapping"]["spec_hash"], "topology": file_fingerprint(topology_file) if topology_file and is_file(topology_file) else "", "sections": sorted(p["tables"]), "measures": [[m["instance"], m["type"], m["params"]] for m in p["measures"]]})
     marks, timing, entries = state.marks(), {m["instance"]: 0.0 for m in p["measures"]}, []
-    held = {"frames": 0, "time": time.time()}
+    held, parts = {"frames": 0, "time": time.time()}, {}
     groups = p["ctx"].groups
 
     def now() -> Context:
@@ -306,24 +331,22 @@ def follow_run(spark: SparkSession, cfg: Config, base: str, stop: threading.Even
                 frame = m["build"](ctx, cfg, m["section"])["frame"]
             entries.append(_write(p, cfg, out, m, frame))
             timing[m["instance"]] += time.time() - t
-        index = _index(p | {"ctx": replace(ctx, _selections=p["ctx"]._selections)}, cfg, entries, timing, began, sum(marks.values()), not following)
-        sinks.write_index(os.path.join(out, cfg.get("general", "results_json", "results.json")), index)
+        audit = _index(p | {"ctx": replace(ctx, _selections=p["ctx"]._selections)}, cfg, entries, timing, began, sum(marks.values()), not following)
+        sinks.write_index(os.path.join(out, cfg.get("general", "results_json", "results.json")), audit)
         held.update(frames=0, time=time.time())
 
-    def batch(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(state.place("frames", number))
-        kept = spark.read.schema(follow.FIELDS).parquet(state.place("frames", number))
-        since, n = kept.agg(F.min("frame"), F.countDistinct("frame")).first()
-        if not n:
-            return
-        marks[number] = n
+    def batch(rows: DataFrame, since: int, n: int, number: int) -> None:
+        part = number * MOST_PARTS + parts.get(number, 0)  # a batch may come in several parts
+        parts[number] = parts.get(number, 0) + 1
+        rows.write.mode("overwrite").parquet(state.place("frames", part))
+        marks[part] = n
         ctx = now()
         for m in p["measures"]:
             if m.get("incremental"):
                 t = time.time()
-                m["incremental"].partial(ctx, since).write.mode("overwrite").parquet(state.place(m["instance"], number))
+                m["incremental"].partial(ctx, since).write.mode("overwrite").parquet(state.place(m["instance"], part))
                 timing[m["instance"]] += time.time() - t
-        state.mark(number, n)
+        state.mark(part, n)
         held["frames"] += n
         if (every and held["frames"] >= every) or (seconds and time.time() - held["time"] >= seconds):
             flush()
@@ -335,8 +358,8 @@ def follow_run(spark: SparkSession, cfg: Config, base: str, stop: threading.Even
     try:
         flush()
         poll = f"{max(1, cfg.get_int('general', 'follow_poll_ms', 200))} milliseconds"
-        stream = follow.follow_dump(spark, source, cfg.get_bool("general", "allow_header_change"), most=every)
-        query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{state.folder}/offsets").trigger(processingTime=poll).start()
+        each = follow.each_batch(spark, source, index, traj.atoms, follow.Positions(f"{state.folder}/positions"), batch, every, header_may_change)
+        query = follow.growth(spark, source).writeStream.foreachBatch(each).option("checkpointLocation", f"{state.folder}/offsets").trigger(processingTime=poll).start()
         try:
             if following:
                 while query.isActive and not stop.is_set():

@@ -41,10 +41,24 @@ def read_dump(spark: SparkSession, path: str, allow_header_change: bool = False,
     if settled:
         positions = settle(positions, "dump")
     if check:
-        per = positions.groupBy("frame").agg(F.count("*").alias("n"), F.countDistinct("id").alias("d"), F.min("id").alias("low"))
-        if not per.filter("n <> d or low < 0").isEmpty():
-            raise DumpError("an id is negative or repeats within a frame")
-        if not positions.join(atoms, "id", "left_anti").isEmpty():
-            raise DumpError("a later frame has an unknown id")
+        checked(positions, atoms)
     wanted = index.frames.filter((F.col("frame") >= frames[0]) & ((F.col("frame") <= frames[1]) if frames[1] >= 0 else F.lit(True)))
     return Trajectory(wanted.select("frame", "timestep", "natoms", "box"), atoms, positions, extras, index)
+
+
+def checked(positions: DataFrame, atoms: DataFrame) -> DataFrame:
+    """The rows, if every frame has the first frame's ids, each once; an error otherwise."""
+    per = positions.groupBy("frame").agg(F.count("*").alias("n"), F.countDistinct("id").alias("d"), F.min("id").alias("low"))
+    if not per.filter("n <> d or low < 0").isEmpty():
+        raise DumpError("an id is negative or repeats within a frame")
+    if not positions.join(atoms, "id", "left_anti").isEmpty():
+        raise DumpError("a later frame has an unknown id")
+    return positions
+
+
+def first_particles(spark: SparkSession, path: str, allow_header_change: bool = False, range_bytes: int = RANGE_BYTES) -> tuple[Index, DataFrame]:
+    """The index of a dump that may still grow, and its atoms: idx, id, type, mol of the first frame, which must be there."""
+    index = index_dump(spark, path, range_bytes, growing=True)
+    if not index.count:
+        raise DumpError("the dump has no complete first frame")
+    return index, settle(scan_dump(spark, index, ["pos", "id", "type", "mol"], (0, 0), allow_header_change).withColumnRenamed("pos", "idx"), "dump-atoms")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from ..functions.places import file_system
-from ..plans.durable import settle
+from ..plans.durable import forget, settle
 
 MARK = re.compile(rb"^ITEM: TIMESTEP[ \t\r]*$", re.MULTILINE)
 HEAD_LINES = 9
@@ -181,13 +181,18 @@ def box_struct(lines: Column) -> Column:
 
 @dataclass
 class Index:
-    """frames: frame, timestep, natoms, box, header, file, offset. The source reads both tables in `ranges` and `frames`."""
+    """frames: frame, timestep, natoms, box, header, file, offset. The source reads both tables in `ranges` and `frames`.
+
+    `first` and `count` say which frames there are; `stop` is the byte behind the last of them (of a growing file)."""
 
     path: str
     files: list[str]
     ranges: DataFrame
     frames: DataFrame
     names: list[str]
+    first: int
+    count: int
+    stop: int
 
 
 def files_of(path: str) -> list[tuple[str, int]]:
@@ -200,13 +205,35 @@ def files_of(path: str) -> list[tuple[str, int]]:
     return sorted((x.path, x.size) for x in found if x.type == fs.FileType.File and not x.base_name.startswith(("_", ".")))
 
 
-def index_dump(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Index:
-    """Two settled tables of the dump's ranges and frames. The driver lists files and sees one header."""
+def last_line_end(path: str, name: str, begin: int, end: int) -> int:
+    """The byte behind the last line feed in [begin, end), or `begin`; read backwards, a little at a time."""
+    system, _ = file_system(path)
+    with system.open_input_file(name) as f:
+        while end > begin:
+            size = min(1 << 14, end - begin)
+            spot = f.read_at(size, end - size).rfind(b"\n")
+            if spot >= 0:
+                return end - size + spot + 1
+            end -= size
+    return begin
+
+
+def index_dump(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, growing: bool = False, begin: int = 0, end: int | None = None, first: int = 0, names: list[str] | None = None) -> Index:
+    """Two settled tables of the dump's ranges and frames. The driver lists files and sees one header.
+
+    A `growing` file is looked at from byte `begin`, where frame number `first` begins, to `end` at most; a last frame that
+    isn't complete is left for later. `names` are the columns of an earlier first frame."""
     files = files_of(path)
-    listed = spark.createDataFrame([(k, name, size) for k, (name, size) in enumerate(files)], "file int, name string, size long")
-    begins = listed.filter("size > 0").select("file", "name", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("begin"))
-    begins = begins.select("file", "name", "begin", F.least(F.col("begin") + range_bytes, "size").alias("end"))
-    total = sum(-(-size // range_bytes) for _, size in files)
+    spans = [(k, name, 0, size) for k, (name, size) in enumerate(files)]
+    if growing:
+        if len(files) > 1:
+            raise DumpError("a dump that grows is one file")
+        spans = [(k, name, begin, last_line_end(path, name, begin, min(size, size if end is None else end))) for k, name, _, size in spans]
+    stop = spans[-1][3] if spans else 0
+    listed = spark.createDataFrame(spans, "file int, name string, low long, high long")
+    begins = listed.filter("high > low").select("file", "name", "high", F.explode(F.sequence("low", F.col("high") - 1, F.lit(range_bytes).cast("long"))).alias("begin"))
+    begins = begins.select("file", "name", "begin", F.least(F.col("begin") + range_bytes, "high").alias("end"))
+    total = sum(-(-(high - low) // range_bytes) for _, _, low, high in spans)
     tasks = max(1, min(total, 4 * spark.sparkContext.defaultParallelism))
     scanned = settle(begins.repartition(tasks, "file", "begin").mapInArrow(scan(path), "file int, begin long, end long, lines long, marks array<struct<offset:long,line:long,head:string>>"), "dump-ranges")
 
@@ -214,7 +241,7 @@ def index_dump(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -
     counts = scanned.select("file", "begin", "end", "lines", F.size("marks").cast("long").alias("n_marks"), F.try_element_at("marks", F.lit(-1)).alias("m"))
     counts = counts.select("file", "begin", "end", "lines", "n_marks", F.col("m.line").alias("mark_line"), F.col("m.offset").alias("mark_offset"))
     before = Window.orderBy("file", "begin").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = counts.withColumns({"lines_before": F.coalesce(F.sum("lines").over(before), F.lit(0)), "frames_before": F.coalesce(F.sum("n_marks").over(before), F.lit(0))})
+    ranges = counts.withColumns({"lines_before": F.coalesce(F.sum("lines").over(before), F.lit(0)), "frames_before": F.coalesce(F.sum("n_marks").over(before), F.lit(0)) + first})
     opened = F.last(F.when(F.col("mark_line").isNotNull(), F.struct((F.col("lines_before") + F.col("mark_line")).alias("line"), "file", F.col("mark_offset").alias("offset"))), ignorenulls=True).over(before)
     ranges = ranges.withColumn("opened", opened).select("file", "begin", "end", "lines", "n_marks", "lines_before", "frames_before", (F.col("lines_before") - F.col("opened.line")).alias("line"), F.col("opened.file").alias("open_file"), F.col("opened.offset").alias("open_offset"))
     ranges = settle(ranges, "dump-index")
@@ -226,17 +253,27 @@ def index_dump(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -
     marks = marks.select((F.col("frames_before") + F.col("k")).alias("frame"), (F.col("lines_before") + F.col("m.line")).alias("at"), "file", F.col("m.offset").alias("offset"), F.split("m.head", "\n").alias("lines"))
     all_lines = ranges.agg(F.sum("lines")).first()[0] or 0
     nexts = marks.select((F.col("frame") - 1).alias("frame"), F.col("at").alias("next"))
+    marks = marks.join(nexts, "frame", "left").withColumn("held", F.coalesce("next", F.lit(all_lines)) - F.col("at"))
     text = lambda k: F.trim(F.get("lines", F.lit(k)))
+    if growing:
+        short = F.col("next").isNull() & ((F.col("held") < HEAD_LINES) | (F.col("held") < F.coalesce(text(3).try_cast("long"), F.lit(0)) + HEAD_LINES))
+        # The last frame's row alone: where it begins, if it isn't complete.
+        cut = marks.filter(short).select("offset").first()
+        stop = cut["offset"] if cut is not None else stop
+        marks = marks.filter(~short)
     natoms = number(text(3), "long", "number of atoms")
-    sound = (F.size("lines") == HEAD_LINES) & (text(2) == "ITEM: NUMBER OF ATOMS") & (F.coalesce("next", F.lit(all_lines)) - F.col("at") == natoms + HEAD_LINES)
+    sound = (F.size("lines") == HEAD_LINES) & (text(2) == "ITEM: NUMBER OF ATOMS") & (F.col("held") == natoms + HEAD_LINES)
     checked = F.when(~sound, F.raise_error(F.lit("an incomplete or malformed frame"))).otherwise(natoms)
     header = F.regexp_replace(F.trim(F.regexp_replace(text(8), "^ITEM: ATOMS", "")), r"\s+", " ")
-    frames = marks.join(nexts, "frame", "left").select("frame", number(text(1), "long", "timestep").alias("timestep"), checked.cast("long").alias("natoms"), box_struct(F.slice("lines", 5, 4)).alias("box"), header.alias("header"), "file", "offset")
+    frames = marks.select("frame", number(text(1), "long", "timestep").alias("timestep"), checked.cast("long").alias("natoms"), box_struct(F.slice("lines", 5, 4)).alias("box"), header.alias("header"), "file", "offset")
     frames = settle(frames.repartitionByRange(max(1, min(64, total)), "frame").sortWithinPartitions("frame"), "dump-frames")
-    first = frames.filter("frame = 0").select("header").first()
-    if first is None:
+    head = frames.filter(F.col("frame") == first).select("header").first()
+    if head is None and not growing:
         raise DumpError("the dump has no complete first frame")
-    return Index(path, [name for name, _ in files], ranges, frames, header_columns(f"ITEM: ATOMS {first[0]}"))
+    if names is None:
+        names = header_columns(f"ITEM: ATOMS {head[0]}") if head is not None else []
+    forget(scanned)
+    return Index(path, [name for name, _ in files], ranges, frames, names, first, frames.count(), stop)
 
 
 # --- the source ---------------------------------------------------------------------------------------------------
@@ -303,7 +340,9 @@ class RangeReader(DataSourceReader):
             return None
         return at.get(self.low) if self.low > 0 else None, at.get(self.high + 1) if self.high >= 0 else None
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark asks for if there are no partitions
+            return
         system, _ = file_system(self.path)
         with system.open_input_file(partition.file) as f:
             data, at = lines_of(f, partition.begin, partition.end)

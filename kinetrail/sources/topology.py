@@ -23,9 +23,10 @@ class TopologyError(ValueError):
 
 
 def _tokens(spark: SparkSession, path: str) -> DataFrame:
-    """at (line order) and t (tokens) of the lines that hold something besides a comment."""
+    """at (line order: file, then place in it) and t (tokens) of the lines that hold something besides a comment."""
     text = F.trim(F.regexp_replace("value", "#.*$", ""))
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), text.alias("line")).filter("line <> ''").select("at", "line", F.split("line", r"[\s]+").alias("t"))
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(at.alias("at"), text.alias("line")).filter("line <> ''").select("at", "line", F.split("line", r"[\s]+").alias("t"))
 
 
 def _whole(c: Column, kind: str) -> Column:
@@ -47,7 +48,7 @@ def read_data_file(spark: SparkSession, path: str, sections: list[str]) -> dict[
     its section by comparing its place with theirs."""
     lines = _tokens(spark, path)
     # A data file has a handful of sections; a file with more heads than MOST_HEADS is none, and isn't collected.
-    heads = sorted((r["at"], r["line"]) for r in lines.filter(F.col("line").rlike("^[A-Za-z]")).select("at", F.substring("line", 1, 40).alias("line")).limit(MOST_HEADS + 1).collect())
+    heads = sorted((tuple(r["at"]), r["line"]) for r in lines.filter(F.col("line").rlike("^[A-Za-z]")).select("at", F.substring("line", 1, 40).alias("line")).limit(MOST_HEADS + 1).collect())
     if len(heads) > MOST_HEADS:
         raise TopologyError("too many lines begin with a letter for a data file")
     out = {}
@@ -56,9 +57,10 @@ def read_data_file(spark: SparkSession, path: str, sections: list[str]) -> dict[
         spans = [(a, heads[i + 1][0] if i + 1 < len(heads) else None) for i, (a, line) in enumerate(heads) if line.startswith(name)]
         if not spans:
             raise TopologyError(f"section {name} is missing")
+        place = lambda x: F.struct(F.lit(x[0]).alias("file"), F.lit(x[1]).cast("long").alias("block"), F.lit(x[2]).cast("long").alias("line"))
         inside = F.lit(False)
         for a, b in spans:
-            inside = inside | ((F.col("at") > a) & (F.lit(True) if b is None else F.col("at") < b))
+            inside = inside | ((F.col("at") > place(a)) & (F.lit(True) if b is None else F.col("at") < place(b)))
         rows = lines.filter(inside).select("at", F.when(F.size("t") < least, F.raise_error(F.lit(f"a short row in {name}"))).otherwise(F.col("t")).alias("t"))
         if name == "Masses":
             # Later rows of a type replace earlier ones.

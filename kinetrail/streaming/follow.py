@@ -1,212 +1,155 @@
 """Streams of trajectories: a growing dump as a source, and measures that keep up with it.
 
-`DumpFollow` finds the complete frames of one growing file; its offset is the byte after the last of them, so a part of
-a frame is never emitted and a resumed query goes on where it stopped. The source itself hands out byte ranges, one row
-a frame; executors read and parse them, by the rules of the batch reader: coordinates are unwrapped by image flags and
-the box's tilts, numbers must be whole tokens, and every frame has the first frame's columns and ids. A path may name
-any file system that Arrow reads."""
+`dump_growth` is a stream of byte ranges of one growing file: its offset is the file's length, and the driver sees no more
+of the file than that. Each micro-batch indexes the new range on the executors (see `sources.ranges`), from the byte
+behind the last complete frame, finds the frames that are complete by now, and parses them by ranges with the batch
+reader, so a frame of any size is parsed by many tasks and a part of a frame is never seen. Where a batch ended (byte and
+number of frames) is noted beside the checkpoint, so a repeated batch begins where it did before, and a resumed query
+goes on where it stopped. A path may name any file system that Arrow reads."""
 
 from __future__ import annotations
 
-import hashlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.places import file_system
+from ..functions.places import file_info, file_system
 from ..operators.correlate import COMPONENTS, SERIES, CorrelatorSpec, exact_series, lag_table
-from ..plans.durable import shared_dir
-from ..sources.dump import DumpError, header_columns
+from ..plans.durable import forget, settle, shared_dir
+from ..sources.dump import checked, first_particles
+from ..sources.ranges import CORE, RANGE_BYTES, DumpError, Index, index_dump, scan_dump
 
-MARK = b"ITEM: TIMESTEP\n"
 FIELDS = "frame long, timestep long, id long, x double, y double, z double"
-RANGES = "frame long, begin long, size long"
-#: Bytes that the search for frames reads at a time.
-WINDOW = 16 << 20
-
-
-def frame_size(data: bytes, at: int) -> int:
-    """Bytes of the frame at `at`, 0 if it isn't complete."""
-    if not data.startswith(MARK, at):
-        if len(data) - at >= len(MARK) or not MARK.startswith(data[at:]):
-            raise DumpError("a frame does not begin where one should")
-        return 0
-    spot = at
-    for _ in range(4):
-        spot = data.find(b"\n", spot) + 1
-        if not spot:
-            return 0
-    begin = data.rfind(b"\n", at, spot - 1) + 1
-    try:
-        lines = 9 + int(data[begin : spot - 1])
-    except ValueError:
-        raise DumpError("not a number of atoms") from None
-    for _ in range(lines - 4):
-        spot = data.find(b"\n", spot) + 1
-        if not spot:
-            return 0
-    return spot - at
-
-
-def complete_frames(data: bytes) -> tuple[list[tuple[int, int]], int]:
-    """(begin, size) of every complete frame and the bytes they take. data begins at a frame."""
-    found, at = [], 0
-    while at < len(data) and (size := frame_size(data, at)):
-        found.append((at, size))
-        at += size
-    return found, at
-
-
-class _Reader(SimpleDataSourceStreamReader):
-    def __init__(self, path: str, most: int):
-        self.path, self.most = path, most
+RANGES = "begin long, end long"
+
+
+@dataclass
+class NewBytes(InputPartition):
+    begin: int
+    end: int
+
+
+class _Growth(DataSourceStreamReader):
+    def __init__(self, path: str):
+        self.path = path
 
     def initialOffset(self) -> dict:
-        return {"byte": 0, "frame": 0}
-
-    def _ranges(self, start: dict, end: int | None) -> tuple[list[tuple[int, int, int]], dict]:
-        system, path = file_system(self.path)
-        out, at, frame, held = [], start["byte"], start["frame"], b""
-        most = self.most if end is None else 0  # what was promised is read again whole
-        if system.get_file_info(path).type == fs.FileType.NotFound:
-            return [], dict(start)
-        with system.open_input_file(path) as f:
-            stop = min(f.size(), end) if end is not None else f.size()
-            while at + len(held) < stop and not (most and len(out) >= most):
-                # A frame that goes beyond the window is looked at again with twice as much of it.
-                held += f.read_at(min(max(WINDOW, len(held)), stop - at - len(held)), at + len(held))
-                found, size = complete_frames(held)
-                if most:
-                    found = found[: most - len(out)]
-                    size = sum(n for _, n in found)
-                out += [(frame + k, at + a, n) for k, (a, n) in enumerate(found)]
-                frame, at, held = frame + len(found), at + size, held[size:]
-        return out, {"byte": at, "frame": frame}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = self._ranges(start, None)
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._ranges(start, end["byte"])[0])
+        return {"byte": 0}
+
+    def latestOffset(self) -> dict:
+        info = file_info(self.path)
+        return {"byte": info.size if info.type == fs.FileType.File else 0}
+
+    def partitions(self, start: dict, end: dict) -> list[NewBytes]:
+        return [NewBytes(start["byte"], end["byte"])] if end["byte"] > start["byte"] else []
+
+    def read(self, partition: NewBytes) -> Iterator[tuple]:
+        yield partition.begin, partition.end
 
     def commit(self, end: dict) -> None:
         pass
 
 
-class DumpFollow(DataSource):
-    """spark.readStream.format("dump_follow").option("path", ...): the byte ranges of complete frames. `most` bounds the
-    frames of a batch (0: all that are there)."""
+class DumpGrowth(DataSource):
+    """spark.readStream.format("dump_growth").option("path", ...): byte ranges by which a file has grown."""
 
     @classmethod
     def name(cls) -> str:
-        return "dump_follow"
+        return "dump_growth"
 
     def schema(self) -> str:
         return RANGES
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Reader(self.options["path"], int(self.options.get("most", 0)))
-
-
-@dataclass(frozen=True)
-class Layout:
-    """What every frame shares: columns, number of atoms and an order-free digest of the ids."""
-
-    names: tuple[str, ...]
-    natoms: int
-    ids: str
-
-
-def _digest(ids: np.ndarray) -> str:
-    return hashlib.sha256(np.sort(ids).astype("<i8").tobytes()).hexdigest()
-
-
-def parse_frame(text: str, layout: Layout | None, allow_header_change: bool = False) -> tuple[Layout, dict]:
-    """A frame's layout, and timestep, box, id, x, y, z, type and mol; checked against the first frame's layout."""
-    lines = text.split("\n")
-    names = tuple(header_columns(lines[8]))
-    natoms = int(lines[3])
-    rows = [line.split() for line in lines[9 : 9 + natoms]]
-    if any(len(r) != len(names) for r in rows):
-        raise DumpError("a row's columns don't match the header")
-    columns = dict(zip(names, zip(*rows))) if rows else {n: () for n in names}
-
-    def numbers(name: str, kind) -> np.ndarray:
-        try:
-            return np.asarray(pa.array(columns[name], pa.string()).cast(pa.float64() if kind is float else pa.int64()))
-        except pa.ArrowInvalid:
-            raise DumpError(f"not a number in {name}") from None
-
-    ids = numbers("id", int)
-    if len(np.unique(ids)) != len(ids) or (ids < 0).any():
-        raise DumpError("an id is negative or repeats within a frame")
-    own = Layout(names, natoms, _digest(ids))
-    if layout is not None:
-        if own.natoms != layout.natoms:
-            raise DumpError("the number of atoms changes")
-        if own.names != layout.names and not allow_header_change:
-            raise DumpError("the atoms header changes")
-        if own.ids != layout.ids:
-            raise DumpError("a later frame has other ids")
-    bounds = [[float(v) for v in lines[k].split()] for k in (5, 6, 7)]
-    xy, xz, yz = (b[2] for b in bounds) if "xy xz yz" in lines[4] else (0.0, 0.0, 0.0)
-    low = [bounds[0][0] - min(0.0, xy, xz, xy + xz), bounds[1][0] - min(0.0, yz), bounds[2][0]]
-    high = [bounds[0][1] - max(0.0, xy, xz, xy + xz), bounds[1][1] - max(0.0, yz), bounds[2][1]]
-    if all(n in names for n in ("xu", "yu", "zu")):
-        x, y, z = (numbers(n, float) for n in ("xu", "yu", "zu"))
-    else:
-        x, y, z = (numbers(n, float) for n in "xyz")
-        ix, iy, iz = (numbers(n, int) for n in ("ix", "iy", "iz"))
-        x, y, z = x + ix * (high[0] - low[0]) + iy * xy + iz * xz, y + iy * (high[1] - low[1]) + iz * yz, z + iz * (high[2] - low[2])
-    mol = next((n for n in ("mol", "molecule") if n in names), None)
-    frame = {"timestep": int(lines[1]), "box": (low, high, xy, xz, yz), "id": ids, "x": x, "y": y, "z": z}
-    return own, frame | {"type": numbers("type", int) if "type" in names else None, "mol": numbers(mol, int) if mol else None}
-
-
-def first_frame(path: str) -> tuple[Layout, dict]:
-    """The first complete frame of a dump that may still grow; an error if there is none yet."""
-    system, spot = file_system(path)
-    with system.open_input_file(spot) as f:
-        held = b""
-        while len(held) < f.size():
-            held += f.read_at(WINDOW, len(held))
-            if size := frame_size(held, 0):
-                return parse_frame(held[:size].decode("utf-8"), None)
-    raise DumpError("the dump has no complete first frame")
-
-
-def follow_dump(spark: SparkSession, path: str, allow_header_change: bool = False, most: int = 0, partitions: int | None = None) -> DataFrame:
-    """The stream of FIELDS of a growing dump. A frame is parsed by one task; the frames of a batch are dealt to all."""
-    layout = first_frame(path)[0]
-    spark.dataSource.register(DumpFollow)
-    ranges = spark.readStream.format("dump_follow").option("path", path).option("most", most).load()
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, spot = file_system(path)
-        with system.open_input_file(spot) as f:
-            for batch in batches:
-                for frame, begin, size in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                    _, got = parse_frame(f.read_at(size, begin).decode("utf-8"), layout, allow_header_change)
-                    n = len(got["id"])
-                    if n:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, frame)), pa.array(np.full(n, got["timestep"])), *(pa.array(got[c]) for c in ("id", "x", "y", "z"))], ["frame", "timestep", "id", "x", "y", "z"])
-
-    return ranges.repartition(partitions or spark.sparkContext.defaultParallelism).mapInArrow(parse, FIELDS)
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Growth(self.options["path"])
+
+
+class Positions:
+    """Where each batch ended: a small file a batch in a folder, written whole."""
+
+    def __init__(self, folder: str):
+        self.system, self.path = file_system(folder)
+
+    def before(self, batch: int) -> dict:
+        """Byte and frames behind the batches before this one."""
+        found = [int(x.base_name) for x in self.system.get_file_info(fs.FileSelector(self.path, allow_not_found=True))]
+        last = max((n for n in found if n < batch), default=None)
+        if last is None:
+            return {"byte": 0, "frames": 0}
+        with self.system.open_input_file(f"{self.path}/{last:010d}") as f:
+            return json.loads(f.read())
+
+    def note(self, batch: int, byte: int, frames: int) -> None:
+        self.system.create_dir(self.path, recursive=True)
+        with self.system.open_output_stream(f"{self.path}/{batch:010d}") as f:
+            f.write(json.dumps({"byte": byte, "frames": frames}).encode())
+
+
+Handle = Callable[[DataFrame, int, int, int], None]
+
+
+def each_batch(spark: SparkSession, path: str, first: Index, atoms: DataFrame, positions: Positions, handle: Handle, most: int = 0, allow_header_change: bool = False, range_bytes: int = RANGE_BYTES) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: `handle(rows, first frame, frames, batch)` gets FIELDS of the frames that are complete by now, at
+    most `most` at a time (0: all), checked by the batch reader's rules against the first frame."""
+    natoms = first.frames.select("natoms").first()[0]
+
+    def run(batch: DataFrame, number: int) -> None:
+        end = batch.agg(F.max("end")).first()[0]
+        if end is None:
+            return
+        was = positions.before(number)
+        index = index_dump(spark, path, range_bytes, growing=True, begin=was["byte"], end=end, first=was["frames"], names=first.names)
+        if index.count:
+            if not index.frames.filter(F.col("natoms") != natoms).isEmpty():
+                raise DumpError("the number of atoms changes")
+            step = most or index.count
+            for low in range(index.first, index.first + index.count, step):
+                high = min(low + step, index.first + index.count) - 1
+                rows = settle(scan_dump(spark, index, ["frame", "timestep", "id", "x", "y", "z"], (low, high), allow_header_change), "followed")
+                handle(checked(rows, atoms), low, high - low + 1, number)
+                forget(rows)
+        positions.note(number, index.stop, index.first + index.count)
+        forget(index.ranges, index.frames)
+
+    return run
+
+
+def growth(spark: SparkSession, path: str) -> DataFrame:
+    spark.dataSource.register(DumpGrowth)
+    return spark.readStream.format("dump_growth").option("path", path).load()
+
+
+def land(spark: SparkSession, path: str, folder: str, checkpoint: str, allow_header_change: bool = False, range_bytes: int = RANGE_BYTES, forever: bool = False) -> StreamingQuery:
+    """The complete frames of a growing dump as Parquet folders, one a batch; ends with what is there unless `forever`.
+
+    A batch that is repeated after its folder was finished leaves it as it is, so readers of the folder see each row once."""
+    first, atoms = first_particles(spark, path, allow_header_change, range_bytes)
+    where = file_system(folder)
+
+    def handle(rows: DataFrame, low: int, n: int, number: int) -> None:
+        if where[0].get_file_info(f"{where[1]}/{number:010d}/_SUCCESS").type == fs.FileType.NotFound:
+            rows.write.mode("overwrite").parquet(f"{folder}/{number:010d}")
+
+    run = each_batch(spark, path, first, atoms, Positions(f"{checkpoint}-positions"), handle, 0, allow_header_change, range_bytes)
+    writer = growth(spark, path).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    query = writer.start() if forever else writer.trigger(availableNow=True).start()
+    if not forever:
+        query.awaitTermination()
+    return query
 
 
 def follow_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """A folder of Parquet files with FIELDS, each new file a part of the stream."""
+    """A folder of Parquet files with FIELDS (or, as a pattern, of such folders), each new file a part of the stream."""
     return spark.readStream.schema(FIELDS).parquet(folder)
 
 
