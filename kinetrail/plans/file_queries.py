@@ -197,7 +197,7 @@ def map_source_group(v: Views) -> DataFrame:
 
 def config(v: Views, path: str, **measured: dict) -> Config:
     """A run over a dump at path, which writes beside the settled files."""
-    cfg = Config().update("general", input=path, dt=DT, output_dir=file_system(follow.scratch(v.spark, "out"))[1], hash_input=False)
+    cfg = Config().update("general", input=path, dt=DT, output_dir=follow.scratch(v.spark, "out"), hash_input=False)
     for name, values in measured.items():
         cfg.update(f"measure.{name}", **values)
     return cfg
@@ -315,10 +315,10 @@ def index_topology(v: Views) -> DataFrame:
 @query(with_views("atoms") + "select mol, count(*) as n from atoms group by mol")
 def dataset_by_columns(v: Views) -> DataFrame:
     """A table of a caller's own columns, written in an order of its own and read back."""
-    path = f"{file_system(follow.scratch(v.spark, 'dataset'))[1]}/d.dat"
+    path = f"{follow.scratch(v.spark, 'dataset')}/d.dat"
     made = sinks.Dataset(["n", "mol"]).column("n", "atoms", "atoms of the molecule").column("mol", "", "molecule")
     sinks.write_dataset(path, v.atoms.groupBy("mol").agg(F.count("*").alias("n")), made, ["molecules"])
-    return v.spark.read.schema("n long, mol long").option("sep", " ").option("comment", "#").csv(f"file://{path}").select("mol", "n")
+    return v.spark.read.schema("n long, mol long").option("sep", " ").option("comment", "#").csv(path).select("mol", "n")
 
 
 # --- extension surface --------------------------------------------------------------------------------------------

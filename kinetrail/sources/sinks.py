@@ -1,24 +1,105 @@
-"""Result files: text series, the audit index, and reading both back."""
+"""Result files: text tables that executors write in order, the audit index, and reading both back.
+
+Paths may name any file system that Arrow reads. Readers see the old or the new file, never a part: everything is written
+beside the target and moved there at the end."""
 
 from __future__ import annotations
 
 import json
-import os
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
-
+import posixpath
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+from ..functions.places import file_system, is_file
 from ..operators.correlate import SERIES
 
 SCHEMA_VERSION = "1.0"
+#: Bytes that are copied at a time.
+PIECE = 1 << 20
 
 
 def replace_file(path: str, text: str) -> None:
-    """Write beside the target, then rename: readers see the old or the new file, never a part."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    part = f"{path}.part"
-    Path(part).write_text(text, encoding="utf-8")
-    os.replace(part, path)
+    system, spot = file_system(path)
+    system.create_dir(posixpath.dirname(spot), recursive=True)
+    part = f"{spot}.part-{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as f:
+        f.write(text.encode("utf-8"))
+    system.move(part, spot)
+
+
+def spelled(rows: Iterator[tuple]) -> str:
+    return "".join(" ".join(f"{v:.17g}" if isinstance(v, float) else str(v) for v in r) + "\n" for r in rows)
+
+
+@dataclass
+class Part(WriterCommitMessage):
+    """A task's file: its place in the order, path and rows."""
+
+    number: int
+    name: str
+    rows: int
+
+
+class _TextWriter(DataSourceArrowWriter):
+    """Tasks write a file each; the commit puts them, in order of their partitions, behind the header (or behind what there
+    is) and moves the whole over the target. An abort deletes the tasks' files and leaves the target as it was."""
+
+    def __init__(self, options) -> None:
+        self.path, self.header, self.append, self.job = options["path"], json.loads(options["header"]), options.get("append") == "true", options["job"]
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        system, spot = file_system(self.path)
+        system.create_dir(f"{spot}.{self.job}", recursive=True)
+        name, rows = f"{spot}.{self.job}/{task.partitionId():08d}-{task.taskAttemptId()}", 0
+        with system.open_output_stream(name) as f:
+            for batch in iterator:
+                f.write(spelled(zip(*(c.to_pylist() for c in batch.columns))).encode("utf-8"))
+                rows += batch.num_rows
+        return Part(task.partitionId(), name, rows)
+
+    def commit(self, messages: list[Part | None]) -> None:
+        system, spot = file_system(self.path)
+        whole = f"{spot}.{self.job}/whole"
+        system.create_dir(f"{spot}.{self.job}", recursive=True)
+        there = self.append and system.get_file_info(spot).type == fs.FileType.File
+        with system.open_output_stream(whole) as out:
+            if not there:
+                out.write("".join(f"# {h}\n" for h in self.header).encode("utf-8"))
+            for name in ([spot] if there else []) + [m.name for m in sorted((m for m in messages if m is not None), key=lambda m: m.number)]:
+                with system.open_input_stream(name) as f:
+                    while piece := f.read(PIECE):
+                        out.write(piece)
+        system.move(whole, spot)
+        system.delete_dir(f"{spot}.{self.job}")
+
+    def abort(self, messages: list[Part | None]) -> None:
+        system, spot = file_system(self.path)
+        if system.get_file_info(f"{spot}.{self.job}").type != fs.FileType.NotFound:
+            system.delete_dir(f"{spot}.{self.job}")
+
+
+class OrderedText(DataSource):
+    """df.write.format("ordered_text"): the rows of df in the order of its partitions, as one text file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "ordered_text"
+
+    def schema(self) -> str:
+        raise NotImplementedError("a format to write")
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _TextWriter(self.options)
 
 
 class TextTable:
@@ -28,16 +109,23 @@ class TextTable:
         self.path, self.header, self.append, self.dry = path, header, append, dry
 
     def write(self, rows: list[tuple]) -> None:
+        """A few rows of the driver's own."""
         if self.dry:
             return
-        body = "".join(" ".join(f"{v:.17g}" if isinstance(v, float) else str(v) for v in r) + "\n" for r in rows)
-        head = "".join(f"# {h}\n" for h in self.header)
-        if not self.append:
-            replace_file(self.path, head + body)
+        held = ""
+        if self.append and is_file(self.path):
+            system, spot = file_system(self.path)
+            with system.open_input_file(spot) as f:
+                held = f.read().decode("utf-8")
+        replace_file(self.path, (held or "".join(f"# {h}\n" for h in self.header)) + spelled(iter(rows)))
+
+    def write_frame(self, frame: DataFrame) -> None:
+        """The rows of a DataFrame, written by its tasks in the order of its partitions."""
+        if self.dry:
             return
-        Path(self.path).parent.mkdir(parents=True, exist_ok=True)
-        with open(self.path, "a", encoding="utf-8") as f:
-            f.write((head if f.tell() == 0 else "") + body)
+        spark = frame.sparkSession
+        spark.dataSource.register(OrderedText)
+        frame.write.format("ordered_text").mode("append").options(path=self.path, header=json.dumps(self.header), append=str(self.append).lower(), job=uuid.uuid4().hex).save()
 
 
 class Dataset:
@@ -59,15 +147,20 @@ class Dataset:
 
 
 def write_dataset(path: str, frame: DataFrame, columns: list[dict[str, str]] | Dataset, notes: list[str], dry: bool = False, append: bool = False) -> int:
-    """A small result table as text, in order of its first column (or as its Dataset says). Returns the number of rows."""
+    """A result table as text, in order of its first column (or as its Dataset says), by the executors. Returns the number
+    of rows, observed while they are written."""
     spec = columns if isinstance(columns, Dataset) else None
     names = [c["name"] for c in (spec.columns if spec else columns)]
     missing = [n for n in names if n not in frame.columns]
     if missing:
         raise ValueError(f"the dataset lacks the columns {', '.join(missing)}")
-    rows = [] if dry else [tuple(r) for r in frame.select(*names).orderBy(*((spec.order if spec else None) or names[:1])).collect()]
-    TextTable(path, [*notes, spec.header() if spec else " ".join(names)], append, dry).write(rows)
-    return len(rows)
+    if dry:
+        return 0
+    observed = Observation()
+    # Counted behind the sort: what lies before it runs once more for the sort's sample.
+    ordered = frame.select(*names).orderBy(*((spec.order if spec else None) or names[:1])).observe(observed, F.count(F.lit(1)).alias("rows"))
+    TextTable(path, [*notes, spec.header() if spec else " ".join(names)], append).write_frame(ordered)
+    return observed.get["rows"]
 
 
 def write_series(path: str, series: DataFrame, notes: list[str], dry: bool = False) -> int:
@@ -84,8 +177,9 @@ class Results:
 
     def __init__(self, folder: str, index: str = "results.json"):
         self.folder = folder
-        with open(os.path.join(folder, index), encoding="utf-8") as f:
-            self.index = json.load(f)
+        system, spot = file_system(posixpath.join(folder, index))
+        with system.open_input_file(spot) as f:
+            self.index = json.loads(f.read())
 
     def measures(self) -> list[dict]:
         return self.index["measures"]
@@ -98,14 +192,16 @@ class Results:
         return found[0]
 
     def dataset_path(self, name: str) -> str:
-        return os.path.join(self.folder, self.find_measure(name)["outputs"][0]["path"])
+        return posixpath.join(self.folder, self.find_measure(name)["outputs"][0]["path"])
 
     def dataset_columns(self, name: str) -> list[str]:
         return [c["name"] for c in self.find_measure(name)["outputs"][0]["columns"]]
 
     def load_table(self, name: str) -> list[list[float]]:
-        with open(self.dataset_path(name), encoding="utf-8") as f:
-            return [[float(x) for x in line.split()] for line in f if line.strip() and line[0] != "#"]
+        """A small dataset as lists; load_frame reads one of any size."""
+        system, spot = file_system(self.dataset_path(name))
+        with system.open_input_file(spot) as f:
+            return [[float(x) for x in line.split()] for line in f.read().decode("utf-8").split("\n") if line.strip() and line[0] != "#"]
 
     def load_frame(self, spark: SparkSession, name: str) -> DataFrame:
         schema = ", ".join(f"{c} double" for c in self.dataset_columns(name))

@@ -14,20 +14,18 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.places import file_info, file_system
-from ..operators.correlate import COMPONENTS, SERIES, CorrelatorSpec, exact_series, lag_table
+from ..operators.correlate import CorrelatorSpec
 from ..plans.durable import forget, settle, shared_dir
 from ..sources.dump import checked, first_particles
-from ..sources.ranges import CORE, RANGE_BYTES, DumpError, Index, index_dump, scan_dump
+from ..sources.ranges import RANGE_BYTES, DumpError, Index, index_dump, scan_dump
+from .state import BUCKETS, PAIRS, pair_sums, rocks, summarise_pairs
 
 FIELDS = "frame long, timestep long, id long, x double, y double, z double"
 RANGES = "begin long, end long"
@@ -153,99 +151,10 @@ def follow_folder(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(FIELDS).parquet(folder)
 
 
-# --- correlator state ---------------------------------------------------------------------------------------------
-
-PAIRS = "level int, d int, cur long, org long, dts long, v double, id long"
-
-
-class _Particle:
-    """One particle's levels: the last m samples of each and the sample that waits for its neighbour."""
-
-    def __init__(self, m: int, levels: int, axes: str = "xyz", data: dict | None = None):
-        self.m, self.levels = m, levels
-        self.at = ["xyz".index(a) + 1 for a in axes]
-        self.rings = data["rings"] if data else [[] for _ in range(levels)]
-        self.waiting = data["waiting"] if data else [None] * levels
-        self.next = data["next"] if data else [0] * levels
-
-    def push(self, sample: list, level: int, out: list) -> None:
-        k = self.next[level]
-        self.next[level] += 1
-        ring = self.rings[level]
-        low = 1 if level == 0 else self.m // 2 + 1
-        for d in range(low, self.m + 1):
-            if d <= len(ring):
-                org = ring[-d]
-                if sample[0] > org[0]:
-                    out.append((level, d, k, k - d, sample[0] - org[0], sum((sample[a] - org[a]) ** 2 for a in self.at)))
-        ring.append(sample)
-        del ring[: -self.m]
-        if level + 1 < self.levels:
-            if self.waiting[level] is None:
-                self.waiting[level] = sample
-            else:
-                first, self.waiting[level] = self.waiting[level], None
-                half = [int(first[0] / 2) + int(sample[0] / 2), *((a + b) * 0.5 for a, b in zip(first[1:], sample[1:]))]
-                self.push(half, level + 1, out)
-
-    def state(self) -> str:
-        return json.dumps({"rings": self.rings, "waiting": self.waiting, "next": self.next})
-
-
-def multi_tau_pairs(stream: DataFrame, spec: CorrelatorSpec) -> DataFrame:
-    """The pairs of every particle as they complete; the state is levels * channels samples a particle."""
-    m, levels, axes = spec.channels, spec.levels, COMPONENTS[spec.components]
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        particle = _Particle(m, levels, axes, json.loads(state.get[0]) if state.exists else None)
-        rows = pd.concat(list(parts)).sort_values("frame")
-        out: list[tuple] = []
-        for r in rows[["timestep", "x", "y", "z"]].itertuples(index=False):
-            particle.push([int(r[0]), *map(float, r[1:])], 0, out)
-        state.update((particle.state(),))
-        if out:
-            yield pd.DataFrame([(*o, key[0]) for o in out], columns=["level", "d", "cur", "org", "dts", "v", "id"])
-
-    return stream.groupBy("id").applyInPandasWithState(update, PAIRS, "state string", "append", GroupStateTimeout.NoTimeout)
-
-
-def exact_pairs(stream: DataFrame, spec: CorrelatorSpec) -> DataFrame:
-    """The pairs of every particle with all its earlier samples; the state is the particle's whole window, as packed arrays."""
-    at, stride = ["xyz".index(a) + 2 for a in COMPONENTS[spec.components]], spec.lag_stride
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = np.frombuffer(bytes(state.get[0]), np.float64).reshape(-1, 5) if state.exists else np.zeros((0, 5))
-        rows = pd.concat(list(parts)).sort_values("frame")
-        # Frames and timesteps stay exact in a double up to 2^53.
-        new = rows[["frame", "timestep", "x", "y", "z"]].to_numpy(np.float64)
-        every = np.concatenate([before, new])
-        state.update((every.tobytes(),))
-        out = []
-        for k in range(len(before), len(every)):
-            lag, dts = every[k, 0] - every[:k, 0], every[k, 1] - every[:k, 1]
-            fits = (lag > 0) & (lag % stride == 0) & (dts > 0)
-            if fits.any():
-                org = every[:k][fits]
-                square = ((every[k, at] - org[:, at]) ** 2).sum(axis=1)
-                out.append(pd.DataFrame({"level": np.int32(0), "d": lag[fits].astype(np.int32), "cur": np.int64(every[k, 0]), "org": org[:, 0].astype(np.int64), "dts": dts[fits].astype(np.int64), "v": square, "id": key[0]}))
-        yield from out
-
-    return stream.groupBy("id").applyInPandasWithState(update, PAIRS, "state binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def summarise_pairs(pairs: DataFrame, spec: CorrelatorSpec) -> DataFrame:
-    if spec.kind == "exact":
-        return exact_series(pairs.groupBy("cur", "org", "dts").agg(F.avg("v").alias("v")), spec)
-    key = F.col("d") * F.expr("cast(shiftleft(1L, level) as long)")
-    frames = pairs.groupBy(key.cast("long").alias("key"), "cur", "org", "dts").agg(F.avg("v").alias("v"))
-    rows = lag_table(frames, spec.block_size)
-    return rows.withColumn("lag", F.col("key").cast("double")).withColumn("time", F.col("mean_dtimestep") * spec.dt).select(*SERIES)
-
-
 # --- checkpoints --------------------------------------------------------------------------------------------------
 
 # What a state file begins with (fixed values of this format).
-MAGIC, STATE_VERSION = "kinetrail-state", 1
+MAGIC, STATE_VERSION = "kinetrail-state", 2
 
 
 def guard(checkpoint: str, meta: dict) -> None:
@@ -265,12 +174,12 @@ def guard(checkpoint: str, meta: dict) -> None:
             f.write(json.dumps(meta).encode())
 
 
-def stream_correlation(stream: DataFrame, spec: CorrelatorSpec, folder: str, checkpoint: str, source: str = "") -> DataFrame:
+def stream_correlation(stream: DataFrame, spec: CorrelatorSpec, folder: str, checkpoint: str, source: str = "", buckets: int = BUCKETS) -> DataFrame:
     """Runs over what is there and returns the series so far; a later call with the same checkpoint goes on."""
-    guard(checkpoint, {"source": source, "kind": spec.kind, "channels": spec.channels, "levels": spec.levels, "components": spec.components, "lag_stride": spec.lag_stride})
-    pairs = multi_tau_pairs(stream, spec) if spec.kind == "multitau" else exact_pairs(stream, spec)
-    query = pairs.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
-    query.awaitTermination()
+    guard(checkpoint, {"source": source, "kind": spec.kind, "channels": spec.channels, "levels": spec.levels, "components": spec.components, "lag_stride": spec.lag_stride, "buckets": buckets})
+    with rocks(stream.sparkSession):
+        query = pair_sums(stream, spec, buckets).writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
+        query.awaitTermination()
     spark = stream.sparkSession
     return summarise_pairs(spark.read.schema(PAIRS).parquet(folder), spec)
 

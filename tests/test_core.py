@@ -80,9 +80,40 @@ def signal(spark, steps):
     return table(spark, [(1, f, ts, float(f * f), 0.0, 0.0) for f, ts in enumerate(steps)], "id long, frame long, timestep long, x double, y double, z double")
 
 
+class Particle:
+    """One particle's levels: the last m samples of each and the sample that waits for its neighbour."""
+
+    def __init__(self, m: int, levels: int, axes: str = "xyz"):
+        self.m, self.levels = m, levels
+        self.at = ["xyz".index(a) + 1 for a in axes]
+        self.rings = [[] for _ in range(levels)]
+        self.waiting = [None] * levels
+        self.next = [0] * levels
+
+    def push(self, sample: list, level: int, out: list) -> None:
+        k = self.next[level]
+        self.next[level] += 1
+        ring = self.rings[level]
+        low = 1 if level == 0 else self.m // 2 + 1
+        for d in range(low, self.m + 1):
+            if d <= len(ring):
+                org = ring[-d]
+                if sample[0] > org[0]:
+                    out.append((level, d, k, k - d, sample[0] - org[0], sum((sample[a] - org[a]) ** 2 for a in self.at)))
+        ring.append(sample)
+        del ring[: -self.m]
+        if level + 1 < self.levels:
+            if self.waiting[level] is None:
+                self.waiting[level] = sample
+            else:
+                first, self.waiting[level] = self.waiting[level], None
+                half = [int(first[0] / 2) + int(sample[0] / 2), *((a + b) * 0.5 for a, b in zip(first[1:], sample[1:]))]
+                self.push(half, level + 1, out)
+
+
 def stream_emulation(steps, m, levels):
     """Multi-tau pairs pushed one sample at a time."""
-    p = follow._Particle(m, levels)
+    p = Particle(m, levels)
     out = []
     for f, ts in enumerate(steps):
         p.push([ts, float(f * f), 0.0, 0.0], 0, out)

@@ -218,6 +218,22 @@ def test_text_tables_and_indexes(tmp_path):
     assert json.loads((tmp_path / "results.json").read_text(encoding="utf-8"))["notes"] == notes
 
 
+def test_datasets_are_written_in_order_by_tasks(spark, tmp_path):
+    path = f"file://{tmp_path}/d.dat"
+    rows = spark.range(1000).repartition(7).select((999 - F.col("id")).alias("k"), (F.col("id") * 0.5).alias("x"))
+    assert sinks.write_dataset(path, rows, [{"name": "k"}, {"name": "x"}], ["note"]) == 1000
+    want = "# note\n# k x\n" + "".join(f"{k} {(999 - k) * 0.5:.17g}\n" for k in range(1000))
+    assert (tmp_path / "d.dat").read_text() == want and [x.name for x in tmp_path.iterdir()] == ["d.dat"]
+    assert sinks.write_dataset(path, rows.limit(0), [{"name": "k"}], [], append=True) == 0 and (tmp_path / "d.dat").read_text() == want
+    sinks.write_dataset(path, spark.range(2).withColumnRenamed("id", "k"), [{"name": "k"}], [], append=True)
+    assert (tmp_path / "d.dat").read_text() == want + "0\n1\n"
+    # A write that fails leaves the old file, and nothing beside it.
+    broken = rows.select(F.when(F.col("k") == 500, F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("k")).alias("k"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_dataset(path, broken, [{"name": "k"}], [])
+    assert (tmp_path / "d.dat").read_text() == want + "0\n1\n" and [x.name for x in tmp_path.iterdir()] == ["d.dat"]
+
+
 @pytest.mark.parametrize("values,good", [({}, True), ({"axis": "timebin", "timebin_width": 2.0}, True), ({"axis": "timestep"}, True), ({"kind": "fft"}, True), ({"kind": "multitau"}, True), ({"kind": "multitau", "channels": 5}, False), ({"kind": "multitau", "axis": "timestep"}, False), ({"axis": "x"}, False), ({"components": "q"}, False), ({"axis": "timestep", "lag_stride": 2}, False), ({"dt": 0.0}, False)])
 def test_correlator_settings(values, good):
     with contextlib.nullcontext() if good else pytest.raises(ValueError):
