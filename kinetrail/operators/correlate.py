@@ -1,8 +1,9 @@
 """Time-origin-averaged correlation of particle signals: exact, spectral and multi-tau, with block errors.
 
 A signal has columns id, frame, timestep and value columns (x, y, z). Every correlator first reduces each pair of time
-origins (cur, org) to one number over all particles, then each lag to one row over its pairs. The first reduction is a
-join on id, whose rows stream into a partial aggregate; what is shuffled after it is a cell for each pair of frames.
+origins (cur, org) to one number over all particles, then each lag to one row over its pairs. The first reduction is an
+Arrow kernel over tiles of time (or, for functions that need Columns, a join on id whose rows stream into a partial
+aggregate); what is shuffled after it is a cell for each pair of frames and call.
 """
 
 from __future__ import annotations
@@ -110,16 +111,36 @@ def frame_pairs(signal: DataFrame, value: PairValue, stride: int = 1, since: int
     return met.groupBy("cur", "org", "dts").agg(F.avg("v").alias("v"))
 
 
-#: Rows that a call of the blocked kernel takes together (a particle's rows at least).
-KERNEL_ROWS = 1 << 18
+#: Rows that a call of the tiled kernel takes together (a particle's rows of a tile at least), and frames of a tile's side.
+KERNEL_ROWS, TILE_FRAMES = 1 << 18, 1 << 10
 
 
-def frame_pairs_blocked(signal: DataFrame, axes: str = "xyz", stride: int = 1) -> DataFrame:
-    """frame_pairs of squared displacements by an Arrow kernel: the join's rows, a pair of frames for each particle, never exist.
+def on_arrays(value: PairValue) -> bool:
+    """Whether a pair function is arithmetic alone, so that it takes arrays as well as Columns."""
+    try:
+        side = {c: np.zeros(1) for c in "xyz"}
+        return isinstance(value(side, side), np.ndarray)
+    except Exception:  # noqa: BLE001  whatever a function of Columns says to arrays
+        return False
 
-    Particles meet in partitions by id. A kernel call turns some of them into matrices of frames by particles and
-    takes the differences of all rows that lie so many frames apart at once; its sums and counts are held by pair of frames.
-    Where a particle lacks a frame it counts for nothing."""
+
+def frame_pairs_tiled(signal: DataFrame, value: PairValue, stride: int = 1, since: int | None = None) -> DataFrame:
+    """frame_pairs by an Arrow kernel: the join's rows, a pair of frames for each particle, never exist.
+
+    Time is cut into blocks of TILE_FRAMES frames, and a tile is a pair of blocks (of later and earlier frames). A row goes
+    to the tiles that its frame has a part in, one while there is one block, and particles meet there by id: a tile of
+    some particles is one kernel call, so a long trajectory, be it of a single particle, is spread over as many tasks as it
+    has tiles. Sums and counts are held by pair of frames. Where a particle lacks a frame it counts for nothing."""
+    last = signal.agg(F.max("frame")).first()[0]
+    blocks = 0 if last is None else last // TILE_FRAMES
+    own = F.expr(f"frame div {TILE_FRAMES}")
+    # Tiles (later, earlier): of a frame as the later one, and as the earlier one in later blocks.
+    tiles = F.concat(F.transform(F.sequence(F.lit(0).cast("long"), own), lambda o: F.struct(own.alias("c"), o.alias("o"))), F.transform(F.when(own < blocks, F.sequence(own + 1, F.lit(blocks).cast("long"))).otherwise(F.array().cast("array<bigint>")), lambda c: F.struct(c.alias("c"), own.alias("o"))))
+    rows = signal.select("id", "frame", "timestep", "x", "y", "z")
+    rows = rows.withColumn("t", F.explode(tiles)).select("t.c", "t.o", "id", "frame", "timestep", "x", "y", "z") if blocks else rows.select(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("o"), *rows.columns)
+    if since is not None:
+        rows = rows.filter(F.col("c") >= since // TILE_FRAMES)
+    tile_frames = TILE_FRAMES
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         frames, f = np.unique(np.asarray(rows["frame"]), return_inverse=True)
@@ -128,43 +149,60 @@ def frame_pairs_blocked(signal: DataFrame, axes: str = "xyz", stride: int = 1) -
         steps[f] = np.asarray(rows["timestep"])
         held = np.zeros((len(frames), len(ids)))
         held[f, i] = 1.0
-        values = []
-        for axis in axes:
+        values = {}
+        for axis in "xyz":
             x = np.zeros(held.shape)
             x[f, i] = np.asarray(rows[axis])
-            values.append(x)
+            values[axis] = x
         whole = len(f) == held.size
-        for k in range(1, len(frames)):
-            lag, dts = frames[k:] - frames[:-k], steps[k:] - steps[:-k]
-            fits = np.flatnonzero((lag % stride == 0) & (dts > 0))
+        block, later, earlier = frames // tile_frames, int(rows["c"][0].as_py()), int(rows["o"][0].as_py())
+        out: list[tuple] = []
+        for k in np.flatnonzero(block == later):
+            if since is not None and frames[k] < since:
+                continue
+            fits = np.flatnonzero((block[:k] == earlier) & ((frames[k] - frames[:k]) % stride == 0) & (steps[k] > steps[:k]))
             if not len(fits):
                 continue
-            square = sum((x[fits + k] - x[fits]) ** 2 for x in values)
-            both = held[fits + k] * held[fits] if not whole else None
-            s = square.sum(axis=1) if whole else (square * both).sum(axis=1)
+            span = slice(fits[0], fits[-1] + 1) if fits[-1] - fits[0] + 1 == len(fits) else fits
+            made = value({a: x[k] for a, x in values.items()}, {a: x[span] for a, x in values.items()})
+            both = held[span] * held[k] if not whole else None
+            s = made.sum(axis=1) if whole else (made * both).sum(axis=1)
             n = np.full(len(fits), len(ids)) if whole else both.sum(axis=1).astype(np.int64)
-            c, some = fits[n > 0], n > 0
-            if len(c):
-                yield pa.RecordBatch.from_arrays([pa.array(frames[c + k]), pa.array(frames[c]), pa.array(dts[c]), pa.array(s[some]), pa.array(n[some])], ["cur", "org", "dts", "s", "n"])
+            some = n > 0
+            out.append((np.full(int(some.sum()), frames[k]), frames[fits[some]], steps[k] - steps[fits[some]], s[some], n[some]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["cur", "org", "dts", "s", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: pa.Table | None = None
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= KERNEL_ROWS:
-                table = pa.Table.from_batches(held)
-                at = np.asarray(table["id"])
-                cut = int(np.searchsorted(at, at[-1]))  # the last particle may go on
-                if cut:
-                    yield from solve(table.slice(0, cut))
-                held = table.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield from solve(pa.Table.from_batches(held))
-
-    parts = signal.select("id", "frame", "timestep", *axes).repartition("id").sortWithinPartitions("id").mapInArrow(run, "cur long, org long, dts long, s double, n long")
+            if not batch.num_rows:
+                continue
+            held = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])]).combine_chunks()
+            c, o, at = (np.asarray(held[x]) for x in ("c", "o", "id"))
+            ends = np.flatnonzero((c[1:] != c[:-1]) | (o[1:] != o[:-1])) + 1  # a tile's rows are done
+            begin = 0
+            for end in ends:
+                yield from solve(held.slice(begin, end - begin))
+                begin = int(end)
+            if held.num_rows - begin >= KERNEL_ROWS:
+                cut = begin + int(np.searchsorted(at[begin:], at[-1]))  # the last particle may go on
+                if cut > begin:
+                    yield from solve(held.slice(begin, cut - begin))
+                    begin = cut
+            held = held.slice(begin)
+        if held is not None and held.num_rows:
+            yield from solve(held)
+
+    parts = rows.repartition("id", "c", "o").sortWithinPartitions("c", "o", "id", "frame").mapInArrow(run, "cur long, org long, dts long, s double, n long")
     return parts.groupBy("cur", "org", "dts").agg((F.sum("s") / F.sum("n")).alias("v"))
 
 
+def pairs_of_frames(signal: DataFrame, value: PairValue, stride: int = 1, since: int | None = None) -> DataFrame:
+    """frame_pairs by the tiled kernel where the function takes arrays, by the join on id where it needs Columns."""
+    return (frame_pairs_tiled if on_arrays(value) else frame_pairs)(signal, value, stride, since)
+
+
 def block_errors(pairs: DataFrame, size: int) -> DataFrame:
     """key, n_blocks and sem from completed blocks of the key's pairs in arrival order: by cur, then by lag."""
     at = F.row_number().over(Window.partitionBy("key").orderBy("cur", F.desc("org"))) - 1
@@ -226,13 +264,10 @@ def merge_bins(base: DataFrame, least: int) -> DataFrame:
 SERIES = ["lag", "time", "msd", "count_pairs", "sem", "n_blocks", "mean_dtimestep"]
 
 
-def exact(signal: DataFrame, spec: CorrelatorSpec, value: PairValue | None = None, blocked: bool = False) -> DataFrame:
-    """The exact correlator over all pairs of frames."""
-    if blocked and value is None:
-        pairs = frame_pairs_blocked(signal, COMPONENTS[spec.components], spec.lag_stride)
-    else:
-        pairs = frame_pairs(signal, value or squared_displacement(spec.components), spec.lag_stride)
-    return exact_series(pairs, spec)
+def exact(signal: DataFrame, spec: CorrelatorSpec, value: PairValue | None = None, tiled: bool = True) -> DataFrame:
+    """The exact correlator over all pairs of frames; `tiled` false asks for the join on id whatever the function."""
+    value = value or squared_displacement(spec.components)
+    return exact_series((pairs_of_frames if tiled else frame_pairs)(signal, value, spec.lag_stride), spec)
 
 
 def exact_series(pairs: DataFrame, spec: CorrelatorSpec) -> DataFrame:

@@ -5,6 +5,7 @@ where it says adjacency."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,12 +146,18 @@ def filter_bonds(bonds: DataFrame, types: list[int] | None = None, members: Data
     return out
 
 
+#: Points of a cell that one block holds.
+CELL_BLOCK = 1024
+
+
 def contacts(points: DataFrame, cutoff: float, box: Box | None = None, include_self: bool = False) -> DataFrame:
     """Pairs u < v within the cutoff. A cell list: points are hashed to cells no smaller than the cutoff, and each cell
-    meets itself and half of its 26 neighbours by an equality join, so far points never meet.
+    meets itself and the half of its neighbours that lies ahead by an equality join, so far points never meet and a pair
+    is found once.
 
-    With a box, distances are minimum images and cells wrap; where an axis holds fewer than three cells, it is one
-    cell."""
+    A cell of more than CELL_BLOCK points is dealt into blocks, and what meets it is copied to each of them, so a cell that
+    holds all points is joined by as many tasks as it has blocks. With a box, distances are minimum images and cells
+    wrap; where an axis holds fewer than three cells, it is one cell."""
     if cutoff < 0:
         raise ValueError("a cutoff is not negative")
     cols = {c: F.col(c) for c in "xyz"}
@@ -167,19 +174,25 @@ def contacts(points: DataFrame, cutoff: float, box: Box | None = None, include_s
         inside = [v - F.floor(v) for v in to_fractional(box, *p)]
         cell = [F.least(F.floor(v * n), F.lit(n - 1)).cast("long") for v, n in zip(inside, counts)]
     placed = points.select("node", "x", "y", "z", *(c.alias(f"c{k}") for k, c in enumerate(cell)))
-    offsets = [F.sequence(F.lit(-1), F.lit(1)) if n != 1 else F.array(F.lit(0)) for n in counts]
-    wide = placed.select("*", F.explode(offsets[0]).alias("d0")).select("*", F.explode(offsets[1]).alias("d1")).select("*", F.explode(offsets[2]).alias("d2"))
-    near = lambda k: F.pmod(F.col(f"c{k}") + F.col(f"d{k}"), F.lit(counts[k])) if counts[k] else F.col(f"c{k}") + F.col(f"d{k}")
-    left = wide.select(F.col("node").alias("u"), *(F.col(c).alias(f"u{c}") for c in "xyz"), *(near(k).cast("long").alias(f"c{k}") for k in range(3)))
-    right = placed.select(F.col("node").alias("v"), *(F.col(c).alias(f"v{c}") for c in "xyz"), "c0", "c1", "c2")
-    met = left.join(right, ["c0", "c1", "c2"]).filter("u < v")
+    reach = [(-1, 0, 1) if n != 1 else (0,) for n in counts]
+    ahead = [d for d in itertools.product(*reach) if d >= (0, 0, 0)]
+    near = lambda k: F.pmod(F.col(f"c{k}") + F.col("d")[k], F.lit(counts[k])) if counts[k] else F.col(f"c{k}") + F.col("d")[k]
+    # Cells that are dealt into blocks: at most one for each CELL_BLOCK points.
+    heavy = placed.groupBy("c0", "c1", "c2").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_BLOCK).select("c0", "c1", "c2", F.ceil(F.col("n") / CELL_BLOCK).alias("m"))
+    blocks = F.coalesce("m", F.lit(1))
+    left = placed.withColumn("d", F.explode(F.array(*(F.array(*(F.lit(x) for x in d)) for d in ahead))))
+    left = left.select(F.col("node").alias("u"), *(F.col(c).alias(f"u{c}") for c in "xyz"), (F.array_max("d") == 0).alias("flat"), (F.array_min("d") == 0).alias("up"), *(near(k).cast("long").alias(f"c{k}") for k in range(3)))
+    left = left.join(heavy, ["c0", "c1", "c2"], "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).drop("m")
+    right = placed.join(heavy, ["c0", "c1", "c2"], "left").select(F.col("node").alias("v"), *(F.col(c).alias(f"v{c}") for c in "xyz"), "c0", "c1", "c2", F.pmod(F.xxhash64("node"), blocks).alias("block"))
+    # Within a cell a pair is met from both its points.
+    met = left.join(right, ["c0", "c1", "c2", "block"]).filter(~(F.col("flat") & F.col("up")) | (F.col("u") < F.col("v")))
     one, two = tuple(F.col(f"u{c}") for c in "xyz"), tuple(F.col(f"v{c}") for c in "xyz")
     if box is None:
         d = [a - b for a, b in zip(one, two)]
         square: Column = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
     else:
         square = distance_squared(box, one, two)
-    out = met.filter(square <= cutoff * cutoff).select("u", "v").distinct()
+    out = met.filter(square <= cutoff * cutoff).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     return out.union(points.select(F.col("node").alias("u"), F.col("node").alias("v"))) if include_self else out
 
 

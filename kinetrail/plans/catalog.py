@@ -76,7 +76,13 @@ def msd_exact_frame(v: Views) -> DataFrame:
 
 @query(sql_msd())
 def msd_exact_blocked_kernel(v: Views) -> DataFrame:
-    return series(correlate.exact(correlate.without_drift(v.positions), spec(), blocked=True))
+    return series(correlate.exact(correlate.without_drift(v.positions), spec()))
+
+
+@query(sql_msd())
+def msd_exact_joined(v: Views) -> DataFrame:
+    """The same by the join on id, which functions of Columns take."""
+    return series(correlate.exact(correlate.without_drift(v.positions), spec(), tiled=False))
 
 
 @query(sql_msd(block=0))

@@ -173,7 +173,7 @@ def build_msd(ctx: Context, cfg: Config, section: str) -> dict[str, Any]:
     incremental = None
     if spec.kind == "exact":
         value = correlate.squared_displacement(spec.components)
-        incremental = Incremental(lambda now, since: correlate.frame_pairs(correlate.prepared(now.positions, members, drift, remove, frames), value, spec.lag_stride, since), lambda pairs: correlate.exact_series(pairs, spec), "cur long, org long, dts long, v double")
+        incremental = Incremental(lambda now, since: correlate.pairs_of_frames(correlate.prepared(now.positions, members, drift, remove, frames), value, spec.lag_stride, since), lambda pairs: correlate.exact_series(pairs, spec), "cur long, org long, dts long, v double")
     return {
         "frame": correlate.msd(ctx.positions, spec, members, drift, remove, frames),
         "incremental": incremental,

@@ -48,8 +48,8 @@ def test_dump_and_exact_msd(spark, dump_file):
     assert [tuple(r) for r in t.atoms.orderBy("idx").collect()] == [(0, 1, 1, 1), (1, 2, 1, 1), (2, 3, 2, 2), (3, 4, 2, 2)]
     got = [tuple(r) for r in correlate.msd(t.positions, CorrelatorSpec(block_size=2)).orderBy("lag").collect()]
     assert got == [(1.0, 1.0, 0.4375, 2, 0.0, 1, 1.0), (2.0, 2.0, 1.375, 1, 0.0, 0, 2.0)]
-    blocked = correlate.exact(correlate.without_drift(t.positions), CorrelatorSpec(block_size=2), blocked=True)
-    assert [tuple(r) for r in blocked.orderBy("lag").collect()] == got
+    joined = correlate.exact(correlate.without_drift(t.positions), CorrelatorSpec(block_size=2), tiled=False)
+    assert [tuple(r) for r in joined.orderBy("lag").collect()] == got
 
 
 def test_wrapped_triclinic_and_extra_fields(spark, tmp_path):
@@ -234,9 +234,11 @@ def test_bfs_and_topology_groups(shapes):
         graph.components(nodes.filter("node < 3"), edges)
 
 
-def test_contacts_match_brute_force(spark):
+@pytest.mark.parametrize("block", [1024, 2])
+def test_contacts_match_brute_force(spark, monkeypatch, block):
     import random
 
+    monkeypatch.setattr(graph, "CELL_BLOCK", block)
     r = random.Random(3)
     points = [(i, r.uniform(0, 8), r.uniform(0, 6), r.uniform(0, 5)) for i in range(150)]
     df = table(spark, points, "node long, x double, y double, z double")
@@ -249,7 +251,17 @@ def test_contacts_match_brute_force(spark):
         d = [x - round(x / e) * e for x, e in zip(d, (8.0, 6.0, 2.0))]
         return sum(x * x for x in d) <= 0.81
 
-    assert {tuple(x) for x in graph.contacts(df, 0.9, box).collect()} == {(a[0], b[0]) for a in points for b in points if a[0] < b[0] and near(a, b)}
+    found = [tuple(x) for x in graph.contacts(df, 0.9, box).collect()]
+    assert set(found) == {(a[0], b[0]) for a in points for b in points if a[0] < b[0] and near(a, b)} and len(found) == len(set(found))
+
+
+def test_one_cell_that_holds_all_points_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CELL_BLOCK", 16)
+    df = spark.range(200).select(F.col("id").alias("node"), *((F.col("id") * 0.001 + 0.1).alias(c) for c in "xyz"))
+    met = graph.contacts(df, 10.0)
+    assert met.count() == met.distinct().count() == 199 * 100
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "block" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_spanning(spark):
@@ -455,14 +467,19 @@ def test_components_and_hops_in_rounds_and_in_a_task(spark, shapes, monkeypatch)
     assert [sorted(map(tuple, f.collect())) for f in (components.connected_components(edges), graph.distances(nodes, edges, nodes.filter("node in (0, 3)")))] == small
 
 
-def test_gaps_in_the_blocked_kernel(spark, monkeypatch):
-    monkeypatch.setattr(correlate, "KERNEL_ROWS", 40)
+@pytest.mark.parametrize("rows_a_call,frames", [(40, 1 << 10), (1 << 18, 3), (7, 4), (1 << 18, 1)])
+def test_gaps_in_the_tiled_kernel(spark, monkeypatch, rows_a_call, frames):
+    monkeypatch.setattr(correlate, "KERNEL_ROWS", rows_a_call)
+    monkeypatch.setattr(correlate, "TILE_FRAMES", frames)
     rows = [(i, f, 10 * f, float(i * f), float((f * 7 + i) % 5), 1.0) for i in range(9) for f in range(11) if (i * 3 + f) % 4]
     s = table(spark, rows, "id long, frame long, timestep long, x double, y double, z double").repartition(3)
     near = lambda rows: [(r["lag"], r["count_pairs"], round(r["msd"], 9)) for r in rows]
     for stride in (1, 2):
         spec = CorrelatorSpec(block_size=0, lag_stride=stride, components="xy")
-        assert near(correlate.exact(s, spec, blocked=True).orderBy("lag").collect()) == near(correlate.exact(s, spec).orderBy("lag").collect())
+        assert near(correlate.exact(s, spec).orderBy("lag").collect()) == near(correlate.exact(s, spec, tiled=False).orderBy("lag").collect())
+    pairs = lambda f: sorted((r["cur"], r["org"], round(r["v"], 9)) for r in f(s, lambda a, b: a["x"] * b["y"] - 1.0, 1, 5).collect())
+    assert pairs(correlate.frame_pairs_tiled) == pairs(correlate.frame_pairs) and len(pairs(correlate.frame_pairs)) > 20
+    assert correlate.on_arrays(lambda a, b: a["x"] * b["y"]) and not correlate.on_arrays(lambda a, b: F.sqrt(a["x"]))
 
 
 def test_coarse_averages_may_be_given(spark):
