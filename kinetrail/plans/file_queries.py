@@ -263,7 +263,7 @@ def follow_positions(v: Views) -> DataFrame:
 @query(_TRAJ + _POSITIONS + " where frame between 5 and 20")
 def dump_frame_range(v: Views) -> DataFrame:
     """A filter on the frame reaches the source, which reads the bytes of those frames."""
-    index = ranges.index_dump(v.spark, write_dump(v, atom_columns(**UNWRAPPED)), range_bytes=2048)
+    index = ranges.index_dump(v.spark, write_dump(v, atom_columns(**UNWRAPPED)), range_bytes=1 << 16)
     return r8(ranges.scan_dump(v.spark, index, ["frame", "timestep", "id", "x", "y", "z"]).filter("frame between 5 and 20"))
 
 
