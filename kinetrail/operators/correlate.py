@@ -8,16 +8,15 @@ aggregate); what is shuffled after it is a cell for each pair of frames and call
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import settle
 from .spectral import lag_sums
 
 AXES = ("frame", "timestep", "timebin")
@@ -235,30 +234,89 @@ def without_blocks(base: DataFrame) -> DataFrame:
     return base.withColumn("bs", F.lit(0.0)).withColumn("bq", F.lit(0.0)).withColumn("bn", F.lit(0).cast("long"))
 
 
+_SUMS = {"s": "double", "c": "long", "d": "long", "bs": "double", "bq": "double", "bn": "long"}
+
+
+def segment_ends(counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a bin that begins at each row: the row that completes it (or the number of rows), and where, once the bins
+    behind it are made too, the unfinished one begins."""
+    ahead = np.concatenate([[0], np.cumsum(counts)])
+    ends = np.searchsorted(ahead[1:], ahead[:-1] + least)
+    tails = np.arange(len(counts) + 1)
+    for i in range(len(counts) - 1, -1, -1):
+        if ends[i] < len(counts):
+            tails[i] = tails[ends[i] + 1]
+    return ends, tails
+
+
 def merge_bins(base: DataFrame, least: int) -> DataFrame:
     """Bins (of bin_sums) with fewer than `least` pairs absorb the following ones; a last one too small joins the bin before.
 
-    Block means of merged bins are pooled, unfinished blocks are not. The fold is sequential over bins, of which there
-    is at most one for each lag: a bounded group."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        bins: list[list[float]] = []
-        for row in rows.sort_values("key")[["s", "c", "d", "bs", "bq", "bn"]].itertuples(index=False):
-            if bins and bins[-1][1] < least:
-                bins[-1] = [a + b for a, b in zip(bins[-1], row)]
-            else:
-                bins.append(list(row))
-        if len(bins) > 1 and bins[-1][1] < least:
-            last = bins.pop()
-            bins[-1] = [a + b for a, b in zip(bins[-1], last)]
-        out = []
-        for k, (s, c, d, bs, bq, bn) in enumerate(bins):
-            m = bs / bn if bn else 0.0
-            sem = math.sqrt(max(0.0, bq / bn - m * m) * bn / (bn - 1) / bn) if bn > 1 else 0.0
-            out.append((k, s / c, int(c), d / c, int(bn), sem))
-        return pd.DataFrame(out, columns=["key", "msd", "count_pairs", "mean_dtimestep", "n_blocks", "sem"])
-
-    return base.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda rows: fold(rows), "key long, msd double, count_pairs long, mean_dtimestep double, n_blocks long, sem double")
+    Block means of merged bins are pooled, unfinished blocks are not. The fold is a scan over ranges of bins: what a range
+    does to the bin that enters it unfinished hangs only on that bin's number of pairs, of which there are `least`, so a
+    range is summed up by at most so many rows. Those are joined in order, a few rows a range; then every range, which now
+    knows what enters it, makes its own bins."""
+    names = list(_SUMS)
+    rows = base.select("key", *(F.col(n).cast(k).alias(n) for n, k in _SUMS.items())).repartitionByRange("key").sortWithinPartitions("key")
+    placed = settle(rows.withColumn("part", F.spark_partition_id()), "bins")
+    sums = ", ".join(f"{n} {k}" for n, k in _SUMS.items())
+
+    def sorted_columns(table: pa.Table) -> dict[str, np.ndarray]:
+        order = np.argsort(np.asarray(table["key"]), kind="stable")
+        return {n: np.asarray(table[n])[order] for n in names}
+
+    def batch(columns: dict[str, list], first: dict[str, list]) -> pa.Table:
+        return pa.table({**first, **{n: pa.array(columns[n], pa.float64() if _SUMS[n] == "double" else pa.int64()) for n in names}})
+
+    def summed(key: tuple, table: pa.Table) -> pa.Table:
+        """Rows (part, needs, sums): a bin that enters with `needs` pairs or more leaves these sums; none enters with -1 but
+        the range's own total."""
+        columns = sorted_columns(table)
+        ends, tails = segment_ends(columns["c"], least)
+        ahead = np.cumsum(columns["c"])
+        cuts = range(min(int(np.searchsorted(ahead, least)) + 1, len(ahead)))
+        starts = [0, *(int(tails[j + 1]) for j in cuts)]
+        part = key[0].as_py()
+        return batch({n: [x[k:].sum() for k in starts] for n, x in columns.items()}, {"part": pa.array([part] * len(starts), pa.int32()), "needs": pa.array([-1, *(max(0, least - int(ahead[j])) for j in cuts)], pa.int64())})
+
+    def joined(table: pa.Table) -> pa.Table:
+        """What enters each range, and as part -1 what is left behind the last."""
+        held, out = dict.fromkeys(names, 0), []
+        ranges: dict[int, list[dict]] = {}
+        for r in table.to_pylist():
+            ranges.setdefault(r["part"], []).append(r)
+        for part in sorted(ranges):
+            out.append({"part": part, **held})
+            total = next(r for r in ranges[part] if r["needs"] < 0)
+            # The first cut is made by the bin that needs most, of those that what enters can complete.
+            fits = [r for r in ranges[part] if 0 <= r["needs"] <= held["c"]]
+            best = max(fits, key=lambda r: r["needs"]) if fits else None
+            held = {n: best[n] for n in names} if best else {n: held[n] + total[n] for n in names}
+        out.append({"part": -1, **held})
+        return batch({n: [r[n] for r in out] for n in names}, {"part": pa.array([r["part"] for r in out], pa.int32())})
+
+    def folded(key: tuple, table: pa.Table, entering: pa.Table) -> pa.Table:
+        columns = sorted_columns(table)
+        columns = {n: np.concatenate([np.asarray(entering[n])[:1].astype(x.dtype), x]) for n, x in columns.items()}
+        ends, _ = segment_ends(columns["c"], least)
+        starts, at = [], 0
+        while at < len(ends) and ends[at] < len(ends):
+            starts.append(at)
+            at = int(ends[at]) + 1
+        done = {n: np.add.reduceat(x[:at], starts) if starts else x[:0] for n, x in columns.items()}
+        return batch(done, {"key": pa.array((key[0].as_py() << 32) + np.arange(len(starts), dtype=np.int64))})
+
+    exits = placed.groupBy("part").applyInArrow(summed, f"part int, needs long, {sums}")
+    # One group, of at most `least` + 1 rows a range.
+    carried = settle(exits.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(joined, f"part int, {sums}"), "bins-carried")
+    bins = placed.groupBy("part").cogroup(carried.filter("part >= 0").groupBy("part")).applyInArrow(folded, f"key long, {sums}")
+    bins = settle(bins, "bins-merged")
+    last = bins.agg(F.coalesce(F.max("key"), F.lit(0).cast("long")).alias("key"))
+    left = carried.filter("part < 0 and c > 0").withColumn("one", F.lit(1)).join(last.withColumn("one", F.lit(1)), "one")  # a row and a row
+    merged = bins.select("key", *names).unionByName(left.select("key", *names)).groupBy("key").agg(*(F.sum(n).alias(n) for n in names))
+    mean = F.col("bs") / F.col("bn")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("bq") / F.col("bn") - mean * mean) * F.col("bn") / (F.col("bn") - 1) / F.col("bn"))
+    return merged.select("key", (F.col("s") / F.col("c")).alias("msd"), F.col("c").alias("count_pairs"), (F.col("d") / F.col("c")).alias("mean_dtimestep"), F.col("bn").alias("n_blocks"), F.when(F.col("bn") > 1, spread).otherwise(0.0).alias("sem"))
 
 
 SERIES = ["lag", "time", "msd", "count_pairs", "sem", "n_blocks", "mean_dtimestep"]

@@ -482,6 +482,38 @@ def test_gaps_in_the_tiled_kernel(spark, monkeypatch, rows_a_call, frames):
     assert correlate.on_arrays(lambda a, b: a["x"] * b["y"]) and not correlate.on_arrays(lambda a, b: F.sqrt(a["x"]))
 
 
+def folded_plainly(rows, least):
+    bins = []
+    for row in rows:
+        if bins and bins[-1][1] < least:
+            bins[-1] = [a + b for a, b in zip(bins[-1], row)]
+        else:
+            bins.append(list(row))
+    if len(bins) > 1 and bins[-1][1] < least:
+        last = bins.pop()
+        bins[-1] = [a + b for a, b in zip(bins[-1], last)]
+    return bins
+
+
+@pytest.mark.parametrize("seed,n,least", [(1, 1, 5), (2, 60, 20), (3, 60, 1), (4, 61, 1000), (5, 400, 7), (6, 37, 12), (7, 5, 3)])
+def test_merged_bins_equal_a_plain_fold(spark, seed, n, least):
+    import random
+
+    r = random.Random(seed)
+    rows = [(k * 3, float(r.randint(0, 99)), r.choice((1, 2, 3, 30)), r.randint(1, 50), float(r.randint(0, 9)), float(r.randint(90, 99)), r.randint(0, 3)) for k in range(n)]
+    base = table(spark, rows, "key long, s double, c long, d long, bs double, bq double, bn long").repartition(3)
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = [(x["count_pairs"], x["msd"], x["mean_dtimestep"], x["n_blocks"]) for x in correlate.merge_bins(base, least).orderBy("key").collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert got == [(c, s / c, d / c, bn) for s, c, d, _, _, bn in folded_plainly([x[1:] for x in rows], least)]
+
+
 def test_coarse_averages_may_be_given(spark):
     s = signal(spark, range(0, 80, 10))
     first = correlate.coarse_levels(s, 2, lambda a, b: a).filter("level = 1").orderBy("k").collect()
