@@ -57,15 +57,16 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], ["node", "component"])
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", task_edges: int | None = None) -> DataFrame:
     """(node, component) for every node with an edge to another; component is the smallest node of its component.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): O(log^2 n) rounds of joins on shuffled keys.
     Each round ends in shared files; the driver sees one row of counts a round, never edges or labels. As long as there
-    are no more edges than a task may hold, which is counted first, one task solves them in memory instead."""
+    are no more edges than a task may hold (`task_edges`, TASK_EDGES if not given), which is counted first, one task solves
+    them in memory instead."""
     e = edges.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).filter("u <> v").distinct()
     e = settle(e, "components")
-    if e.count() <= TASK_EDGES:
+    if e.count() <= (TASK_EDGES if task_edges is None else task_edges):
         out = settle(e.coalesce(1).mapInArrow(_solve, "node long, component long"), "components")
         forget(e)
         return out

@@ -31,12 +31,12 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(counted, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, task_edges: int | None = None) -> DataFrame:
     """node and component, numbered 0.. by their smallest node; isolated nodes are components."""
     stray = edges.select(F.explode(F.array("u", "v")).alias("node")).join(nodes, "node", "left_anti")
     if not stray.isEmpty():
         raise ValueError("an edge has an end that is no node")
-    roots = nodes.select("node").join(connected_components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("root"))
+    roots = nodes.select("node").join(connected_components(edges, task_edges=task_edges), "node", "left").select("node", F.coalesce("component", "node").alias("root"))
     roots = settle(roots, "roots")
     # Numbers of the distinct roots: each range is numbered apart and moved by the counts before it.
     from ..functions.stats import numbered_globally
@@ -98,13 +98,13 @@ def _hops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes[seen]), pa.array(hops[seen])], ["node", "hops"])
 
 
-def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
+def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame, task_edges: int | None = None) -> DataFrame:
     """node and hops from the nearest source, -1 where none reaches.
 
     A round of the loop joins the last frontier only. An adjacency that a task may hold, counted first, is walked there."""
     adj = settle(adjacency(edges), "adjacency")
     first = settle(sources.select("node").distinct(), "sources")
-    if adj.count() + first.count() <= 2 * TASK_EDGES:
+    if adj.count() + first.count() <= 2 * (TASK_EDGES if task_edges is None else task_edges):
         rows = adj.select(F.col("u").cast("long"), F.col("v").cast("long")).union(first.select(F.col("node").cast("long"), F.lit(None).cast("long")))
         seen = settle(rows.coalesce(1).mapInArrow(_hops, "node long, hops long"), "seen")
         forget(adj, first)

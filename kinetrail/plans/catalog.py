@@ -358,6 +358,12 @@ def graph_components(v: Views) -> DataFrame:
     return graph.components(nodes_of(v), v.edges)
 
 
+@query(with_views("labels") + "select node, component from labels")
+def graph_components_rounds(v: Views) -> DataFrame:
+    """By rounds of joins, as for graphs that no task holds."""
+    return graph.components(nodes_of(v), v.edges, task_edges=0)
+
+
 @query(with_views("labels") + "select size, count(*) as count from (select component, count(*) as size from labels group by component) group by size")
 def graph_component_hist(v: Views) -> DataFrame:
     return graph.size_histogram(graph.components(nodes_of(v), v.edges))
@@ -392,6 +398,12 @@ def graph_bfs_multi(v: Views) -> DataFrame:
     return graph.distances(nodes_of(v), v.edges, v.atoms.filter("idx % 7 = 0").select(F.col("idx").alias("node")))
 
 
+@query(_bfs_sql("idx % 7 = 0"))
+def graph_bfs_rounds(v: Views) -> DataFrame:
+    """By a join for each hop, as for graphs that no task holds."""
+    return graph.distances(nodes_of(v), v.edges, v.atoms.filter("idx % 7 = 0").select(F.col("idx").alias("node")), task_edges=0)
+
+
 @query(_bfs_sql("idx % 7 = 0").replace(" select a.idx as node", ", h as (select a.idx as node") + ") select hops, count(*) as count, cast(sum(type) as bigint) as sum, cast(sum(type*type) as bigint) as sumsq from h join atoms on idx = node where hops >= 0 group by hops")
 def graph_distance_bins(v: Views) -> DataFrame:
     hops = graph.distances(nodes_of(v), v.edges, v.atoms.filter("idx % 7 = 0").select(F.col("idx").alias("node")))
