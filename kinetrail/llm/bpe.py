@@ -6,7 +6,9 @@ changed since it was queued, and otherwise applied by relinking, which queues th
 concatenates vocabulary strings (joined by the separator the vocabulary's missing decoder implies, one space).
 
 Defined results: null and empty texts, and texts of white space only, have no ids (0 tokens, digests of the empty
-string). Equal texts have equal results. Repeated ids give repeated rows. Other columns of the table are not read.
+string). Equal texts have equal results. Repeated ids give repeated rows. A very
+long text is encoded whole by one task, with a linked list as long as its longest run without white space. An empty table
+gives no rows. Other columns of the table are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ of one row a partition.
 
 Defined results: null counts as the empty text, whose fingerprint is empty; two empty fingerprints are alike (1), an
 empty one and another are not (0). A table of one row is its own next document. Equal texts have equal fingerprints;
-repeated rows repeat.
+repeated rows repeat. A very long text is parsed whole by one task; beyond three levels its phrases only grow in number,
+of which the smallest names are kept. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

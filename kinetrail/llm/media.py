@@ -13,7 +13,8 @@ shuffled when reading. Equal files are one file there: it's read back, verified
 the result by its digest.
 
 Defined results: null counts as the empty text: 64 zero bytes. Equal texts have equal values; repeated rows repeat.
-Only the id and text columns are read. A file that doesn't verify stops the job.
+A very long text is cut into chunks by one task and is one file. An empty table gives no rows. Only the id and text
+columns are read. A file that doesn't verify stops the job.
 """
 
 from __future__ import annotations

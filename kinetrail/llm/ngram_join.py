@@ -20,7 +20,8 @@ Buckets of more than `BLOCK` classes are split into block pairs too, so no task
 
 Defined results: null texts and texts without words have an empty set, linked with nothing, and are their own
 component. Fewer words than n count as one n-gram. Repeated rows link with each other. Components take the smallest
-doc_id; a null id stays null unless its component has another. Only the id and text columns are read.
+doc_id; a null id stays null unless its component has another. A very long text is
+one set, hashed whole by one task. An empty table gives no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations

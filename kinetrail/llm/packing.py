@@ -10,7 +10,7 @@ A stream is closed after `block` tokens, at a document end, which bounds memory.
 packed where it is read; sequence ids carry the partition number above bit 40.
 
 Defined results: a null or empty text is the end id alone. Repeated rows are packed as often as they occur. A document
-longer than a sequence is cut into pieces. An empty table gives no pieces. Other columns are not read.
+longer than a sequence, however long, is cut into pieces. An empty table gives no pieces. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ be well formed for their kind and not overlap a base span; base spans always sta
 
 Defined results: null counts as the empty text, which has no spans. Spans are code points, end exclusive, ordered by
 start and then kind (email, ip, card, phone). The counts are of base spans; n_model counts added ones, n_spans all. Equal texts
-have equal results; repeated rows repeat. Only the id and text columns are read.
+have equal results; repeated rows repeat. A very long text is read whole by the patterns
+and around its triggers by the tagger, in one task. An empty table gives no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ the rest is still scanned: UUIDs, dates, and path or assignment parts with a pla
 a span without a digit or without a letter (words, plain numbers) is no finding.
 
 Defined results: null counts as the empty text, which has no spans. Spans are code points, end exclusive, ordered by
-start and then kind (assign, access, hex, entropy). Equal texts have equal results; repeated rows repeat. Only the id
-and text columns are read.
+start and then kind (assign, access, hex, entropy). Equal texts have equal results; repeated rows repeat. A very
+long text is scanned whole by one task. An empty table gives no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ is looked for within those runs alone.
 
 Defined results: null counts as the empty text; texts shorter than `length` keep all bytes; exact copies of at least
 `length` bytes lose all bytes, in every copy. A long text is read in segments, so memory does not follow its length
-beyond its own bytes. Only the id and text columns are read.
+beyond its own bytes. Repeated rows are copies of each other. An empty table gives no rows. Only the id and text columns
+are read. Lengths over 1000 are refused: places in a context are packed into ten bits each.
 """
 
 from __future__ import annotations
@@ -88,6 +89,8 @@ def place(first: np.ndarray, lead: np.ndarray, more: np.ndarray) -> np.ndarray:
     return (first.astype(np.int64) << 20) | (lead.astype(np.int64) << 10) | more.astype(np.int64)
 
 
+#: Longest strings whose contexts `place` can pack.
+MOST_LENGTH = 1000
 FIRST, LEAD, MORE = "shiftright(at, 20)", "(shiftright(at, 10) & 1023)", "(at & 1023)"
 
 
@@ -359,6 +362,8 @@ def open_groups(each: DataFrame, unsolved: F.Column) -> DataFrame:
 
 def repeated_spans(plain: DataFrame, length: int = LENGTH) -> DataFrame:
     """Byte ranges covered by repeated strings, by the text's name: n1, n2, lo, hi. plain: text (binary), n1, n2."""
+    if length > MOST_LENGTH:
+        raise ValueError(f"repeated strings of over {MOST_LENGTH} bytes can't be placed in ten bits")
     table = settle(anchors_met(plain, length), "anchors-met")
     each = settle(table.groupBy("u1", "u2").agg(F.count("*").alias("c"), *(F.min(x).alias(x) for x in ("kh", "n1", "n2", "at"))), "contexts")
     groups = open_groups(each, F.col("c") == 1)

@@ -7,8 +7,8 @@ document's sections sum to its tokens, which encoding sections one by one would
 
 A section is a maximal line with its line feed; a character belongs to the token that holds its first byte.
 
-Defined results: null and empty texts have no sections and no tokens. Repeated rows repeat; other columns are not
-read.
+Defined results: null and empty texts have no sections and no tokens. Repeated rows repeat. A very long text is
+encoded once, whole, by one task. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

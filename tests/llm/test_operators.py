@@ -611,6 +611,11 @@ def test_suffix_dedup_edges(docs, empty):
     assert {r["doc_id"] for r in docs.filter("text is null or length(text) < 100").collect()} <= {r["doc_id"] for r in out.collect()}
 
 
+def test_lengths_that_cannot_be_placed_are_refused(docs):
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(docs, length=2000)
+
+
 def test_passages_of_over_fifty_words_are_cut(spark):
     r = random.Random(21)
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 7)))
