@@ -235,6 +235,8 @@ NOT_COMPARED = ("checkpoint_out", "resume_from", "follow", "follow_poll_ms", "fl
 
 #: Parts that a micro-batch may come in (frames between flushes).
 MOST_PARTS = 1_000_000
+#: Taken off the numbers of batches of format 1.
+OLD_BATCHES = 10**12
 
 
 class _State:
@@ -266,6 +268,40 @@ class _State:
                 out[int(x.base_name)] = int(f.read())
         return out
 
+    def migrate(self) -> None:
+        """A folder of format 1 becomes one of format 2. Its committed batches keep their frames and results, under numbers
+        below all new ones, and the byte and frame of its last committed offset become the place to go on from. The header
+        is rewritten last, so a migration that was cut off is taken up."""
+        header = f"{self.path}/run_meta.json"
+        if not self.exists():
+            return
+        with self.system.open_input_file(header) as f:
+            meta = json.loads(f.read())
+        if meta.get("version") != 1:
+            return
+        listed = lambda p: self.system.get_file_info(fs.FileSelector(p, allow_not_found=True))
+        if self.system.get_file_info(f"{self.path}/offsets").type != fs.FileType.NotFound:
+            self.system.move(f"{self.path}/offsets", f"{self.path}/offsets-1")
+        done = [int(x.base_name) for x in listed(f"{self.path}/offsets-1/commits") if x.base_name.isdigit()]
+        at = {"byte": 0, "frame": 0}
+        if done:
+            with self.system.open_input_file(f"{self.path}/offsets-1/offsets/{max(done)}") as f:
+                at = json.loads(f.read().decode().rstrip("\n").split("\n")[-1])
+        for folder in listed(self.path):
+            if folder.type == fs.FileType.Directory and folder.base_name != "offsets-1":
+                for x in listed(folder.path):
+                    if len(x.base_name) == 10 and x.base_name.isdigit():
+                        kept = int(x.base_name) in done
+                        if kept:
+                            self.system.move(x.path, f"{folder.path}/{int(x.base_name) - OLD_BATCHES:016d}")
+                        elif x.type == fs.FileType.File:
+                            self.system.delete_file(x.path)
+                        else:
+                            self.system.delete_dir(x.path)
+        follow.Positions(f"{self.folder}/positions").note(-1, at["byte"], at["frame"])
+        with self.system.open_output_stream(header) as f:
+            f.write(json.dumps(meta | {"version": 2}).encode())
+
     def place(self, kind: str, batch: int) -> str:
         return f"{self.folder}/{kind}/{batch:016d}"
 
@@ -310,9 +346,13 @@ def follow_run(spark: SparkSession, cfg: Config, base: str, stop: threading.Even
     elif resume != state.folder:
         state.clear()
         fs.copy_files(old.path, state.path, source_filesystem=old.system, destination_filesystem=state.system)
+    state.migrate()
     settings = Config({s: {k: v for k, v in values.items() if s != "general" or k not in NOT_COMPARED} for s, values in cfg.sections.items()})
     topology_file = _resolve(base, cfg.get("topology", "file")) if cfg.has("topology", "file") else ""
     follow.guard(state.folder, {"config": hex16(fnv1a(settings.to_ini().encode())), "input": source, "mapping": p["mapping"]["spec_hash"], "topology": file_fingerprint(topology_file) if topology_file and is_file(topology_file) else "", "sections": sorted(p["tables"]), "measures": [[m["instance"], m["type"], m["params"]] for m in p["measures"]]})
+    for m in p["measures"]:
+        if m.get("incremental"):  # each state has a header of its own
+            follow.guard(f"{state.folder}/{m['instance']}", {"type": m["type"], "instance": m["instance"], "fingerprint": hex16(fnv1a(json.dumps(m["params"], sort_keys=True).encode()))})
     marks, timing, entries = state.marks(), {m["instance"]: 0.0 for m in p["measures"]}, []
     held, parts = {"frames": 0, "time": time.time()}, {}
     groups = p["ctx"].groups

@@ -412,6 +412,38 @@ def test_run_as_a_stream_resumes(spark, tmp_path):
         run.run(spark, run_config(path, tmp_path / "two", resume_from=str(tmp_path / "state2")).update("measure.m", block_size=3))
 
 
+def test_a_run_takes_up_a_checkpoint_of_the_first_format(spark, tmp_path):
+    import json
+
+    path, state, whole = tmp_path / "g.dump", tmp_path / "state", [frame_text(i, f) for i, f in enumerate(FRAMES)]
+    path.write_text("".join(whole))
+    want = run.run(spark, run_config(path, tmp_path / "batch"))
+    path.write_text(whole[0] + whole[1])
+    run.run(spark, run_config(path, tmp_path / "one", checkpoint_out=str(state)))
+    header = json.loads((state / "m" / "run_meta.json").read_text())
+    assert (header["magic"], header["type"], header["instance"]) == ("kinetrail-state", "msd", "m")
+    # As the first format had it: batches in ten digits, offsets of bytes and frames, no positions, no headers of states.
+    for folder in ("marks", "frames", "m", "s"):
+        for x in (state / folder).iterdir():
+            x.rename(x.with_name(f"{int(x.name):010d}")) if x.name.isdigit() else x.unlink()
+    (state / "marks" / "0000000007").write_text("1")  # a batch that was never committed
+    for x in (state / "positions").iterdir():
+        x.unlink()
+    for x in [*(state / "offsets" / "offsets").iterdir(), *(state / "offsets" / "commits").iterdir()]:
+        x.unlink()
+    (state / "offsets" / "offsets" / "0").write_text('v1\n{}\n' + json.dumps({"byte": len(whole[0] + whole[1]), "frame": 2}))
+    (state / "offsets" / "commits" / "0").write_text('v1\n{}')
+    meta = json.loads((state / "run_meta.json").read_text())
+    (state / "run_meta.json").write_text(json.dumps(meta | {"version": 1}))
+    path.write_text("".join(whole))
+    two = run.run(spark, run_config(path, tmp_path / "two", resume_from=str(state), checkpoint_out=str(state)))
+    for name in ("m", "t", "s"):
+        assert two.load_table(name) == want.load_table(name)
+    assert two.index["run"]["frames"] == 3 and json.loads((state / "run_meta.json").read_text())["version"] == 2
+    again = run.run(spark, run_config(path, tmp_path / "three", resume_from=str(state), checkpoint_out=str(state)))
+    assert again.load_table("m") == want.load_table("m")
+
+
 def test_follow_until_told_to_stop(spark, tmp_path):
     import threading
 
