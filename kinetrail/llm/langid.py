@@ -5,15 +5,16 @@ n-grams (four down to one, with word edges marked) of which the model knows any,
 A document's scores are the sums over its words; the best language wins, and the score is its posterior probability.
 
 Fitting uses at most about `fit_rows` labelled rows (a documented bound; chosen by a hash of the id among rows whose
-crc32(id) mod 5 is not 0), and keeps every word and n-gram that they hold `LEAST_COUNT` times or more, in whatever
-languages, with its counts in all of them: the bound on the sample is the only one on the model. It is fetched and sent in Arrow columns and a float32 table; the
-driver makes no Python object of an entry. Prediction reads all rows and whole texts, and the text alone: the words of a slice of texts are made distinct in Arrow,
-each distinct one is scored once, and a gather and a sum give the documents' scores.
+crc32(id) mod 5 is not 0), and keeps every word and n-gram that they hold, with its counts in all languages: the bound on
+the sample is the only one on the model. Words are counted first, and n-grams are made of distinct words. The model is
+fetched and sent in Arrow columns and a float32 table; the driver makes no Python object of an entry. Prediction reads
+all rows and whole texts, and the text alone: the words of a slice of texts are made distinct in Arrow, each distinct one
+is scored once, and a gather and a sum over each text's own words give the documents' scores.
 
 Defined results: null texts and texts without a letter are `und` with score 0. If nothing can be learned (an empty
 table or no labels) every row is `und`. Ties go to the alphabetically first language. Repeated rows repeat.
 A very long text is scored whole by one task, its distinct words once. An empty table gives no rows; other columns are
-not read. Scores are differences of running sums over a slice, so their last digits may hang on the rows beside them.
+not read. A text's score doesn't depend on the rows beside it.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import map_slices, texts_of, tidy
 
 UNDETERMINED = "und"
-FIT_ROWS, LEAST_COUNT = 20_000, 2
+FIT_ROWS = 20_000
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.1
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -48,36 +49,41 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (language, order, gram), order 0 for words; a partial aggregate of each batch."""
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (language, word); a partial aggregate of each batch."""
     for batch in batches:
-        words: dict[str, Counter] = defaultdict(Counter)
+        counted: dict[str, Counter] = defaultdict(Counter)
         for text, lang in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-            words[lang].update(LETTERS.findall(text.lower()))
-        rows: dict[tuple[str, int, str], int] = defaultdict(int)
-        for lang, counted in words.items():
-            for word, c in counted.items():
-                rows[lang, 0, word] += c
-                for n in ORDERS:
-                    for g in grams(word, n):
-                        rows[lang, n, g] += c
+            counted[lang].update(LETTERS.findall(text.lower()))
+        for lang, words in counted.items():
+            columns = [pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "c"])
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (language, entry) from counted words: the word itself (order 0) and its n-grams; partial aggregates."""
+    for batch in batches:
+        rows: dict[tuple[str, str], int] = defaultdict(int)
+        for lang, word, c in zip(*(column.to_pylist() for column in batch.columns)):
+            rows[lang, "0" + word] += c
+            for n in ORDERS:
+                for g in grams(word, n):
+                    rows[lang, f"{n}{g}"] += c
         if rows:
-            keys = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.string()), pa.array(list(rows.values()), pa.int64())], ["lang", "n", "gram", "c"])
+            langs, entries = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(entries, pa.string()), pa.array(list(rows.values()), pa.int64())], ["lang", "entry", "c"])
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> dict:
-    """The model: languages, the entries, and per entry a log-frequency vector. Entries seen once are left out."""
+    """The model: languages, the entries, and per entry a log-frequency vector."""
     usable = df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col) & F.col(id_col).isNotNull())
     n = usable.count()
     if n > fit_rows:  # the fitting sample; its bound is fit_rows
         usable = usable.filter(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 40)) < int((1 << 40) * (fit_rows / n)))
-    counted = usable.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(tidy(_count), "lang string, n int, gram string, c long")
-    summed = counted.groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
-    # A list of a gram's languages is as long as there are languages.
-    whole = summed.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.collect_list(F.struct("lang", "c")).alias("by")).filter(F.col("total") >= LEAST_COUNT)
-    rows = whole.select(F.concat(F.col("n").cast("string"), "gram").alias("entry"), F.explode("by").alias("x"))
-    return build(rows.select("x.lang", "entry", "x.c").toArrow())
+    labelled = usable.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    words = labelled.mapInArrow(tidy(_words), "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))
+    entries = words.mapInArrow(tidy(_entries), "lang string, entry string, c long").groupBy("lang", "entry").agg(F.sum("c").alias("c"))
+    return build(entries.toArrow())
 
 
 def build(rows: pa.Table) -> dict:
@@ -156,11 +162,11 @@ class Predictor:
         distinct = coded.dictionary.to_pylist()
         self.learn([x for x in distinct if x not in self.rows])
         each = self.table[np.array(list(map(self.rows.__getitem__, distinct)), np.int64)[np.asarray(coded.indices)]] if words else self.table[:0]
-        sums = np.zeros((len(each) + 1, len(self.langs)))
-        np.cumsum(each, axis=0, dtype=np.float64, out=sums[1:])
-        stops = np.cumsum(counts)
-        # Differences of running sums over a slice's texts: scores of some 1e6 keep nine digits behind the point.
-        return sums[stops] - sums[stops - counts], np.array(counts)
+        totals, sizes = np.zeros((len(counts), len(self.langs))), np.array(counts, np.int64)
+        own = np.flatnonzero(sizes)
+        if len(own):
+            totals[own] = np.add.reduceat(each, (np.cumsum(sizes) - sizes)[own], axis=0, dtype=np.float64)
+        return totals, sizes
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and posterior probability of each text; of equal scores the first language's wins."""

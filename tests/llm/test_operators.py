@@ -394,12 +394,13 @@ def test_langid(spark, docs, empty):
     assert [x["lang_pred"] for x in langid.identify(nothing).collect()] == ["und"]
 
 
-def test_langid_keeps_every_repeated_entry(spark):
-    # Over 100,000 different words, each twice: the rarer language's must not fall to a quota of entries.
+def test_langid_keeps_every_entry(spark):
+    # Over 100,000 different words, most of them twice, some once: none must fall to a quota or a least count.
     spell = lambda k, letters: "".join(letters[k // len(letters) ** j % len(letters)] for j in range(5))
     many, few = [spell(k, "abcdefghij") for k in range(99_000)], [spell(k, "klmnop") for k in range(3_000)]
     rows = [(2 * k + side, " ".join(words[k * 1000 : k * 1000 + 1000]), lang) for words, lang in ((many, "aa"), (few, "bb")) for k in range(len(words) // 1000) for side in (0, 1)]
     free = [i for i in range(10**4) if zlib.crc32(str(i).encode()) % 5]
+    rows.append((len(rows), "qq qrs qrstu Uvwqx", "bb"))
     df = spark.createDataFrame([(free[k], t, x) for k, (_, t, x) in enumerate(rows)], "doc_id long, text string, lang string")
     model = langid.fit(df)
     entries = set(model["entries"].to_pylist())
@@ -407,10 +408,10 @@ def test_langid_keeps_every_repeated_entry(spark):
     assert {"0" + w for w in many + few} <= entries
     want = collections.Counter()
     for _, t, x in rows:
-        for w in t.split():
+        for w in t.lower().split():
             want[0, w] += 1
             want.update((n, g) for n in langid.ORDERS for g in langid.grams(w, n))
-    assert entries == {f"{n}{g}" for (n, g), c in want.items() if c > 1}
+    assert entries == {f"{n}{g}" for n, g in want}
 
 
 def plain_scores(rows, text):
@@ -422,7 +423,7 @@ def plain_scores(rows, text):
             for n in (4, 3, 2, 1):
                 marked = f"\x02{w}\x03" if n > 1 else w
                 counts[n, x].update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    known = {n: {g for g in set().union(*(counts[n, x] for x in langs)) if sum(counts[n, x][g] for x in langs) > 1} for n in range(5)}
+    known = {n: set().union(*(counts[n, x] for x in langs)) for n in range(5)}
     out = []
     for x in langs:
         log = lambda n, g: math.log((counts[n, x][g] + 0.1) / (sum(counts[n, x][h] for h in known[n]) + 0.1 * len(known[n])))  # noqa: E731, B023
@@ -460,6 +461,16 @@ def test_langid_equals_a_plain_scorer(spark):
         assert want[langs.index(got[i]["lang_pred"])] > best - 1e-4
 
 
+def test_langid_scores_a_text_by_itself(spark):
+    r = random.Random(17)
+    free = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    text = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(1, 5))) for _ in range(n))
+    model = langid.fit(spark.createDataFrame([(free[k], text(40), "ab"[k % 2]) for k in range(60)], "doc_id long, text string, lang string"))
+    asked = [text(r.choice((0, 1, 7, 50, 4000))) for _ in range(60)] + ["", "12 !"]
+    together = langid.Predictor(model).predict(asked)
+    assert [(together[0][k], together[1][k]) for k in range(len(asked))] == [(x[0][0], x[1][0]) for x in (langid.Predictor(model).predict([t]) for t in asked)]
+
+
 def test_langid_ties_go_to_the_first_language(spark):
     free = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
     rows = [(free[k], "same words same words", x) for k, x in enumerate(("zz", "mm", "aa"))] + [(900, "same", "zz"), (901, "ßß", None)]
