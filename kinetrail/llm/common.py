@@ -142,21 +142,27 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-#: Bytes of a partition's table that merge as one row: as many merging tasks as the table has such blocks.
+#: Bytes of a table that merge as one row: as many merging tasks as the table has such blocks.
 TABLE_BLOCK = 1 << 20
+#: Most tables that are filled and merged, whatever the number of partitions: beyond it a task fills one from several.
+MOST_TABLES = 2048
 
 
 def blocks_of(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A partition's table of fixed size (a power of two of rows), in blocks that merge one by one; empty blocks are left out."""
+    """A task's table of fixed size (a power of two of rows), in blocks that merge one by one; empty blocks are left out."""
     n = max(1, table.nbytes // TABLE_BLOCK)
     for k, part in enumerate(np.split(table, n)):
         if part.any():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "data"])
 
 
-def merge_blocks(df: DataFrame, empty: np.ndarray, merge: Callable[[np.ndarray, np.ndarray], np.ndarray], finish: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> np.ndarray:
-    """Merge what blocks_of made in every partition; each block is finished where it is merged, and the driver gets bytes
-    of the finished table alone. `empty` is a partition's table with nothing in it."""
+def merged_table(df: DataFrame, fill: Callable[[Batches], Batches], empty: np.ndarray, merge: Callable[[np.ndarray, np.ndarray], np.ndarray], finish: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> np.ndarray:
+    """The merged table of df: `fill` makes the blocks (see blocks_of) of a task's rows. Each block is finished where it is
+    merged, and the driver gets bytes of the finished table alone. `empty` is a task's table with nothing in it.
+
+    Neighbouring partitions share a task where there are more than MOST_TABLES of them, without a shuffle, so what moves is
+    MOST_TABLES tables at most, and a merging task reads as many blocks."""
+    tables = df.coalesce(MOST_TABLES).mapInArrow(tidy(fill), "block int, data binary")
     n = max(1, empty.nbytes // TABLE_BLOCK)
     dtype, shape = empty.dtype, (len(empty) // n, *empty.shape[1:])
 
@@ -170,7 +176,7 @@ def merge_blocks(df: DataFrame, empty: np.ndarray, merge: Callable[[np.ndarray,
 
     blank = finish(np.zeros(shape, dtype))
     out = np.tile(blank, (n, *[1] * (blank.ndim - 1)))
-    for r in df.groupBy("block").applyInArrow(join, "block int, data binary").collect():
+    for r in tables.groupBy("block").applyInArrow(join, "block int, data binary").collect():
         out[r[0] * len(blank) : (r[0] + 1) * len(blank)] = np.frombuffer(zlib.decompress(bytes(r[1])), blank.dtype).reshape(blank.shape)
     return out
 
@@ -213,7 +219,7 @@ def bloom(df: DataFrame, key: str, bits: int) -> np.ndarray:
             set_bits(table, np.unique(np.concatenate(bloom_probes(np.asarray(batch.column(0)).view(np.uint64), bits))))
         yield from blocks_of(table)
 
-    return merge_blocks(df.select(F.col(key).cast("long")).mapInArrow(tidy(run), "block int, data binary"), np.zeros(1 << (bits - 3), np.uint8), np.bitwise_or)
+    return merged_table(df.select(F.col(key).cast("long")), run, np.zeros(1 << (bits - 3), np.uint8), np.bitwise_or)
 
 
 def bloom_probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

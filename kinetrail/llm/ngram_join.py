@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Powers, blocks_of, bloom, forget, id_text, in_bloom, map_slices, merge_blocks, mix, settle, sha, sift, slices, table_bits, tidy, utf8_of
+from .common import Powers, blocks_of, bloom, forget, id_text, in_bloom, map_slices, merged_table, mix, settle, sha, sift, slices, table_bits, tidy, utf8_of
 
 _U = np.uint64
 _POWERS = Powers(0xA24BAED4963EE407)
@@ -127,7 +127,7 @@ def frequencies(df: DataFrame, n: int) -> np.ndarray:
     def scaled(total: np.ndarray) -> np.ndarray:
         return np.minimum(255, np.rint(8 * np.log2(total.astype(np.float32) + 1))).astype(np.uint8)
 
-    return merge_blocks(df.mapInArrow(tidy(run), "block int, data binary"), np.zeros(1 << bits, np.uint32), np.add, scaled)
+    return merged_table(df, run, np.zeros(1 << bits, np.uint32), np.add, scaled)
 
 
 def histogram(s: np.ndarray) -> bytes:

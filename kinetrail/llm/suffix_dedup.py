@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, blocks_of, bloom, forget, get_bits, id_text, map_slices, merge_blocks, mix, partitions_for, set_bits, settle, sha, sift, sifter, slices, table_bits, tidy, utf8_of
+from .common import Powers, blocks_of, bloom, forget, get_bits, id_text, map_slices, merged_table, mix, partitions_for, set_bits, settle, sha, sift, sifter, slices, table_bits, tidy, utf8_of
 
 LENGTH, CORE = 400, 48
 #: A passage is a repeated string of over PASSAGE_WORDS words; words are taken to fill five bytes each, space included,
@@ -156,7 +156,7 @@ def anchors_met(plain: DataFrame, length: int) -> DataFrame:
     def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.stack([a[:, 0] | b[:, 0], a[:, 1] | b[:, 1] | (a[:, 0] & b[:, 0])], axis=1)
 
-    met = merge_blocks(plain.select("text").mapInArrow(tidy(run), "block int, data binary"), np.zeros((size, 2), np.uint8), merge, lambda x: x[:, 1])
+    met = merged_table(plain.select("text"), run, np.zeros((size, 2), np.uint8), merge, lambda x: x[:, 1])
     sent = plain.sparkSession.sparkContext.broadcast(met)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:

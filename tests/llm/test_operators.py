@@ -15,7 +15,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from kinetrail.llm import bpe, fingerprints, langid, media, ngram_join, packing, pii, secrets, suffix_dedup, token_counts
+from kinetrail.llm import bpe, common, fingerprints, langid, media, ngram_join, packing, pii, secrets, suffix_dedup, token_counts
 
 WORD, BYTE = str(public_tokenizers.path("word_bpe_49k.json")), str(public_tokenizers.path("byte_bpe_50k.json"))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, key string, c long, node long, t long, at long, spans string, n1 long, kh long, k long, lost boolean"
@@ -750,3 +750,22 @@ def test_phrases_do_not_depend_on_offset():
     t = sentence(r, 800)
     one, two, other = fingerprints.fingerprint_texts([t, "shifted by this " + t[100:], sentence(random.Random(10), 800)])
     assert fingerprints.likeness(one, two) > 0.8 > 0.3 > fingerprints.likeness(one, other)
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_tables_filled_from_several_partitions_are_the_same(spark, monkeypatch, most):
+    """Cells met in two partitions of one task, and in two tasks, are the same cells."""
+    r = random.Random(11)
+    passage = sentence(r, 120)
+    rows = [(k, sentence(r, 30) + (passage if k % 9 == 0 else "")) for k in range(72)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12, "doc_id")
+    raw = suffix_dedup.named(df.select(df.text.cast("binary").alias("text")))
+    met = lambda: {(x.n1, x.at) for x in suffix_dedup.anchors_met(raw, 250).collect()}
+    one_each, anchors = ngram_join.frequencies(df, 3), met()
+    assert len({n for n, _ in anchors}) == 8 and one_each.max() > round(8 * math.log2(8))
+    monkeypatch.setattr(common, "MOST_TABLES", most)
+    assert (ngram_join.frequencies(df, 3) == one_each).all() and met() == anchors
+    every = np.arange(72, dtype=np.int64).view(np.uint64)
+    plain = np.zeros(1 << 9, np.uint8)
+    common.set_bits(plain, np.unique(np.concatenate(common.bloom_probes(every, 12))))
+    assert (common.bloom(df.select("doc_id"), "doc_id", 12) == plain).all()
