@@ -237,12 +237,17 @@ NOT_COMPARED = ("checkpoint_out", "resume_from", "follow", "follow_poll_ms", "fl
 MOST_PARTS = 1_000_000
 #: Taken off the numbers of batches of format 1.
 OLD_BATCHES = 10**12
+#: Parts of one tier that become a part of the next.
+COMPACT = 32
 
 
 class _State:
     """A checkpoint folder: the stream's offsets, the parsed frames and each measure's partial results, by batch.
 
-    A batch's folders are overwritten when it is repeated; its mark comes last, and only marked batches count."""
+    A batch's folders are overwritten when it is repeated; its mark comes last, and only marked batches count. Parts of
+    committed batches are merged, COMPACT of a tier to one of the next, so n batches leave some COMPACT * log n parts and a
+    row is rewritten log n times. A merged part is named by its first and last part and its tier; once it is marked, the
+    parts within it don't count, and they are deleted then (or by the next merge, if that was cut off)."""
 
     def __init__(self, folder: str):
         self.folder = folder
@@ -255,19 +260,56 @@ class _State:
         if self.system.get_file_info(self.path).type != fs.FileType.NotFound:
             self.system.delete_dir(self.path)
 
-    def mark(self, batch: int, frames: int) -> None:
+    @staticmethod
+    def span(part: str) -> tuple[int, int, int]:
+        """First and last part number and tier of a part."""
+        first, last, tier = part.split("_") if "_" in part else (part, part, 0)
+        return int(first), int(last), int(tier)
+
+    def mark(self, part: str, frames: int) -> None:
         self.system.create_dir(f"{self.path}/marks", recursive=True)
-        with self.system.open_output_stream(f"{self.path}/marks/{batch:016d}") as f:
+        with self.system.open_output_stream(f"{self.path}/marks/{part}") as f:
             f.write(str(frames).encode())
 
-    def marks(self) -> dict[int, int]:
-        found = self.system.get_file_info(fs.FileSelector(f"{self.path}/marks", allow_not_found=True))
+    def _names(self) -> tuple[list[str], list[str]]:
+        """Marked parts that count, in order, and those that lie within one of them."""
+        found = [x.base_name for x in self.system.get_file_info(fs.FileSelector(f"{self.path}/marks", allow_not_found=True))]
+        counted, within, behind = [], [], None
+        for part in sorted(found, key=lambda x: (self.span(x)[0], -self.span(x)[2])):
+            if behind is not None and self.span(part)[1] <= behind:
+                within.append(part)
+            else:
+                counted.append(part)
+                behind = self.span(part)[1]
+        return counted, within
+
+    def marks(self) -> dict[str, int]:
         out = {}
-        for x in found:
-            with self.system.open_input_file(x.path) as f:
-                out[int(x.base_name)] = int(f.read())
+        for part in self._names()[0]:
+            with self.system.open_input_file(f"{self.path}/marks/{part}") as f:
+                out[part] = int(f.read())
         return out
 
+    def compact(self, spark: SparkSession, marks: dict[str, int], kinds: dict[str, Any], below: int) -> None:
+        """Merge parts numbered under `below`, whose batches are committed; kinds names the tables and their schemas."""
+        tier = 0
+        while True:
+            some = sorted((x for x in marks if self.span(x)[2] == tier and self.span(x)[1] < below), key=self.span)
+            if not some and all(self.span(x)[2] < tier for x in marks):
+                break
+            if len(some) >= COMPACT:
+                whole = f"{self.span(some[0])[0]:016d}_{self.span(some[-1])[1]:016d}_{tier + 1}"
+                for kind, schema in kinds.items():
+                    self.read(spark, kind, some, schema).write.mode("overwrite").parquet(self.place(kind, whole))
+                self.mark(whole, sum(marks[x] for x in some))
+                marks[whole] = sum(marks.pop(x) for x in some)
+                for part in self._names()[1]:  # the mark goes last: what it names is deleted as long as it is there
+                    for kind in kinds:
+                        if self.system.get_file_info(f"{self.path}/{kind}/{part}").type != fs.FileType.NotFound:
+                            self.system.delete_dir(f"{self.path}/{kind}/{part}")
+                    self.system.delete_file(f"{self.path}/marks/{part}")
+            tier += 1
+
     def migrate(self) -> None:
         """A folder of format 1 becomes one of format 2. Its committed batches keep their frames and results, under numbers
         below all new ones, and the byte and frame of its last committed offset become the place to go on from. The header
@@ -302,13 +344,13 @@ class _State:
         with self.system.open_output_stream(header) as f:
             f.write(json.dumps(meta | {"version": 2}).encode())
 
-    def place(self, kind: str, batch: int) -> str:
-        return f"{self.folder}/{kind}/{batch:016d}"
+    def place(self, kind: str, part: str) -> str:
+        return f"{self.folder}/{kind}/{part}"
 
-    def read(self, spark: SparkSession, kind: str, batches: list[int], schema) -> DataFrame:
-        if not batches:
+    def read(self, spark: SparkSession, kind: str, parts: list[str], schema) -> DataFrame:
+        if not parts:
             return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(*[self.place(kind, b) for b in batches])
+        return spark.read.schema(schema).parquet(*[self.place(kind, x) for x in parts])
 
 
 def _started(spark: SparkSession, source: str, allow_header_change: bool) -> tuple[Trajectory, Index]:
@@ -356,6 +398,7 @@ def follow_run(spark: SparkSession, cfg: Config, base: str, stop: threading.Even
     marks, timing, entries = state.marks(), {m["instance"]: 0.0 for m in p["measures"]}, []
     held, parts = {"frames": 0, "time": time.time()}, {}
     groups = p["ctx"].groups
+    kinds = {"frames": follow.FIELDS} | {m["instance"]: m["incremental"].schema for m in p["measures"] if m.get("incremental")}
 
     def now() -> Context:
         rows = state.read(spark, "frames", sorted(marks), follow.FIELDS)
@@ -376,7 +419,9 @@ def follow_run(spark: SparkSession, cfg: Config, base: str, stop: threading.Even
         held.update(frames=0, time=time.time())
 
     def batch(rows: DataFrame, since: int, n: int, number: int) -> None:
-        part = number * MOST_PARTS + parts.get(number, 0)  # a batch may come in several parts
+        if number not in parts:
+            state.compact(spark, marks, kinds, number * MOST_PARTS)
+        part = f"{number * MOST_PARTS + parts.get(number, 0):016d}"  # a batch may come in several parts
         parts[number] = parts.get(number, 0) + 1
         rows.write.mode("overwrite").parquet(state.place("frames", part))
         marks[part] = n

@@ -73,15 +73,17 @@ class DumpGrowth(DataSource):
 
 
 class Positions:
-    """Where each batch ended: a small file a batch in a folder, written whole."""
+    """Where a batch ended: a small file in a folder, written whole. The last two are kept: a batch may be repeated."""
 
     def __init__(self, folder: str):
         self.system, self.path = file_system(folder)
 
+    def _below(self, batch: int) -> list[int]:
+        return sorted(n for x in self.system.get_file_info(fs.FileSelector(self.path, allow_not_found=True)) if (n := int(x.base_name)) < batch)
+
     def before(self, batch: int) -> dict:
         """Byte and frames behind the batches before this one."""
-        found = [int(x.base_name) for x in self.system.get_file_info(fs.FileSelector(self.path, allow_not_found=True))]
-        last = max((n for n in found if n < batch), default=None)
+        last = max(self._below(batch), default=None)
         if last is None:
             return {"byte": 0, "frames": 0}
         with self.system.open_input_file(f"{self.path}/{last:010d}") as f:
@@ -91,6 +93,8 @@ class Positions:
         self.system.create_dir(self.path, recursive=True)
         with self.system.open_output_stream(f"{self.path}/{batch:010d}") as f:
             f.write(json.dumps({"byte": byte, "frames": frames}).encode())
+        for old in self._below(batch)[:-1]:
+            self.system.delete_file(f"{self.path}/{old:010d}")
 
 
 Handle = Callable[[DataFrame, int, int, int], None]

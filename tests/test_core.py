@@ -444,6 +444,46 @@ def test_a_run_takes_up_a_checkpoint_of_the_first_format(spark, tmp_path):
     assert again.load_table("m") == want.load_table("m")
 
 
+def test_parts_of_a_followed_run_are_merged(spark, tmp_path, monkeypatch):
+    path, state, whole = tmp_path / "g.dump", tmp_path / "state", [frame_text(i, f) for i, f in enumerate(FRAMES)]
+    path.write_text("".join(whole))
+    want = run.run(spark, run_config(path, tmp_path / "batch"))
+    monkeypatch.setattr(run, "COMPACT", 2)
+    path.write_text(whole[0] + whole[1])
+    run.run(spark, run_config(path, tmp_path / "one", checkpoint_out=str(state), flush_every_frames=1))
+    first, second = (f"{n:016d}" for n in (0, 1))
+    merged = f"{first}_{second}_1"
+    names = lambda kind: {x.name for x in (state / kind).iterdir() if x.name[0] not in "._r"}
+    assert names("marks") == names("frames") == {first, second}  # parts of one batch, merged once it is committed
+    path.write_text("".join(whole))
+    two = run.run(spark, run_config(path, tmp_path / "two", resume_from=str(state), checkpoint_out=str(state)))
+    third = f"{run.MOST_PARTS:016d}"
+    assert names("marks") == names("frames") == names("m") == {merged, third}
+    assert len(names("positions")) == 2 and two.index["run"]["frames"] == 3
+    # A merge that ended before its parts were deleted: they don't count, and go with the next one.
+    (state / "marks" / first).write_text("1")
+    assert sorted(run._State(str(state)).marks()) == [merged, third]
+    for name in ("m", "t", "s"):
+        assert two.load_table(name) == want.load_table(name)
+    again = run.run(spark, run_config(path, tmp_path / "three", resume_from=str(state), checkpoint_out=str(state)))
+    assert again.load_table("m") == want.load_table("m") and again.index["run"]["frames"] == 3
+
+
+def test_tiers_of_merged_parts(spark, tmp_path, monkeypatch):
+    """Nine batches at two a tier: no row is lost or met twice, whatever tier it is in."""
+    monkeypatch.setattr(run, "COMPACT", 2)
+    state, marks = run._State(str(tmp_path)), {}
+    for n in range(9):
+        state.compact(spark, marks, {"v": "n long"}, n)
+        part = f"{n:016d}"
+        spark.range(n, n + 1).toDF("n").write.parquet(state.place("v", part))
+        state.mark(part, 1)
+        marks[part] = 1
+        assert state.marks() == marks and sum(marks.values()) == n + 1
+        assert sorted(r.n for r in state.read(spark, "v", sorted(marks), "n long").collect()) == list(range(n + 1))
+    assert len(marks) <= 3 and {x.name for x in (tmp_path / "v").iterdir()} == set(marks)
+
+
 def test_follow_until_told_to_stop(spark, tmp_path):
     import threading
 
