@@ -539,7 +539,7 @@ def log_bins(v: Views) -> DataFrame:
 
 @query(with_views("samples") + "select usr as user, count(value) as n, round(avg(value), 6) as mean, round(var_pop(value), 6) as var_pop, round(coalesce(var_samp(value), 0.0), 6) as var_sample, round(stddev_pop(value), 6) as std_pop, round(coalesce(stddev_samp(value), 0.0), 6) as std_sample from samples group by usr")
 def running_mean_var(v: Views) -> DataFrame:
-    out = stats.mean_and_variance(v.samples, "value", ["user"])
+    out = stats.mean_and_variance(v.samples, "value", ["user"], ["i"])
     return out.select("user", "n", *(F.round(c, 6).alias(c) for c in ("mean", "var_pop", "var_sample", "std_pop", "std_sample")))
 
 

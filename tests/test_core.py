@@ -297,6 +297,19 @@ def test_statistics(spark):
     assert stats.log_edges(1, 100, 2)[1] == pytest.approx(10)
 
 
+def test_running_statistics_take_values_in_order(spark, tmp_path):
+    """The result is that of adding the values by event_id, however the rows lie in the files."""
+    from kinetrail.plans.catalog import QUERIES
+
+    values = [1e16, 1.0, -1e16, 1.0]
+    rows = [(i, u, v) for u in (7, 8) for i, v in enumerate(values, u * 10)]
+    table(spark, rows[::-1], "event_id long, user_id long, value double").repartition(2, F.col("event_id") % 2).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["user"]: (r["n"], r["mean"]) for r in QUERIES["running_mean_var"](spark, str(tmp_path)).collect()}
+    assert got == {7.0: (4, 0.25), 8.0: (4, 0.25)}
+    with pytest.raises(ValueError):
+        stats.mean_and_variance(table(spark, rows, "i long, u long, v double"), "v", None, ["i"])
+
+
 @pytest.mark.parametrize("coalesce", ["true", "false"])
 def test_numbers_are_gapless_beyond_the_range_sample(spark, coalesce):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
