@@ -6,7 +6,10 @@ counts then tell every range its first frame and the line of that frame at which
 parsed by as many tasks as it has ranges, and none of them holds it. Several files read as if they were one, in order
 of their names. Blank lines are nothing.
 
-The source (`dump_ranges`) plans a partition for each range. A filter on `frame` is taken over by the source: ranges
+Ranges may be far smaller than what a task should read: tasks of both looks then take neighbouring ranges together, up to
+RANGE_BYTES, while there are TASKS of them a core. A frame is still parsed by as many tasks as its bytes ask for.
+
+The source (`dump_ranges`) plans a partition for each range or run of neighbours. A filter on `frame` is taken over by the source: ranges
 outside are not planned, and the first and last are cut at the frames' marks. Only the columns of the schema that is
 asked for are made from the tokens.
 """
@@ -16,7 +19,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ from ..plans.durable import forget, settle
 MARK = re.compile(rb"^ITEM: TIMESTEP[ \t\r]*$", re.MULTILINE)
 HEAD_LINES = 9
 RANGE_BYTES = 64 << 20
+#: Tasks a core below which neighbouring ranges don't share a task.
+TASKS = 16
 #: Body lines that are split into tokens at once.
 CHUNK_LINES = 1 << 16
 CORE = ("id", "type", "mol", "molecule", "x", "y", "z", "xu", "yu", "zu", "ix", "iy", "iz")
@@ -140,20 +145,28 @@ def line_starts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.delete(starts, blank), np.delete(ends, blank)
 
 
-def scan(path: str):
-    """(file, begin, end) to what a range holds: lines, and marks with offset, line within the range and header."""
+def scan(path: str, range_bytes: int):
+    """(file, name, begin, end) of neighbouring ranges, read at once, to what each of them holds: lines, and marks with
+    offset, line within the range and header."""
+    kind = pa.list_(pa.struct([("offset", pa.int64()), ("line", pa.int64()), ("head", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(path)
         for batch in batches:
             for number, name, begin, end in zip(*(c.to_pylist() for c in batch.columns)):
+                begins = np.arange(begin, end, range_bytes)
                 with system.open_input_file(name) as f:
                     data, at = lines_of(f, begin, end)
                     starts, _ = line_starts(data)
+                    # The first line of each range, and behind the last.
+                    cuts = np.append(np.searchsorted(starts + at, begins), len(starts))
                     spots = np.array([m.start() for m in MARK.finditer(data)], np.int64)
-                    marks = [{"offset": int(at + s), "line": int(k), "head": "\n".join(head_lines(f, int(at + s)))} for s, k in zip(spots, np.searchsorted(starts, spots))]
-                kind = pa.list_(pa.struct([("offset", pa.int64()), ("line", pa.int64()), ("head", pa.string())]))
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([begin]), pa.array([end]), pa.array([len(starts)]), pa.array([marks], kind)], ["file", "begin", "end", "lines", "marks"])
+                    marks: list[list[dict]] = [[] for _ in begins]
+                    for s, k in zip(spots, np.searchsorted(starts, spots)):
+                        own = int(np.searchsorted(begins, at + s, "right")) - 1
+                        marks[own].append({"offset": int(at + s), "line": int(k - cuts[own]), "head": "\n".join(head_lines(f, int(at + s)))})
+                ends = np.minimum(begins + range_bytes, end)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(begins), number, np.int32)), pa.array(begins), pa.array(ends), pa.array(np.diff(cuts)), pa.array(marks, kind)], ["file", "begin", "end", "lines", "marks"])
 
     return run
 
@@ -231,11 +244,14 @@ def index_dump(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, g
         spans = [(k, name, begin, last_line_end(path, name, begin, min(size, size if end is None else end))) for k, name, _, size in spans]
     stop = spans[-1][3] if spans else 0
     listed = spark.createDataFrame(spans, "file int, name string, low long, high long")
-    begins = listed.filter("high > low").select("file", "name", "high", F.explode(F.sequence("low", F.col("high") - 1, F.lit(range_bytes).cast("long"))).alias("begin"))
-    begins = begins.select("file", "name", "begin", F.least(F.col("begin") + range_bytes, "high").alias("end"))
     total = sum(-(-(high - low) // range_bytes) for _, _, low, high in spans)
+    # Neighbouring ranges that a task reads at once.
+    least = TASKS * spark.sparkContext.defaultParallelism
+    near = range_bytes * max(1, min(RANGE_BYTES // range_bytes, total // least))
+    begins = listed.filter("high > low").select("file", "name", "high", F.explode(F.sequence("low", F.col("high") - 1, F.lit(near).cast("long"))).alias("begin"))
+    begins = begins.select("file", "name", "begin", F.least(F.col("begin") + near, "high").alias("end"))
     tasks = max(1, min(total, 4 * spark.sparkContext.defaultParallelism))
-    scanned = settle(begins.repartition(tasks, "file", "begin").mapInArrow(scan(path), "file int, begin long, end long, lines long, marks array<struct<offset:long,line:long,head:string>>"), "dump-ranges")
+    scanned = settle(begins.repartition(tasks, "file", "begin").mapInArrow(scan(path, range_bytes), "file int, begin long, end long, lines long, marks array<struct<offset:long,line:long,head:string>>"), "dump-ranges")
 
     # A row of counts for each range, in one order; marks and headers stay out of it.
     counts = scanned.select("file", "begin", "end", "lines", F.size("marks").cast("long").alias("n_marks"), F.try_element_at("marks", F.lit(-1)).alias("m"))
@@ -306,6 +322,7 @@ class RangeReader(DataSourceReader):
         self.path, self.where, self.files = options["path"], json.loads(options["tables"]), json.loads(options["files"])
         self.names, self.any_header = tuple(json.loads(options["names"])), options.get("allow_header_change", "false") == "true"
         self.low, self.high = int(options.get("first", 0)), int(options.get("last", -1))
+        self.tasks = int(options.get("tasks", 0))
 
     def partitions(self) -> list[Range]:
         system, spot = file_system(self.where[0])
@@ -324,6 +341,20 @@ class RangeReader(DataSourceReader):
             if upper is not None and upper[0] == r["file"]:
                 end = min(end, upper[1])
             out.append(Range(self.files[r["file"]], begin, end, n, line, None if opened[0] is None else self.files[opened[0]], opened[1]))
+        return self._together(out)
+
+    def _together(self, planned: list[Range]) -> list[Range]:
+        """Neighbouring ranges as one, up to RANGE_BYTES, while there are more than `tasks` of them (0: as they are)."""
+        if not self.tasks or len(planned) <= self.tasks:
+            return planned
+        most = min(RANGE_BYTES, -(-sum(r.end - r.begin for r in planned) // self.tasks))
+        out = planned[:1]
+        for r in planned[1:]:
+            last = out[-1]
+            if r.file == last.file and r.begin == last.end and r.end - last.begin <= most:
+                out[-1] = replace(last, end=r.end)
+            else:
+                out.append(r)
         return out
 
     def _cuts(self) -> tuple[tuple[int, int] | None, tuple[int, int] | None] | None:
@@ -482,5 +513,5 @@ def scan_dump(spark: SparkSession, index: Index, columns: list[str] | None = Non
     spark.dataSource.register(DumpRanges)
     kinds = dict(re.findall(r"`?([^`,]+?)`? (long|int|double)(?:, |$)", rows_schema(index.names)))
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (columns or kinds))
-    options = {"path": index.path, "tables": json.dumps([index.ranges._settled_at, index.frames._settled_at]), "files": json.dumps(index.files), "names": json.dumps(index.names), "allow_header_change": str(allow_header_change).lower(), "first": str(frames[0]), "last": str(frames[1]), "push": str(push).lower()}
+    options = {"path": index.path, "tables": json.dumps([index.ranges._settled_at, index.frames._settled_at]), "files": json.dumps(index.files), "names": json.dumps(index.names), "allow_header_change": str(allow_header_change).lower(), "first": str(frames[0]), "last": str(frames[1]), "tasks": str(TASKS * spark.sparkContext.defaultParallelism), "push": str(push).lower()}
     return spark.read.format("dump_ranges").schema(schema).options(**options).load()

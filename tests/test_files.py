@@ -77,6 +77,18 @@ def test_ranges_of_any_size_give_the_same_rows(spark, tmp_path, size):
     assert sorted(map(tuple, dump.read_dump(spark, str(tmp_path / "two"), range_bytes=size).positions.collect())) == got
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """The number of tasks is bounded while the ranges are small, a frame still has several, and the index has each range."""
+    text, want = random_dump(random.Random(5), 6, 60)
+    (tmp_path / "d").write_text(text)
+    index = ranges.index_dump(spark, str(tmp_path / "d"), 16)
+    assert index.ranges.count() == -(-len(text) // 16) > 1000
+    rows = ranges.scan_dump(spark, index, ["frame", "timestep", "id"])
+    most = ranges.TASKS * spark.sparkContext.defaultParallelism
+    assert 6 * 6 < rows.rdd.getNumPartitions() <= 2 * most
+    assert sorted(map(tuple, rows.collect())) == [w[:3] for w in want]
+
+
 def test_filters_on_frames_read_their_bytes_alone(spark, tmp_path):
     text, want = random_dump(random.Random(2), 12, 6)
     (tmp_path / "d").write_text(text)
