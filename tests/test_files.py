@@ -89,6 +89,18 @@ def test_small_ranges_share_tasks(spark, tmp_path):
     assert sorted(map(tuple, rows.collect())) == [w[:3] for w in want]
 
 
+def test_small_ranges_of_a_growing_dump_share_files(spark, tmp_path):
+    """A batch settles its rows in a bounded number of files, however small the ranges."""
+    text, want = random_dump(random.Random(6), 5, 60)
+    path = tmp_path / "d"
+    path.write_text(text)
+    first, atoms = dump.first_particles(spark, str(path))
+    seen = []
+    each = follow.each_batch(spark, str(path), first, atoms, follow.Positions(str(tmp_path / "p")), lambda rows, *_: seen.append((len(rows.inputFiles()), sorted((r[0], r[1], r[2]) for r in rows.collect()))), range_bytes=32)
+    each(spark.createDataFrame([(0, len(text))], follow.RANGES), 0)
+    assert seen[0][1] == [w[:3] for w in want] and seen[0][0] <= 2 * 16 * spark.sparkContext.defaultParallelism < len(text) // 32
+
+
 def test_filters_on_frames_read_their_bytes_alone(spark, tmp_path):
     text, want = random_dump(random.Random(2), 12, 6)
     (tmp_path / "d").write_text(text)
