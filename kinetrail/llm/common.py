@@ -148,11 +148,13 @@ TABLE_BLOCK = 1 << 20
 MOST_TABLES = 2048
 
 
-def blocks_of(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A task's table of fixed size (a power of two of rows), in blocks that merge one by one; empty blocks are left out."""
-    n = max(1, table.nbytes // TABLE_BLOCK)
-    for k, part in enumerate(np.split(table, n)):
-        if part.any():
+def blocks_of(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's table of fixed size (a power of two of rows), in blocks that merge one by one; empty blocks are left out.
+    Several columns of a table are laid side by side block by block: it is never held twice."""
+    n = max(1, sum(c.nbytes for c in columns) // TABLE_BLOCK)
+    for k, parts in enumerate(zip(*(np.split(c, n) for c in columns))):
+        if any(x.any() for x in parts):
+            part = parts[0] if len(parts) == 1 else np.stack(parts, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "data"])
 
 

@@ -144,6 +144,7 @@ def anchors_met(plain: DataFrame, length: int) -> DataFrame:
     size = 1 << (bits - 3)  # bytes of a bit for each cell; one table tells what was seen, another what was seen again
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Two bits' tables that take memory by the pages touched; a table is laid out for the merge block by block.
         once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
         for batch in batches:
             for part in slices(batch, 0, ANCHOR_BYTES):
@@ -151,7 +152,7 @@ def anchors_met(plain: DataFrame, length: int) -> DataFrame:
                     cells, c = np.unique(cell(anchors_of(*utf8_of(part.column(0)), length)[4]), return_counts=True)
                 set_bits(twice, cells[(c > 1) | get_bits(once, cells)])
                 set_bits(once, cells)
-        yield from blocks_of(np.stack([once, twice], axis=1))
+        yield from blocks_of(once, twice)
 
     def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.stack([a[:, 0] | b[:, 0], a[:, 1] | b[:, 1] | (a[:, 0] & b[:, 0])], axis=1)

@@ -769,3 +769,18 @@ def test_tables_filled_from_several_partitions_are_the_same(spark, monkeypatch,
     plain = np.zeros(1 << 9, np.uint8)
     common.set_bits(plain, np.unique(np.concatenate(common.bloom_probes(every, 12))))
     assert (common.bloom(df.select("doc_id"), "doc_id", 12) == plain).all()
+
+
+def test_columns_of_a_table_are_laid_out_by_blocks():
+    """The blocks are those of the whole table, which is never made."""
+    import tracemalloc
+
+    once, twice = (np.random.default_rng(k).integers(0, 256, 1 << 24, np.uint8) for k in (1, 2))
+    twice[: 1 << 21] = once[: 1 << 21] = 0
+    want = [(b.column(0)[0].as_py(), b.column(1)[0].as_py()) for b in common.blocks_of(np.stack([once, twice], axis=1))]
+    tracemalloc.start()
+    got = 0
+    for b, w in zip(common.blocks_of(once, twice), want, strict=True):
+        got += (b.column(0)[0].as_py(), b.column(1)[0].as_py()) == w
+    assert got == len(want) == 28 and tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
