@@ -19,16 +19,18 @@ from ..plans.durable import forget, settle  # noqa: F401
 SLICE_BYTES = 1 << 20
 #: Most bytes of an Arrow batch between the JVM and a worker; whole texts make large rows.
 BATCH_BYTES = 4 << 20
+#: Most rows that Spark's Parquet reader makes at once: with whole texts or sets, its usual 4096 are arrays of 16 to 64 MB.
+READ_ROWS = 256
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's limit on Arrow batches to BATCH_BYTES: several workers share an executor's memory.
+    """Lower the session's limits on batches to BATCH_BYTES (Arrow) and READ_ROWS (Parquet): tasks share an executor's memory.
 
-    The limit exists only as a setting of the session; one that is lower already stays."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, None)
-    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    The limits exist only as settings of the session; one that is lower already stays."""
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or int(now) > most:
+            spark.conf.set(name, str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, texts_of, tidy
+from .common import bound_batches, map_slices, texts_of, tidy
 
 UNDETERMINED = "und"
 FIT_ROWS = 20_000
@@ -38,6 +38,8 @@ ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.1
 LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_ENTRIES = 200_000
+#: Words that are looked up at once.
+LEARN_WORDS = 1 << 13
 
 
 def held_out(id_col: str) -> F.Column:
@@ -76,6 +78,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> dict:
     """The model: languages, the entries, and per entry a log-frequency vector."""
+    bound_batches(df.sparkSession)
     usable = df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col) & F.col(id_col).isNotNull())
     n = usable.count()
     if n > fit_rows:  # the fitting sample; its bound is fit_rows
@@ -106,43 +109,70 @@ def build(rows: pa.Table) -> dict:
     return {"langs": langs, "entries": entries, "logs": table}
 
 
+class Places:
+    """Where strings lie in an Arrow column of distinct ones: sorted hashes, 12 bytes an entry; hits are compared as strings."""
+
+    def __init__(self, entries: pa.Array):
+        self.entries, hashes = entries, np.empty(len(entries), np.int64)
+        for k in range(0, len(entries), 1 << 14):
+            hashes[k : k + (1 << 14)] = [hash(x) for x in entries.slice(k, 1 << 14).to_pylist()]
+        order = np.argsort(hashes)
+        self.hashes, self.at = hashes[order], order.astype(np.int32)
+
+    def __call__(self, wanted: list[str]) -> np.ndarray:
+        """The place of each string, -1 for those that aren't there."""
+        out = np.full(len(wanted), -1, np.int64)
+        hashes = np.fromiter(map(hash, wanted), np.int64, len(wanted))
+        spot, texts = np.searchsorted(self.hashes, hashes), pa.array(wanted, self.entries.type)
+        left = np.arange(len(wanted))
+        while True:  # again for strings whose hash another entry has too
+            left = left[spot[left] < len(self.hashes)]
+            left = left[self.hashes[spot[left]] == hashes[left]]
+            if not len(left):
+                return out
+            found = self.at[spot[left]]
+            same = np.asarray(pa.compute.equal(texts.take(pa.array(left)), self.entries.take(pa.array(found))))
+            out[left[same]] = found[same]
+            left = left[~same]
+            spot[left] += 1
+
+
 class Predictor:
     """Scores by words, remembered: each word has a row of scores."""
 
     def __init__(self, model: dict):
         self.langs, self.logs = model["langs"], model["logs"]
-        self.index = {x.as_py(): i for i, x in enumerate(model["entries"])}
+        self.places = Places(model["entries"])
         self.fresh()
 
     def fresh(self) -> None:
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1 << 12, len(self.langs)), np.float32)
 
-    def found(self, word: str) -> list[int]:
-        """The model's entries of a word: its own, or those of its longest n-grams of which the model knows any."""
-        i = self.index.get("0" + word)
-        if i is not None:
-            return [i]
-        get = self.index.get
+    def found(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The model's entries of each word, one word after the other, and how many each has: its own, or those of its
+        longest n-grams of which the model knows any."""
+        entries = self.places(["0" + w for w in words])
+        word, left = np.flatnonzero(entries >= 0), np.flatnonzero(entries < 0)
+        words_of, entries_of = [word], [entries[word]]
         for n in ORDERS:
-            known = [i for g in grams(word, n) if (i := get(f"{n}{g}")) is not None]
-            if known:
-                return known
-        return []
+            made = [[f"{n}{g}" for g in grams(words[i], n)] for i in left.tolist()]
+            word = np.repeat(left, np.array([len(x) for x in made], np.int64))
+            entries = self.places([g for x in made for g in x])
+            words_of.append(word[entries >= 0])
+            entries_of.append(entries[entries >= 0])
+            left = np.setdiff1d(left, words_of[-1])
+        word = np.concatenate(words_of)
+        return np.concatenate(entries_of)[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
     def learn(self, words: list[str]) -> None:
         """A row for each of the words: the mean over its entries, all in one gather."""
-        entries, sizes = [], []
-        for w in words:
-            known = self.found(w)
-            entries += known
-            sizes.append(len(known))
+        entries, counts = self.found(words)
         at, need = len(self.rows), len(self.rows) + len(words)
         if need > len(self.table):
             wider = np.zeros((max(need, 2 * len(self.table)), len(self.langs)), np.float32)
             wider[:at] = self.table[:at]
             self.table = wider
-        counts = np.array(sizes, np.int64)
         own = np.flatnonzero(counts)
         if len(own):
             starts = (np.cumsum(counts) - counts)[own]
@@ -160,7 +190,9 @@ class Predictor:
             counts.append(len(found))
         coded = pa.array(words, pa.large_string()).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        self.learn([x for x in distinct if x not in self.rows])
+        fresh = [x for x in distinct if x not in self.rows]
+        for k in range(0, len(fresh), LEARN_WORDS):
+            self.learn(fresh[k : k + LEARN_WORDS])
         each = self.table[np.array(list(map(self.rows.__getitem__, distinct)), np.int64)[np.asarray(coded.indices)]] if words else self.table[:0]
         totals, sizes = np.zeros((len(counts), len(self.langs))), np.array(counts, np.int64)
         own = np.flatnonzero(sizes)

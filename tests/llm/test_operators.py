@@ -784,3 +784,35 @@ def test_columns_of_a_table_are_laid_out_by_blocks():
         got += (b.column(0)[0].as_py(), b.column(1)[0].as_py()) == w
     assert got == len(want) == 28 and tracemalloc.get_traced_memory()[1] < 8 << 20
     tracemalloc.stop()
+
+
+def test_parquet_batches_are_bounded(spark):
+    """Rows hold whole texts, so the reader must not make its usual 4096 of them at once; a lower limit stays."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    try:
+        for was, want in (("4096", common.READ_ROWS), ("16", 16)):
+            spark.conf.set(name, was)
+            common.bound_batches(spark)
+            assert int(spark.conf.get(name)) == want <= 256
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_language_model_takes_little_of_a_worker(monkeypatch):
+    """A worker's lookup holds no Python object of an entry, and finds the same places if hashes are equal."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [f"0w{i}" for i in range(50_000)]
+    model = langid.build(pa.table({"lang": ["a", "b"] * 25_000, "entry": words, "c": [1] * 50_000}))
+    langid.Predictor(model)
+    tracemalloc.start()
+    held = langid.Predictor(model)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held.predict(["w7 w8"])[0] and size < 40 * len(words)
+    monkeypatch.setattr(langid, "hash", lambda x: len(x) % 3, raising=False)
+    places = langid.Places(pa.array(["a", "bb", "c", "dd", "eeee"]))
+    assert places(["eeee", "x", "c", "", "a", "dd", "bbb", "bb"]).tolist() == [4, -1, 2, -1, 0, 3, -1, 1] and len(places([])) == 0
